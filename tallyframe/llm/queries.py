@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from . import packing, url_filter
+from . import embed_dedup, langid, packing, quality, url_filter
 
 QUERIES = {
+    "op1_quality": quality.op1_quality,
     "op4_packing": packing.op4_packing,
+    "op8_embed_dedup": embed_dedup.op8_embed_dedup,
+    "op9_langid": langid.op9_langid,
     "op10_url_filter": url_filter.op10_url_filter,
 }
 ORACLES = {"op10_url_filter": url_filter.ORACLE}
