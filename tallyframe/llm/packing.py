@@ -220,7 +220,7 @@ def _merge_partition(size: int):
 
 
 def pack(
-    docs: DataFrame, tokenizer_path: str, size: int = 2048, end_id: int = 1, open_windows: int = 64, slack: int = 16, merge_every: int = 64
+    docs: DataFrame, tokenizer_path: str, size: int = 2048, end_id: int = 1, open_windows: int = 64, slack: int = 16, merge_every: int = 16
 ) -> DataFrame:
     """Packs docs (doc_id, text) into windows of at most `size` tokens; one row per piece, schema PIECE.
 
