@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import embed_dedup, langid, media, packing, quality, url_filter
+from . import embed_dedup, html_extract, langid, media, packing, quality, url_filter
 
 QUERIES = {
     "op1_quality": quality.op1_quality,
     "op4_packing": packing.op4_packing,
+    "op5_html_extract": html_extract.op5_html_extract,
     "op7_media": media.op7_media,
     "op8_embed_dedup": embed_dedup.op8_embed_dedup,
     "op9_langid": langid.op9_langid,
