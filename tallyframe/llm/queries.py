@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import embed_dedup, html_extract, langid, media, minhash, packing, quality, url_filter
+from . import embed_dedup, html_extract, langid, media, minhash, packing, quality, suffix_dedup, url_filter
 
 QUERIES = {
     "op1_quality": quality.op1_quality,
     "op2_minhash": minhash.op2_minhash,
     "op4_packing": packing.op4_packing,
     "op5_html_extract": html_extract.op5_html_extract,
+    "op6_suffix_dedup": suffix_dedup.op6_suffix_dedup,
     "op7_media": media.op7_media,
     "op8_embed_dedup": embed_dedup.op8_embed_dedup,
     "op9_langid": langid.op9_langid,
