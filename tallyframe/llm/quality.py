@@ -106,7 +106,7 @@ def train(docs: DataFrame, labels: DataFrame, bits: int = 20, max_rows: int = 6_
     return w
 
 
-def _score(weights, bits: int, column: str):
+def _score(weights, bits: int, column: str, name: str):
     def run(batches):
         w, feats = weights.value, Features(bits)
         for batch in batches:
@@ -116,18 +116,21 @@ def _score(weights, bits: int, column: str):
                 m = np.bincount(row, weights=w[feature] * value, minlength=n) + w[-1]
                 out.append(1 / (1 + np.exp(-np.clip(m, -35, 35))))
             scores = np.concatenate(out) if out else np.empty(0)
-            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i, c in enumerate(batch.schema.names) if c != "_text"), pa.array(scores, pa.float64())], names=[*(c for c in batch.schema.names if c != "_text"), "score"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i, c in enumerate(batch.schema.names) if c != "_text"), pa.array(scores, pa.float64())], names=[*(c for c in batch.schema.names if c != "_text"), name])
 
     return run
 
 
-def score(docs: DataFrame, weights: np.ndarray, keep: list[str], text: str = "text") -> DataFrame:
-    """The columns `keep` of docs and a column score (double, 0 to 1) of the whole text; null and empty texts get the bias's score."""
+def score(docs: DataFrame, weights: np.ndarray, keep: list[str], text: str = "text", name: str = "score") -> DataFrame:
+    """The columns `keep` of docs and a column `name` (double, 0 to 1) scoring the whole text.
+
+    Null and empty texts get the bias's score; repeated rows equal scores; an empty table gives no rows. `keep` holds neither `name` nor `_text`.
+    """
     bits = (len(weights) - 1).bit_length() - 1
     held = docs.sparkSession.sparkContext.broadcast(weights)
     rows = docs.select(*keep, F.col(text).alias("_text"))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name != "_text")
-    return rows.mapInArrow(_score(held, bits, "_text"), f"{schema}, score double")
+    return rows.mapInArrow(_score(held, bits, "_text", name), f"{schema}, `{name}` double")
 
 
 def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import embed_dedup, html_extract, langid, media, minhash, packing, quality, suffix_dedup, url_filter
+from . import embed_dedup, html_extract, langid, media, minhash, mixing, packing, quality, suffix_dedup, url_filter
 
 QUERIES = {
     "op1_quality": quality.op1_quality,
     "op2_minhash": minhash.op2_minhash,
+    "op3_mixing": mixing.op3_mixing,
     "op4_packing": packing.op4_packing,
     "op5_html_extract": html_extract.op5_html_extract,
     "op6_suffix_dedup": suffix_dedup.op6_suffix_dedup,

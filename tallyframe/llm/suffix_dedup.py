@@ -335,10 +335,10 @@ def _digest_only(batches):
         yield batch.drop_columns(["kept"])
 
 
-def _with_ranges(docs: DataFrame, length: int, hot: int, also: list[str] = ()) -> DataFrame:
+def _with_ranges(docs: DataFrame, length: int, hot: int) -> DataFrame:
     ranges = repeated_ranges(docs, length, hot).groupBy("doc_id", "tag").agg(F.collect_set(F.struct("lo", "hi")).alias("ranges"))
-    rows = docs.select("doc_id", *also, F.xxhash64("text").alias("tag"), F.coalesce(F.col("text").cast("binary"), F.lit(b"")).alias("raw"))
-    return rows.join(ranges, (rows.doc_id.eqNullSafe(ranges.doc_id)) & (rows.tag == ranges.tag), "left").select(rows.doc_id, *also, "raw", "ranges")
+    rows = docs.select("doc_id", F.xxhash64("text").alias("tag"), F.coalesce(F.col("text").cast("binary"), F.lit(b"")).alias("raw"))
+    return rows.join(ranges, (rows.doc_id.eqNullSafe(ranges.doc_id)) & (rows.tag == ranges.tag), "left").select(rows.doc_id, "raw", "ranges")
 
 
 def remove_repeats(docs: DataFrame, length: int = 200, hot: int = 2_000) -> DataFrame:
@@ -351,6 +351,35 @@ def remove_repeats(docs: DataFrame, length: int = 200, hot: int = 2_000) -> Data
     return _with_ranges(docs, length, hot).mapInArrow(_digest_only, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
+def _rewrite(text: str):
+    def run(batches):
+        for batch in batches:
+            found = next(_cut_out([batch.select(["doc_id", "raw", "ranges"])]))
+            kept = [b.decode("utf-8", "ignore") for b in found.column("kept").to_pylist()]
+            names = [c for c in batch.schema.names if c not in ("raw", "ranges", "_null")]
+            null = batch.column("_null").to_pylist()
+            cols = {c: batch.column(c) for c in names}
+            cols[text] = pa.array([None if n else k for k, n in zip(kept, null)], pa.string())
+            cols["_removed"] = found.column("n_removed")
+            yield pa.RecordBatch.from_pydict(cols)
+
+    return run
+
+
+def without_repeats(docs: DataFrame, length: int = 200, hot: int = 2_000) -> DataFrame:
+    """docs with the repeated strings cut out of `text` and a column `_removed` (bytes); a character cut in two goes as a whole.
+
+    All other columns of docs pass through; `_removed`, `_null`, `raw`, `ranges` and `tag` may not be among them.
+    """
+    others = [c for c in docs.columns if c not in ("doc_id", "text")]
+    ranges = repeated_ranges(docs, length, hot).groupBy("doc_id", "tag").agg(F.collect_set(F.struct("lo", "hi")).alias("ranges"))
+    rows = docs.select("doc_id", *others, F.xxhash64("text").alias("tag"), F.col("text").isNull().alias("_null"), F.coalesce(F.col("text").cast("binary"), F.lit(b"")).alias("raw"))
+    joined = rows.join(ranges, (rows.doc_id.eqNullSafe(ranges.doc_id)) & (rows.tag == ranges.tag), "left").select(rows.doc_id, *(rows[c] for c in others), "_null", "raw", "ranges")
+    kinds = {f.name: f.dataType.simpleString() for f in docs.schema}
+    schema = ", ".join(f"`{c}` {kinds[c]}" for c in ["doc_id", *others, "text"])
+    return joined.mapInArrow(_rewrite("text"), f"{schema}, _removed long").select(*docs.columns, "_removed")
+
+
 def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Repeated 200-byte strings of all documents, cut out."""
     return remove_repeats(documents(spark, sf_dir))
