@@ -11,8 +11,8 @@ tokenized twice.
 from __future__ import annotations
 
 import zlib
+from array import array
 from bisect import bisect_left, insort
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -28,48 +28,79 @@ MERGED = 1 << 62
 
 
 class WordTokens(dict):
-    """Run of text without white space -> its token ids, by the tokenizer itself; remembered up to a bound.
+    """Run of text without white space -> its token ids as little-endian 32-bit words; remembered up to a bound.
 
     Valid for tokenizers that drop white space and never join across it. str.split() also splits at \\x1c-\\x1f, which such a
-    tokenizer keeps as text, so texts with these go through whole.
+    tokenizer keeps as text, so texts with these go through whole. Runs of ASCII and Latin-1 letters take a faster encoder
+    when the file describes byte-level BPE with word ends: the same merges, with the word's end written as byte 255 (which no UTF-8 text
+    holds). All else goes to the tokenizer itself.
     """
 
-    limit = 300_000
+    limit = 400_000
+    #: The pre-tokenizer whose words the fast way knows, and its form for lower-case ASCII and Latin-1.
+    PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+    PLAIN = r"[!-~À-ÖØ-öø-ÿ]+"
+    WORDS = r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^\sa-zß-öø-ÿ0-9]+"
 
     def __init__(self, path: str):
+        import json
+        import re
+
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-
-    def __missing__(self, word: str):
-        ids = self.tokenizer.encode(word, add_special_tokens=False).ids
+        with open(path) as f:
+            spec = json.load(f)
+        self.core, self.pieces = None, {}
+        split = (spec.get("pre_tokenizer") or {}).get("pretokenizers") or [{}]
+        steps = [n["type"] for n in (spec.get("normalizer") or {}).get("normalizers", [])]
+        if spec["model"].get("end_of_word_suffix") == "</w>" and split[0].get("pattern") == {"Regex": self.PATTERN} and steps == ["NFC", "Replace", "Lowercase"]:
+            import tiktoken
+
+            self.core = tiktoken.Encoding("words", pat_str=r"\S+", mergeable_ranks=self._ranks(spec), special_tokens={})._core_bpe
+            self.plain, self.words = re.compile(self.PLAIN), re.compile(self.WORDS)
+
+    @staticmethod
+    def _ranks(spec) -> dict:
+        """Byte strings of the vocabulary; the byte-level alphabet writes printable bytes as themselves and others from U+0100 on."""
+        shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        hidden = [b for b in range(256) if b not in shown]
+        byte = {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(hidden)}
+        special = {t["content"] for t in spec["added_tokens"]}
+        out = {}
+        for token, i in spec["model"]["vocab"].items():
+            if token not in special:
+                end = token.endswith("</w>")
+                out[bytes(byte[c] for c in (token[:-4] if end else token)) + b"\xff" * end] = i
+        out[b"\xff"] = max(spec["model"]["vocab"].values()) + 1  # never alone: it joins the byte before it first
+        return out
+
+    def __missing__(self, word: str) -> bytes:
+        if self.core is not None and "<|" not in word and self.plain.fullmatch(word):
+            found, pieces = [], self.pieces
+            for piece in self.words.findall(word.lower()):
+                ids = pieces.get(piece)
+                if ids is None:
+                    ids = array("I", self.core.encode_single_piece(piece.encode() + b"\xff")).tobytes()
+                    if len(pieces) >= self.limit:
+                        pieces.clear()
+                    pieces[piece] = ids
+                found.append(ids)
+            ids = b"".join(found)
+        else:
+            ids = array("I", self.tokenizer.encode(word, add_special_tokens=False).ids).tobytes()
         if len(self) >= self.limit:
             self.clear()
         if len(word) <= 64:
             self[word] = ids
         return ids
 
-    def fill(self, words) -> None:
-        """Encodes all words not seen yet in one batch."""
-        new = [w for w in set(words).difference(self) if len(w) <= 64]
-        if len(new) > 256:
-            if len(self) + len(new) > self.limit:
-                self.clear()
-            for lo in range(0, len(new), 20_000):
-                part = new[lo : lo + 20_000]
-                for w, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)):
-                    self[w] = e.ids
-
     def of(self, text: str, end: int) -> np.ndarray:
         if any(c in text for c in "\x1c\x1d\x1e\x1f"):
-            ids = self.tokenizer.encode(text, add_special_tokens=False).ids
+            ids = array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
         else:
-            words = text.split()
-            if len(words) > 20_000:
-                self.fill(words)
-            ids = list(chain.from_iterable(map(self.__getitem__, words)))
-        ids.append(end)
-        return np.array(ids, "<u4")
+            ids = b"".join(map(self.__getitem__, text.split()))
+        return np.frombuffer(ids + array("I", [end]).tobytes(), "<u4")
 
 
 class Packer:
@@ -150,13 +181,11 @@ def _pack_partition(path: str, size: int, open_windows: int, slack: int, end: in
         none = pa.nulls(0, pa.binary())
         for batch in batches:
             texts = batch.column("text").to_pylist()
-            tokens.fill(chain.from_iterable(t.split() for t in texts if t))
             for doc, text in zip(batch.column("doc_id").to_pylist(), texts):
                 packer.add(doc, tokens.of(text or "", end))
                 if len(done) >= 5_000:
                     yield pa.RecordBatch.from_pydict(_rows(done) | {"ids": pa.nulls(len(done), pa.binary()), "task": pa.array([task] * len(done), pa.int32())})
                     done.clear()
-            del texts
         if done:
             yield pa.RecordBatch.from_pydict(_rows(done) | {"ids": pa.nulls(len(done), pa.binary()), "task": pa.array([task] * len(done), pa.int32())})
         left = [(*p, -1, 0) for p in packer.leftovers()]
