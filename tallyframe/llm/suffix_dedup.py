@@ -6,11 +6,15 @@ window's bytes alone, so equal windows have equal anchors at equal distances; ab
 
 1. One scan writes a row for each anchor: hash of its leading GRAM bytes, a hash of its whole span (all windows that name it) and its place.
 2. Anchors whose leading bytes occur once cannot repeat and go. Anchors with equal spans are repeated as a whole; one stands for all.
-3. Where several spans share their leading bytes, the anchors' suffixes are range-partitioned by these bytes (Spark samples the splitters), and each
-   bucket sorts the windows of its suffixes by multikey quicksort on 8-byte characters, level by level; windows that stay
-   together through the whole length are repeated. Equal leading bytes never lie across a boundary; groups of
-   more than `hot` suffixes are instead dealt by the digest of each window, so one very common passage does not land in one task.
-4. The ranges meet their texts in one join, where they are merged and cut out.
+3. Where several spans share their leading bytes, the anchors' suffixes are put in order twice, by what follows the anchor and by what precedes
+   it: range partitions between splitters that Spark samples, a local multikey quicksort on 8-byte characters in each bucket, and a comparison
+   across bucket boundaries. A window that reaches d bytes back and length - d on is repeated if another span agrees that far
+   both ways. The longest agreement either way is the one with a neighbour in that order, which bounds the windows that can be repeated;
+   the agreements with the neighbours prove ranges of them.
+4. Windows within the bound that no neighbour proves are compared by digest, with those of the spans that share their leading bytes.
+5. The ranges meet their texts in one join, where they are merged and cut out.
+No step holds a group of equal leading bytes in one task: aggregations combine before they shuffle, joins are
+sort-merge joins of two shuffled sides, and the orders are over all bytes, so range partitions split the largest group.
 """
 
 from __future__ import annotations
@@ -121,140 +125,181 @@ def _anchor_rows(length: int):
 
 
 def _contexts(length: int):
-    """One row for each span that must be compared: its bytes from the first window to the end of the last."""
+    """One row for each span that must be compared: `after`, its bytes from the anchor on, and `before`, those before it, read backwards."""
 
     def run(batches):
         for batch in batches:
-            out = {k: [] for k in ("gram", "members", "copies", "doc_id", "tag", "place", "bytes")}
+            out = {k: [] for k in ("gram", "copies", "doc_id", "tag", "place", "after", "before")}
             for doc, tag, raw, spans in zip(batch.column("doc_id").to_pylist(), batch.column("tag").to_pylist(), batch.column("raw"), batch.column("spans").to_pylist()):
                 raw = memoryview(raw.as_buffer())
                 for s in spans:
-                    a, before, windows = s["place"] >> 16, (s["place"] >> 8) & 255, s["place"] & 255
-                    for k, v in (("gram", s["gram"]), ("members", s["members"]), ("copies", s["copies"]), ("doc_id", doc), ("tag", tag), ("place", s["place"])):
+                    a, back, more = s["place"] >> 16, (s["place"] >> 8) & 255, s["place"] & 255
+                    for k, v in (("gram", s["gram"]), ("copies", s["copies"]), ("doc_id", doc), ("tag", tag), ("place", s["place"])):
                         out[k].append(v)
-                    out["bytes"].append(bytes(raw[a - before : a - before + windows + length]))
-            kinds = {"bytes": pa.binary()}
+                    out["after"].append(bytes(raw[a : a - back + more + length]))
+                    out["before"].append(bytes(raw[a - back : a])[::-1])
+            kinds = {"after": pa.binary(), "before": pa.binary()}
             yield pa.RecordBatch.from_pydict({k: pa.array(v, kinds.get(k, pa.int64())) for k, v in out.items()})
 
     return run
 
 
-def multikey(words: np.ndarray, start: np.ndarray, group: np.ndarray, length: int) -> np.ndarray:
-    """Windows words[start : start + length] (words: 8-byte big-endian characters at each byte): which are repeated in their group.
+def symbols(strings: list[bytes], width: int) -> np.ndarray:
+    """Rows of 16-bit symbols, byte + 1, and 0 after the end, so that the end sorts before any byte."""
+    sizes = np.array([len(b) for b in strings])
+    out = np.zeros((len(strings), -(-width // 4) * 4), np.uint16)
+    out[np.arange(out.shape[1]) < sizes[:, None]] = np.frombuffer(b"".join(strings), np.uint8).astype(np.uint16) + 1
+    return out
+
 
-    A multikey quicksort run breadth first: each level orders the windows of every group by their next character, splits the groups where it
-    changes, and drops groups of one.
+def multikey(first: np.ndarray, *then: np.ndarray) -> np.ndarray:
+    """The order of rows by (first, rows of symbols...).
+
+    A multikey quicksort run breadth first: each level orders the rows that are still tied by their next character of four symbols
+    and splits the ties where it changes; rows that stand alone are not looked at again.
     """
-    alive = np.arange(len(start))
-    for depth in [*range(0, length - 7, 8), *([length - 8] if length % 8 else [])]:
-        if not len(alive):
-            break
-        char = words[start[alive] + depth]
-        order = np.lexsort((char, group[alive]))
-        alive, char = alive[order], char[order]
-        g = group[alive]
-        new = np.r_[True, (g[1:] != g[:-1]) | (char[1:] != char[:-1])]
-        size = np.diff(np.r_[np.flatnonzero(new), len(new)])
-        number = np.cumsum(new) - 1
-        many = size[number] > 1
-        group[alive] = number
-        alive = alive[many]
-    out = np.zeros(len(start), bool)
-    out[alive] = True
-    return out
+    order = np.argsort(first, kind="stable")
+    group = np.cumsum(np.r_[0, first[order][1:] != first[order][:-1]]) if len(order) else np.empty(0, np.int64)
+    for block in then:
+        chars = block.astype(">u2").view(">u8")
+        for level in range(chars.shape[1]):
+            tied = np.r_[False, group[1:] == group[:-1]]
+            tied |= np.r_[tied[1:], False]
+            at = np.flatnonzero(tied)
+            if not len(at):
+                return order
+            rows, g = order[at], group[at]
+            char = chars[rows, level].astype(np.uint64)
+            inner = np.lexsort((char, g))
+            order[at] = rows[inner]
+            char = char[inner]
+            new = np.zeros(len(order), bool)
+            new[at] = np.r_[False, char[1:] != char[:-1]]
+            new |= np.r_[False, group[1:] != group[:-1]]
+            group = np.cumsum(new)
+    return order
+
+
+def agreement(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Length of the common prefix of each pair of rows of symbols."""
+    differ = (a != b) | (a == 0)
+    return np.where(differ.any(axis=1), differ.argmax(axis=1), a.shape[1])
+
+
+def _proofs(rows: dict, i: np.ndarray, j: np.ndarray):
+    """Rows i against their neighbours j: agreement after and before the anchor, 0 where the leading bytes differ."""
+    after = agreement(rows["a"][i], rows["a"][j])
+    before = agreement(rows["b"][i], rows["b"][j])
+    same = rows["gram"][i] == rows["gram"][j]
+    return np.where(same, after, 0), np.where(same, before, 0)
+
+
+def _neighbours(length: int, backwards: bool):
+    """One bucket: sorts it and compares neighbours. The ends of the bucket are also returned, with their bytes, for the boundaries."""
 
+    def run(batches):
+        from pyspark import TaskContext
 
-def _characters(data: bytes) -> np.ndarray:
-    b = np.frombuffer(data + bytes(8), np.uint8).astype(np.uint64)
-    out = np.zeros(len(data) + 1, np.uint64)
-    for i in range(8):
-        out |= b[i : i + len(out)] << np.uint64(56 - 8 * i)
-    return out
+        held = {k: [] for k in ("gram", "doc_id", "tag", "place", "after", "before")}
+        for batch in batches:
+            for k, v in held.items():
+                v.extend(batch.column(k).to_pylist())
+        if not held["gram"]:
+            return
+        rows = {"gram": np.array(held["gram"]), "a": symbols(held["after"], length), "b": symbols(held["before"], length)}
+        order = multikey(rows["gram"], *((rows["b"], rows["a"]) if backwards else (rows["a"], rows["b"])))
+        yield from _compared(held, rows, order)
+        task = TaskContext.get().partitionId()
+        ends = [int(order[0]), int(order[-1])]
+        yield _batch(held, ends, [0, 0], [0, 0], [2 * task, 2 * task + 1], True)
 
+    return run
 
-def _windows(rows: dict):
-    """Row and first byte of each window of rows, and the distance to its anchor."""
-    place = np.array(rows["place"])
-    count, before = (place & 255) + 1, (place >> 8) & 255
-    base = np.r_[0, np.cumsum([len(b) for b in rows["bytes"]])[:-1]].astype(np.int64)
-    row = np.repeat(np.arange(len(place)), count)
-    nth = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
-    return row, base[row] + nth, before[row] - nth, nth
-
-
-def _sort_bucket(length: int, block: int):
-    """Rows come sorted by leading bytes; whole groups are sorted together, about `block` rows at a time."""
-
-    def solve(rows):
-        row, start, distance, nth = _windows(rows)
-        _, lead = np.unique(np.array(rows["gram"]), return_inverse=True)
-        hit = multikey(_characters(b"".join(rows["bytes"])), start, lead[row] * 512 + distance, length)
-        hit &= np.array(rows["copies"])[row] == 1
-        row, nth = row[hit], nth[hit]
-        if not len(row):
-            return None
-        new = np.r_[True, (row[1:] != row[:-1]) | (nth[1:] != nth[:-1] + 1)]
-        lo = np.flatnonzero(new)
-        hi = np.r_[lo[1:], len(row)] - 1
-        place = np.array(rows["place"])[row[lo]]
-        first = (place >> 16) - ((place >> 8) & 255)
-        return pa.RecordBatch.from_pydict(
-            {
-                "doc_id": pa.array([rows["doc_id"][i] for i in row[lo]], pa.int64()),
-                "tag": pa.array([rows["tag"][i] for i in row[lo]], pa.int64()),
-                "lo": pa.array(first + nth[lo]),
-                "hi": pa.array(first + nth[hi] + length),
-            }
-        )
+
+def _compared(held, rows, order, near=None):
+    """Each row of the order against the next, told to both."""
+    for lo in range(0, len(order) - 1, 20_000):
+        i, j = order[lo : lo + 20_000], order[lo + 1 : lo + 20_001]
+        i = i[: len(j)]
+        if near is not None:
+            keep = near[lo : lo + len(i)]
+            i, j = i[keep], j[keep]
+        after, before = _proofs(rows, i, j)
+        keep = after > 0
+        i, j, after, before = i[keep], j[keep], after[keep], before[keep]
+        if len(i):
+            yield _batch(held, np.concatenate([i, j]).tolist(), np.tile(after, 2), np.tile(before, 2), [-1] * (2 * len(i)), False)
+
+
+def _batch(held, at, after, before, end, with_bytes):
+    ids = {k: pa.array([held[k][i] for i in at], pa.int64()) for k in ("gram", "doc_id", "tag", "place")}
+    text = {k: pa.array([held[k][i] for i in at] if with_bytes else [None] * len(at), pa.binary()) for k in ("after", "before")}
+    return pa.RecordBatch.from_pydict(ids | {"on": pa.array(np.asarray(after, np.int64)), "back": pa.array(np.asarray(before, np.int64)), "end": pa.array(end, pa.int64())} | text)
+
+
+def _boundaries(length: int):
+    """All buckets' ends, in order: the last row of each bucket against the first of the next."""
 
     def run(batches):
-        held = None
+        held = {k: [] for k in ("gram", "doc_id", "tag", "place", "after", "before", "end")}
         for batch in batches:
-            rows = {k: batch.column(k).to_pylist() for k in ("gram", "copies", "doc_id", "tag", "place", "bytes")}
-            if held:
-                rows = {k: held[k] + v for k, v in rows.items()}
-            at = 0
-            while len(rows["gram"]) - at > block:
-                end = at + block  # to the end of a group
-                while end < len(rows["gram"]) and rows["gram"][end] == rows["gram"][end - 1]:
-                    end += 1
-                if end == len(rows["gram"]):
-                    break
-                found = solve({k: v[at:end] for k, v in rows.items()})
-                if found is not None:
-                    yield found
-                at = end
-            held = {k: v[at:] for k, v in rows.items()}
-        if held and held["gram"]:
-            found = solve(held)
-            if found is not None:
-                yield found
+            for k, v in held.items():
+                v.extend(batch.column(k).to_pylist())
+        if not held["gram"]:
+            return
+        rows = {"gram": np.array(held["gram"]), "a": symbols(held["after"], length), "b": symbols(held["before"], length)}
+        order = np.argsort(np.array(held["end"]), kind="stable")
+        near = np.array(held["end"])[order][:-1] % 2 == 1
+        yield from _compared(held, rows, order, near)
+
+    return run
+
+
+def _settle(length: int):
+    """One row for each span with the agreements of its neighbours: proven ranges of bytes, and what is left open as (least, greatest) d."""
+
+    def run(batches):
+        for batch in batches:
+            ranges = {k: [] for k in ("gram", "doc_id", "tag", "place", "lo", "hi", "open")}
+
+            def add(g, doc, tag, place, lo, hi, is_open):
+                for k, v in zip(ranges, (g, doc, tag, place, lo, hi, is_open)):
+                    ranges[k].append(v)
+
+            for g, doc, tag, place, pairs in zip(*(batch.column(c).to_pylist() for c in ("gram", "doc_id", "tag", "place", "pairs"))):
+                a, most = place >> 16, (place >> 8) & 255
+                least = most - (place & 255)
+                low = max(least, length - max(p["on"] for p in pairs))
+                high = min(most, max(p["back"] for p in pairs))
+                proven = merged((max(low, length - p["on"]), min(high, p["back"]) + 1) for p in pairs if max(low, length - p["on"]) <= min(high, p["back"]))
+                at = low
+                for lo, hi in proven:  # of d
+                    add(g, doc, tag, place, a - hi + 1, a - lo + length, False)
+                    if at < lo:
+                        add(g, doc, tag, place, at, lo - 1, True)
+                    at = hi
+                if at <= high:
+                    add(g, doc, tag, place, at, high, True)
+            yield pa.RecordBatch.from_pydict({k: pa.array(v, pa.bool_() if k == "open" else pa.int64()) for k, v in ranges.items()})
 
     return run
 
 
 def _window_digests(length: int):
-    """Windows of the suffixes of hot groups, each with its digest."""
+    """Windows of the spans in the ranges [lo, hi] of d, each with its digest."""
 
     def run(batches):
         for batch in batches:
-            rows = {k: batch.column(k).to_pylist() for k in ("place", "bytes", "copies", "doc_id", "tag")}
-            for at in range(0, len(rows["place"]), 2_000):
-                part = {k: v[at : at + 2_000] for k, v in rows.items()}
-                row, start, _, nth = _windows(part)
-                data = memoryview(b"".join(part["bytes"]))
-                digest = [hashlib.blake2b(data[s : s + length], digest_size=16).digest() for s in start.tolist()]
-                place = np.array(part["place"])
-                lo = ((place >> 16) - ((place >> 8) & 255))[row] + nth
-                yield pa.RecordBatch.from_pydict(
-                    {
-                        "digest": pa.array(digest, pa.binary()),
-                        "copies": pa.array(np.array(part["copies"])[row]),
-                        "doc_id": pa.array([part["doc_id"][i] for i in row], pa.int64()),
-                        "tag": pa.array([part["tag"][i] for i in row], pa.int64()),
-                        "lo": pa.array(lo),
-                    }
-                )
+            out = {k: [] for k in ("gram", "doc_id", "tag", "place", "d", "wanted", "digest")}
+            names = ("gram", "doc_id", "tag", "place", "after", "before", "lo", "hi", "wanted")
+            for g, doc, tag, place, after, before, lo, hi, wanted in zip(*(batch.column(c).to_pylist() for c in names)):
+                least = ((place >> 8) & 255) - (place & 255)
+                for d in range(max(lo, least), min(hi, len(before)) + 1):
+                    text = before[:d][::-1] + after[: length - d]
+                    for k, v in zip(out, (g, doc, tag, place, d, wanted, hashlib.blake2b(text, digest_size=16).digest())):
+                        out[k].append(v)
+            kinds = {"wanted": pa.bool_(), "digest": pa.binary()}
+            yield pa.RecordBatch.from_pydict({k: pa.array(v, kinds.get(k, pa.int64())) for k, v in out.items()})
 
     return run
 
@@ -271,7 +316,23 @@ def merged(ranges) -> list[tuple[int, int]]:
     return out
 
 
-def repeated_ranges(docs: DataFrame, length: int = 200, hot: int = 2_000) -> DataFrame:
+SPAN = ["gram", "doc_id", "tag", "place"]
+#: Rows of a bucket, about.
+BUCKET = 100_000
+
+
+def _in_order(context: DataFrame, length: int, backwards: bool, parts: int) -> DataFrame:
+    """gram, doc_id, tag, place, on, back: agreements of each span with its neighbours in one of the two orders."""
+    keys = ("before", "after") if backwards else ("after", "before")
+    fields = "gram long, doc_id long, tag long, place long, on long, back long, end long, after binary, before binary"
+    bucket = context.select(*SPAN, "after", "before").repartitionByRange(parts, "gram", *keys)
+    found = cut(bucket.mapInArrow(_neighbours(length, backwards), fields), "order")
+    # two rows for each bucket
+    ends = found.where("end >= 0").repartition(1).mapInArrow(_boundaries(length), fields)
+    return found.where("end < 0").unionByName(ends).select(*SPAN, "on", "back")
+
+
+def repeated_ranges(docs: DataFrame, length: int = 200) -> DataFrame:
     """docs (doc_id long, text string): (doc_id, tag, lo, hi), ranges of bytes of text that lie in repeated strings; they may overlap.
 
     tag is xxhash64 of the text, so that rows with equal or null ids stay apart. Between GRAM + 8 and 256 bytes of length are possible.
@@ -281,28 +342,38 @@ def repeated_ranges(docs: DataFrame, length: int = 200, hot: int = 2_000) -> Dat
     rows = docs.select("doc_id", F.xxhash64("text").alias("tag"), F.coalesce(F.col("text").cast("binary"), F.lit(b"")).alias("raw"))
     schema = "gram long, span long, doc_id long, tag long, place long"
     every = cut(rows.mapInArrow(_anchor_rows(length), schema), "anchors")
-    twice = every.groupBy("gram").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("gram")
+    twice = cut(every.groupBy("gram").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("gram"), "twice")
     shared = cut(every.join(twice, "gram"), "shared")
     drop(every)
     spans = cut(shared.groupBy("gram", "span").agg(F.count(F.lit(1)).alias("copies"), F.min(F.struct("doc_id", "tag", "place")).alias("one")), "spans")
     whole = shared.join(spans.where("copies > 1").select("gram", "span"), ["gram", "span"])
     first = F.shiftright("place", 16) - F.shiftright("place", 8).bitwiseAND(255)
     whole = whole.select("doc_id", "tag", first.alias("lo"), (first + F.col("place").bitwiseAND(255) + length).alias("hi"))
-    mixed = spans.groupBy("gram").agg(F.count(F.lit(1)).alias("members"), F.min("copies").alias("least")).where("members > 1 and least = 1").select("gram", "members")
-    todo = spans.join(mixed, "gram").select("one.doc_id", "one.tag", F.struct("gram", "members", "copies", F.col("one.place").alias("place")).alias("s"))
+    mixed = cut(spans.groupBy("gram").agg(F.count(F.lit(1)).alias("members"), F.min("copies").alias("least")).where("members > 1 and least = 1").select("gram"), "mixed")
+    todo = spans.join(mixed, "gram").select("one.doc_id", "one.tag", F.struct("gram", "copies", F.col("one.place").alias("place")).alias("s"))
     by_text = todo.groupBy("doc_id", "tag").agg(F.collect_list("s").alias("spans"))
     # rows with equal id and text give equal contexts: any one will do
     context = rows.join(by_text, (rows.doc_id.eqNullSafe(by_text.doc_id)) & (rows.tag == by_text.tag)).select(rows.doc_id, rows.tag, "raw", "spans")
-    context = cut(context.mapInArrow(_contexts(length), "gram long, members long, copies long, doc_id long, tag long, place long, bytes binary").dropDuplicates(["gram", "doc_id", "tag", "place"]), "contexts")
-    lead = F.expr(f"substring(bytes, cast((shiftright(place, 8) & 255) + 1 as int), {GRAM})")
-    cold = context.where(F.col("members") <= hot).withColumn("lead", lead)
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    bucket = cold.repartitionByRange(parts, "lead").sortWithinPartitions("lead", "gram", "doc_id", "tag", "place")
-    by_sort = bucket.select("gram", "copies", "doc_id", "tag", "place", "bytes").mapInArrow(_sort_bucket(length, 2_000), "doc_id long, tag long, lo long, hi long")
-    windows = context.where(F.col("members") > hot).select("place", "bytes", "copies", "doc_id", "tag").mapInArrow(_window_digests(length), "digest binary, copies long, doc_id long, tag long, lo long")
-    again = windows.groupBy("digest").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("digest")
-    by_digest = windows.where("copies = 1").join(again, "digest").select("doc_id", "tag", "lo", (F.col("lo") + length).alias("hi"))
-    out = cut(whole.unionByName(by_sort).unionByName(by_digest), "ranges")
+    context = cut(context.mapInArrow(_contexts(length), "gram long, copies long, doc_id long, tag long, place long, after binary, before binary").dropDuplicates(SPAN), "contexts")
+    parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-context.count() // BUCKET))
+    pairs = _in_order(context, length, False, parts).unionByName(_in_order(context, length, True, parts))
+    pairs = pairs.groupBy(*SPAN).agg(F.collect_set(F.struct("on", "back")).alias("pairs"))
+    settled = cut(pairs.mapInArrow(_settle(length), "gram long, doc_id long, tag long, place long, lo long, hi long, open boolean"), "settled")
+    proven = settled.where("not open").select("doc_id", "tag", "lo", "hi")
+    undecided = settled.where("open")
+    out = whole.unionByName(proven)
+    if not undecided.isEmpty():
+        # what is open, and all windows at these distances of the spans with the same leading bytes
+        reach = cut(undecided.groupBy("gram").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")), "reach")
+        partners = context.join(reach, "gram").select(*SPAN, "after", "before", "lo", "hi", F.lit(False).alias("wanted"))
+        same = [context[c].eqNullSafe(undecided[c]) for c in SPAN]
+        asked = context.join(undecided, same[0] & same[1] & same[2] & same[3]).select(*(context[c] for c in SPAN), "after", "before", "lo", "hi", F.lit(True).alias("wanted"))
+        windows = partners.unionByName(asked).mapInArrow(_window_digests(length), "gram long, doc_id long, tag long, place long, d long, wanted boolean, digest binary")
+        windows = cut(windows, "windows")
+        again = cut(windows.where("not wanted").groupBy("digest").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("digest"), "again")
+        start = F.shiftright("place", 16) - F.col("d")
+        out = out.unionByName(windows.where("wanted").join(again, "digest").select("doc_id", "tag", start.alias("lo"), (start + length).alias("hi")))
+    out = cut(out, "ranges")
     drop(shared)
     return out
 
@@ -335,20 +406,20 @@ def _digest_only(batches):
         yield batch.drop_columns(["kept"])
 
 
-def _with_ranges(docs: DataFrame, length: int, hot: int) -> DataFrame:
-    ranges = repeated_ranges(docs, length, hot).groupBy("doc_id", "tag").agg(F.collect_set(F.struct("lo", "hi")).alias("ranges"))
+def _with_ranges(docs: DataFrame, length: int) -> DataFrame:
+    ranges = repeated_ranges(docs, length).groupBy("doc_id", "tag").agg(F.collect_set(F.struct("lo", "hi")).alias("ranges"))
     rows = docs.select("doc_id", F.xxhash64("text").alias("tag"), F.coalesce(F.col("text").cast("binary"), F.lit(b"")).alias("raw"))
     return rows.join(ranges, (rows.doc_id.eqNullSafe(ranges.doc_id)) & (rows.tag == ranges.tag), "left").select(rows.doc_id, "raw", "ranges")
 
 
-def remove_repeats(docs: DataFrame, length: int = 200, hot: int = 2_000) -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = 200) -> DataFrame:
     """docs (doc_id long, text string): doc_id, n_bytes, n_removed, n_spans, kept_sha256 of the bytes left, one row for each row of docs.
 
     Every byte covered by a string of `length` bytes that also starts anywhere else goes, in all places; matches never cross
     texts and overlaps count. Null and empty texts have no bytes; texts shorter than `length` are left alone. Two equal rows are repeats of each other. Rows with null
     ids are judged like others. Other columns are not read. An empty table gives no rows.
     """
-    return _with_ranges(docs, length, hot).mapInArrow(_digest_only, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return _with_ranges(docs, length).mapInArrow(_digest_only, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def _rewrite(text: str):
@@ -366,13 +437,13 @@ def _rewrite(text: str):
     return run
 
 
-def without_repeats(docs: DataFrame, length: int = 200, hot: int = 2_000) -> DataFrame:
+def without_repeats(docs: DataFrame, length: int = 200) -> DataFrame:
     """docs with the repeated strings cut out of `text` and a column `_removed` (bytes); a character cut in two goes as a whole.
 
     All other columns of docs pass through; `_removed`, `_null`, `raw`, `ranges` and `tag` may not be among them.
     """
     others = [c for c in docs.columns if c not in ("doc_id", "text")]
-    ranges = repeated_ranges(docs, length, hot).groupBy("doc_id", "tag").agg(F.collect_set(F.struct("lo", "hi")).alias("ranges"))
+    ranges = repeated_ranges(docs, length).groupBy("doc_id", "tag").agg(F.collect_set(F.struct("lo", "hi")).alias("ranges"))
     rows = docs.select("doc_id", *others, F.xxhash64("text").alias("tag"), F.col("text").isNull().alias("_null"), F.coalesce(F.col("text").cast("binary"), F.lit(b"")).alias("raw"))
     joined = rows.join(ranges, (rows.doc_id.eqNullSafe(ranges.doc_id)) & (rows.tag == ranges.tag), "left").select(rows.doc_id, *(rows[c] for c in others), "_null", "raw", "ranges")
     kinds = {f.name: f.dataType.simpleString() for f in docs.schema}
