@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from . import data_queries
+
+QUERIES: dict = dict(data_queries.QUERIES)
+ORACLES: dict = dict(data_queries.ORACLES)
