@@ -2,7 +2,8 @@
 
 Every round is two aggregations with map-side combining and two equi-joins; nothing about links or components
 reaches the driver but a count and a checksum of the round's links. Hot nodes are safe: minima combine before the shuffle, and
-the joins are plain sort-merge joins, which adaptive execution splits.
+minima are written before they are joined, so that
+both sides of a join are shuffled for it and adaptive execution can split it.
 """
 
 from __future__ import annotations
@@ -31,11 +32,11 @@ def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
         if mark[0] == 0:
             break
         both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        low = cut(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "low")
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = large.where("u <> v").distinct()
+        large = cut(large.where("u <> v").distinct(), "large")
         # each row of large has u > v; the small star hangs u's links on its least neighbour
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        least = cut(large.groupBy("u").agg(F.min("v").alias("m")), "least")
         small = (
             large.join(least, "u")
             .select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e"))
@@ -45,7 +46,8 @@ def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
         )
         new = cut(small, "links")
         now = _mark(new)
-        drop(edges)
+        for used in (edges, low, large, least):
+            drop(used)
         edges = new
         if now == mark:
             break

@@ -5,8 +5,10 @@
 2. Bands propose candidates between class representatives: first each bucket's members against its least id (a star, never all pairs).
 3. Packed signatures estimate similarity by bit counts, corrected for chance agreement; pairs far below the threshold go.
 4. The rest is confirmed exactly on the full sets of both texts, and components are formed.
-5. Buckets that still span several components get their remaining cross-component pairs checked likewise (filtered by size,
-   component and signature inside the join), so no link between components is lost to the star.
+5. Buckets that still span several components get their remaining cross-component pairs checked, so no link is lost to the
+   star. Buckets are dealt in pairs of blocks; a unit finds its candidate pairs from sizes, components and signatures, and counts
+   intersections of full sets for one document against many at once. Pairs are never rows: a first pass names the documents
+   that need their texts, the second returns a spanning forest of the links. A pair that shares several buckets is checked in the first.
 A pair at similarity 0.8 is proposed with probability 1 - (1 - 0.8**rows)**bands: all but 5 in a million at the defaults.
 """
 
@@ -16,7 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from .common import WordHashes, cut, documents, drop, mix64
+from .common import WordHashes, cut, documents, drop, forest, mix64
 from .components import components
 
 ROWS, BANDS = 6, 42
@@ -130,6 +132,122 @@ def _confirm(size: int, percent: int):
     return run
 
 
+def _pairs(rows: dict, percent: int):
+    """Candidate pairs (i, j) of one unit: other components, possible sizes and signatures, first shared bucket."""
+    n, label, side, packed, bands = rows["n"], rows["label"], rows["side"], rows["packed"], rows["bands"]
+    _, least = _least(percent)
+    same_block = bool(rows["lo"][0] == rows["hi"][0])
+    left = np.arange(len(n)) if same_block else np.flatnonzero(side == 0)
+    right = left if same_block else np.flatnonzero(side == 1)
+    for at in range(0, len(left), 256):
+        a = left[at : at + 256]
+        ok = label[a][:, None] != label[right]
+        if same_block:
+            ok &= a[:, None] < right
+        ok &= np.minimum(n[a][:, None], n[right]) * 100 >= np.maximum(n[a][:, None], n[right]) * percent
+        i, j = np.nonzero(ok)
+        i, j = a[i], right[j]
+        x = packed[i] ^ packed[j]
+        differ = np.bitwise_count((x | (x >> np.uint64(1))) & np.uint64(LOW)).sum(axis=1)
+        keep = (1 - differ / HASHES - 0.25) / 0.75 >= least
+        i, j = i[keep], j[keep]
+        if len(i):
+            keep = (bands[i] == bands[j]).argmax(axis=1) == (bands[i[0]] == rows["band"][0]).argmax()
+            i, j = i[keep], j[keep]
+        if len(i):
+            yield i, j
+
+
+UNIT = "band long, lo int, hi int, side int, d long, label long, n long, packed array<long>, bands array<long>"
+
+
+def _units(batches, also=()):
+    """Rows sorted by (band, lo, hi): each unit's columns, whole."""
+    names = ("band", "lo", "hi", "side", "d", "label", "n", *also)
+    held = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        rows = {k: np.array(batch.column(k).to_pylist(), object) if k in also else batch.column(k).to_numpy(zero_copy_only=False) for k in names}
+        for k, width in (("packed", WORDS), ("bands", BANDS)):
+            rows[k] = batch.column(k).flatten().to_numpy().reshape(-1, width).astype(np.int64).view(np.uint64 if k == "packed" else np.int64)
+        if held is not None:
+            rows = {k: np.concatenate([held[k], v]) for k, v in rows.items()}
+        new = (rows["band"][1:] != rows["band"][:-1]) | (rows["lo"][1:] != rows["lo"][:-1]) | (rows["hi"][1:] != rows["hi"][:-1])
+        cuts = np.r_[0, np.flatnonzero(new) + 1]
+        for lo, hi in zip(cuts[:-1], cuts[1:]):
+            yield {k: v[lo:hi] for k, v in rows.items()}
+        held = {k: v[cuts[-1] :] for k, v in rows.items()}
+    if held is not None:
+        yield held
+
+
+def _involved(percent: int):
+    """The rows of each unit that are in a candidate pair."""
+
+    def run(batches):
+        for rows in _units(batches):
+            hit = np.zeros(len(rows["d"]), bool)
+            for i, j in _pairs(rows, percent):
+                hit[i] = hit[j] = True
+            at = np.flatnonzero(hit)
+            if len(at):
+                out = {k: pa.array(rows[k][at]) for k in ("band", "lo", "hi", "side", "d", "label", "n")}
+                out |= {k: pa.array([r.view(np.int64).tolist() for r in rows[k][at]], pa.list_(pa.int64())) for k in ("packed", "bands")}
+                yield pa.RecordBatch.from_pydict(out)
+
+    return run
+
+
+def _linked(size: int, percent: int):
+    """Spanning forests of the links of each unit, counted on full sets."""
+
+    def run(batches):
+        hashes = WordHashes()
+        for rows in _units(batches, ("text",)):
+            sets = [shingle_set(words_of(t), size, hashes) for t in rows["text"]]
+            counts = np.array([len(s) for s in sets])
+            _, ids = np.unique(np.concatenate(sets), return_inverse=True)
+            starts = np.r_[0, np.cumsum(counts)]
+            mark = np.zeros(len(ids) and ids.max() + 1, np.int64)
+            u, v = [], []
+            for i, j in _pairs(rows, percent):
+                for one in np.unique(i):
+                    mark[ids[starts[one] : starts[one + 1]]] = 1
+                    others = j[i == one]
+                    for at in range(0, len(others), 512):
+                        some = others[at : at + 512]
+                        flat = np.concatenate([ids[starts[k] : starts[k + 1]] for k in some])
+                        both = np.add.reduceat(mark[flat], np.r_[0, np.cumsum(counts[some])[:-1]])
+                        good = some[100 * both >= percent * (counts[one] + counts[some] - both)]
+                        u.append(np.full(len(good), rows["d"][one]))
+                        v.append(rows["d"][good])
+                    mark[ids[starts[one] : starts[one + 1]]] = 0
+            if u and sum(map(len, u)):
+                a, b = forest(np.concatenate(u), np.concatenate(v))
+                yield pa.RecordBatch.from_pydict({"u": pa.array(a, pa.int64()), "v": pa.array(b, pa.int64())})
+
+    return run
+
+
+def across(rest: DataFrame, texts: DataFrame, size: int, percent: int, block: int = 2_048) -> DataFrame | None:
+    """rest (band, c members, d, label, n, packed, bands): links (u, v) between components within buckets; None if there are no candidates."""
+    dealt = (
+        rest.withColumn("s", F.ceil(F.col("c") / block).cast("int"))
+        .withColumn("own", F.pmod(F.xxhash64("d"), F.col("s")).cast("int"))
+        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("s") - 1)))
+        .withColumns({"lo": F.least("own", "other"), "hi": F.greatest("own", "other"), "side": (F.col("own") > F.col("other")).cast("int")})
+    )
+    names = [c.split()[0] for c in UNIT.split(", ")]
+    unit = ["band", "lo", "hi"]
+    spread = dealt.select(*names).repartition(*unit).sortWithinPartitions(*unit)
+    asked = cut(spread.mapInArrow(_involved(percent), UNIT), "involved")
+    if asked.isEmpty():
+        return None
+    rows = asked.hint("merge").join(texts.withColumnRenamed("doc_id", "d"), "d").select(*names, "text")
+    return rows.repartition(*unit).sortWithinPartitions(*unit).mapInArrow(_linked(size, percent), "u long, v long")
+
+
 def confirmed(pairs: DataFrame, texts: DataFrame, size: int, percent: int, unit: int = 256) -> DataFrame:
     """pairs (p, d) distinct; texts (doc_id, text) unique. The pairs whose full sets are alike, as (u, v).
 
@@ -139,7 +257,7 @@ def confirmed(pairs: DataFrame, texts: DataFrame, size: int, percent: int, unit:
     dealt = pairs.join(units, "p").select("p", "d", F.pmod(F.xxhash64("d"), F.col("s")).alias("g"))
     heads = units.select("p", F.explode(F.sequence(F.lit(0).cast("long"), F.col("s") - 1)).alias("g"))
     needs = dealt.select(F.col("d").alias("doc_id"), "p", "g", F.lit(1).alias("o")).unionByName(heads.select(F.col("p").alias("doc_id"), "p", "g", F.lit(0).alias("o")))
-    rows = needs.join(texts, "doc_id").select(F.col("doc_id").alias("d"), "p", "g", "o", "text")
+    rows = needs.hint("merge").join(texts, "doc_id").select(F.col("doc_id").alias("d"), "p", "g", "o", "text")
     spread = rows.repartition("p", "g").sortWithinPartitions("p", "g", "o")
     return spread.select("g", "o", "p", "d", "text").mapInArrow(_confirm(size, percent), "u long, v long")
 
@@ -155,53 +273,45 @@ def near_documents(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFra
     docs = docs.select("doc_id", "text")
     signed = cut(docs.mapInArrow(_sign(size), "doc_id long, n long, digest binary, bands array<long>, packed array<long>"), "signed")
     some = signed.where("digest is not null and doc_id is not null")
-    classes = some.groupBy("digest").agg(F.min("doc_id").alias("rep"))
-    reps = cut(
-        classes.join(some, "digest").where("doc_id = rep").groupBy("rep").agg(F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("packed").alias("packed")), "reps"
-    )
-    keys = reps.select(F.col("rep").alias("d"), F.explode("bands").alias("band"))
-    many = keys.groupBy("band").agg(F.min("d").alias("p"), F.count(F.lit(1)).alias("c")).where("c > 1")
+    best = F.min_by(F.struct("n", "bands", "packed"), "doc_id").alias("r")
+    classes = cut(some.groupBy("digest").agg(F.min("doc_id").alias("rep"), best).select("digest", "rep", "r.*"), "classes")
+    keys = classes.select(F.col("rep").alias("d"), F.explode("bands").alias("band"))
+    many = cut(keys.groupBy("band").agg(F.min("d").alias("p"), F.count(F.lit(1)).alias("c")).where("c > 1"), "many")
     members = cut(keys.join(many, "band").select("band", "c", "p", "d"), "members")
-    sigs = reps.select("rep", "n", "packed")
-
-    def alike(pairs: DataFrame, p: str, d: str) -> DataFrame:
-        """Pairs whose sizes and signatures allow the threshold: five standard errors of the estimate below it are let through."""
-        a = sigs.select(F.col("rep").alias(p), F.col("n").alias("n1"), F.col("packed").alias("s1"))
-        b = sigs.select(F.col("rep").alias(d), F.col("n").alias("n2"), F.col("packed").alias("s2"))
-        return pairs.join(b, d).join(a, p).where(_possible(percent)).select(p, d)
-
-    stars = members.where("d <> p").select("p", "d").distinct()
-    texts = docs
-    links = cut(confirmed(cut(alike(stars, "p", "d"), "stars"), texts, size, percent), "links")
+    sigs = classes.select("rep", "n", "packed")
+    a = sigs.select(F.col("rep").alias("p"), F.col("n").alias("n1"), F.col("packed").alias("s1"))
+    b = sigs.select(F.col("rep").alias("d"), F.col("n").alias("n2"), F.col("packed").alias("s2"))
+    stars = members.where("d <> p").select("p", "d").distinct().join(b, "d").join(a, "p").where(_possible(percent)).select("p", "d")
+    links = cut(confirmed(cut(stars, "stars"), docs, size, percent), "links")
     comps = cut(components(links), "comps")
     # buckets of three and more may hold links that miss their least member
-    wide = members.where("c > 2").join(comps.select(F.col("id").alias("d"), "component_id"), "d", "left").select("band", "p", "d", F.coalesce("component_id", "d").alias("l"))
-    split = wide.groupBy("band").agg(F.min("l").alias("lo"), F.max("l").alias("hi")).where("lo <> hi").select("band")
-    rest = wide.join(split, "band").join(sigs, F.col("d") == F.col("rep")).select("band", "p", "d", "l", "n", "packed")
-    rest = cut(rest, "rest")
-    x = rest.where("d <> p").select("band", F.col("d").alias("p"), F.col("l").alias("l1"), F.col("n").alias("n1"), F.col("packed").alias("s1"))
-    y = rest.where("d <> p").select("band", "d", F.col("l").alias("l2"), F.col("n").alias("n2"), F.col("packed").alias("s2"))
-    cross = x.join(y, "band").where("p < d and l1 <> l2").where(_possible(percent)).select("p", "d").distinct()
-    cross = cut(cross, "cross")
-    if not cross.isEmpty():
-        more = cut(confirmed(cross, texts, size, percent), "links")
+    wide = members.where("c > 2").join(comps.select(F.col("id").alias("d"), "component_id"), "d", "left")
+    wide = cut(wide.select("band", "c", "p", "d", F.coalesce("component_id", "d").alias("label")), "wide")
+    split = cut(wide.groupBy("band").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("band"), "split")
+    rest = wide.where("d <> p").join(split, "band").join(classes.select(F.col("rep").alias("d"), "n", "packed", "bands"), "d")
+    more = across(rest, docs, size, percent)
+    if more is not None:
+        more = cut(more, "links")
         if not more.isEmpty():
             comps = cut(components(links.unionByName(more)), "comps")
     drop(members)
-    drop(rest)
-    by_digest = classes.join(comps.withColumnRenamed("id", "rep"), "rep", "left").select("digest", F.coalesce("component_id", "rep").alias("component_id"))
+    drop(wide)
+    by_digest = classes.select("digest", "rep").join(comps.withColumnRenamed("id", "rep"), "rep", "left").select("digest", F.coalesce("component_id", "rep").alias("component_id"))
     linked = some.select("doc_id", "n", "digest").join(by_digest, "digest").select("doc_id", "n", "component_id")
     alone = signed.where("digest is null or doc_id is null").select("doc_id", "n", F.col("doc_id").alias("component_id"))
     return linked.unionByName(alone).select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
 
 
+def _least(percent: int) -> tuple[float, float]:
+    """(chance that two-bit groups agree at the threshold, least estimate let through: five standard errors below the threshold)."""
+    agree = 0.25 + 0.75 * percent / 100
+    return agree, percent / 100 - 5 * ((agree * (1 - agree) / HASHES) ** 0.5) / 0.75
+
+
 def _possible(percent: int) -> Column:
     """Of n1, s1, n2, s2: sizes within the ratio and an estimate not far below the threshold."""
-    j = percent / 100
-    agree = 0.25 + 0.75 * j
-    low = j - 5 * ((agree * (1 - agree) / HASHES) ** 0.5) / 0.75
     sizes = F.least("n1", "n2") * 100 >= F.greatest("n1", "n2") * percent
-    return sizes & (estimate(F.col("s1"), F.col("s2")) >= low)
+    return sizes & (estimate(F.col("s1"), F.col("s2")) >= _least(percent)[1])
 
 
 def op2_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
