@@ -176,7 +176,7 @@ def near_vectors(
     )
     keys = distinct.select("rep", F.posexplode("codes").alias("tab", "code"), "label")
     keys = keys.select("rep", "tab", "label", "code")
-    many = keys.groupBy("label", "tab", "code").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
+    many = cut(keys.groupBy("label", "tab", "code").agg(F.count(F.lit(1)).alias("members")).where("members > 1"), "many")
     blocks = F.ceil(F.col("members") / block).cast("int")
     dealt = (
         keys.join(many, ["label", "tab", "code"])
