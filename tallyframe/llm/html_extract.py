@@ -13,6 +13,8 @@ from html import unescape
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from .common import small_batches
+
 TAG = re.compile(
     r"<(?:!--(?:.*?--!?>|.*)|[!?][^>]*>?|(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*>|[^>]*>|.*))", re.S
 )
@@ -231,6 +233,7 @@ def extract(pages: DataFrame) -> DataFrame:
 
     Null and empty pages have an empty text; null ids and URLs stay; repeated rows stay repeated; other columns are not read.
     """
+    small_batches(pages.sparkSession)
     return pages.select("page_id", "url", "html").mapInArrow(_extract, "page_id long, url string, text string, n_chars long")
 
 

@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .common import documents, fold
+from .common import documents, fold, small_batches
 
 LETTER = re.compile(r"[^\W\d_]")
 SCALE = 30.0
@@ -74,6 +74,7 @@ def _learn(bits: int, epochs: int, rate: float):
 
 def train(rows: DataFrame, bits: int = 16, max_rows: int = 4_000, epochs: int = 2, rate: float = 0.3):
     """(languages, codewords, weights, bias) from at most max_rows rows of rows (doc_id, text, lang); null texts and languages teach nothing."""
+    small_batches(rows.sparkSession)
     order = F.xxhash64("doc_id")
     ids = rows.where("lang is not null and doc_id is not null").select("doc_id").orderBy(order, "doc_id").limit(max_rows).distinct()
     sample = rows.where("text is not null and lang is not null").join(F.broadcast(ids), "doc_id", "left_semi")
@@ -134,6 +135,7 @@ def identify(docs: DataFrame, model, margin: float = 0.7, chunk: int = 500_000)
     Null texts, texts without a letter and a model without languages give `und` with score 0 and ambiguous true. Repeated rows
     get equal answers; very long texts are read whole, in pieces. Other columns are not read.
     """
+    small_batches(docs.sparkSession)
     held = docs.sparkSession.sparkContext.broadcast(model)
     return docs.select("doc_id", "text").mapInArrow(_predict(held, margin, chunk), "doc_id long, lang_pred string, score double, ambiguous boolean")
 

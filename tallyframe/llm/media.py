@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
 
-from .common import documents, table_path
+from .common import documents, small_batches, table_path
 
 TILE = 576
 #: An index row and the footer of an archive, little endian.
@@ -238,6 +238,7 @@ def store(docs: DataFrame, path: str) -> None:
     Null and empty texts are one tile of bytes 255; a null id stays null; repeated rows are members of their own. An empty
     table gives an archive directory without members. Other columns are not read.
     """
+    small_batches(docs.sparkSession)
     docs.sparkSession.dataSource.register(MediaSource)
     rows = docs.select("doc_id", "text").mapInArrow(_payloads, "key long, payload binary")
     rows.write.format("media_archive").mode("append").save(path)

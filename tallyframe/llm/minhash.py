@@ -18,7 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from .common import WordHashes, cut, documents, drop, forest, mix64
+from .common import WordHashes, cut, documents, drop, forest, mix64, small_batches
 from .components import components
 
 ROWS, BANDS = 6, 42
@@ -269,7 +269,7 @@ def near_documents(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFra
     Null, empty and wordless texts have no shingles and link with nothing. Rows with a repeated id are expected to
     repeat the text as well. Null ids stay, alone in their component. Other columns are not read. An empty table gives no rows.
     """
-    spark = docs.sparkSession
+    small_batches(docs.sparkSession)
     docs = docs.select("doc_id", "text")
     signed = cut(docs.mapInArrow(_sign(size), "doc_id long, n long, digest binary, bands array<long>, packed array<long>"), "signed")
     some = signed.where("digest is not null and doc_id is not null")

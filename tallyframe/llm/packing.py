@@ -18,7 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .common import cut, documents
+from .common import cut, documents, small_batches
 
 PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 #: Sequences of one task are numbered from task * 2**STEP.
@@ -256,6 +256,7 @@ def pack(
     Null and empty texts are the end id alone. Very long texts are cut at window size. Repeated rows and repeated ids are
     packed once for each row. A null doc_id stays null. An empty table gives no rows. Other columns are not read.
     """
+    small_batches(docs.sparkSession)
     pieces = docs.select("doc_id", "text").mapInArrow(
         _pack_partition(tokenizer_path, size, open_windows, slack, end_id), f"{PIECE}, ids binary, task int"
     )

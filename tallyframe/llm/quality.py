@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .common import WordHashes, documents, fold
+from .common import WordHashes, documents, fold, small_batches
 
 TOKEN = re.compile(rb"[A-Za-z0-9_\x80-\xff]+|[^A-Za-z0-9_\x80-\xff\s]+")
 REPEAT = 0x9E3779B97F4A7C15
@@ -93,6 +93,7 @@ def train(docs: DataFrame, labels: DataFrame, bits: int = 20, max_rows: int = 6_
 
     Null labels teach nothing; of several labels for one id the smallest holds. Without rows all weights are 0.
     """
+    small_batches(docs.sparkSession)
     order = F.xxhash64("doc_id")
     chosen = (
         labels.where("label is not null and doc_id is not null").groupBy("doc_id").agg(F.min("label").alias("label")).orderBy(order, "doc_id").limit(max_rows)
@@ -106,7 +107,7 @@ def train(docs: DataFrame, labels: DataFrame, bits: int = 20, max_rows: int = 6_
     return w
 
 
-def _score(weights, bits: int, column: str, name: str):
+def _score(weights, bits: int, column: str, name: str, keep: list[str]):
     def run(batches):
         w, feats = weights.value, Features(bits)
         for batch in batches:
@@ -116,7 +117,8 @@ def _score(weights, bits: int, column: str, name: str):
                 m = np.bincount(row, weights=w[feature] * value, minlength=n) + w[-1]
                 out.append(1 / (1 + np.exp(-np.clip(m, -35, 35))))
             scores = np.concatenate(out) if out else np.empty(0)
-            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i, c in enumerate(batch.schema.names) if c != "_text"), pa.array(scores, pa.float64())], names=[*(c for c in batch.schema.names if c != "_text"), name])
+            del texts
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(scores, pa.float64())], names=[*keep, name])
 
     return run
 
@@ -124,13 +126,15 @@ def _score(weights, bits: int, column: str, name: str):
 def score(docs: DataFrame, weights: np.ndarray, keep: list[str], text: str = "text", name: str = "score") -> DataFrame:
     """The columns `keep` of docs and a column `name` (double, 0 to 1) scoring the whole text.
 
-    Null and empty texts get the bias's score; repeated rows equal scores; an empty table gives no rows. `keep` holds neither `name` nor `_text`.
+    Null and empty texts get the bias's score; repeated rows equal scores; an empty table gives no rows. `keep` may hold the text but not `name`.
     """
     bits = (len(weights) - 1).bit_length() - 1
     held = docs.sparkSession.sparkContext.broadcast(weights)
-    rows = docs.select(*keep, F.col(text).alias("_text"))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name != "_text")
-    return rows.mapInArrow(_score(held, bits, "_text", name), f"{schema}, `{name}` double")
+    small_batches(docs.sparkSession)
+    extra = [] if text in keep else [text]  # the text crosses to Python once
+    rows = docs.select(*keep, *extra)
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name not in extra)
+    return rows.mapInArrow(_score(held, bits, text, name, keep), f"{schema}, `{name}` double")
 
 
 def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

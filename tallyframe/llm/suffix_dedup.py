@@ -25,7 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .common import cut, documents, drop, mix64
+from .common import cut, documents, drop, mix64, small_batches
 
 GRAM = 32
 #: Bytes worked on at once; a longer text goes in overlapping pieces.
@@ -339,6 +339,7 @@ def repeated_ranges(docs: DataFrame, length: int = 200) -> DataFrame:
     """
     if not GRAM + 8 <= length <= 256:
         raise ValueError("length out of range")
+    small_batches(docs.sparkSession)
     rows = docs.select("doc_id", F.xxhash64("text").alias("tag"), F.coalesce(F.col("text").cast("binary"), F.lit(b"")).alias("raw"))
     schema = "gram long, span long, doc_id long, tag long, place long"
     every = cut(rows.mapInArrow(_anchor_rows(length), schema), "anchors")
