@@ -64,10 +64,15 @@ def store_text(x: Column, length: int) -> Column:
 def divide(a: Column, b: Column) -> Column:
     """a / b cut to 18 fraction digits, exactly, from remainders. Operands have at most 18 digits; a zero divisor raises, as ANSI mode does."""
     r = a % b
-    whole = ((a - r) / b).cast("decimal(20,0)")
-    n = r.cast("decimal(19,9)") * power_of_ten(QUOTIENT)
-    part = ((n - n % b) / b).cast("decimal(19,0)")
-    return (whole + part.cast("decimal(19,0)") * power_of_ten(-QUOTIENT)).cast("decimal(38,18)")
+    whole = ((a - r) / b).cast("decimal(19,0)")
+    step = power_of_ten(QUOTIENT // 2)  # two halves, so that no product passes 38 digits
+    n = r * step
+    r1 = n % b
+    high = ((n - r1) / b).cast("decimal(10,0)")
+    n = r1 * step
+    low = ((n - n % b) / b).cast("decimal(10,0)")
+    part = (high * power_of_ten(-(QUOTIENT // 2)) + low * power_of_ten(-QUOTIENT)).cast(f"decimal({QUOTIENT + 1},{QUOTIENT})")
+    return (whole + part).cast("decimal(38,18)")
 
 
 def quotient(a: Column, b: Column, scale: int) -> Column:

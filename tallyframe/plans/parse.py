@@ -441,6 +441,10 @@ class Body:
             self.end("END-SEARCH")
         elif kind == "NEXT":
             self.end("SENTENCE")
+        elif kind == "EXIT":
+            while self.up() in ("PROGRAM", "PARAGRAPH", "SECTION", "PERFORM", "CYCLE"):
+                s.words.append(self.up())
+                self.i += 1
         elif kind == "USE":
             while self.up() not in (".", ""):
                 s.words.append(self.t[self.i].t)

@@ -19,7 +19,7 @@ from ..plans.parse import Program, parse_programs
 #: Inbound events: key, seq (from 1, without gaps), event (GET.FILE.f or END.FILE.f), fields.
 EVENT = "key string, seq long, event string, fields map<string,string>"
 OUTPUT = "key string, seq long, kind string, name string, value string"
-OUTPUT_TYPE = T._parse_datatype_string(OUTPUT)
+OUTPUT_TYPE = T.StructType([T.StructField(n, T.LongType() if k == "long" else T.StringType()) for n, k in (c.split() for c in OUTPUT.split(", "))])
 STATE_TYPE = T.StructType([T.StructField("body", T.StringType())])
 
 
