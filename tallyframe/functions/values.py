@@ -5,6 +5,7 @@ Spark casts and divides with rounding half up, so nothing here casts to a smalle
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from decimal import Decimal
 
 from pyspark.sql import Column, functions as F
@@ -27,33 +28,45 @@ def power_of_ten(n: int) -> Column:
     return decimal_lit(Decimal(1).scaleb(n)) if n >= 0 else decimal_lit(Decimal(1).scaleb(n))
 
 
-def truncate(x: Column, scale: int) -> Column:
+def truncate(x: Column, scale: int, nonnegative: bool = False) -> Column:
     """x cut towards zero to `scale` fraction digits; a negative scale cuts whole tens."""
-    return x - x % power_of_ten(-scale)
+    low = F.floor(x, F.lit(scale))
+    return low if nonnegative else F.when(x < 0, F.ceil(x, F.lit(scale))).otherwise(low)
 
 
-def store(x: Column, picture: Picture, rounded: bool = False, compat: bool = False) -> Column:
-    """x as a field of this picture holds it: cut or rounded to scale, unsigned if it has no sign, low-order digits kept."""
+@dataclass(frozen=True)
+class Shape:
+    """What is known of a value before it is computed: whole digits, fraction digits, and that it is not negative."""
+
+    whole: int
+    scale: int
+    nonnegative: bool = False
+
+
+def store(x: Column, picture: Picture, rounded: bool = False, compat: bool = False, shape: Shape | None = None) -> Column:
+    """x as a field of this picture holds it: cut or rounded to scale, unsigned if it has no sign, low-order digits kept.
+
+    Steps that the shape of x proves idle are left out.
+    """
     if not picture.numeric:
         return store_text(x.cast("string"), picture.length)
-    s = picture.scale
-    if rounded:
-        half = power_of_ten(-s) * decimal_lit("0.5")
-        x = truncate(x + F.when(x < 0, -half).otherwise(half), s)
-    else:
-        x = truncate(x, s)
-    if not picture.signed:
+    s, nonnegative = picture.scale, shape is not None and shape.nonnegative
+    if shape is None or shape.scale > s:
+        x = F.round(x, s) if rounded else truncate(x, s, nonnegative)
+    if not picture.signed and not nonnegative:
         x = F.abs(x)
     if compat and picture.digits == s:
         return x.cast(f"decimal(38,{s})")
-    return (x % power_of_ten(picture.digits - s)).cast(picture.spark_type)
+    if shape is None or shape.whole + (1 if rounded else 0) > picture.digits - s:
+        x = x % power_of_ten(picture.digits - s)
+    return x.cast(picture.spark_type)
 
 
 def overflows(x: Column, picture: Picture, rounded: bool = False) -> Column:
     """ON SIZE ERROR: the value, cut or rounded to scale, has more digits than the field."""
-    half = power_of_ten(-picture.scale) * decimal_lit("0.5")
-    x = F.abs(x) + half if rounded else F.abs(x)
-    return truncate(x, picture.scale) >= power_of_ten(picture.digits - picture.scale)
+    x = F.abs(x)
+    x = F.round(x, picture.scale) if rounded else truncate(x, picture.scale, True)
+    return x >= power_of_ten(picture.digits - picture.scale)
 
 
 def store_text(x: Column, length: int) -> Column:
@@ -75,10 +88,11 @@ def divide(a: Column, b: Column) -> Column:
     return (whole + part).cast("decimal(38,18)")
 
 
-def quotient(a: Column, b: Column, scale: int) -> Column:
-    """a / b cut to `scale` fraction digits: integers only, so no digit is lost on the way."""
-    p = power_of_ten(scale)
-    n = a * p
+def quotient(a: Column, b: Column, scale: int, whole: int = 99) -> Column:
+    """a / b cut to `scale` fraction digits. With at most 18 digits in all (`whole` before the point) it is one integer division."""
+    n = a * power_of_ten(scale)
+    if whole + scale <= 18:
+        return (F.call_function("div", n, b).cast("decimal(18,0)") * power_of_ten(-scale)).cast(f"decimal(19,{scale})")
     return (((n - n % b) / b).cast("decimal(38,0)") * power_of_ten(-scale)).cast(f"decimal(38,{scale})")
 
 

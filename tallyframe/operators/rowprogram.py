@@ -91,6 +91,29 @@ class Compiler:
             return {"+": lambda: x + y, "-": lambda: x - y, "*": lambda: x * y, "/": lambda: V.divide(x, y)}[op]()
         raise NotModelled(f"{kind} in arithmetic")
 
+    def shape(self, tree) -> V.Shape:
+        """Bounds on the value of an expression, from the pictures of what it reads."""
+        kind = tree[0]
+        if kind == "num":
+            e = max(0, -tree[1].as_tuple().exponent)
+            return V.Shape(max(0, tree[1].adjusted() + 1), e, tree[1] >= 0)
+        if kind == "neg":
+            a = self.shape(tree[1])
+            return V.Shape(a.whole, a.scale)
+        if kind == "ref":
+            p = self.picture(tree)
+            return V.Shape(p.digits - p.scale, max(p.scale, 0), not p.signed)
+        _, op, x, y = tree
+        if op == "**":
+            a, n = self.shape(x), int(y[1])
+            return V.Shape(a.whole * n + 1, a.scale * n, a.nonnegative or n % 2 == 0)
+        a, b = self.shape(x), self.shape(y)
+        if op == "*":
+            return V.Shape(a.whole + b.whole, a.scale + b.scale, a.nonnegative and b.nonnegative)
+        if op == "/":
+            return V.Shape(a.whole + b.scale, V.QUOTIENT, a.nonnegative and b.nonnegative)
+        return V.Shape(max(a.whole, b.whole) + 1, max(a.scale, b.scale), op == "+" and a.nonnegative and b.nonnegative)
+
     def text(self, tree) -> Column:
         if tree[0] == "str":
             return F.lit(tree[1])
@@ -115,8 +138,15 @@ class Compiler:
         if a.expr[0] == "ref" and not self.numeric(a.expr):
             return V.store(F.coalesce(F.expr("NULL").cast("decimal(38,9)"), F.trim(self.reference(a.expr)).try_cast("decimal(38,9)"), F.lit(0).cast("decimal(38,9)")), p, a.rounded, self.compat)
         if a.expr[0] == "op" and a.expr[1] == "/" and not a.rounded and p.scale >= 0:
-            return V.store(V.quotient(self.number(a.expr[2]), self.number(a.expr[3]), p.scale), p, False, self.compat)
-        return V.store(self.number(a.expr), p, a.rounded, self.compat)
+            whole = self.shape(a.expr)
+            q = V.quotient(self.number(a.expr[2]), self.number(a.expr[3]), p.scale, whole.whole)
+            return V.store(q, p, False, self.compat, V.Shape(whole.whole, p.scale, whole.nonnegative))
+        if a.expr[0] == "op" and a.expr[1] == "/" and p.scale >= 0 and self.shape(a.expr).whole + p.scale < 18:
+            # one digit more than the field has, cut, then rounded: half away from zero looks at that digit alone
+            whole = self.shape(a.expr)
+            q = V.quotient(self.number(a.expr[2]), self.number(a.expr[3]), p.scale + 1, whole.whole)
+            return V.store(q, p, True, self.compat, V.Shape(whole.whole, p.scale + 1, whole.nonnegative))
+        return V.store(self.number(a.expr), p, a.rounded, self.compat, self.shape(a.expr))
 
     def condition(self, tree) -> Column:
         kind = tree[0]
