@@ -10,6 +10,7 @@ are never collected to remove repeats: each unit returns link counts by vector a
 from __future__ import annotations
 
 import hashlib
+import math
 
 import numpy as np
 import pyarrow as pa
@@ -153,25 +154,30 @@ def _compare(threshold: float):
     return run
 
 
-def near_vectors(
-    vectors: DataFrame, threshold: float = 0.93, tables: int = 64, bits: int = 14, block: int = 512, seed: int = 1
-) -> DataFrame:
+def plan_tables(n: int, threshold: float, miss: float) -> tuple[int, int]:
+    """(bits, tables) for n vectors: buckets of unrelated vectors stay small as n grows, and a pair at the threshold is missed with probability `miss`."""
+    bits = min(30, max(10, math.ceil(math.log2(max(n, 2)))))
+    agree = (1 - math.acos(min(1.0, threshold)) / math.pi) ** bits
+    return bits, max(1, math.ceil(math.log(miss) / math.log1p(-agree))) if agree < 1 else 1
+
+
+def near_vectors(vectors: DataFrame, threshold: float = 0.93, miss: float = 1e-5, block: int = 512, seed: int = 1) -> DataFrame:
     """vectors (vec_id long, embedding array of numbers, label integer): links between equal labels with cosine >= threshold.
 
-    Returns vec_id, n_links, component_id, kept, one row for each row of vectors. A pair at cosine c is found with probability
-    1 - (1 - (1 - acos(c)/pi)**bits)**tables: at 0.93 and the defaults all but about 1 pair in 100,000; no pair below the threshold
-    is linked. Null labels, null or empty or zero vectors and vectors with null or non-finite components link with nothing
+    Returns vec_id, n_links, component_id, kept, one row for each row of vectors. A pair at the threshold is missed with
+    probability `miss`, a closer one with less; no pair below it is linked. Codes get a bit for each doubling of the distinct vectors, and tables grow with
+    them (as about the fifth root of their number). Null labels, null or empty or zero vectors and vectors with null or non-finite components link with nothing
     and are their own component. Vectors of different lengths never link. Other columns are not read. An empty table gives no rows.
     """
-    if tables * (1 << bits) > 1 << 31:
-        raise ValueError("tables * 2**bits must stay below 2**31")
     rows = vectors.select("vec_id", "embedding", F.col("label").cast("long").alias("label"))
     rows = cut(rows.mapInArrow(_digests, "vec_id long, label long, digest binary, vector binary"), "vectors")
     distinct = (
         rows.where("digest is not null").groupBy("digest").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("label").alias("label"), F.first("vector").alias("vector"))
     )
+    distinct = cut(distinct.select("rep", "label", "copies", "vector"), "distinct")
+    bits, tables = plan_tables(distinct.count(), threshold, miss)
     distinct = cut(
-        distinct.select("rep", "label", "copies", "vector").mapInArrow(_codes(tables, bits, seed), "rep long, label long, copies long, vector binary, codes array<int>"),
+        distinct.mapInArrow(_codes(tables, bits, seed), "rep long, label long, copies long, vector binary, codes array<int>"),
         "codes",
     )
     keys = distinct.select("rep", F.posexplode("codes").alias("tab", "code"), "label")
