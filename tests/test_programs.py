@@ -8,14 +8,7 @@ from tallyframe.plans import samples
 from tallyframe.plans.machine import Refused, drive
 from tallyframe.plans.parse import parse_programs
 from tallyframe.streaming import reactive
-
-
-def program(working: str, code: str, files: str = "", linkage: str = "", control: str = "") -> str:
-    pad = lambda text: "\n".join("       " + ln if ln.strip() else ln for ln in text.strip("\n").splitlines())
-    return "\n".join([
-        "       IDENTIFICATION DIVISION.", "       PROGRAM-ID. CASE1.", *(["       ENVIRONMENT DIVISION.", "       INPUT-OUTPUT SECTION.", "       FILE-CONTROL.", pad(control)] if control else []), "       DATA DIVISION.",
-        *(["       FILE SECTION.", pad(files)] if files else []), "       WORKING-STORAGE SECTION.", pad(working), *(["       LINKAGE SECTION.", pad(linkage)] if linkage else []), "       PROCEDURE DIVISION.", pad(code),
-    ])
+from tests_support import program
 
 
 def context(working: str, code: str, **k) -> dict:
