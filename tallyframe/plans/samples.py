@@ -187,5 +187,47 @@ LOOPS = """
                PERFORM C-SELF
            END-IF.
 """
+ORDERS = """
+       IDENTIFICATION DIVISION.
+       PROGRAM-ID. ORDERS.
+       DATA DIVISION.
+       FILE SECTION.
+       FD  ORD-FILE.
+       01  ORD-REC.
+           05  ORD-STATUS    PIC X.
+               88  ORD-OPEN  VALUE 'O'.
+           05  ORD-AMT       PIC S9(7)V99.
+       WORKING-STORAGE SECTION.
+       01  WS-END            PIC X VALUE 'N'.
+       01  OPEN-SUM          PIC S9(11)V99.
+       01  ALL-COUNT         PIC 9(7).
+       01  BIG-COUNT         PIC 9(5).
+       01  NET               PIC S9(6)V9.
+       01  LAST-STATUS       PIC X.
+       PROCEDURE DIVISION.
+       A-MAIN.
+           OPEN INPUT ORD-FILE
+           READ ORD-FILE
+               AT END MOVE 'Y' TO WS-END
+           END-READ
+           PERFORM B-ONE UNTIL WS-END = 'Y'
+           CLOSE ORD-FILE
+           STOP RUN.
+       B-ONE.
+           ADD 1 TO ALL-COUNT
+           IF ORD-OPEN
+               ADD ORD-AMT TO OPEN-SUM
+               ADD ORD-AMT TO NET
+           ELSE
+               SUBTRACT ORD-AMT FROM NET
+           END-IF
+           IF ORD-AMT > 200000 AND NOT ORD-OPEN
+               ADD 1 TO BIG-COUNT
+           END-IF
+           MOVE ORD-STATUS TO LAST-STATUS
+           READ ORD-FILE
+               AT END MOVE 'Y' TO WS-END
+           END-READ.
+"""
 PROGRAMS = {"TOTALS": TOTALS, "RULES": RULES, "RATES": RATES, "LOOPS": LOOPS}
 MEMBERS = {"ACCTREC": ACCTREC}

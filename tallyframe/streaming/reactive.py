@@ -181,13 +181,13 @@ def run_batch(events: DataFrame, source: str, members: dict[str, str] | None = N
     return events.groupBy("key").applyInPandas(one, OUTPUT)
 
 
-def run_files(records: DataFrame, keys: list[str], order: list[str], file: str, source: str, out: dict[str, str], members: dict[str, str] | None = None, external: dict | None = None) -> DataFrame:
+def run_files(records: DataFrame, keys: list[str], order: list[str], file: str, source: str | None, out: dict[str, str], members: dict[str, str] | None = None, external: dict | None = None, program: Program | None = None) -> DataFrame:
     """Runs a program once for each group of records, read in order as `file`; record columns are fields (amount_due is AMOUNT-DUE).
 
     Returns the keys and the context fields named in `out` (NAME -> Spark type), and halted and steps. A fold that is provably order-free is
     better said as an aggregation (operators.fold); this is the general form, and a group is one task's work.
     """
-    program = parse_programs(source, members)[0]
+    program = program or parse_programs(source, members)[0]
     key_types = {f.name: f.dataType.simpleString() for f in records.schema if f.name in keys}
     fields = [c for c in records.columns if c not in keys and c not in order]
     names = {n: n.lower().replace("-", "_") for n in out}
