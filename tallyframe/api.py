@@ -44,9 +44,16 @@ class Analysis:
         return json.dumps(sorted((json.loads(r) for r in rows.toJSON().collect()), key=lambda r: json.dumps(r, sort_keys=True)), indent=1, sort_keys=True)
 
 
-def analyze(programs: DataFrame, members: DataFrame | None = None) -> Analysis:
-    """programs and members as (name, text); each program is parsed once and its facts are kept in the shared folder."""
-    return Analysis(settled(estate.parse_estate(programs, members)))
+def analyze(programs: DataFrame, members: DataFrame | None = None, path: str | None = None) -> Analysis:
+    """programs and members as (name, text); each program is parsed once and its facts are kept in the shared folder.
+
+    With a path they are kept there, partitioned by fact, so that a view reads only the facts it needs.
+    """
+    facts = estate.parse_estate(programs, members)
+    if path is None:
+        return Analysis(settled(facts))
+    facts.write.mode("overwrite").partitionBy("fact").parquet(path)
+    return Analysis(programs.sparkSession.read.parquet(path))
 
 
 def analyze_path(spark: SparkSession, path: str) -> Analysis:

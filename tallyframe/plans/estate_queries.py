@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..operators.settle import settled
 from ..sources import estate
-from . import samples, views
+from . import jobs, samples, views
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -134,6 +134,40 @@ def estate_statements(facts):
     return estate.fact_table(facts, "statement")
 
 
-@query()
+@query(values("program, line, message", ("LOOPS", 8, "OCCURS on the group LINE-A is not modelled as an array"), ("LOOPS", 14, "OCCURS DEPENDING ON: VAR-B is modelled at its greatest size")))
 def estate_flags(facts):
-    return estate.fact_table(facts, "flag")
+    return estate.fact_table(facts, "flag").select("program", "line", "message")
+
+
+# job steps
+
+
+def steps(spark):
+    rows = [
+        ("J1", 1, "TOTALS", "PAYIN", "PAY.DAILY(0)", "input"), ("J1", 1, "RATES", "RATEOUT", "RATE.OUT", "output"), ("J1", 2, "SORT", "SORTIN", "RATE.OUT", "input"), ("J1", 2, "SORT", "SORTOUT", "RATE.SORTED", "output"),
+        ("J1", 3, "RULES", "IN", "RATE.SORTED", "input"), ("J1", 3, "RULES", "REPOUT", "REP.A", "output"), ("J2", 1, "RULES", "REPOUT", "REP.B(+1)", "output"),
+    ]
+    return spark.createDataFrame(rows, "job string, step int, program string, ddname string, dataset string, direction string")
+
+
+@query(values("program, ddname, status, datasets", ("TOTALS", "PAYIN", "bound", "PAY.DAILY"), ("RATES", "RATEOUT", "bound", "RATE.OUT"), ("RULES", "REPOUT", "candidates", "REP.A,REP.B")))
+def job_bindings(facts):
+    return jobs.bind(views.artifacts(facts), steps(facts.sparkSession)).select("program", "ddname", "status", joined("datasets").alias("datasets"))
+
+
+@query(values("job, dataset, consumer, producer", ("J1", "RATE.OUT", 2, 1), ("J1", "RATE.SORTED", 3, 2)))
+def job_dataflow(facts):
+    return jobs.dataflow(steps(facts.sparkSession))
+
+
+@query(values("job, dataset, role", ("J1", "PAY.DAILY", "source"), ("J1", "RATE.OUT", "intermediate"), ("J1", "RATE.SORTED", "intermediate"), ("J1", "REP.A", "result"), ("J2", "REP.B", "result")))
+def job_dataset_roles(facts):
+    return jobs.dataset_roles(steps(facts.sparkSession))
+
+
+@query(values("job, step, runs", ("J1", 2, True), ("J1", 3, False), ("J1", 4, True)))
+def job_runs(facts):
+    spark = facts.sparkSession
+    conds = spark.createDataFrame([("J1", 2, 1, "EQ", 0, "if"), ("J1", 3, 1, "LE", 0, "cond"), ("J1", 4, 2, "LT", 4, "cond")], "job string, step int, tested int, operator string, value int, kind string")
+    codes = spark.createDataFrame([("J1", 1, 0), ("J1", 2, 4)], "job string, step int, code int")
+    return jobs.runs(conds, codes)
