@@ -17,7 +17,8 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     labels = labels.where(common.fold("doc_id", 3) != 1).select("doc_id", F.col("quality").alias("label"))
     weights = quality.train(docs, labels)
-    return quality.score(docs, weights, docs.columns, name="_score").where("_score >= 0.5").drop("_score")
+    name = free_name("score", docs)
+    return quality.score(docs, weights, docs.columns, name=name).where(F.col(name) >= 0.5).drop(name)
 
 
 def minhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -28,13 +29,15 @@ def minhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def suffix_array_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without their repeated strings of 200 bytes; documents of which only white space is left go."""
-    out = suffix_dedup.without_repeats(docs).where("_removed = 0 or trim(text) <> ''").drop("_removed")
-    return out.withColumn("n_chars", F.coalesce(F.length("text").cast("long"), "n_chars")) if "n_chars" in out.columns else out
+    out = suffix_dedup.without_repeats(docs).where("removed = 0 or trim(text) <> ''")
+    own = {"text": F.col("text"), "n_chars": F.when(F.col("removed") > 0, F.length("text").cast("long")).otherwise(F.col("others.n_chars"))} if "n_chars" in docs.columns else {"text": F.col("text")}
+    return out.select(*(own.get(c, F.col(f"others.`{c}`")).alias(c) for c in docs.columns))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The most even mix that repeats no source more than twice and keeps every document; a row for each copy."""
-    return mixing.realised(mixing.mix(docs, max_passes=2.0))
+    rows = docs.select("doc_id", "text", "source", F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
+    return mixing.realised(mixing.mix(rows, max_passes=2.0)).select("row.*")
 
 
 def pack_windows(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -42,6 +45,13 @@ def pack_windows(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 
+def free_name(base: str, docs: DataFrame) -> str:
+    """A column name that docs does not have."""
+    while base in docs.columns:
+        base += "_"
+    return base
+
+
 STAGES = [
     ("quality classifier", quality_classifier),
     ("MinHash near-dedup", minhash_dedup),

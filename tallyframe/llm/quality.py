@@ -12,7 +12,7 @@ import re
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from .common import WordHashes, documents, fold, small_batches
 
@@ -107,18 +107,21 @@ def train(docs: DataFrame, labels: DataFrame, bits: int = 20, max_rows: int = 6_
     return w
 
 
-def _score(weights, bits: int, column: str, name: str, keep: list[str]):
+def _score(weights, bits: int, text: str | None):
+    """Batches of (others, _text or the field `text` of others)."""
+
     def run(batches):
         w, feats = weights.value, Features(bits)
         for batch in batches:
-            texts = [(t or "").encode() for t in batch.column(column).to_pylist()]
+            others = batch.column("others")
+            column = batch.column("_text") if text is None else others.field(text)
+            texts = [(t or "").encode() for t in column.to_pylist()]
             out = []
             for n, row, feature, value in feats.of(texts):
                 m = np.bincount(row, weights=w[feature] * value, minlength=n) + w[-1]
                 out.append(1 / (1 + np.exp(-np.clip(m, -35, 35))))
-            scores = np.concatenate(out) if out else np.empty(0)
             del texts
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(scores, pa.float64())], names=[*keep, name])
+            yield pa.RecordBatch.from_pydict({"others": others, "score": pa.array(np.concatenate(out) if out else np.empty(0), pa.float64())})
 
     return run
 
@@ -126,15 +129,18 @@ def _score(weights, bits: int, column: str, name: str, keep: list[str]):
 def score(docs: DataFrame, weights: np.ndarray, keep: list[str], text: str = "text", name: str = "score") -> DataFrame:
     """The columns `keep` of docs and a column `name` (double, 0 to 1) scoring the whole text.
 
-    Null and empty texts get the bias's score; repeated rows equal scores; an empty table gives no rows. `keep` may hold the text but not `name`.
+    Null and empty texts get the bias's score; repeated rows equal scores; an empty table gives no rows. `keep` may hold the text but not `name`;
+    columns may have any names.
     """
     bits = (len(weights) - 1).bit_length() - 1
     held = docs.sparkSession.sparkContext.broadcast(weights)
     small_batches(docs.sparkSession)
-    extra = [] if text in keep else [text]  # the text crosses to Python once
-    rows = docs.select(*keep, *extra)
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name not in extra)
-    return rows.mapInArrow(_score(held, bits, text, name, keep), f"{schema}, `{name}` double")
+    inside = text in keep  # the text crosses to Python once
+    others = F.struct(*(F.col(f"`{c}`") for c in keep)).alias("others")
+    rows = docs.select(others) if inside else docs.select(others, F.col(text).alias("_text"))
+    schema = T.StructType([rows.schema["others"], T.StructField("score", T.DoubleType())])
+    out = rows.mapInArrow(_score(held, bits, text if inside else None), schema)
+    return out.select("others.*", F.col("score").alias(name))
 
 
 def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

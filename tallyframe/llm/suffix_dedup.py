@@ -23,7 +23,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from .common import cut, documents, drop, mix64, small_batches
 
@@ -423,33 +423,24 @@ def remove_repeats(docs: DataFrame, length: int = 200) -> DataFrame:
     return _with_ranges(docs, length).mapInArrow(_digest_only, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
-def _rewrite(text: str):
-    def run(batches):
-        for batch in batches:
-            found = next(_cut_out([batch.select(["doc_id", "raw", "ranges"])]))
-            kept = [b.decode("utf-8", "ignore") for b in found.column("kept").to_pylist()]
-            names = [c for c in batch.schema.names if c not in ("raw", "ranges", "_null")]
-            null = batch.column("_null").to_pylist()
-            cols = {c: batch.column(c) for c in names}
-            cols[text] = pa.array([None if n else k for k, n in zip(kept, null)], pa.string())
-            cols["_removed"] = found.column("n_removed")
-            yield pa.RecordBatch.from_pydict(cols)
-
-    return run
+def _rewrite(batches):
+    for batch in batches:
+        found = next(_cut_out([batch.select(["doc_id", "raw", "ranges"])]))
+        null = batch.column("null").to_pylist()
+        kept = [None if n else b.decode("utf-8", "ignore") for n, b in zip(null, found.column("kept").to_pylist())]
+        yield pa.RecordBatch.from_pydict({"others": batch.column("others"), "text": pa.array(kept, pa.string()), "removed": found.column("n_removed")})
 
 
 def without_repeats(docs: DataFrame, length: int = 200) -> DataFrame:
-    """docs with the repeated strings cut out of `text` and a column `_removed` (bytes); a character cut in two goes as a whole.
+    """docs (doc_id, text, any others): (others, text, removed): the other columns as one struct, the text with its repeated strings cut out, and bytes cut.
 
-    All other columns of docs pass through; `_removed`, `_null`, `raw`, `ranges` and `tag` may not be among them.
+    A character cut in two goes as a whole. Columns of docs may have any names.
     """
-    others = [c for c in docs.columns if c not in ("doc_id", "text")]
     ranges = repeated_ranges(docs, length).groupBy("doc_id", "tag").agg(F.collect_set(F.struct("lo", "hi")).alias("ranges"))
-    rows = docs.select("doc_id", *others, F.xxhash64("text").alias("tag"), F.col("text").isNull().alias("_null"), F.coalesce(F.col("text").cast("binary"), F.lit(b"")).alias("raw"))
-    joined = rows.join(ranges, (rows.doc_id.eqNullSafe(ranges.doc_id)) & (rows.tag == ranges.tag), "left").select(rows.doc_id, *(rows[c] for c in others), "_null", "raw", "ranges")
-    kinds = {f.name: f.dataType.simpleString() for f in docs.schema}
-    schema = ", ".join(f"`{c}` {kinds[c]}" for c in ["doc_id", *others, "text"])
-    return joined.mapInArrow(_rewrite("text"), f"{schema}, _removed long").select(*docs.columns, "_removed")
+    others = F.struct(*(F.col(f"`{c}`") for c in docs.columns if c != "text"))
+    rows = docs.select("doc_id", others.alias("others"), F.xxhash64("text").alias("tag"), F.col("text").isNull().alias("null"), F.coalesce(F.col("text").cast("binary"), F.lit(b"")).alias("raw"))
+    joined = rows.join(ranges, (rows.doc_id.eqNullSafe(ranges.doc_id)) & (rows.tag == ranges.tag), "left").select(rows.doc_id, "others", "null", "raw", "ranges")
+    return joined.mapInArrow(_rewrite, T.StructType([joined.schema["others"], T.StructField("text", T.StringType()), T.StructField("removed", T.LongType())]))
 
 
 def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

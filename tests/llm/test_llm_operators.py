@@ -370,9 +370,9 @@ def test_long_texts_go_in_pieces(spark, monkeypatch):
 
 def test_repeats_rewrite_texts(spark):
     rows = [(1, "q" + "é" * 150 + "tail"), (2, "zz" + "é" * 150), (3, None), (None, "short")]
-    docs = spark.createDataFrame([(*r, i) for i, r in enumerate(rows)], f"{DOC}, digest int")
-    out = {r.digest: (r.text, r._removed) for r in suffix_dedup.without_repeats(docs).collect()}
-    assert out == {0: ("qtail", 300), 1: ("zz", 300), 2: (None, 0), 3: ("short", 0)}
+    docs = spark.createDataFrame([(*r, i, i) for i, r in enumerate(rows)], f"{DOC}, tag int, `raw.x` int")
+    out = {r.others.tag: (r.others.doc_id, r.text, r.removed) for r in suffix_dedup.without_repeats(docs).collect()}
+    assert out == {0: (1, "qtail", 300), 1: (2, "zz", 300), 2: (3, None, 0), 3: (None, "short", 0)}
     assert suffix_dedup.remove_repeats(docs.where("false")).count() == 0
 
 
