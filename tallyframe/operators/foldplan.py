@@ -222,6 +222,3 @@ def _stored(compiler: Compiler, s: Step, p: Picture) -> Column:
 def run(source: str, records: DataFrame, keys: list[str], order: list[str], members: dict[str, str] | None = None) -> DataFrame:
     """A program's read loop over each group of records, as an aggregation."""
     return apply(plan(parse_programs(source, members)[0]), records, keys, order)
-
-
-__all__ = ["FoldPlan", "Step", "apply", "plan", "run"]

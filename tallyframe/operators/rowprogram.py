@@ -12,7 +12,7 @@ from decimal import Decimal
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import values as V
-from ..functions.language import Assign, NotModelled, Reader, is_literal, literal_text, parse_condition, parse_verb, split_at, tokens
+from ..functions.language import Assign, NotModelled, Reader, parse_condition, parse_verb, split_at, tokens
 from ..functions.picture import Picture, parse_picture
 
 
@@ -286,6 +286,3 @@ class RowProgram:
 def as_field(c: Column, picture: str) -> Column:
     """A DOUBLE or other column taken into a field: through DECIMAL(15,2), then stored."""
     return V.store(c.cast("decimal(15,2)"), parse_picture(picture))
-
-
-__all__ = ["Compiler", "Fields", "RowProgram", "as_field", "column_name", "is_literal", "literal_text", "when_condition"]

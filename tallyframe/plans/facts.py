@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from ..functions.language import FIGURATIVE, Assign, Effect, is_literal, literal_text, parse_verb, references, show, split_at
+from ..functions.language import Assign, is_literal, literal_text, parse_verb, references, show, split_at
 from . import flow
 from .machine import Code
 from .parse import Program, Stmt
@@ -110,9 +110,6 @@ class Facts:
 
         for q in self.p.paragraphs:
             visit(q.body, None, None, q.name)
-        for ins in self.code.code:
-            if ins[0] == "if" and ins[1][0] == "raw" and " WHEN " not in ins[1][1]:
-                pass
         self.notes()
 
     def notes(self) -> None:
@@ -340,6 +337,3 @@ def program_facts(p: Program, source: str) -> list[tuple[str, dict]]:
     for fact, row in flow.analyse(f):
         f.add(fact, **row)
     return f.rows
-
-
-__all__ = ["FIGURATIVE", "SCHEMAS", "Effect", "Facts", "program_facts", "show", "top_split"]
