@@ -49,6 +49,7 @@ class Facts:
     def __init__(self, p: Program, source: str, exec_texts: dict | None = None):
         self.p, self.rows, self.events_at = p, [], {}
         self.code = Code(p)
+        self.raw = list(dict.fromkeys(self.code.raw))
         self.cursors: dict[str, tuple[str, list]] = {}
         self.ids: dict[int, int] = {}
         self.source = source
@@ -115,6 +116,8 @@ class Facts:
     def notes(self) -> None:
         for para, line, message in self.p.flags:
             self.add("flag", paragraph=para, line=line, message=message)
+        for line, text in self.raw:
+            self.add("flag", paragraph=None, line=line, message=f"condition is not modelled: {text}")
         for line, message in self.code.notes:
             self.add("flag", paragraph=None, line=line, message=message)
 
@@ -131,8 +134,6 @@ class Facts:
             if words:
                 tree = self.code.condition(words)
                 self.add("condition", stmt_id=sid, paragraph=para, text=" ".join(words), tree=show(tree), modelled=tree[0] != "raw", line=s.line)
-                if tree[0] == "raw":
-                    self.add("flag", paragraph=para, line=s.line, message=f"condition is not modelled: {tree[1]}")
                 for name in references(tree):
                     if name in RESPONSES:
                         self.event(s, sid, para, "GET", "response", RESPONSES[name], "TEST", [name])

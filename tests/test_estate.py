@@ -67,6 +67,12 @@ def test_missing_target_is_flagged():
     assert any("NOWHERE does not exist" in r["message"] for f, r in rows if f == "flag")
 
 
+def test_conditions_that_cannot_be_read_are_flagged():
+    code = "M1.\n    IF FUNCTION F1(A) = 1\n        DISPLAY A\n    END-IF\n    EVALUATE A\n        WHEN FUNCTION F2(A)\n            DISPLAY A\n    END-EVALUATE\n    PERFORM UNTIL A = HIGH-VALUE\n        ADD 1 TO A\n    END-PERFORM\n    STOP RUN."
+    rows = program_facts(parse_programs(program("01 A PIC 9.", code))[0], "X")
+    assert len([r for f, r in rows if f == "flag" and r["message"].startswith("condition is not modelled")]) == 3
+
+
 # flow
 
 
