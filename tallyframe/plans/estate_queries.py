@@ -104,6 +104,11 @@ def estate_business_rules(facts):
     return views.business_rules(facts).where("event = 'CREATE.FILE.REP-FILE'").select("line", F.array_join("rule", " AND ").alias("rule"), joined("fields").alias("fields"))
 
 
+@query(values("program, source, target, rule", ("TOTALS", 0, 22, ""), ("TOTALS", 0, 26, ""), ("TOTALS", 26, 26, ""), ("TOTALS", 26, 22, ""), ("TOTALS", 22, None, "")))
+def estate_business_steps(facts):
+    return views.business_steps(facts).where("program = 'TOTALS'").select("program", "source", "target", F.array_join("rule", ",").alias("rule"))
+
+
 @query(values("program, paragraph, role", ("TOTALS", "A-MAIN", "output"), ("TOTALS", "B-NEXT", "input"), ("LOOPS", "A-MAIN", "technical"), ("LOOPS", "B-ADD", "technical"), ("LOOPS", "C-SELF", "decision")))
 def estate_business_states(facts):
     return views.business_states(facts).where("program in ('TOTALS', 'LOOPS')")

@@ -26,6 +26,7 @@ SCHEMAS = {
     "edge": "source int, target int, kind string, guard string, negated boolean",
     "state": "state int, kind string, paragraph string, line int",
     "lineage": "event string, direction string, field string, paragraph string, line int, changed_by_program boolean, changed_by array<int>, origins array<struct<event:string,maybe:boolean,resolved_by:string>>, conditions array<struct<guard:string,negated:boolean,kind:string>>, conditions_partial boolean",
+    "business_step": "source int, target int, rule array<string>, partial boolean",
     "flag": "paragraph string, line int, message string",
 }
 RESPONSES = {"SQLCODE": "DB2", "SQLSTATE": "DB2", "SQLERRD": "DB2", "EIBRESP": "CICS", "EIBRESP2": "CICS"}

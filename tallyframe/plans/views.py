@@ -211,6 +211,11 @@ def business_states(facts: DataFrame) -> DataFrame:
     return out.select("program", "paragraph", F.when(F.col("perimeter").isNotNull(), F.col("perimeter")).when(F.col("d"), "decision").otherwise("technical").alias("role"))
 
 
+def business_steps(facts: DataFrame) -> DataFrame:
+    """Lines between which a program goes from one boundary crossing to the next (0: its start, null: its end), and under which business conditions."""
+    return fact_table(facts, "business_step").drop("ordinal")
+
+
 def perform_cycles(facts: DataFrame, most: int = 50) -> DataFrame:
     """Paragraphs that can perform themselves, directly or through others: reachability by repeated equi-joins."""
     st = fact_table(facts, "state").select("program", F.col("state").alias("target"), F.col("paragraph").alias("callee"))

@@ -98,6 +98,17 @@ def test_conditions_are_a_fixpoint_and_visits_stay_bounded(n):
     assert len(shown) == n and all(must[s] == 0 for s in shown)
 
 
+def test_business_walk_stays_linear_on_diamonds():
+    n = 60
+    fields = "\n".join(f"01 D{i} PIC X." for i in range(n))
+    ifs = "\n".join(f"    IF FUNCTION F(D{i}) = 1\n        MOVE 'B' TO D{i}\n    END-IF" for i in range(n))
+    f = Facts(parse_programs(program(fields, f"M1.\n    DISPLAY 'A'\n{ifs}\n    IF D1 = 'A'\n        DISPLAY 'Z'\n    END-IF\n    STOP RUN."))[0], "X")
+    rows = flow.analyse(f)
+    steps = [r for k, r in rows if k == "business_step"]
+    assert [(r["rule"], r["partial"]) for r in steps if r["source"] and r["target"] and r["source"] != r["target"]] == [(["D1 = 'A'"], False)]
+    assert not [r for k, r in rows if k == "flag" and "budget" in r["message"]]
+
+
 def test_unreached_is_not_unconditional():
     rows = program_facts(parse_programs(program("01 A PIC 9.", "M1.\n    STOP RUN.\nDEAD.\n    DISPLAY A."))[0], "X")
     assert not [r for f, r in rows if f == "lineage"] and any("DEAD is never reached" in r["message"] for f, r in rows if f == "flag")
