@@ -253,7 +253,7 @@ def confirmed(pairs: DataFrame, texts: DataFrame, size: int, percent: int, unit:
 
     Pairs of one p are dealt in units of about `unit`; texts shuffle once by id and once by unit.
     """
-    units = pairs.groupBy("p").agg(F.count(F.lit(1)).alias("c")).select("p", F.ceil(F.col("c") / unit).cast("long").alias("s"))
+    units = cut(pairs.groupBy("p").agg(F.count(F.lit(1)).alias("c")).select("p", F.ceil(F.col("c") / unit).cast("long").alias("s")), "units")
     dealt = pairs.join(units, "p").select("p", "d", F.pmod(F.xxhash64("d"), F.col("s")).alias("g"))
     heads = units.select("p", F.explode(F.sequence(F.lit(0).cast("long"), F.col("s") - 1)).alias("g"))
     needs = dealt.select(F.col("d").alias("doc_id"), "p", "g", F.lit(1).alias("o")).unionByName(heads.select(F.col("p").alias("doc_id"), "p", "g", F.lit(0).alias("o")))
