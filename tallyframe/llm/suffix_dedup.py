@@ -29,7 +29,7 @@ from .common import cut, documents, drop, mix64, small_batches
 
 GRAM = 32
 #: Bytes worked on at once; a longer text goes in overlapping pieces.
-CHUNK = 2_000_000
+CHUNK = 500_000
 BASE = 0x9E3779B97F4A7C15 | 1
 
 
@@ -318,7 +318,7 @@ def merged(ranges) -> list[tuple[int, int]]:
 
 SPAN = ["gram", "doc_id", "tag", "place"]
 #: Rows of a bucket, about.
-BUCKET = 100_000
+BUCKET = 25_000
 
 
 def _in_order(context: DataFrame, length: int, backwards: bool, parts: int) -> DataFrame:
