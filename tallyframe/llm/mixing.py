@@ -15,6 +15,8 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from .common import documents
 
+#: Sources up to which their plan is broadcast by hint.
+MOST_HINTED = 10_000
 WORDS = r"[^\x20\x09-\x0D]+"
 
 
@@ -87,9 +89,9 @@ def mix(
         whole = math.floor(e + 1e-9)
         part = max(0, math.floor((e - whole) * r.tokens + 1e-6)) if r.tokens else 0
         plan.append((r._key, w, whole if r.tokens else 1, part, max(1, math.ceil(r.docs / block_docs))))
+    hint = F.broadcast if len(plan) <= MOST_HINTED else lambda df: df  # beyond that Spark's own size check decides
     plan = spark.createDataFrame(plan, "_key string, _weight double, _whole int, _part long, _blocks long")
-    # one row for each source, as collected above
-    rows = rows.join(F.broadcast(plan), "_key")
+    rows = rows.join(hint(plan), "_key")
     rows = rows.withColumn(names["block"], F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.col("_blocks")))
     order = F.xxhash64(F.lit(seed + 1), "_key", names["block"])
     by_source = Window.partitionBy("_key").orderBy("_order", names["block"])
@@ -98,7 +100,7 @@ def mix(
     edge = blocks.where(F.col("_before") <= F.col("_part")).groupBy("_key").agg(F.max(F.struct("_before", "_order", names["block"])).alias("e"))
     edge = edge.select("_key", F.struct(F.col("e._order").alias("o"), F.col("e." + names["block"]).alias("b")).alias("_edge"), F.col("e._before").alias("_before"))
     at = F.struct(F.col("_order").alias("o"), F.col(names["block"]).alias("b"))
-    rows = rows.join(F.broadcast(edge), "_key", "left").withColumn("_order", order)
+    rows = rows.join(hint(edge), "_key", "left").withColumn("_order", order)
     inside = F.coalesce(at < F.col("_edge"), F.lit(False))
     split = F.coalesce(at == F.col("_edge"), F.lit(False))
     base = rows.where(~split).withColumn(names["copies"], F.col("_whole") + inside.cast("int"))
