@@ -14,7 +14,7 @@ from itertools import chain, groupby, islice
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from ..plans.machine import Code, Machine, Refused, drive
+from ..plans.machine import Code, Endless, Machine, Refused, drive
 from ..plans.parse import Program, parse_programs
 
 #: Inbound events: key, seq (from 1, without gaps), event (GET.FILE.f or END.FILE.f), fields.
@@ -94,7 +94,7 @@ def step(code: Code, saved: str | None, events: list[tuple[int, str, dict]], ext
         state, buffered, nxt = None, {}, 1
     else:
         state, buffered, nxt = unpack_state(saved)
-    m = Machine(code, state, external)
+    m = Machine(code, state, external, trace=False)
     out: list = []
     for seq, event, fields in events:
         if seq < nxt or seq in buffered:
@@ -104,6 +104,8 @@ def step(code: Code, saved: str | None, events: list[tuple[int, str, dict]], ext
     queue: dict[str, list] = {}
 
     def tell(seq: int) -> None:
+        if m.state["halted"] == "steps":
+            raise Endless(f"{code.p.name} reads no record for too many steps after event {seq}")
         for text in m.state["display"]:
             out.append((seq, "display", None, text))
         m.state["display"] = []
@@ -216,7 +218,7 @@ def run_batch(events: DataFrame, source: str, members: dict[str, str] | None = N
 def run_files(records: DataFrame, keys: list[str], order: list[str], file: str, source: str | None, out: dict[str, str], members: dict[str, str] | None = None, external: dict | None = None, program: Program | None = None) -> DataFrame:
     """Runs a program once for each group of records, read in order as `file`; record columns are fields (amount_due is AMOUNT-DUE).
 
-    Returns the keys and the context fields named in `out` (NAME -> Spark type), and halted and steps. A fold that is provably order-free is
+    Returns the keys and the context fields named in `out` (NAME -> Spark type), and halted and steps; a program that loops without reading raises. A fold that is provably order-free is
     better said as an aggregation (operators.fold); this is the general form, and a group is one task's work.
     """
     program = program or parse_programs(source, members)[0]
@@ -230,7 +232,9 @@ def run_files(records: DataFrame, keys: list[str], order: list[str], file: str,
     def run(batches):
         def out_rows():
             for key, rows in _groups(batches, len(keys)):
-                got = drive(program, {file: (dict(zip(inputs, r)) for r in rows)}, external)
+                got = drive(program, {file: (dict(zip(inputs, r)) for r in rows)}, external, trace=False)
+                if got["halted"] == "steps":
+                    raise Endless(f"{program.name} reads no record for too many steps, in group {key}")
                 values = [got["context"].get(n) for n in out]
                 quant = [v.quantize(Decimal(1).scaleb(-int(t.split(",")[1].rstrip(")")))) if isinstance(v, Decimal) and t.startswith("decimal") else v for v, t in zip(values, out.values())]
                 yield (*key, *quant, got["halted"], got["steps"])

@@ -2,9 +2,14 @@
 
 from decimal import Decimal as D
 
+import pytest
 from pyspark.sql import functions as F
 
-from tallyframe.plans import program_queries
+from tallyframe.operators import foldplan
+from tallyframe.plans import machine, program_queries, samples
+from tallyframe.plans.parse import parse_programs
+from tallyframe.streaming import reactive
+from tests_support import program
 
 SF = "/root/testdata/sf0.001"
 
@@ -17,3 +22,32 @@ def test_programs_run_on_every_customer(spark):
     assert {r.o_custkey: r.ws_sum for r in got} == want and {r.halted for r in got} == {"done"} and len(got) == len(want)
     got = program_queries.QUERIES["stream_batch_equal_all"](spark, SF).collect()
     assert {int(r.key): D(r.value) for r in got} == want and len(got) == len(want)
+
+
+def test_step_limit_is_for_endless_loops_only():
+    p = parse_programs(samples.TOTALS)[0]
+    got = machine.drive(p, {"PAY-FILE": [{"PAY-AMT": "1.00"}] * 200}, steps=100)
+    assert got["halted"] == "done" and got["context"]["WS-SUM"] == 200 and got["steps"] > 1000
+    code = machine.Code(p)
+    state, _ = reactive.step(code, None, [(1, "GET.FILE.PAY-FILE", {"PAY-AMT": "1"})])
+    kept, buffered, nxt = reactive.unpack_state(state)
+    state = reactive.pack_state(kept | {"steps": machine.STEPS}, buffered, nxt)  # as after many records
+    _, out = reactive.step(code, state, [(2, "GET.FILE.PAY-FILE", {"PAY-AMT": "2"}), (3, "END.FILE.PAY-FILE", {})])
+    assert [r[3] for r in out if r[1] == "display"] == ["3.00"]
+
+
+def test_endless_programs_raise(spark):
+    text = program("01 A PIC 9.", "M1.\n    GO TO M1.")
+    with pytest.raises(machine.Endless):
+        reactive.step(machine.Code(parse_programs(text)[0]), None, [])
+    df = spark.createDataFrame([(1, 1, D(1))], "k int, i int, x decimal(9,2)")
+    with pytest.raises(Exception, match="reads no record"):
+        reactive.run_files(df, ["k"], ["i"], "F1", text, {"A": "decimal(1,0)"}).collect()
+
+
+def test_hot_group_in_order(spark):
+    """More records than a million steps used to reach, with signs mixed so that the group cannot be summed at once."""
+    n = 90_000
+    df = spark.range(n).select(F.lit(1).alias("k"), F.col("id").alias("i"), F.when(F.col("id") % 2 == 0, "O").otherwise("F").alias("ord_status"), F.lit(D("300000.10")).cast("decimal(9,2)").alias("ord_amt"))
+    (r,) = foldplan.run(samples.ORDERS, df, ["k"], ["i"]).collect()
+    assert (r.all_count, r.big_count, r.open_sum, r.net, r.last_status) == (n, n // 2, n // 2 * D("300000.10"), 0, "F")
