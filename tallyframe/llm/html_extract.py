@@ -1,7 +1,7 @@
 """Main text of web pages by two-pass block rules.
 
-A page is cut into blocks at block-level tags. The first pass decides each block from its own features: the containers it is in, its length,
-link density and stop-word density. The second pass gives ambiguous short or near-good blocks the label of their nearest decided neighbours.
+A page is cut into blocks at block-level tags. The first pass decides each block from its own features: its length, link density and stop-word
+density, with the containers it is in as a prior. The second pass gives ambiguous short or near-good blocks the label of their nearest decided neighbours.
 One scan, no shuffle; every row is independent, and a page costs memory in proportion to its own length.
 """
 
@@ -24,7 +24,7 @@ WORD = re.compile(r"[^\W\d_]+")
 RAW = {"script", "style", "title", "textarea", "noscript", "template", "svg", "math", "iframe", "object", "select", "option", "button", "audio", "video", "canvas", "noembed", "noframes", "xmp"}
 BLOCK = set("address article aside blockquote body caption center col colgroup dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li link main menu meta nav ol optgroup p pre section summary table tbody td tfoot th thead tr ul br".split())
 HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
-#: Containers that are never main text, and those that are.
+#: Containers that are seldom main text, and those that mostly are.
 DROP = {"nav", "footer", "aside", "form", "menu", "dialog", "head", "header"}
 KEEP = {"article", "main"}
 VOID = {"br", "hr", "img", "input", "link", "meta", "area", "base", "col", "embed", "source", "track", "wbr", "param"}
@@ -51,40 +51,62 @@ class Rules:
     low, high = 0.20, 0.30
     links = 0.34
     article_links = 0.67
+    revive = 400
     heading_reach = 200
 
 
+#: Marks of containers: main text, nothing said, no main text by a class word or a form, by a tag, hidden.
+MAIN, OPEN, UNLIKELY, ASIDE, HIDDEN = 1, 0, -1, -2, -3
+
+
 def _container(tag: str, attrs: str) -> int:
-    """1: main text, -1: not main text, 0: says nothing."""
-    if tag in KEEP:
-        return 1
-    if tag in DROP:
-        return -1
+    """The mark of a container by itself. Class words of html and body are of the page's layout and say nothing."""
+    if tag in KEEP and not ("hidden" in attrs or "style" in attrs):
+        return MAIN
+    if tag in DROP and not ("hidden" in attrs or "style" in attrs):
+        return UNLIKELY if tag == "form" else ASIDE
+    by_tag = MAIN if tag in KEEP else (UNLIKELY if tag == "form" else ASIDE) if tag in DROP else OPEN
     if "=" not in attrs and "hidden" not in attrs:
-        return 0
+        return by_tag
+    main = False
     words: set = set()
     for name, a, b, c in ATTR.findall(attrs):
         name, value = name.lower(), (a or b or c).strip()
         if name in ("class", "id", "role"):
             words.update(w.lower() for w in re.findall(r"[A-Z]?[a-z]+|[A-Z]+|\d+", value))
-            if name == "role" and value.lower() == "main":
-                return 1
+            main |= name == "role" and value.lower() == "main"
         elif name == "hidden" or (name == "aria-hidden" and value.lower() == "true"):
-            return -1
+            return HIDDEN
         elif name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
-            return -1
+            return HIDDEN
         elif name == "itemprop" and value == "articleBody":
-            return 1
+            main = True
+    if by_tag:
+        return by_tag
+    if main:
+        return MAIN
     hit = words & HINTS
-    if hit and not (hit == {"header"} and words & BODY_HINTS):
-        return -1
-    return 0
+    if hit and tag not in ("html", "body") and not (hit == {"header"} and words & BODY_HINTS):
+        return UNLIKELY
+    return OPEN
+
+
+def _inside(mark: int, own: int, tag: str) -> int:
+    """The mark inside a container of mark `own` that stands in one of mark `mark`."""
+    if mark == UNLIKELY and own == MAIN:  # a class word outside says less than the element; comments are articles too
+        return OPEN if tag == "article" else MAIN
+    if mark < 0:
+        return min(mark, own)
+    if tag == "header" and mark > 0 and own != HIDDEN:
+        return mark
+    return mark if own == OPEN else own
 
 
 def blocks(html: str):
     """Yields (text, link characters, heading?, container mark) of the blocks in page order; texts are never empty.
 
-    The mark is -1 inside a container that is no main text, 1 inside one that is, else 0; the innermost -1 wins, but a `header` inside main text says nothing.
+    The mark is below 0 inside a container that is hardly main text, 1 inside one that mostly is, else 0; the lowest wins, but a `header` inside main text says nothing,
+    and neither does a class word outside an `article`.
     """
     parts: list[str] = []
     linked = anchors = 0
@@ -149,40 +171,49 @@ def blocks(html: str):
                 stack.pop()
                 mark = stack[-1][1] if stack else 0
             if own:
-                stack.append((tag, own if mark >= 0 else mark))
+                stack.append((tag, _inside(mark, own, tag)))
                 mark = stack[-1][1]
             continue
-        own = _container(tag, m[3])
-        if tag == "header" and mark > 0:
-            own = 0
-        mark = mark if mark < 0 or own == 0 else own
+        mark = _inside(mark, _container(tag, m[3]), tag)
         stack.append((tag, mark))
     if found := flush():
         yield found
 
 
+def _own(text: str, linked: int, rules=Rules) -> str:
+    """good, near, short or bad, by links, length and stop words of a block."""
+    n = len(text)
+    if linked > rules.links * n:
+        return "bad"
+    if n < rules.short:
+        return "bad" if linked else "short"
+    words = WORD.findall(text.lower())
+    stop = sum(w in STOP for w in words) / max(1, len(words))
+    if stop >= rules.high:
+        return "good" if n > rules.long else "near"
+    return "near" if stop >= rules.low else "bad"
+
+
 def classify(found: list, rules=Rules) -> list[bool]:
     """Labels of blocks: True for main text. First by each block alone, then by neighbours."""
-    has_main = any(mark > 0 for *_, mark in found)
+    own = [_own(text, linked, rules) if mark > HIDDEN else "bad" for text, linked, _, mark in found]
+    size = lambda test: sum(len(b[0]) for b, x in zip(found, own) if test(b[3], x))
+    inside, outside = size(lambda m, x: m > 0 and x != "bad"), size(lambda m, x: m == 0 and x == "good")
+    # class words and forms do not hold where nothing else on the page can be main text
+    revived = not size(lambda m, x: m >= 0 and x == "good") and size(lambda m, x: m == UNLIKELY and x == "good") >= max(rules.revive, 1 + size(lambda m, x: m > 0))
+    # main text that is mostly outside of the marked container: a teaser
+    trusted = inside > outside or not outside and any(mark > 0 for *_, mark in found)
     labels: list[str] = []
-    for text, linked, heading, mark in found:
-        n = len(text)
-        density = linked / n
-        if mark < 0 or (has_main and mark == 0):
-            labels.append("bad")
-        elif mark > 0:
-            labels.append("bad" if density > rules.article_links and not heading else "good")
-        elif density > rules.links:
+    for (text, linked, heading, mark), x in zip(found, own):
+        if mark < UNLIKELY or (mark < 0 and not revived):
             labels.append("bad")
-        elif n < rules.short:
-            labels.append("bad" if linked else "short")
+        elif mark > 0:  # one step up: what would be short, near or without stop words needs a neighbour only
+            dense = linked > rules.article_links * len(text) and not (heading and trusted)
+            labels.append("bad" if dense else "good" if x == "good" else "near")
+        elif trusted and not revived:  # one step down
+            labels.append({"good": "good", "near": "short"}.get(x, "bad"))
         else:
-            words = WORD.findall(text.lower())
-            stop = sum(w in STOP for w in words) / max(1, len(words))
-            if stop >= rules.high:
-                labels.append("good" if n > rules.long else "near")
-            else:
-                labels.append("near" if stop >= rules.low else "bad")
+            labels.append(x)
     good = [x == "good" for x in labels]
     decided = [i for i, x in enumerate(labels) if x in ("good", "bad")]
     before, p = [None] * len(labels), None
