@@ -5,6 +5,8 @@ Every view is joins, aggregations and windows over facts of a whole estate at on
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..operators.settle import settled
@@ -46,10 +48,10 @@ def record_layout(facts: DataFrame) -> DataFrame:
     items = fact_table(facts, "data_item").withColumn("ord", F.row_number().over(Window.partitionBy("program").orderBy("ordinal")) - 1)
     items = items.withColumn("record", F.max(F.when(F.col("level").isin(1, 77), F.col("ord"))).over(Window.partitionBy("program").orderBy("ord").rowsBetween(Window.unboundedPreceding, 0)))
     times = items.select("program", "ord", F.col("above").alias("up"), F.greatest(F.col("occurs"), F.lit(1)).alias("times"))
-    chain = times
-    for _ in range(8):  # levels above an item
-        up = times.select("program", F.col("ord").alias("up"), F.col("up").alias("next"), F.col("times").alias("more"))
-        chain = chain.join(up, ["program", "up"], "left").select("program", "ord", F.col("next").alias("up"), (F.col("times") * F.coalesce("more", F.lit(1))).alias("times"))
+    chain = settled(times)
+    while not chain.where("up is not null").isEmpty():  # each round looks twice as many levels up
+        up = chain.select("program", F.col("ord").alias("up"), F.col("up").alias("next"), F.col("times").alias("more"))
+        chain = settled(chain.join(up, ["program", "up"], "left").select("program", "ord", F.col("next").alias("up"), (F.col("times") * F.coalesce("more", F.lit(1))).alias("times")))
     leaves = items.where("not is_group").join(chain.select("program", "ord", "times"), ["program", "ord"])
     blockers = items.groupBy("program", "record").agg(
         F.first(F.when(F.col("level").isin(1, 77), F.col("name")), ignorenulls=True).alias("record_name"),
@@ -150,7 +152,7 @@ def lineage(facts: DataFrame) -> DataFrame:
     return fact_table(facts, "lineage").drop("ordinal")
 
 
-def dynamic_calls(facts: DataFrame, most: int = 20) -> DataFrame:
+def dynamic_calls(facts: DataFrame) -> DataFrame:
     """How each dynamic call's target gets its value: the shortest way back over assignments from the operand to a fill from outside.
 
     outcome: artifact (an endpoint fills it), caller, called-program (may be filled by one), candidates, declared-candidates, chain-broken (not
@@ -162,12 +164,14 @@ def dynamic_calls(facts: DataFrame, most: int = 20) -> DataFrame:
     maybe = fact_table(facts, "call").select("program", F.explode("using").alias("item"), F.concat(F.lit("GET.PROGRAM."), "target").alias("event")).distinct()
     reach = settled(operands.select("program", "operand", F.col("operand").alias("item"), F.lit(0).alias("steps")))
     seen = wave = reach
-    for k in range(1, most):
+    for k in count(1):  # ends: an item is seen once for each operand
         wave = wave.join(back, ["program", "item"]).select("program", "operand", F.col("source").alias("item"), F.lit(k).alias("steps")).distinct().join(seen.select("program", "operand", "item"), ["program", "operand", "item"], "left_anti")
         wave = settled(wave)
         if wave.isEmpty():
             break
         seen = seen.unionByName(wave)
+        if k % 16 == 0:
+            seen = settled(seen)
     hit = seen.join(fills, ["program", "item"]).groupBy("program", "operand").agg(F.min(F.struct("steps", "event", "endpoint_type", "item")).alias("f"))
     soft = seen.join(maybe, ["program", "item"]).groupBy("program", "operand").agg(F.min(F.struct("steps", "event", "item")).alias("m"))
     out = operands.join(hit, ["program", "operand"], "left").join(soft, ["program", "operand"], "left")
@@ -216,19 +220,16 @@ def business_steps(facts: DataFrame) -> DataFrame:
     return fact_table(facts, "business_step").drop("ordinal")
 
 
-def perform_cycles(facts: DataFrame, most: int = 50) -> DataFrame:
+def perform_cycles(facts: DataFrame) -> DataFrame:
     """Paragraphs that can perform themselves, directly or through others: reachability by repeated equi-joins."""
     st = fact_table(facts, "state").select("program", F.col("state").alias("target"), F.col("paragraph").alias("callee"))
     e = fact_table(facts, "edge").where("kind = 'call'").join(fact_table(facts, "state").select("program", F.col("state").alias("source"), "paragraph"), ["program", "source"]).join(st, ["program", "target"])
     step = settled(e.select("program", F.col("paragraph").alias("a"), F.col("callee").alias("b")).distinct())
-    reach, size = step, -1
-    for _ in range(most):
-        more = reach.join(step.select("program", F.col("a").alias("b"), F.col("b").alias("c")), ["program", "b"]).select("program", "a", F.col("c").alias("b"))
+    reach, size, n = step, -1, step.count()
+    while n != size:  # each round doubles the length of the paths
+        more = reach.join(reach.select("program", F.col("a").alias("b"), F.col("b").alias("c")), ["program", "b"]).select("program", "a", F.col("c").alias("b"))
         reach = settled(reach.unionByName(more).distinct())
-        n = reach.count()
-        if n == size:
-            break
-        size = n
+        size, n = n, reach.count()
     return reach.where("a = b").select("program", F.col("a").alias("paragraph"))
 
 

@@ -6,8 +6,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from tallyframe.operators import foldplan
-from tallyframe.plans import machine, program_queries, samples
+from tallyframe.plans import machine, program_queries, samples, views
 from tallyframe.plans.parse import parse_programs
+from tallyframe.sources import estate
 from tallyframe.streaming import reactive
 from tests_support import program
 
@@ -51,3 +52,20 @@ def test_hot_group_in_order(spark):
     df = spark.range(n).select(F.lit(1).alias("k"), F.col("id").alias("i"), F.when(F.col("id") % 2 == 0, "O").otherwise("F").alias("ord_status"), F.lit(D("300000.10")).cast("decimal(9,2)").alias("ord_amt"))
     (r,) = foldplan.run(samples.ORDERS, df, ["k"], ["i"]).collect()
     assert (r.all_count, r.big_count, r.open_sum, r.net, r.last_status) == (n, n // 2, n // 2 * D("300000.10"), 0, "F")
+
+
+def test_estate_chains_of_any_depth(spark):
+    moves = "\n".join(f"    MOVE F{i + 1} TO F{i}" for i in range(25))
+    fields = "\n".join(f"01 F{i} PIC X(8)." for i in range(25))
+    calls = program(fields, f"M1.\n{moves}\n    CALL F0\n    STOP RUN.", linkage="01 F25 PIC X(8).")
+    levels = "01 REC.\n    02 G2 OCCURS 2.\n" + "\n".join(f"    {i:02d} G{i}." for i in range(3, 13)) + "\n    13 LEAF PIC X(3).\n    02 LAST1 PIC X."
+    n = 120
+    ring = "\n".join(f"P{i}.\n    PERFORM P{(i + 1) % n}." for i in range(n))
+    texts = [(k, t.replace("CASE1", k)) for k, t in (("CALLS", calls), ("DEEP", program(levels, "M1.\n    STOP RUN.")), ("RING", program("01 A PIC X.", f"M1.\n    PERFORM P0\n    STOP RUN.\n{ring}")))]
+    facts = estate.parse_estate(spark.createDataFrame(texts, "name string, text string")).cache()
+    got = {r.operand: (r.outcome, r.steps) for r in views.dynamic_calls(facts.where("program = 'CALLS'")).collect()}
+    assert got == {"F0": ("caller", 25)}
+    got = {r.name: (r.start, r.length, r.record_size) for r in views.record_layout(facts.where("program = 'DEEP'")).collect()}
+    assert got == {"LEAF": (1, 6, 7), "LAST1": (7, 1, 7)}
+    got = {r.paragraph for r in views.perform_cycles(facts.where("program = 'RING'")).collect()}
+    assert got == {f"P{i}" for i in range(n)}
