@@ -22,9 +22,18 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def minhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document (the least id) of each class linked on five-word shingles at 0.8 or more; of rows with one id, one. Rows without an id stay."""
-    kept = minhash.near_documents(docs).where("kept and doc_id is not null").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).unionByName(docs.where("doc_id is null"))
+    """One document (the least id) of each class linked on five-word shingles at 0.8 or more; of rows with one id and text, one. Different texts of one id are
+    documents of their own, in the order of their digests. Rows without an id stay."""
+    mark = free_name("text_digest", docs)
+    own = docs.where("doc_id is not null").withColumn(mark, F.coalesce(F.md5("text"), F.lit("")))
+    key = "doc_id"
+    if not own.groupBy("doc_id").agg(F.min(mark).alias("a"), F.max(mark).alias("b")).where("a <> b").isEmpty():
+        key = free_name("key", own)
+        keys = own.select("doc_id", mark).distinct().orderBy("doc_id", mark)
+        own = own.join(common.cut(keys.withColumn(key, F.monotonically_increasing_id()), "keys"), ["doc_id", mark])
+    kept = minhash.near_documents(own.select(F.col(key).alias("doc_id"), "text")).where("kept").select(F.col("doc_id").alias(key)).distinct()
+    rows = own.join(kept, key, "left_semi").dropDuplicates([key])
+    return rows.select(*(F.col(f"`{c}`") for c in docs.columns)).unionByName(docs.where("doc_id is null"))
 
 
 def suffix_array_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
