@@ -365,6 +365,13 @@ def join_keys(spark, sf_dir):
     return records.join_keys(a, table(spark, sf_dir, "customer").select("c_custkey", "c_name"), [("o_custkey", "c_custkey")]).select("o_orderkey", "c_name", "o_custkey")
 
 
+@query("SELECT o_orderkey, c_name, o_custkey FROM orders JOIN customer ON o_custkey = c_custkey")
+def join_keys_all(spark, sf_dir):
+    """join_keys on all orders."""
+    a = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
+    return records.join_keys(a, table(spark, sf_dir, "customer").select("c_custkey", "c_name"), [("o_custkey", "c_custkey")]).select("o_orderkey", "c_name", "o_custkey")
+
+
 @query("SELECT o_orderkey, COALESCE(c_name, '') AS c_name, c_custkey IS NULL AS invalid_key FROM orders LEFT JOIN customer ON o_custkey = c_custkey AND c_acctbal > 0")
 def keyed_read(spark, sf_dir):
     """Extension: keyed READ with INVALID KEY as an outer join."""

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tallyframe.operators import foldplan
-from tallyframe.plans import machine, program_queries, samples, views
+from tallyframe.plans import data_queries, machine, program_queries, samples, views
 from tallyframe.plans.parse import parse_programs
 from tallyframe.sources import estate
 from tallyframe.streaming import reactive
@@ -69,3 +69,8 @@ def test_estate_chains_of_any_depth(spark):
     assert got == {"LEAF": (1, 6, 7), "LAST1": (7, 1, 7)}
     got = {r.paragraph for r in views.perform_cycles(facts.where("program = 'RING'")).collect()}
     assert got == {f"P{i}" for i in range(n)}
+
+
+def test_all_orders_are_joined(spark):
+    got = data_queries.QUERIES["join_keys_all"](spark, SF).select("o_orderkey").collect()
+    assert sorted(r.o_orderkey for r in got) == sorted(r.o_orderkey for r in spark.read.parquet(f"{SF}/orders.parquet").select("o_orderkey").collect())
