@@ -5,14 +5,15 @@ each window of `length` bytes names one anchor, the least hash among its runs of
 window's bytes alone, so equal windows have equal anchors at equal distances; about 2 windows in (length - GRAM) start a new anchor.
 
 1. One scan writes a row for each anchor: hash of its leading GRAM bytes, a hash of its whole span (all windows that name it) and its place.
-2. Anchors whose leading bytes occur once cannot repeat and go. Anchors with equal spans are repeated as a whole; one stands for all.
-3. Where several spans share their leading bytes, the anchors' suffixes are put in order twice, by what follows the anchor and by what precedes
-   it: range partitions between splitters that Spark samples, a local multikey quicksort on 8-byte characters in each bucket, and a comparison
-   across bucket boundaries. A window that reaches d bytes back and length - d on is repeated if another span agrees that far
-   both ways. The longest agreement either way is the one with a neighbour in that order, which bounds the windows that can be repeated;
-   the agreements with the neighbours prove ranges of them.
+2. Anchors whose leading bytes occur once cannot repeat and go. Anchors whose spans seem equal form a class; two of a class stand for it (one, if it has no
+   other), so that copies of a hot group are not sorted over and over. Hashes only choose what is sorted.
+3. The suffixes of these anchors are put in order: range partitions between splitters that Spark samples, by what follows the anchor, its leading bytes
+   first; a local three-way multikey quicksort on characters of four symbols in each bucket; and a comparison across bucket boundaries. Where several spans share their
+   leading bytes, a second order goes by these and then by what precedes the anchor. A window that reaches d bytes back and length - d on is
+   repeated if another span agrees that far both ways. The longest agreement either way is the one with a neighbour in that order, which
+   bounds the windows that can be repeated; the agreements with the neighbours, byte by byte, prove ranges of them.
 4. Windows within the bound that no neighbour proves are compared by digest, with those of the spans that share their leading bytes.
-5. The ranges meet their texts in one join, where they are merged and cut out.
+5. What is proven for a class holds at each of its places; the ranges meet their texts in one join, where they are merged and cut out.
 No step holds a group of equal leading bytes in one task: aggregations combine before they shuffle, joins are
 sort-merge joins of two shuffled sides, and the orders are over all bytes, so range partitions split the largest group.
 """
@@ -90,7 +91,7 @@ def _anchor_rows(length: int):
     def run(batches):
         hasher = Hasher(CHUNK + length)
         for batch in batches:
-            ids, tags = batch.column("doc_id"), batch.column("tag")
+            ids, tags = batch.column("did"), batch.column("tag")
             raw = batch.column("raw")
             offsets = np.frombuffer(raw.buffers()[1], np.int32)[raw.offset : raw.offset + len(raw) + 1].astype(np.int64)
             data = np.frombuffer(raw.buffers()[2] or b"", np.uint8)
@@ -117,7 +118,7 @@ def _anchor_rows(length: int):
                     take = pa.array(text + lo_row)
                     place = ((a - starts[text] + lo) << 16) | ((a - first) << 8) | (last - first)
                     yield pa.RecordBatch.from_pydict(
-                        {"gram": pa.array(gram.view(np.int64)), "span": pa.array(span.view(np.int64)), "doc_id": ids.take(take), "tag": tags.take(take), "place": pa.array(place)}
+                        {"gram": pa.array(gram.view(np.int64)), "span": pa.array(span.view(np.int64)), "did": ids.take(take), "tag": tags.take(take), "place": pa.array(place)}
                     )
                 row = end
 
@@ -125,20 +126,20 @@ def _anchor_rows(length: int):
 
 
 def _contexts(length: int):
-    """One row for each span that must be compared: `after`, its bytes from the anchor on, and `before`, those before it, read backwards."""
+    """One row for each span that is compared: `after`, its bytes from the anchor on, and `before`, those before it, read backwards. Twice if its text is there twice."""
 
     def run(batches):
         for batch in batches:
-            out = {k: [] for k in ("gram", "copies", "doc_id", "tag", "place", "after", "before")}
-            for doc, tag, raw, spans in zip(batch.column("doc_id").to_pylist(), batch.column("tag").to_pylist(), batch.column("raw"), batch.column("spans").to_pylist()):
+            out = {k: [] for k in ("gram", "span", "place", "both", "after", "before")}
+            for raw, texts, spans in zip(batch.column("raw"), batch.column("texts").to_pylist(), batch.column("spans").to_pylist()):
                 raw = memoryview(raw.as_buffer())
                 for s in spans:
                     a, back, more = s["place"] >> 16, (s["place"] >> 8) & 255, s["place"] & 255
-                    for k, v in (("gram", s["gram"]), ("copies", s["copies"]), ("doc_id", doc), ("tag", tag), ("place", s["place"])):
-                        out[k].append(v)
-                    out["after"].append(bytes(raw[a : a - back + more + length]))
-                    out["before"].append(bytes(raw[a - back : a])[::-1])
-            kinds = {"after": pa.binary(), "before": pa.binary()}
+                    after, before = bytes(raw[a : a - back + more + length]), bytes(raw[a - back : a])[::-1]
+                    for twin in range(min(texts, 2)):
+                        for k, v in zip(out, (s["gram"], s["span"], s["place"], s["both"] and not twin, after, before)):
+                            out[k].append(v)
+            kinds = {"after": pa.binary(), "before": pa.binary(), "both": pa.bool_()}
             yield pa.RecordBatch.from_pydict({k: pa.array(v, kinds.get(k, pa.int64())) for k, v in out.items()})
 
     return run
@@ -152,31 +153,32 @@ def symbols(strings: list[bytes], width: int) -> np.ndarray:
     return out
 
 
-def multikey(first: np.ndarray, *then: np.ndarray) -> np.ndarray:
-    """The order of rows by (first, rows of symbols...).
+def multikey(*blocks: np.ndarray) -> np.ndarray:
+    """The order of rows by their symbols, block after block.
 
-    A multikey quicksort run breadth first: each level orders the rows that are still tied by their next character of four symbols
-    and splits the ties where it changes; rows that stand alone are not looked at again.
+    Multikey quicksort: a segment of rows that agree up to a character (four symbols) is split in three by a pivot at that character; the
+    middle part goes on with the next one. Segments of at most SMALL rows are finished by comparing what is left of the rows.
     """
-    order = np.argsort(first, kind="stable")
-    group = np.cumsum(np.r_[0, first[order][1:] != first[order][:-1]]) if len(order) else np.empty(0, np.int64)
-    for block in then:
-        chars = block.astype(">u2").view(">u8")
-        for level in range(chars.shape[1]):
-            tied = np.r_[False, group[1:] == group[:-1]]
-            tied |= np.r_[tied[1:], False]
-            at = np.flatnonzero(tied)
-            if not len(at):
-                return order
-            rows, g = order[at], group[at]
-            char = chars[rows, level].astype(np.uint64)
-            inner = np.lexsort((char, g))
-            order[at] = rows[inner]
-            char = char[inner]
-            new = np.zeros(len(order), bool)
-            new[at] = np.r_[False, char[1:] != char[:-1]]
-            new |= np.r_[False, group[1:] != group[:-1]]
-            group = np.cumsum(new)
+    wide = np.concatenate(blocks, axis=1).astype(">u2").view(">u8")
+    rows, width = [r.tobytes() for r in wide], wide.shape[1]
+    chars = wide.astype(np.uint64)
+    order = np.arange(len(rows))
+    todo = [(0, len(rows), 0)]
+    while todo:
+        lo, hi, at = todo.pop()
+        if hi - lo < 2 or at == width:
+            continue
+        some = order[lo:hi]
+        if hi - lo <= SMALL:
+            order[lo:hi] = sorted(some.tolist(), key=lambda i: rows[i][8 * at :])
+            continue
+        c = chars[some, at]
+        pivot = np.partition(c[:: max(1, len(c) // 9)], min(4, len(c) // 2))[min(4, len(c) // 2)]
+        less, more = c < pivot, c > pivot
+        same = ~(less | more)
+        i, j = lo + int(less.sum()), hi - int(more.sum())
+        order[lo:hi] = np.concatenate([some[less], some[same], some[more]])
+        todo += [(lo, i, at), (i, j, at + 1), (j, hi, at)]
     return order
 
 
@@ -186,12 +188,16 @@ def agreement(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.where(differ.any(axis=1), differ.argmax(axis=1), a.shape[1])
 
 
-def _proofs(rows: dict, i: np.ndarray, j: np.ndarray):
-    """Rows i against their neighbours j: agreement after and before the anchor, 0 where the leading bytes differ."""
-    after = agreement(rows["a"][i], rows["a"][j])
-    before = agreement(rows["b"][i], rows["b"][j])
-    same = rows["gram"][i] == rows["gram"][j]
-    return np.where(same, after, 0), np.where(same, before, 0)
+CONTEXT = {"gram": pa.int64(), "span": pa.int64(), "place": pa.int64(), "after": pa.binary(), "before": pa.binary()}
+ORDERED = "gram long, span long, place long, on long, back long, end long, after binary, before binary"
+
+
+def _held(batches, names) -> dict:
+    held = {k: [] for k in names}
+    for batch in batches:
+        for k, v in held.items():
+            v.extend(batch.column(k).to_pylist())
+    return held
 
 
 def _neighbours(length: int, backwards: bool):
@@ -200,86 +206,78 @@ def _neighbours(length: int, backwards: bool):
     def run(batches):
         from pyspark import TaskContext
 
-        held = {k: [] for k in ("gram", "doc_id", "tag", "place", "after", "before")}
-        for batch in batches:
-            for k, v in held.items():
-                v.extend(batch.column(k).to_pylist())
+        held = _held(batches, CONTEXT)
         if not held["gram"]:
             return
-        rows = {"gram": np.array(held["gram"]), "a": symbols(held["after"], length), "b": symbols(held["before"], length)}
-        order = multikey(rows["gram"], *((rows["b"], rows["a"]) if backwards else (rows["a"], rows["b"])))
-        yield from _compared(held, rows, order)
+        a, b = symbols(held["after"], length), symbols(held["before"], length)
+        order = multikey(a[:, :GRAM], b, a) if backwards else multikey(a, b)
+        yield from _compared(held, a, b, order[:-1], order[1:])
         task = TaskContext.get().partitionId()
-        ends = [int(order[0]), int(order[-1])]
-        yield _batch(held, ends, [0, 0], [0, 0], [2 * task, 2 * task + 1], True)
+        yield _batch(held, [int(order[0]), int(order[-1])], [0, 0], [0, 0], [2 * task, 2 * task + 1], True)
 
     return run
 
 
-def _compared(held, rows, order, near=None):
-    """Each row of the order against the next, told to both."""
-    for lo in range(0, len(order) - 1, 20_000):
-        i, j = order[lo : lo + 20_000], order[lo + 1 : lo + 20_001]
-        i = i[: len(j)]
-        if near is not None:
-            keep = near[lo : lo + len(i)]
-            i, j = i[keep], j[keep]
-        after, before = _proofs(rows, i, j)
-        keep = after > 0
+def _compared(held, a, b, left, right):
+    """Each row of `left` against the one of `right` in its place, told to both; rows whose leading bytes differ have nothing to tell."""
+    for lo in range(0, len(left), 20_000):
+        i, j = left[lo : lo + 20_000], right[lo : lo + 20_000]
+        after, before = agreement(a[i], a[j]), agreement(b[i], b[j])
+        keep = after >= GRAM
         i, j, after, before = i[keep], j[keep], after[keep], before[keep]
         if len(i):
             yield _batch(held, np.concatenate([i, j]).tolist(), np.tile(after, 2), np.tile(before, 2), [-1] * (2 * len(i)), False)
 
 
 def _batch(held, at, after, before, end, with_bytes):
-    ids = {k: pa.array([held[k][i] for i in at], pa.int64()) for k in ("gram", "doc_id", "tag", "place")}
+    ids = {k: pa.array([held[k][i] for i in at], pa.int64()) for k in ("gram", "span", "place")}
     text = {k: pa.array([held[k][i] for i in at] if with_bytes else [None] * len(at), pa.binary()) for k in ("after", "before")}
     return pa.RecordBatch.from_pydict(ids | {"on": pa.array(np.asarray(after, np.int64)), "back": pa.array(np.asarray(before, np.int64)), "end": pa.array(end, pa.int64())} | text)
 
 
 def _boundaries(length: int):
-    """All buckets' ends, in order: the last row of each bucket against the first of the next."""
+    """Ends of buckets in order: the last row of each bucket against the first of the next. The task's own first and last end are returned as well."""
 
     def run(batches):
-        held = {k: [] for k in ("gram", "doc_id", "tag", "place", "after", "before", "end")}
-        for batch in batches:
-            for k, v in held.items():
-                v.extend(batch.column(k).to_pylist())
+        held = _held(batches, (*CONTEXT, "end"))
         if not held["gram"]:
             return
-        rows = {"gram": np.array(held["gram"]), "a": symbols(held["after"], length), "b": symbols(held["before"], length)}
-        order = np.argsort(np.array(held["end"]), kind="stable")
-        near = np.array(held["end"])[order][:-1] % 2 == 1
-        yield from _compared(held, rows, order, near)
+        a, b = symbols(held["after"], length), symbols(held["before"], length)
+        ends = np.array(held["end"])
+        order = np.argsort(ends, kind="stable")
+        near = np.flatnonzero((ends[order][:-1] % 2 == 1) & (ends[order][1:] % 2 == 0))
+        yield from _compared(held, a, b, order[near], order[near + 1])
+        at = [int(order[0]), int(order[-1])]
+        yield _batch(held, at, [0, 0], [0, 0], ends[at].tolist(), True)
 
     return run
 
 
 def _settle(length: int):
-    """One row for each span with the agreements of its neighbours: proven ranges of bytes, and what is left open as (least, greatest) d."""
+    """One row for each class with the agreements of its neighbours: proven ranges of bytes from the anchor on, and what is left open as (least, greatest) d."""
 
     def run(batches):
         for batch in batches:
-            ranges = {k: [] for k in ("gram", "doc_id", "tag", "place", "lo", "hi", "open")}
+            ranges = {k: [] for k in ("gram", "span", "lo", "hi", "open")}
 
-            def add(g, doc, tag, place, lo, hi, is_open):
-                for k, v in zip(ranges, (g, doc, tag, place, lo, hi, is_open)):
+            def add(g, span, lo, hi, is_open):
+                for k, v in zip(ranges, (g, span, lo, hi, is_open)):
                     ranges[k].append(v)
 
-            for g, doc, tag, place, pairs in zip(*(batch.column(c).to_pylist() for c in ("gram", "doc_id", "tag", "place", "pairs"))):
-                a, most = place >> 16, (place >> 8) & 255
+            for g, span, place, pairs in zip(*(batch.column(c).to_pylist() for c in ("gram", "span", "place", "pairs"))):
+                most = (place >> 8) & 255
                 least = most - (place & 255)
                 low = max(least, length - max(p["on"] for p in pairs))
                 high = min(most, max(p["back"] for p in pairs))
                 proven = merged((max(low, length - p["on"]), min(high, p["back"]) + 1) for p in pairs if max(low, length - p["on"]) <= min(high, p["back"]))
                 at = low
                 for lo, hi in proven:  # of d
-                    add(g, doc, tag, place, a - hi + 1, a - lo + length, False)
+                    add(g, span, 1 - hi, length - lo, False)
                     if at < lo:
-                        add(g, doc, tag, place, at, lo - 1, True)
+                        add(g, span, at, lo - 1, True)
                     at = hi
                 if at <= high:
-                    add(g, doc, tag, place, at, high, True)
+                    add(g, span, at, high, True)
             yield pa.RecordBatch.from_pydict({k: pa.array(v, pa.bool_() if k == "open" else pa.int64()) for k, v in ranges.items()})
 
     return run
@@ -290,13 +288,13 @@ def _window_digests(length: int):
 
     def run(batches):
         for batch in batches:
-            out = {k: [] for k in ("gram", "doc_id", "tag", "place", "d", "wanted", "digest")}
-            names = ("gram", "doc_id", "tag", "place", "after", "before", "lo", "hi", "wanted")
-            for g, doc, tag, place, after, before, lo, hi, wanted in zip(*(batch.column(c).to_pylist() for c in names)):
+            out = {k: [] for k in ("gram", "span", "d", "wanted", "digest")}
+            names = ("gram", "span", "place", "after", "before", "lo", "hi", "wanted")
+            for g, span, place, after, before, lo, hi, wanted in zip(*(batch.column(c).to_pylist() for c in names)):
                 least = ((place >> 8) & 255) - (place & 255)
                 for d in range(max(lo, least), min(hi, len(before)) + 1):
                     text = before[:d][::-1] + after[: length - d]
-                    for k, v in zip(out, (g, doc, tag, place, d, wanted, hashlib.blake2b(text, digest_size=16).digest())):
+                    for k, v in zip(out, (g, span, d, wanted, hashlib.blake2b(text, digest_size=16).digest())):
                         out[k].append(v)
             kinds = {"wanted": pa.bool_(), "digest": pa.binary()}
             yield pa.RecordBatch.from_pydict({k: pa.array(v, kinds.get(k, pa.int64())) for k, v in out.items()})
@@ -316,66 +314,77 @@ def merged(ranges) -> list[tuple[int, int]]:
     return out
 
 
-SPAN = ["gram", "doc_id", "tag", "place"]
-#: Rows of a bucket, about.
-BUCKET = 25_000
+#: A class of spans.
+SPAN = ["gram", "span"]
+#: Rows of a bucket, about, and of the segments that multikey() leaves to comparisons.
+BUCKET, SMALL = 25_000, 48
 
 
 def _in_order(context: DataFrame, length: int, backwards: bool, parts: int) -> DataFrame:
-    """gram, doc_id, tag, place, on, back: agreements of each span with its neighbours in one of the two orders."""
-    keys = ("before", "after") if backwards else ("after", "before")
-    fields = "gram long, doc_id long, tag long, place long, on long, back long, end long, after binary, before binary"
-    bucket = context.select(*SPAN, "after", "before").repartitionByRange(parts, "gram", *keys)
-    found = cut(bucket.mapInArrow(_neighbours(length, backwards), fields), "order")
-    # two rows for each bucket
-    ends = found.where("end >= 0").repartition(1).mapInArrow(_boundaries(length), fields)
-    return found.where("end < 0").unionByName(ends).select(*SPAN, "on", "back")
+    """gram, span, place, on, back: agreements of each span with its neighbours in one of the two orders."""
+    keys = (F.substring("after", 1, GRAM), "before", "after") if backwards else ("after", "before")
+    found = cut(context.select(*CONTEXT).repartitionByRange(parts, *keys).mapInArrow(_neighbours(length, backwards), ORDERED), "order")
+    told = found.where("end < 0").select(*SPAN, "place", "on", "back")
+    ends, tasks = found.where("end >= 0"), parts
+    while True:  # two ends for each task of the level below; the last level is one task of at most BUCKET rows
+        tasks = -(-2 * tasks // BUCKET)
+        level = ends.repartition(1) if tasks == 1 else ends.repartitionByRange(tasks, "end")
+        level = cut(level.mapInArrow(_boundaries(length), ORDERED), "ends")
+        told = told.unionByName(level.where("on > 0").select(*SPAN, "place", "on", "back"))
+        if tasks == 1:
+            return told
+        ends = level.where("on = 0")
+
+
+def _rows(docs: DataFrame) -> DataFrame:
+    """did and tag tell texts apart: the id (0 for null) and a hash of the text and of whether the id is null."""
+    text = F.coalesce(F.col("text").cast("binary"), F.lit(b""))
+    return docs.select("doc_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("did"), F.xxhash64("text", F.col("doc_id").isNull()).alias("tag"), text.alias("raw"))
 
 
 def repeated_ranges(docs: DataFrame, length: int = 200) -> DataFrame:
-    """docs (doc_id long, text string): (doc_id, tag, lo, hi), ranges of bytes of text that lie in repeated strings; they may overlap.
+    """docs (doc_id long, text string): (did, tag, lo, hi), ranges of bytes of text that lie in repeated strings; they may overlap. did and tag as in _rows().
 
-    tag is xxhash64 of the text, so that rows with equal or null ids stay apart. Between GRAM + 8 and 256 bytes of length are possible.
+    Between GRAM + 8 and 256 bytes of length are possible.
     """
     if not GRAM + 8 <= length <= 256:
         raise ValueError("length out of range")
     small_batches(docs.sparkSession)
-    rows = docs.select("doc_id", F.xxhash64("text").alias("tag"), F.coalesce(F.col("text").cast("binary"), F.lit(b"")).alias("raw"))
-    schema = "gram long, span long, doc_id long, tag long, place long"
-    every = cut(rows.mapInArrow(_anchor_rows(length), schema), "anchors")
+    rows = _rows(docs).select("did", "tag", "raw")
+    every = cut(rows.mapInArrow(_anchor_rows(length), "gram long, span long, did long, tag long, place long"), "anchors")
     twice = cut(every.groupBy("gram").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("gram"), "twice")
     shared = cut(every.join(twice, "gram"), "shared")
     drop(every)
-    spans = cut(shared.groupBy("gram", "span").agg(F.count(F.lit(1)).alias("copies"), F.min(F.struct("doc_id", "tag", "place")).alias("one")), "spans")
-    whole = shared.join(spans.where("copies > 1").select("gram", "span"), ["gram", "span"])
-    first = F.shiftright("place", 16) - F.shiftright("place", 8).bitwiseAND(255)
-    whole = whole.select("doc_id", "tag", first.alias("lo"), (first + F.col("place").bitwiseAND(255) + length).alias("hi"))
-    mixed = cut(spans.groupBy("gram").agg(F.count(F.lit(1)).alias("members"), F.min("copies").alias("least")).where("members > 1 and least = 1").select("gram"), "mixed")
-    todo = spans.join(mixed, "gram").select("one.doc_id", "one.tag", F.struct("gram", "copies", F.col("one.place").alias("place")).alias("s"))
-    by_text = todo.groupBy("doc_id", "tag").agg(F.collect_list("s").alias("spans"))
-    # rows with equal id and text give equal contexts: any one will do
-    context = rows.join(by_text, (rows.doc_id.eqNullSafe(by_text.doc_id)) & (rows.tag == by_text.tag)).select(rows.doc_id, rows.tag, "raw", "spans")
-    context = cut(context.mapInArrow(_contexts(length), "gram long, copies long, doc_id long, tag long, place long, after binary, before binary").dropDuplicates(SPAN), "contexts")
-    parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-context.count() // BUCKET))
-    pairs = _in_order(context, length, False, parts).unionByName(_in_order(context, length, True, parts))
-    pairs = pairs.groupBy(*SPAN).agg(F.collect_set(F.struct("on", "back")).alias("pairs"))
-    settled = cut(pairs.mapInArrow(_settle(length), "gram long, doc_id long, tag long, place long, lo long, hi long, open boolean"), "settled")
-    proven = settled.where("not open").select("doc_id", "tag", "lo", "hi")
-    undecided = settled.where("open")
-    out = whole.unionByName(proven)
+    one = F.struct("did", "tag", "place")
+    spans = cut(shared.groupBy(*SPAN).agg(F.count(F.lit(1)).alias("copies"), F.min(one).alias("first"), F.max(one).alias("last")), "spans")
+    # leading bytes of several spans, one of which is not repeated as a whole
+    mixed = cut(spans.groupBy("gram").agg(F.count(F.lit(1)).alias("members"), F.min("copies").alias("least")).where("members > 1 and least = 1").select("gram", F.lit(True).alias("mixed")), "mixed")
+    todo = spans.join(mixed, "gram", "left").select(*SPAN, "first", F.coalesce("mixed", F.lit(False)).alias("both"), F.explode(F.array_distinct(F.array("first", "last"))).alias("one"))
+    todo = todo.select("one.did", "one.tag", F.struct(*SPAN, F.col("one.place").alias("place"), (F.col("both") & (F.col("one") == F.col("first"))).alias("both")).alias("s"))
+    by_text = todo.groupBy("did", "tag").agg(F.collect_list("s").alias("spans"))
+    texts = rows.groupBy("did", "tag").agg(F.first("raw").alias("raw"), F.count(F.lit(1)).alias("texts"))
+    context = texts.join(by_text, ["did", "tag"]).select("raw", "texts", "spans")
+    context = cut(context.mapInArrow(_contexts(length), "gram long, span long, place long, both boolean, after binary, before binary"), "contexts")
+    least = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = [max(least, -(-n // BUCKET)) for n in context.agg(F.count(F.lit(1)), F.count_if("both")).first()]
+    pairs = _in_order(context, length, False, parts[0]).unionByName(_in_order(context.where("both"), length, True, parts[1]))
+    pairs = pairs.groupBy(*SPAN).agg(F.min("place").alias("place"), F.collect_set(F.struct("on", "back")).alias("pairs"))
+    settled = cut(pairs.mapInArrow(_settle(length), "gram long, span long, lo long, hi long, open boolean"), "settled")
+    proven, undecided = settled.where("not open").drop("open"), settled.where("open").drop("open")
     if not undecided.isEmpty():
         # what is open, and all windows at these distances of the spans with the same leading bytes
         reach = cut(undecided.groupBy("gram").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")), "reach")
-        partners = context.join(reach, "gram").select(*SPAN, "after", "before", "lo", "hi", F.lit(False).alias("wanted"))
-        same = [context[c].eqNullSafe(undecided[c]) for c in SPAN]
-        asked = context.join(undecided, same[0] & same[1] & same[2] & same[3]).select(*(context[c] for c in SPAN), "after", "before", "lo", "hi", F.lit(True).alias("wanted"))
-        windows = partners.unionByName(asked).mapInArrow(_window_digests(length), "gram long, doc_id long, tag long, place long, d long, wanted boolean, digest binary")
+        names = [*SPAN, "place", "after", "before", "lo", "hi"]
+        partners = context.join(reach, "gram").select(*names, F.lit(False).alias("wanted"))
+        asked = context.join(undecided, SPAN).select(*names, F.lit(True).alias("wanted"))
+        windows = partners.unionByName(asked).mapInArrow(_window_digests(length), "gram long, span long, d long, wanted boolean, digest binary")
         windows = cut(windows, "windows")
         again = cut(windows.where("not wanted").groupBy("digest").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("digest"), "again")
-        start = F.shiftright("place", 16) - F.col("d")
-        out = out.unionByName(windows.where("wanted").join(again, "digest").select("doc_id", "tag", start.alias("lo"), (start + length).alias("hi")))
-    out = cut(out, "ranges")
+        proven = proven.unionByName(windows.where("wanted").join(again, "digest").select(*SPAN, (-F.col("d")).alias("lo"), (length - F.col("d")).alias("hi")))
+    anchor = F.shiftright("place", 16)
+    out = cut(shared.join(proven, SPAN).select("did", "tag", (anchor + F.col("lo")).alias("lo"), (anchor + F.col("hi")).alias("hi")), "ranges")
     drop(shared)
+    drop(context)
     return out
 
 
@@ -408,9 +417,8 @@ def _digest_only(batches):
 
 
 def _with_ranges(docs: DataFrame, length: int) -> DataFrame:
-    ranges = repeated_ranges(docs, length).groupBy("doc_id", "tag").agg(F.collect_set(F.struct("lo", "hi")).alias("ranges"))
-    rows = docs.select("doc_id", F.xxhash64("text").alias("tag"), F.coalesce(F.col("text").cast("binary"), F.lit(b"")).alias("raw"))
-    return rows.join(ranges, (rows.doc_id.eqNullSafe(ranges.doc_id)) & (rows.tag == ranges.tag), "left").select(rows.doc_id, "raw", "ranges")
+    ranges = repeated_ranges(docs, length).groupBy("did", "tag").agg(F.collect_set(F.struct("lo", "hi")).alias("ranges"))
+    return _rows(docs).join(ranges, ["did", "tag"], "left").select("doc_id", "raw", "ranges")
 
 
 def remove_repeats(docs: DataFrame, length: int = 200) -> DataFrame:
@@ -436,10 +444,13 @@ def without_repeats(docs: DataFrame, length: int = 200) -> DataFrame:
 
     A character cut in two goes as a whole. Columns of docs may have any names.
     """
-    ranges = repeated_ranges(docs, length).groupBy("doc_id", "tag").agg(F.collect_set(F.struct("lo", "hi")).alias("ranges"))
+    ranges = repeated_ranges(docs, length).groupBy("did", "tag").agg(F.collect_set(F.struct("lo", "hi")).alias("ranges"))
     others = F.struct(*(F.col(f"`{c}`") for c in docs.columns if c != "text"))
-    rows = docs.select("doc_id", others.alias("others"), F.xxhash64("text").alias("tag"), F.col("text").isNull().alias("null"), F.coalesce(F.col("text").cast("binary"), F.lit(b"")).alias("raw"))
-    joined = rows.join(ranges, (rows.doc_id.eqNullSafe(ranges.doc_id)) & (rows.tag == ranges.tag), "left").select(rows.doc_id, "others", "null", "raw", "ranges")
+    wide = docs.select("doc_id", "text", others.alias("others"))
+    rows = wide.select(
+        "doc_id", "others", F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("did"), F.xxhash64("text", F.col("doc_id").isNull()).alias("tag"), F.col("text").isNull().alias("null"), F.coalesce(F.col("text").cast("binary"), F.lit(b"")).alias("raw")
+    )
+    joined = rows.join(ranges, ["did", "tag"], "left").select("doc_id", "others", "null", "raw", "ranges")
     return joined.mapInArrow(_rewrite, T.StructType([joined.schema["others"], T.StructField("text", T.StringType()), T.StructField("removed", T.LongType())]))
 
 
