@@ -22,31 +22,21 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def minhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document (the least id) of each class linked on five-word shingles at 0.8 or more; of rows with one id and text, one. Different texts of one id are
-    documents of their own, in the order of their digests. Rows without an id stay."""
-    mark = free_name("text_digest", docs)
-    own = docs.where("doc_id is not null").withColumn(mark, F.coalesce(F.md5("text"), F.lit("")))
-    key = "doc_id"
-    if not own.groupBy("doc_id").agg(F.min(mark).alias("a"), F.max(mark).alias("b")).where("a <> b").isEmpty():
-        key = free_name("key", own)
-        keys = own.select("doc_id", mark).distinct().orderBy("doc_id", mark)
-        own = own.join(common.cut(keys.withColumn(key, F.monotonically_increasing_id()), "keys"), ["doc_id", mark])
-    kept = minhash.near_documents(own.select(F.col(key).alias("doc_id"), "text")).where("kept").select(F.col("doc_id").alias(key)).distinct()
-    rows = own.join(kept, key, "left_semi").dropDuplicates([key])
-    return rows.select(*(F.col(f"`{c}`") for c in docs.columns)).unionByName(docs.where("doc_id is null"))
+    """One document (the least id) of each class linked on five-word shingles at 0.8 or more. Different texts of one id are documents of their own; rows
+    without words stay."""
+    return minhash.one_of_each(docs)
 
 
 def suffix_array_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without their repeated strings of 200 bytes; documents of which only white space is left go."""
-    out = suffix_dedup.without_repeats(docs).where("removed = 0 or trim(text) <> ''")
+    out = suffix_dedup.without_repeats(docs).where(F.expr("removed = 0") | F.col("text").rlike(r"\S"))
     own = {"text": F.col("text"), "n_chars": F.when(F.col("removed") > 0, F.length("text").cast("long")).otherwise(F.col("others.n_chars"))} if "n_chars" in docs.columns else {"text": F.col("text")}
     return out.select(*(own.get(c, F.col(f"others.`{c}`")).alias(c) for c in docs.columns))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The most even mix that repeats no source more than twice and keeps every document; a row for each copy."""
-    rows = docs.select("doc_id", "text", "source", F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
-    return mixing.realised(mixing.mix(rows, max_passes=2.0)).select("row.*")
+    return mixing.realise(docs, max_passes=2.0)
 
 
 def pack_windows(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -6,18 +6,20 @@ import tempfile
 import uuid
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 MASK64 = (1 << 64) - 1
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where it is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or, in local mode only, one of our own where it is unset."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if found:
         return found.rstrip("/")
     own = getattr(spark, "_tallyframe_shared", None)
     if own is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         own = "file://" + tempfile.mkdtemp(prefix="tallyframe-")
         spark._tallyframe_shared = own
     return own
@@ -28,8 +30,12 @@ def table_path(spark: SparkSession, name: str) -> str:
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Bounds what Python holds of a partition at once; texts can be long."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
+    """Bounds what Python holds of a partition at once, as texts can be long; a bound of the session that is smaller stays.
+
+    Spark reads the bound when a plan runs, so it holds for the session.
+    """
+    if not 0 < int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= 2000:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "8m")
 
 
@@ -52,6 +58,11 @@ def drop(df: DataFrame) -> None:
     where.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def told_apart(id_column: str = "doc_id") -> tuple[Column, Column]:
+    """did and tag of a text: the id (0 for null) and a hash of the text and of whether the id is null. Neither is ever null, so they join plainly."""
+    return F.coalesce(F.col(id_column).cast("long"), F.lit(0)).alias("did"), F.xxhash64("text", F.col(id_column).isNull()).alias("tag")
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 

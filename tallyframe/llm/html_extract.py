@@ -8,6 +8,7 @@ One scan, no shuffle; every row is independent, and a page costs memory in propo
 from __future__ import annotations
 
 import re
+from collections import Counter
 from html import unescape
 
 import pyarrow as pa
@@ -22,6 +23,8 @@ ATTR = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+))
 WORD = re.compile(r"[^\W\d_]+")
 #: Elements whose content is no text of the page.
 RAW = {"script", "style", "title", "textarea", "noscript", "template", "svg", "math", "iframe", "object", "select", "option", "button", "audio", "video", "canvas", "noembed", "noframes", "xmp"}
+RAW_END = {tag: re.compile(rf"</{tag}(?=[\s/>])[^>]*>?", re.I) for tag in RAW}
+LINK = re.compile(r"<(/?)a(?=[\s/>])", re.I)
 BLOCK = set("address article aside blockquote body caption center col colgroup dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li link main menu meta nav ol optgroup p pre section summary table tbody td tfoot th thead tr ul br".split())
 HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 #: Containers that are seldom main text, and those that mostly are.
@@ -102,18 +105,40 @@ def _inside(mark: int, own: int, tag: str) -> int:
     return mark if own == OPEN else own
 
 
+def _closed_links(html: str) -> set[int]:
+    """Where the links start that are closed before the next one starts."""
+    out, at = set(), None
+    for m in LINK.finditer(html):
+        if not m[1]:
+            at = m.start()
+        elif at is not None:
+            out.add(at)
+            at = None
+    return out
+
+
 def blocks(html: str):
     """Yields (text, link characters, heading?, container mark) of the blocks in page order; texts are never empty.
 
     The mark is below 0 inside a container that is hardly main text, 1 inside one that mostly is, else 0; the lowest wins, but a `header` inside main text says nothing,
-    and neither does a class word outside an `article`.
+    and neither does a class word outside an `article`. Time is in proportion to the page, however its tags nest or stay open.
     """
     parts: list[str] = []
     linked = anchors = 0
     heading = False
     stack: list[tuple[str, int]] = []  # open containers
+    depth: Counter = Counter()  # open containers by name
+    endless: set[str] = set()  # raw elements that are never closed from here on
+    whole = _closed_links(html)
     mark = at = 0
 
+    def pop() -> None:
+        depth[stack.pop()[0]] -= 1
+
+    def push(tag: str, mark: int) -> None:
+        stack.append((tag, mark))
+        depth[tag] += 1
+
     def flush():
         text = "".join(parts)
         parts.clear()
@@ -135,11 +160,13 @@ def blocks(html: str):
             continue
         tag, closing = tag.lower(), bool(m[1])
         if tag == "a":
-            anchors = 0 if closing else 1
+            anchors = 0 if closing else 1 if m.start() in whole else 2
             continue
         if tag in RAW and not closing:
             if not m[3].rstrip(">").endswith("/"):
-                done = re.compile(rf"</{tag}(?=[\s/>])[^>]*>?", re.I).search(html, at)
+                done = None if tag in endless else RAW_END[tag].search(html, at)
+                if done is None:
+                    endless.add(tag)
                 at = done.end() if done else (len(html) if tag in ("script", "style", "title", "textarea", "xmp") else at)
             continue
         if tag not in BLOCK:
@@ -150,32 +177,35 @@ def blocks(html: str):
         if found := flush():
             yield found
         linked = 0
+        if anchors == 2:  # a link that is never closed ends with its block
+            anchors = 0
         if closing:
             heading = False
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == tag:
-                    del stack[i:]
-                    mark = stack[-1][1] if stack else 0
-                    break
+            if depth[tag]:
+                while stack[-1][0] != tag:
+                    pop()
+                pop()
+                mark = stack[-1][1] if stack else 0
             continue
         heading = tag in HEADINGS
         if tag in VOID:
             continue
         if tag == "body":
             stack.clear()
+            depth.clear()
             mark = 0
         if tag == "p" or tag in HEADINGS or tag == "li":
             # ends an open sibling; only worth a place on the stack if it says something
             own = _container(tag, m[3])
             if stack and stack[-1][0] == tag:
-                stack.pop()
+                pop()
                 mark = stack[-1][1] if stack else 0
             if own:
-                stack.append((tag, _inside(mark, own, tag)))
-                mark = stack[-1][1]
+                mark = _inside(mark, own, tag)
+                push(tag, mark)
             continue
         mark = _inside(mark, _container(tag, m[3]), tag)
-        stack.append((tag, mark))
+        push(tag, mark)
     if found := flush():
         yield found
 
@@ -221,6 +251,9 @@ def classify(found: list, rules=Rules) -> list[bool]:
         before[i] = p
         if x in ("good", "bad"):
             p = i
+    any_good, up_to = any(good), [0]
+    for text, *_ in found:
+        up_to.append(up_to[-1] + len(text))
     p = None
     for i in range(len(labels) - 1, -1, -1):
         if labels[i] in ("good", "bad"):
@@ -235,11 +268,13 @@ def classify(found: list, rules=Rules) -> list[bool]:
         if kinds == {"good"}:
             good[i] = True
         elif kinds == {"bad"}:
-            good[i] = labels[i] == "near" and not any(x == "good" for x in labels)
+            good[i] = labels[i] == "near" and not any_good
         elif labels[i] == "near":
             good[i] = True
         elif found[i][2]:  # a heading goes with what follows
-            good[i] = right is not None and labels[right] == "good" and sum(len(found[j][0]) for j in range(i + 1, right)) <= rules.heading_reach
+            good[i] = right is not None and labels[right] == "good" and up_to[right] - up_to[i + 1] <= rules.heading_reach
+        elif sides[0][0] == sides[1][0]:  # between text and something else: a sentence goes with the text
+            good[i] = found[i][0][-1] in ".!?:\u2026"
         else:
             good[i] = labels[min(sides)[1]] == "good"
     return good

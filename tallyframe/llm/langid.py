@@ -2,8 +2,8 @@
 
 Languages get codewords; one binary logistic classifier for each bit predicts it from the mean weight of the text's hashed byte
 trigrams. Decoding adds the logistic losses of the margins against every codeword and takes the least; a
-second codeword within `margin` flags the row as ambiguous. Training sees a bounded sample of labelled rows (`max_rows`, chosen by
-a hash of the id) in one task; scoring reads every whole text.
+second codeword within `margin` flags the row as ambiguous. Training sees a bounded sample of labelled rows (at most `max_rows`, the same number of each
+language as far as it has so many, chosen by a hash of the id) in one task; scoring reads every whole text.
 """
 
 from __future__ import annotations
@@ -12,7 +12,7 @@ import re
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from .common import documents, fold, small_batches
 
@@ -73,12 +73,26 @@ def _learn(bits: int, epochs: int, rate: float):
 
 
 def train(rows: DataFrame, bits: int = 16, max_rows: int = 4_000, epochs: int = 2, rate: float = 0.3):
-    """(languages, codewords, weights, bias) from at most max_rows rows of rows (doc_id, text, lang); null texts and languages teach nothing."""
+    """(languages, codewords, weights, bias) from at most max_rows rows of rows (doc_id, text, lang); null texts, ids and languages teach nothing.
+
+    Every language has max_rows / languages ids or all it has; more than max_rows languages raise ValueError. Of several rows of one id the one with the least hash teaches.
+    """
     small_batches(rows.sparkSession)
     order = F.xxhash64("doc_id")
-    ids = rows.where("lang is not null and doc_id is not null").select("doc_id").orderBy(order, "doc_id").limit(max_rows).distinct()
-    sample = rows.where("text is not null and lang is not null").join(F.broadcast(ids), "doc_id", "left_semi")
-    one = sample.withColumn("o", order).repartition(1).sortWithinPartitions("o", "doc_id", "text", "lang").select("text", "lang")
+    known = rows.where("text is not null and lang is not null and doc_id is not null")
+    sizes = known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).limit(max_rows + 1).collect()
+    if len(sizes) > max_rows:
+        raise ValueError(f"more than {max_rows} languages")
+    share = max_rows // max(1, len(sizes))
+    # ids under a threshold of the hash: half as many again as wanted and a few, so that the window below holds a bounded sample
+    limit = rows.sparkSession.createDataFrame([(r.lang, min(1.0, (1.5 * share + 100) / r.n)) for r in sizes], "lang string, part double")
+    some = known.select("doc_id", "lang").join(F.broadcast(limit), "lang").where((F.pmod(order, F.lit(1 << 53)) / float(1 << 53)) < F.col("part"))
+    place = F.row_number().over(Window.partitionBy("lang").orderBy(order, "doc_id"))
+    ids = some.select("doc_id", "lang").distinct().withColumn("place", place).where(F.col("place") <= share).select("doc_id").distinct()
+    # at most max_rows ids: a proven bound
+    sample = known.select("doc_id", "text", "lang").join(F.broadcast(ids), "doc_id", "left_semi")
+    sample = sample.groupBy("doc_id").agg(F.min_by(F.struct("text", "lang"), F.xxhash64("text", "lang")).alias("r")).select("doc_id", "r.*")
+    one = sample.withColumn("o", order).repartition(1).sortWithinPartitions("o", "doc_id").select("text", "lang")
     found = one.mapInArrow(_learn(bits, epochs, rate), "langs array<string>, weights binary, bias array<double>").first()
     if found is None:
         return [], codewords(0), np.zeros((1 << bits, 1), np.float32), np.zeros(1)

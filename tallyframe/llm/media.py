@@ -1,10 +1,11 @@
 """Media columns: payloads stored as grey-scale PNG members of archives, read back through a Python data source.
 
 Format "media_archive". Writing packs rows (key long, payload binary) into archives, one or more for each task, under names that
-hold the attempt; the driver's commit writes the manifest of committed archives last, so retried and lost tasks leave nothing
-that a reader sees. An archive is the members one after another, followed by an index of (key, offset, length, crc32) rows and a
-footer. Reading plans byte-range partitions over the manifest's archives: a partition owns the members that
-start in its range, reads them in runs, streams Arrow batches, and fetches a member again by its own offset when its
+hold the attempt; the driver's commit writes a manifest of its archives last, so retried and lost tasks leave nothing
+that a reader sees. Every commit has a manifest of its own: appending adds to what is there, overwriting takes the other manifests away. An archive is the members one after another, followed by an index of (key, offset, length, crc32) rows and a
+footer. Reading plans byte-range partitions over the manifests' archives, a large one in several, small ones together, and never more than a bound:
+beyond it ranges grow. A partition owns the members that
+start in its ranges, reads them in runs, streams Arrow batches, and fetches a member again by its own offset when its
 read comes short or its checksum fails. Paths go through pyarrow.fs, so file, S3, GCS and HDFS addresses work.
 """
 
@@ -73,6 +74,12 @@ def _fs(path: str):
     return fs.FileSystem.from_uri(path)
 
 
+def _manifests(fs, root: str) -> list[str]:
+    from pyarrow.fs import FileSelector
+
+    return sorted(f.path for f in fs.get_file_info(FileSelector(root)) if f.path.endswith(".manifest"))
+
+
 class _Commit(WriterCommitMessage):
     def __init__(self, archives):
         self.archives = archives  # (file name, bytes of members, members)
@@ -81,8 +88,8 @@ class _Commit(WriterCommitMessage):
 class MediaWriter(DataSourceArrowWriter):
     """Archives of at most about max_mb of members."""
 
-    def __init__(self, path: str, max_mb: int):
-        self.path, self.max_bytes = path, max_mb << 20
+    def __init__(self, path: str, max_mb: int, overwrite: bool = False):
+        self.path, self.max_bytes, self.overwrite = path, max_mb << 20, overwrite
 
     def write(self, batches):
         import uuid
@@ -121,8 +128,11 @@ class MediaWriter(DataSourceArrowWriter):
         fs, root = _fs(self.path)
         fs.create_dir(root, recursive=True)
         archives = [a for m in messages if m is not None for a in m.archives]
-        with fs.open_output_stream(f"{root}/_manifest.json") as out:
+        before = _manifests(fs, root) if self.overwrite else []
+        with fs.open_output_stream(f"{root}/{uuid.uuid4().hex}.manifest") as out:
             out.write(json.dumps(archives).encode())
+        for name in before:
+            fs.delete_file(name)
 
     def abort(self, messages):
         fs, root = _fs(self.path)
@@ -134,35 +144,48 @@ class MediaWriter(DataSourceArrowWriter):
                     pass
 
 
-class _Range(InputPartition):
-    def __init__(self, name, lo, hi, end, members):
-        self.name, self.lo, self.hi, self.end, self.members = name, lo, hi, end, members
+class _Ranges(InputPartition):
+    """Byte ranges (archive, lo, hi, bytes of members, members) of archives."""
+
+    def __init__(self, ranges):
+        self.ranges = ranges
 
 
 class MediaReader(DataSourceReader):
-    def __init__(self, path: str, split_mb: int, batch_mb: int, tries: int):
-        self.path, self.split, self.batch, self.tries = path, split_mb << 20, batch_mb << 20, tries
+    def __init__(self, path: str, split_mb: int, batch_mb: int, tries: int, most: int = 20_000):
+        self.path, self.split, self.batch, self.tries, self.most = path, split_mb << 20, batch_mb << 20, tries, most
 
     def partitions(self):
         fs, root = _fs(self.path)
-        with fs.open_input_stream(f"{root}/_manifest.json") as f:
-            archives = json.loads(f.read())
-        out = []
+        archives = []
+        for name in _manifests(fs, root):
+            with fs.open_input_stream(name) as f:
+                archives += json.loads(f.read())
+        split = max(self.split, -(-sum(size for _, size, _ in archives) // self.most))
+        out, held, room = [], [], 0
         for name, size, members in archives:
-            n = max(1, -(-size // self.split))
-            out += [_Range(name, size * i // n, size * (i + 1) // n, size, members) for i in range(n)]
-        return out or [_Range("", 0, 0, 0, 0)]
+            n = max(1, -(-size // split))
+            for i in range(n):
+                lo, hi = size * i // n, size * (i + 1) // n
+                if held and hi - lo > room:
+                    out.append(_Ranges(held))
+                    held = []
+                room = (room if held else split) - (hi - lo)
+                held.append((name, lo, hi, size, members))
+        return [*out, _Ranges(held)]
 
     def read(self, part):
-        if not part.name:
-            return
+        for one in part.ranges:
+            yield from self._range(*one)
+
+    def _range(self, name, lo, hi, end, members):
         import time
 
         import numpy as np
         import pyarrow as pa
 
         fs, root = _fs(self.path)
-        where = f"{root}/{part.name}"
+        where = f"{root}/{name}"
 
         def fetch(offset, length):
             with fs.open_input_file(where) as f:
@@ -179,34 +202,34 @@ class MediaReader(DataSourceReader):
                     if i + 1 == self.tries:
                         raise
                 time.sleep(0.1 * 2**i)
-            raise OSError(f"{part.name}: member at {row['offset']} is damaged")
+            raise OSError(f"{name}: member at {row['offset']} is damaged")
 
-        raw = fetch(part.end, part.members * INDEX.itemsize + struct.calcsize(FOOTER))
-        if struct.unpack(FOOTER, raw[-struct.calcsize(FOOTER) :]) != (MAGIC, part.end, part.members):
-            raise OSError(f"{part.name}: footer is damaged")
+        raw = fetch(end, members * INDEX.itemsize + struct.calcsize(FOOTER))
+        if struct.unpack(FOOTER, raw[-struct.calcsize(FOOTER) :]) != (MAGIC, end, members):
+            raise OSError(f"{name}: footer is damaged")
         index = np.frombuffer(raw[: -struct.calcsize(FOOTER)], INDEX)
-        index = index[(index["offset"] >= part.lo) & (index["offset"] < part.hi)]
+        index = index[(index["offset"] >= lo) & (index["offset"] < hi)]
         at = 0
         while at < len(index):
             start = int(index["offset"][at])
-            end = max(at + 1, int(np.searchsorted(index["offset"] + index["length"], start + self.batch, "right")))
-            run = index[at:end]
+            stop = max(at + 1, int(np.searchsorted(index["offset"] + index["length"], start + self.batch, "right")))
+            run = index[at:stop]
             try:
                 raw = fetch(start, int(run["offset"][-1] + run["length"][-1]) - start)
             except OSError:
                 raw = b""
             media = []
             for row in run:
-                lo = int(row["offset"]) - start
-                one = raw[lo : lo + int(row["length"])]
+                first = int(row["offset"]) - start
+                one = raw[first : first + int(row["length"])]
                 media.append(one if len(one) == row["length"] and zlib.crc32(one) == row["crc"] else member(row))
             keys = pa.array(run["key"].copy(), pa.int64(), mask=run["null"].astype(bool))
             yield pa.RecordBatch.from_arrays([keys, pa.array(media, pa.binary())], names=["key", "media"])
-            at = end
+            at = stop
 
 
 class MediaSource(DataSource):
-    """spark.read.format("media_archive").load(uri); options split_mb, batch_mb, tries. Writing: option max_mb."""
+    """spark.read.format("media_archive").load(uri); options split_mb, batch_mb, tries, max_partitions. Writing: option max_mb."""
 
     @classmethod
     def name(cls):
@@ -217,10 +240,10 @@ class MediaSource(DataSource):
 
     def reader(self, schema):
         o = self.options
-        return MediaReader(o["path"], int(o.get("split_mb", 16)), int(o.get("batch_mb", 4)), int(o.get("tries", 4)))
+        return MediaReader(o["path"], int(o.get("split_mb", 16)), int(o.get("batch_mb", 4)), int(o.get("tries", 4)), int(o.get("max_partitions", 20_000)))
 
     def writer(self, schema, overwrite):
-        return MediaWriter(self.options["path"], int(self.options.get("max_mb", 128)))
+        return MediaWriter(self.options["path"], int(self.options.get("max_mb", 128)), overwrite)
 
 
 def _payloads(batches):
@@ -236,7 +259,7 @@ def store(docs: DataFrame, path: str) -> None:
     """Writes the texts of docs (doc_id long, text string) as media archives under path.
 
     Null and empty texts are one tile of bytes 255; a null id stays null; repeated rows are members of their own. An empty
-    table gives an archive directory without members. Other columns are not read.
+    table gives an archive directory without members. What is under path already stays. Other columns are not read.
     """
     small_batches(docs.sparkSession)
     docs.sparkSession.dataSource.register(MediaSource)

@@ -1,8 +1,9 @@
 """Near-duplicate documents by b-bit MinHash, confirmed on full shingle sets.
 
 1. One scan turns each text into its set of 64-bit shingle hashes, its size, a 128-bit digest of the set, band keys and a packed
-   signature that keeps the two low bits of each minimum. Documents with equal sets collapse into classes.
-2. Bands propose candidates between class representatives: first each bucket's members against its least id (a star, never all pairs).
+   signature that keeps the two low bits of each minimum. Documents with equal sets collapse into classes; a class has a key of its own and one text that
+   stands for it, so null and repeated ids are no matter.
+2. Bands propose candidates between classes: first each bucket's members against its least class (a star, never all pairs).
 3. Packed signatures estimate similarity by bit counts, corrected for chance agreement; pairs far below the threshold go.
 4. The rest is confirmed exactly on the full sets of both texts, and components are formed.
 5. Buckets that still span several components get their remaining cross-component pairs checked, so no link is lost to the
@@ -18,7 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from .common import WordHashes, cut, documents, drop, forest, mix64, small_batches
+from .common import WordHashes, cut, documents, drop, forest, mix64, small_batches, told_apart
 from .components import components
 
 ROWS, BANDS = 6, 42
@@ -71,8 +72,8 @@ class Signer:
 
     @staticmethod
     def packed(minima: np.ndarray) -> np.ndarray:
-        """Two low bits of each minimum, 32 minima a word. The mix makes low bits of different minima agree by chance only."""
-        two = (minima * np.uint32(0x85EBCA6B)) >> np.uint32(30)
+        """The two low bits of each minimum, 32 minima a word. Multipliers are odd, so low bits of different minima agree by chance only."""
+        two = minima & np.uint32(3)
         return (two.astype(np.uint64).reshape(WORDS, 32) << (np.arange(32, dtype=np.uint64) * np.uint64(2))).sum(axis=1, dtype=np.uint64).view(np.int64)
 
 
@@ -96,7 +97,7 @@ def _sign(size: int):
                 packed.append(signer.packed(m))
             longs = pa.list_(pa.int64())
             yield pa.RecordBatch.from_pydict(
-                {"doc_id": batch.column("doc_id"), "n": pa.array(n, pa.int64()), "digest": pa.array(digest, pa.binary()), "bands": pa.array(bands, longs), "packed": pa.array(packed, longs)}
+                {k: batch.column(k) for k in ("doc_id", "did", "tag")} | {"n": pa.array(n, pa.int64()), "digest": pa.array(digest, pa.binary()), "bands": pa.array(bands, longs), "packed": pa.array(packed, longs)}
             )
 
     return run
@@ -230,7 +231,15 @@ def _linked(size: int, percent: int):
     return run
 
 
-def across(rest: DataFrame, texts: DataFrame, size: int, percent: int, block: int = 2_048) -> DataFrame | None:
+def with_texts(needs: DataFrame, column: str, classes: DataFrame, rows: DataFrame) -> DataFrame:
+    """needs with the text of the class that `column` names. rows (did, tag, text) shuffle once, and of repeated rows one goes on."""
+    keys = classes.select(F.col("rep").alias(column), "did", "tag")
+    wanted = cut(needs.join(keys, column), "wanted")
+    some = rows.join(wanted.select("did", "tag").distinct().hint("merge"), ["did", "tag"], "left_semi").groupBy("did", "tag").agg(F.first("text").alias("text"))
+    return wanted.join(some.hint("merge"), ["did", "tag"]).select(*needs.columns, "text")
+
+
+def across(rest: DataFrame, classes: DataFrame, rows: DataFrame, size: int, percent: int, block: int = 1_024) -> DataFrame | None:
     """rest (band, c members, d, label, n, packed, bands): links (u, v) between components within buckets; None if there are no candidates."""
     dealt = (
         rest.withColumn("s", F.ceil(F.col("c") / block).cast("int"))
@@ -244,37 +253,33 @@ def across(rest: DataFrame, texts: DataFrame, size: int, percent: int, block: in
     asked = cut(spread.mapInArrow(_involved(percent), UNIT), "involved")
     if asked.isEmpty():
         return None
-    rows = asked.hint("merge").join(texts.withColumnRenamed("doc_id", "d"), "d").select(*names, "text")
-    return rows.repartition(*unit).sortWithinPartitions(*unit).mapInArrow(_linked(size, percent), "u long, v long")
+    spread = with_texts(asked, "d", classes, rows).repartition(*unit).sortWithinPartitions(*unit)
+    return spread.mapInArrow(_linked(size, percent), "u long, v long")
 
 
-def confirmed(pairs: DataFrame, texts: DataFrame, size: int, percent: int, unit: int = 256) -> DataFrame:
-    """pairs (p, d) distinct; texts (doc_id, text) unique. The pairs whose full sets are alike, as (u, v).
+def confirmed(pairs: DataFrame, classes: DataFrame, rows: DataFrame, size: int, percent: int, unit: int = 256) -> DataFrame:
+    """pairs (p, d) of classes, distinct. The pairs whose full sets are alike, as (u, v).
 
-    Pairs of one p are dealt in units of about `unit`; texts shuffle once by id and once by unit.
+    Pairs of one p are dealt in units of about `unit`; texts shuffle once by their own key and once by unit.
     """
     units = cut(pairs.groupBy("p").agg(F.count(F.lit(1)).alias("c")).select("p", F.ceil(F.col("c") / unit).cast("long").alias("s")), "units")
     dealt = pairs.join(units, "p").select("p", "d", F.pmod(F.xxhash64("d"), F.col("s")).alias("g"))
     heads = units.select("p", F.explode(F.sequence(F.lit(0).cast("long"), F.col("s") - 1)).alias("g"))
-    needs = dealt.select(F.col("d").alias("doc_id"), "p", "g", F.lit(1).alias("o")).unionByName(heads.select(F.col("p").alias("doc_id"), "p", "g", F.lit(0).alias("o")))
-    rows = needs.hint("merge").join(texts, "doc_id").select(F.col("doc_id").alias("d"), "p", "g", "o", "text")
-    spread = rows.repartition("p", "g").sortWithinPartitions("p", "g", "o")
+    needs = dealt.select("d", "p", "g", F.lit(1).alias("o")).unionByName(heads.select(F.col("p").alias("d"), "p", "g", F.lit(0).alias("o")))
+    spread = with_texts(needs, "d", classes, rows).repartition("p", "g").sortWithinPartitions("p", "g", "o")
     return spread.select("g", "o", "p", "d", "text").mapInArrow(_confirm(size, percent), "u long, v long")
 
 
-def near_documents(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
-    """docs (doc_id long, text string): classes of documents linked by Jaccard similarity >= percent / 100 on word shingles.
-
-    Returns doc_id, n_shingles, component_id (smallest id reachable, itself included) and kept (doc_id = component_id), one row for each row of docs.
-    Null, empty and wordless texts have no shingles and link with nothing. Rows with a repeated id are expected to
-    repeat the text as well. Null ids stay, alone in their component. Other columns are not read. An empty table gives no rows.
-    """
+def rooted(docs: DataFrame, size: int, percent: int) -> DataFrame:
+    """doc_id, did, tag, n, root for each row of docs (doc_id, text): root names its component; null without shingles."""
     small_batches(docs.sparkSession)
-    docs = docs.select("doc_id", "text")
-    signed = cut(docs.mapInArrow(_sign(size), "doc_id long, n long, digest binary, bands array<long>, packed array<long>"), "signed")
-    some = signed.where("digest is not null and doc_id is not null")
-    best = F.min_by(F.struct("n", "bands", "packed"), "doc_id").alias("r")
-    classes = cut(some.groupBy("digest").agg(F.min("doc_id").alias("rep"), best).select("digest", "rep", "r.*"), "classes")
+    rows = docs.select("doc_id", *told_apart(), "text")
+    signed = cut(rows.mapInArrow(_sign(size), "doc_id long, did long, tag long, n long, digest binary, bands array<long>, packed array<long>"), "signed")
+    some = signed.where("digest is not null")
+    best = F.min_by(F.struct("did", "tag", "n", "bands", "packed"), F.struct("did", "tag")).alias("r")
+    # the key is made once, in the write
+    classes = cut(some.groupBy("digest").agg(best).select("digest", "r.*").withColumn("rep", F.monotonically_increasing_id()), "classes")
+    rows = rows.drop("doc_id")
     keys = classes.select(F.col("rep").alias("d"), F.explode("bands").alias("band"))
     many = cut(keys.groupBy("band").agg(F.min("d").alias("p"), F.count(F.lit(1)).alias("c")).where("c > 1"), "many")
     members = cut(keys.join(many, "band").select("band", "c", "p", "d"), "members")
@@ -282,24 +287,55 @@ def near_documents(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFra
     a = sigs.select(F.col("rep").alias("p"), F.col("n").alias("n1"), F.col("packed").alias("s1"))
     b = sigs.select(F.col("rep").alias("d"), F.col("n").alias("n2"), F.col("packed").alias("s2"))
     stars = members.where("d <> p").select("p", "d").distinct().join(b, "d").join(a, "p").where(_possible(percent)).select("p", "d")
-    links = cut(confirmed(cut(stars, "stars"), docs, size, percent), "links")
+    links = cut(confirmed(cut(stars, "stars"), classes, rows, size, percent), "links")
     comps = cut(components(links), "comps")
     # buckets of three and more may hold links that miss their least member
     wide = members.where("c > 2").join(comps.select(F.col("id").alias("d"), "component_id"), "d", "left")
     wide = cut(wide.select("band", "c", "p", "d", F.coalesce("component_id", "d").alias("label")), "wide")
     split = cut(wide.groupBy("band").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("band"), "split")
     rest = wide.where("d <> p").join(split, "band").join(classes.select(F.col("rep").alias("d"), "n", "packed", "bands"), "d")
-    more = across(rest, docs, size, percent)
+    more = across(rest, classes, rows, size, percent)
     if more is not None:
         more = cut(more, "links")
         if not more.isEmpty():
             comps = cut(components(links.unionByName(more)), "comps")
     drop(members)
     drop(wide)
-    by_digest = classes.select("digest", "rep").join(comps.withColumnRenamed("id", "rep"), "rep", "left").select("digest", F.coalesce("component_id", "rep").alias("component_id"))
-    linked = some.select("doc_id", "n", "digest").join(by_digest, "digest").select("doc_id", "n", "component_id")
-    alone = signed.where("digest is null or doc_id is null").select("doc_id", "n", F.col("doc_id").alias("component_id"))
-    return linked.unionByName(alone).select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
+    roots = classes.select("digest", "rep").join(comps.withColumnRenamed("id", "rep"), "rep", "left").select("digest", F.coalesce("component_id", "rep").alias("root"))
+    linked = some.select("doc_id", "did", "tag", "n", "digest").join(roots, "digest").drop("digest")
+    alone = signed.where("digest is null").select("doc_id", "did", "tag", "n", F.lit(None).cast("long").alias("root"))
+    return linked.unionByName(alone)
+
+
+def near_documents(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
+    """docs (doc_id long, text string): classes of documents linked by Jaccard similarity >= percent / 100 on word shingles.
+
+    Returns doc_id, n_shingles, component_id (smallest id reachable, itself included) and kept (doc_id = component_id), one row for each row of docs.
+    Null, empty and wordless texts have no shingles and link with nothing. Rows are told apart by id and text: different texts of one id are documents of their
+    own. Rows without an id link like others, and their id is never the smallest; a component of such rows alone has a null component_id and its rows
+    count as kept. Other columns are not read. An empty table gives no rows.
+    """
+    found = cut(rooted(docs, size, percent), "rooted")
+    least = cut(found.where("root is not null").groupBy("root").agg(F.min("doc_id").alias("component_id")), "least")
+    linked = found.where("root is not null").join(least, "root").select("doc_id", "n", "component_id")
+    alone = found.where("root is null").select("doc_id", "n", F.col("doc_id").alias("component_id"))
+    return linked.unionByName(alone).select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+
+
+def one_of_each(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
+    """docs (doc_id, text, any others) with one row of each component: the least id (rows without one come last), then the least hash of text and of the other columns.
+
+    Rows without words link with nothing and all stay. Columns may have any names.
+    """
+    found = rooted(docs.select("doc_id", "text"), size, percent)
+    chosen = F.min(F.struct(F.col("doc_id").isNull(), F.col("did"), F.col("tag"))).alias("one")
+    chosen = cut(found.where("root is not null").groupBy("root").agg(chosen).select("one.did", "one.tag"), "chosen")
+    row = F.struct(*(F.col(f"`{c}`") for c in docs.columns))
+    plain = [f"`{f.name}`" for f in docs.schema if "map<" not in f.dataType.simpleString()]
+    words = F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    own = docs.where(words).select(*told_apart(), F.xxhash64(*plain).alias("h"), row.alias("row"))
+    kept = own.join(chosen, ["did", "tag"], "left_semi").groupBy("did", "tag").agg(F.min_by("row", "h").alias("row"))
+    return kept.select("row.*").unionByName(docs.where(~words))
 
 
 def _least(percent: int) -> tuple[float, float]:

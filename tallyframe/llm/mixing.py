@@ -1,10 +1,11 @@
 """Mixing sources to target weights by temperature, realised as budgeted block permutations.
 
 A source's weight is its token share to the power of an exponent, normalised. The exponent is bisected to meet a target entropy or
-a limit on repetition. The driver sees one row for each source, never more. A source's budget is a number of whole passes and a part of
-one: its documents lie in blocks by a hash of the id, blocks are permuted by a seeded hash, and the partial pass takes blocks in that order until its
-tokens are spent. So each source needs only the place where its budget ends (one block and the tokens before it); documents are compared with
-that place in a broadcast join, and only the block in which a budget ends is sorted.
+a limit on repetition. The driver sees one row for each source, at most `max_sources`. A source's budget is a number of whole passes and a part of
+one: its documents lie in blocks by a hash, blocks are permuted by a seeded hash, and the partial pass takes blocks in that order until its
+tokens are spent. The order of blocks and the place in a block are returned, so that sorting by them realises the permutation. Each source needs only the place where
+its budget ends: 1,024 ranges of the order are summed first, then the blocks of the range where it ends, then the documents of that block, so no
+window holds more than a thousandth of a source's blocks. Documents meet that place in a join with one row for each source.
 """
 
 from __future__ import annotations
@@ -13,7 +14,7 @@ import math
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from .common import documents
+from .common import cut, documents
 
 #: Sources up to which their plan is broadcast by hint.
 MOST_HINTED = 10_000
@@ -60,66 +61,91 @@ def plan_weights(tokens: list[float], budget: float | None = None, max_passes: f
     return bisect_exponent(lambda x: entropy(shares(known, x)) <= target_entropy, 0.0, 16.0)
 
 
+def names_for(columns: list[str], prefix: str = "mix") -> dict[str, str]:
+    """The columns that mix() adds, with underscores after a name that is taken."""
+    out = {}
+    for k in ("tokens", "weight", "block", "order", "place", "copies"):
+        name = f"{prefix}_{k}"
+        while name in columns:
+            name += "_"
+        out[k] = name
+    return out
+
+
+def word_count(text: str = "text"):
+    """Words between white space; 0 for null."""
+    return F.coalesce(F.regexp_count(text, F.lit(WORDS)), F.lit(0)).cast("long")
+
+
 def mix(
     docs: DataFrame, budget: float | None = None, max_passes: float | None = None, target_entropy: float | None = None,
-    block_docs: int = 4096, seed: int = 1, prefix: str = "mix",
+    block_docs: int = 4096, seed: int = 1, prefix: str = "mix", tokens: str | None = None, max_sources: int = 1_000_000,
 ) -> DataFrame:
-    """docs (doc_id, text, source, any others): docs with `<prefix>_tokens`, `<prefix>_weight`, `<prefix>_block` and `<prefix>_copies`.
+    """docs (doc_id, text, source, any others): docs with its tokens, its source's weight, its block, the block's order, its place in the block, and copies.
 
-    Tokens are words between white space; null and empty texts have none, cost nothing, and get the source's whole passes and the rest of its permutation as it comes. Null is a
+    The columns are named by names_for(). Tokens are words between white space, or the column `tokens`; null and empty texts have none, cost nothing, and get the
+    source's whole passes and the rest of its permutation as it comes. Null is a
     source of its own. Without a budget it is the least at which no source is cut below one pass, so every document stays. A budget is
     never exceeded by the partial pass. Ties of the hash are broken by id, tokens and text; repeated rows count each. An empty table gives no rows.
-    Raises ValueError if a `<prefix>_` name is taken.
+    Columns may have any names. Raises ValueError for more than max_sources sources. The texts are read once, into a table of the shared folder.
     """
     spark = docs.sparkSession
-    names = {k: f"{prefix}_{k}" for k in ("tokens", "weight", "block", "copies")}
-    if taken := set(docs.columns) & {*names.values(), "_key", "_order", "_blocks", "_edge", "_before", "_part", "_whole"}:
-        raise ValueError(f"columns are taken: {sorted(taken)}")
+    names = names_for(docs.columns, prefix)
     key = F.coalesce(F.concat(F.lit("s"), F.col("source").cast("string")), F.lit("n"))
-    rows = docs.withColumns({names["tokens"]: F.coalesce(F.regexp_count("text", F.lit(WORDS)), F.lit(0)).cast("long"), "_key": key})
-    held = rows.groupBy("_key").agg(F.sum(names["tokens"]).alias("tokens"), F.count(F.lit(1)).alias("docs")).orderBy("_key").collect()
-    tokens = [float(r.tokens) for r in held]
-    if not any(tokens):
-        done = rows.withColumns({names["weight"]: F.lit(0.0), names["block"]: F.lit(0).cast("long"), names["copies"]: F.lit(1)})
-        return done.drop("_key")
-    exponent = plan_weights(tokens, budget, max_passes, target_entropy)
-    weights, times = shares(tokens, exponent), passes(tokens, exponent, budget)
+    count = word_count() if tokens is None else F.coalesce(F.col(f"`{tokens}`"), F.lit(0)).cast("long")
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), key.alias("key"), count.alias("tokens"), "doc_id", F.xxhash64("text").alias("tag"))
+    rows = cut(rows.withColumn("h", F.xxhash64(F.lit(seed), "doc_id", "tag")), "counted")
+    held = rows.groupBy("key").agg(F.sum("tokens").alias("tokens"), F.count(F.lit(1)).alias("docs")).limit(max_sources + 1).collect()
+    if len(held) > max_sources:
+        raise ValueError(f"more than {max_sources} sources")
+    held.sort(key=lambda r: r.key)
+    sums = [float(r.tokens) for r in held]
     plan = []
-    for r, w, e in zip(held, weights, times):
-        whole = math.floor(e + 1e-9)
-        part = max(0, math.floor((e - whole) * r.tokens + 1e-6)) if r.tokens else 0
-        plan.append((r._key, w, whole if r.tokens else 1, part, max(1, math.ceil(r.docs / block_docs))))
+    if any(sums):
+        exponent = plan_weights(sums, budget, max_passes, target_entropy)
+        for r, w, e in zip(held, shares(sums, exponent), passes(sums, exponent, budget)):
+            whole = math.floor(e + 1e-9)
+            part = max(0, math.floor((e - whole) * r.tokens + 1e-6)) if r.tokens else 0
+            plan.append((r.key, w, whole if r.tokens else 1, part, max(1, math.ceil(r.docs / block_docs))))
+    else:
+        plan = [(r.key, 0.0, 1, 0, 1) for r in held]
     hint = F.broadcast if len(plan) <= MOST_HINTED else lambda df: df  # beyond that Spark's own size check decides
-    plan = spark.createDataFrame(plan, "_key string, _weight double, _whole int, _part long, _blocks long")
-    rows = rows.join(hint(plan), "_key")
-    rows = rows.withColumn(names["block"], F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.col("_blocks")))
-    order = F.xxhash64(F.lit(seed + 1), "_key", names["block"])
-    by_source = Window.partitionBy("_key").orderBy("_order", names["block"])
-    blocks = rows.where("_part > 0").groupBy("_key", names["block"], "_part").agg(F.sum(names["tokens"]).alias("t")).withColumn("_order", order)
-    blocks = blocks.withColumn("_before", F.sum("t").over(by_source.rowsBetween(Window.unboundedPreceding, 0)) - F.col("t"))
-    edge = blocks.where(F.col("_before") <= F.col("_part")).groupBy("_key").agg(F.max(F.struct("_before", "_order", names["block"])).alias("e"))
-    edge = edge.select("_key", F.struct(F.col("e._order").alias("o"), F.col("e." + names["block"]).alias("b")).alias("_edge"), F.col("e._before").alias("_before"))
-    at = F.struct(F.col("_order").alias("o"), F.col(names["block"]).alias("b"))
-    rows = rows.join(hint(edge), "_key", "left").withColumn("_order", order)
-    inside = F.coalesce(at < F.col("_edge"), F.lit(False))
-    split = F.coalesce(at == F.col("_edge"), F.lit(False))
-    base = rows.where(~split).withColumn(names["copies"], F.col("_whole") + inside.cast("int"))
-    within = Window.partitionBy("_key", names["block"]).orderBy(F.xxhash64(F.lit(seed + 2), "doc_id"), "doc_id", names["tokens"], F.xxhash64("text"))
-    spent = F.sum(names["tokens"]).over(within.rowsBetween(Window.unboundedPreceding, 0))
-    last = rows.where(split).withColumn("_t", spent).withColumn(names["copies"], F.col("_whole") + (F.col("_before") + F.col("_t") <= F.col("_part")).cast("int")).drop("_t")
-    out = base.unionByName(last).withColumnRenamed("_weight", names["weight"])
-    return out.select(*docs.columns, *names.values())
-
-
-def realised(mixed: DataFrame, prefix: str = "mix") -> DataFrame:
-    """One row for each copy, without the columns that mix() added; copies of 0 go."""
-    columns = [c for c in mixed.columns if not c.startswith(f"{prefix}_")]
-    return mixed.select(*columns, F.explode(F.array_repeat(F.lit(0), F.col(f"{prefix}_copies"))).alias("_copy")).drop("_copy")
+    plan = spark.createDataFrame(plan, "key string, weight double, whole int, part long, blocks long")
+    rows = rows.join(hint(plan), "key").withColumn("block", F.pmod("h", "blocks"))
+    rows = rows.withColumn("order", F.xxhash64(F.lit(seed + 1), "key", "block")).withColumn("place", F.xxhash64(F.lit(seed + 2), "h"))
+    blocks = cut(rows.where("part > 0").groupBy("key", "order", "block", "part").agg(F.sum("tokens").alias("t")).withColumn("range", F.shiftright("order", 54)), "blocks")
+    ranges = _edge(blocks.groupBy("key", "part", "range").agg(F.sum("t").alias("t")), ["range"], F.lit(0))
+    inner = blocks.join(hint(ranges.select("key", "range", F.col("before").alias("base"))), ["key", "range"])
+    edge = _edge(inner, ["order", "block"], F.col("base")).select("key", F.struct("order", "block").alias("edge"), "before")
+    rows = rows.join(hint(edge), "key", "left")
+    at = F.struct("order", "block")
+    inside, split = F.coalesce(at < F.col("edge"), F.lit(False)), F.coalesce(at == F.col("edge"), F.lit(False))
+    base = rows.where(~split).withColumn("copies", F.col("whole") + inside.cast("int"))
+    within = Window.partitionBy("key", "order", "block").orderBy("place", "doc_id", "tokens", "tag").rowsBetween(Window.unboundedPreceding, 0)
+    last = rows.where(split).withColumn("spent", F.sum("tokens").over(within))
+    last = last.withColumn("copies", F.col("whole") + (F.col("before") + F.col("spent") <= F.col("part")).cast("int")).drop("spent")
+    return base.unionByName(last).select("row.*", *(F.col(k).alias(v) for k, v in names.items()))
+
+
+def _edge(sums: DataFrame, order: list[str], base) -> DataFrame:
+    """Of sums (key, part, t, order...): for each key the last row, in this order, before which at most `part` is spent, and `before`, what is."""
+    spent = Window.partitionBy("key").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    sums = sums.withColumn("before", base + F.sum("t").over(spent) - F.col("t")).where("before <= part")
+    return sums.groupBy("key").agg(F.max(F.struct("before", *order)).alias("e")).select("key", "e.*")
+
+
+def realise(docs: DataFrame, prefix: str = "mix", **how) -> DataFrame:
+    """mix(), with one row for each copy and the columns of docs alone; copies of 0 go."""
+    names = names_for(docs.columns, prefix)
+    mixed = mix(docs, prefix=prefix, **how)
+    times = F.explode(F.array_repeat(F.lit(0), F.col(names["copies"])))
+    rows = mixed.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), times.alias("copy"))
+    return rows.select("row.*")
 
 
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents with their copies in the most even mix that repeats no source more than twice and keeps every document."""
-    docs = documents(spark, sf_dir).select("doc_id", "source", "text")
-    return mix(docs, max_passes=2.0).select(
-        "doc_id", "source", F.col("mix_tokens").alias("tokens"), F.col("mix_weight").alias("weight"), F.col("mix_block").alias("block"), F.col("mix_copies").alias("copies")
+    docs = documents(spark, sf_dir).select("doc_id", "source", word_count().alias("tokens"), F.xxhash64("text").alias("text"))
+    return mix(docs, max_passes=2.0, tokens="tokens").select(
+        "doc_id", "source", "tokens", *(F.col(f"mix_{k}").alias(k) for k in ("weight", "block", "order", "place", "copies"))
     )

@@ -91,7 +91,7 @@ def _train(bits: int, **how):
 def train(docs: DataFrame, labels: DataFrame, bits: int = 20, max_rows: int = 6_000, epochs: int = 3, alpha: float = 0.5, beta: float = 1.0, l1: float = 0.05, l2: float = 0.01) -> np.ndarray:
     """Weights learned from at most max_rows labelled documents; docs (doc_id, text), labels (doc_id, label 0/1).
 
-    Null labels teach nothing; of several labels for one id the smallest holds. Without rows all weights are 0.
+    Null labels teach nothing; of several labels for one id the smallest holds, of several texts the one with the least hash. Without rows all weights are 0.
     """
     small_batches(docs.sparkSession)
     order = F.xxhash64("doc_id")
@@ -99,8 +99,10 @@ def train(docs: DataFrame, labels: DataFrame, bits: int = 20, max_rows: int = 6_
         labels.where("label is not null and doc_id is not null").groupBy("doc_id").agg(F.min("label").alias("label")).orderBy(order, "doc_id").limit(max_rows)
     )
     # at most max_rows ids: a proven bound
-    sample = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").withColumn("o", order)
-    one = sample.repartition(1).sortWithinPartitions("o", "doc_id", "text").select("text", "label")
+    sample = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    # an id's texts count once: max_rows bounds the task whatever repeats
+    sample = sample.groupBy("doc_id").agg(F.min_by(F.struct("text", "label"), F.xxhash64("text")).alias("r")).select("doc_id", "r.*")
+    one = sample.withColumn("o", order).repartition(1).sortWithinPartitions("o", "doc_id").select("text", "label")
     found = one.mapInArrow(_train(bits, alpha=alpha, beta=beta, l1=l1, l2=l2, epochs=epochs), "feature int, weight float").toArrow()
     w = np.zeros((1 << bits) + 1, np.float32)
     w[found.column("feature").to_numpy()] = found.column("weight").to_numpy()

@@ -26,7 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
-from .common import cut, documents, drop, mix64, small_batches
+from .common import cut, documents, drop, mix64, small_batches, told_apart
 
 GRAM = 32
 #: Bytes worked on at once; a longer text goes in overlapping pieces.
@@ -337,13 +337,11 @@ def _in_order(context: DataFrame, length: int, backwards: bool, parts: int) -> D
 
 
 def _rows(docs: DataFrame) -> DataFrame:
-    """did and tag tell texts apart: the id (0 for null) and a hash of the text and of whether the id is null."""
-    text = F.coalesce(F.col("text").cast("binary"), F.lit(b""))
-    return docs.select("doc_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("did"), F.xxhash64("text", F.col("doc_id").isNull()).alias("tag"), text.alias("raw"))
+    return docs.select("doc_id", *told_apart(), F.coalesce(F.col("text").cast("binary"), F.lit(b"")).alias("raw"))
 
 
 def repeated_ranges(docs: DataFrame, length: int = 200) -> DataFrame:
-    """docs (doc_id long, text string): (did, tag, lo, hi), ranges of bytes of text that lie in repeated strings; they may overlap. did and tag as in _rows().
+    """docs (doc_id long, text string): (did, tag, lo, hi), ranges of bytes of text that lie in repeated strings; they may overlap. did and tag as in told_apart().
 
     Between GRAM + 8 and 256 bytes of length are possible.
     """
@@ -448,7 +446,7 @@ def without_repeats(docs: DataFrame, length: int = 200) -> DataFrame:
     others = F.struct(*(F.col(f"`{c}`") for c in docs.columns if c != "text"))
     wide = docs.select("doc_id", "text", others.alias("others"))
     rows = wide.select(
-        "doc_id", "others", F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("did"), F.xxhash64("text", F.col("doc_id").isNull()).alias("tag"), F.col("text").isNull().alias("null"), F.coalesce(F.col("text").cast("binary"), F.lit(b"")).alias("raw")
+        "doc_id", "others", *told_apart(), F.col("text").isNull().alias("null"), F.coalesce(F.col("text").cast("binary"), F.lit(b"")).alias("raw")
     )
     joined = rows.join(ranges, ["did", "tag"], "left").select("doc_id", "others", "null", "raw", "ranges")
     return joined.mapInArrow(_rewrite, T.StructType([joined.schema["others"], T.StructField("text", T.StringType()), T.StructField("removed", T.LongType())]))

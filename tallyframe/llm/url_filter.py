@@ -1,15 +1,18 @@
 """URL filtering: host and path rules, then a blocked Bloom filter of listed canonical URLs and an exact join.
 
 DataFrame functions only. The filter is a table of (block, word) rows: a listed URL sets `probes` bits in the one 64-bit
-word its hash names, `bit_or` combines the words. The number of blocks is a parameter, so the broadcast filter has a
-fixed bound (16 bytes a block). URLs whose bits are all set go on to a hash join with the list itself,
-which removes the false positives; all other URLs are never shuffled.
+word its hash names, `bit_or` combines the words. The number of blocks follows from the size of the list, about four URLs a
+block, so the filter stays selective as the list grows. A filter of at most `broadcast_blocks` blocks (16 bytes each) is broadcast, a larger one meets the
+pages in a join of two shuffled sides. URLs whose bits are all set go on to a hash join with the list itself,
+which removes the false positives; while the filter is broadcast, all other URLs are never shuffled.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from .common import cut
+
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 #: (host, path, verdict), fixed values of the job.
 RULES = (
@@ -58,6 +61,11 @@ def _bit(h: Column, i: int) -> Column:
     return F.call_function("shiftleft", F.lit(1).cast("bigint"), F.shiftrightunsigned(h, 6 * i).bitwiseAND(63).cast("int"))
 
 
+def blocks_for(keys: int, per_block: int = 4) -> int:
+    """Blocks of a filter for so many keys: a power of two, so that each block's word holds about per_block of them."""
+    return 1 << max(6, (max(keys, 1) // per_block).bit_length())
+
+
 def bloom_table(listed: DataFrame, blocks: int = 65_536, probes: int = 5) -> DataFrame:
     """(block, word) of the listed keys (column `canonical`); null keys set nothing."""
     block, word = _bits(F.col("canonical"), probes)
@@ -70,9 +78,9 @@ def bloom_table(listed: DataFrame, blocks: int = 65_536, probes: int = 5) -> Dat
 
 
 def filter_urls(
-    pages: DataFrame, listed: DataFrame, rules=RULES, blocks: int = 65_536, probes: int = 5, listed_verdict: str = "block"
+    pages: DataFrame, listed: DataFrame, rules=RULES, blocks: int | None = None, probes: int = 5, listed_verdict: str = "block", broadcast_blocks: int = 1 << 21
 ) -> DataFrame:
-    """Judges each row of pages (page_id, url) by rule, else by the list.
+    """Judges each row of pages (page_id, url) by rule, else by the list (canonical), which is written to the shared folder once.
 
     Returns page_id, host, path, rule, verdict, canonical, maybe_listed, listed. Null URLs and URLs without "://" have an empty
     host and path, fit no rule whose host is not empty, and are canonical "". Repeated rows stay repeated. An empty list blocks nothing. Columns
@@ -83,14 +91,16 @@ def filter_urls(
     rows = pages.select("page_id", host.alias("host"), path.alias("path"))
     rule, verdict = matched_rule(F.col("host"), F.col("path"), rules)
     rows = rows.select("*", rule.alias("rule"), verdict.alias("by_rule"), canonical(F.col("host"), F.col("path")).alias("canonical"))
+    keys = cut(listed.select("canonical").where(F.col("canonical").isNotNull()).distinct(), "listed")
+    blocks = blocks or blocks_for(keys.count())
     block, word = _bits(F.col("canonical"), probes)
     rows = rows.select("*", F.pmod(block, F.lit(blocks)).cast("int").alias("block"), word.alias("bits"))
-    keys = listed.select("canonical").where(F.col("canonical").isNotNull()).distinct()
-    probed = rows.join(F.broadcast(bloom_table(keys, blocks, probes)), "block", "left").select(
+    bloom = bloom_table(keys, blocks, probes)
+    probed = rows.join(F.broadcast(bloom) if blocks <= broadcast_blocks else bloom, "block", "left").select(
         "page_id", "host", "path", "rule", "by_rule", "canonical", F.coalesce(F.col("word").bitwiseAND(F.col("bits")) == F.col("bits"), F.lit(False)).alias("maybe_listed")
     )
     sure = probed.where(~F.col("maybe_listed")).withColumn("listed", F.lit(False))
-    hits = probed.where("maybe_listed").join(keys.select("canonical", F.lit(True).alias("listed")), "canonical", "left")
+    hits = probed.where("maybe_listed").join(keys.select("canonical", F.lit(True).alias("listed")).hint("shuffle_hash"), "canonical", "left")
     hits = hits.withColumn("listed", F.coalesce("listed", F.lit(False)))
     return sure.unionByName(hits).select(
         "page_id", "host", "path", "rule",

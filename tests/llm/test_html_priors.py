@@ -35,3 +35,27 @@ JUNK = "lorem | ipsum | dolor | amet | " * 10
 )
 def test_containers_are_a_prior(html, text):
     assert html_extract.main_text(html) == text
+
+
+def test_pages_without_marks_of_main_text():
+    head = "<div class='top'><ul><li><a href=/a>Home</a></li><li><a href=/b>News of the day</a></li></ul></div>"
+    foot = "<div><p>Copyright 2020</p><a href=/c>Terms of use</a> <a href=/d>Contact us</a></div>"
+    body = f"<h1>The title</h1><p>{P}</p><p>A short line.</p><p>{P}</p><div><a href=x>Read more of this here</a></div><p>{P}</p>"
+    for page in (f"<body>{head}<div>{body}</div>{foot}</body>", f"{head}<table><tr><td>{body}</td></tr></table>{foot}"):
+        assert html_extract.main_text(page) == f"The title {P} A short line. {P} {P}"
+
+
+def test_a_link_that_is_never_closed_ends_with_its_block():
+    assert html_extract.main_text(f"<p>{P}</p><p><a href=x>lost link</p><p>{P}</p><p>{P}</p>") == f"{P} {P} {P}"
+
+
+@pytest.mark.parametrize(
+    "piece,times",
+    [("<div>", 400_000), ("<div></span></section>", 90_000), ("<button>x", 220_000), ("<p>the of and x y z the of and x y</p>", 50_000), ("<h2>x</h2>", 200_000), ("<a href=x>t<p>", 140_000), ("<a", 1_000_000), ("<!--", 500_000)],
+)
+def test_a_large_broken_page_takes_linear_time(piece, times):
+    import time
+
+    began = time.process_time()
+    html_extract.main_text(piece * times)
+    assert time.process_time() - began < 8  # 2 MB; a second or two on an idle machine

@@ -119,25 +119,25 @@ def test_codewords_are_apart(k):
 
 
 def jaccard_classes(rows, size, percent):
-    """Smallest ids reachable over exact links, by brute force."""
+    """Smallest ids reachable over exact links (None where there are none), and sizes of sets, by brute force."""
     sets = []
     for _, t in rows:
         w = (t or "").encode().lower().split()
         sets.append({tuple(w[i : i + size]) for i in range(max(1, len(w) - size + 1))} if w else set())
-    ids = [i for i, _ in rows]
-    comp = list(ids)
+    root = list(range(len(rows)))
+    links = [(i, j) for i in range(len(rows)) for j in range(i) if sets[i] and sets[j] and 100 * len(sets[i] & sets[j]) >= percent * len(sets[i] | sets[j])]
     changed = True
-    links = [
-        (i, j) for i in range(len(rows)) for j in range(i) if ids[i] is not None and ids[j] is not None and sets[i] and sets[j] and 100 * len(sets[i] & sets[j]) >= percent * len(sets[i] | sets[j])
-    ]
     while changed:
         changed = False
         for i, j in links:
-            m = min(comp[i], comp[j])
-            if comp[i] != m or comp[j] != m:
-                comp[i] = comp[j] = m
+            if root[i] != root[j]:
+                root[i] = root[j] = min(root[i], root[j])
                 changed = True
-    return comp, [len(s) for s in sets]
+    least = {}
+    for r, (i, _) in zip(root, rows):
+        if i is not None:
+            least[r] = min(i, least.get(r, i))
+    return [least.get(r) for r in root], [len(x) for x in sets]
 
 
 def near_copies(n, seed=2):
@@ -160,7 +160,22 @@ def test_minhash_matches_brute_force(spark, size):
     comp, n = jaccard_classes(rows, size, 80)
     want = Counter((i, k, c) for (i, _), k, c in zip(rows, n, comp))
     assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in got) == want
-    assert all(r.kept == (r.doc_id == r.component_id) for r in got if r.doc_id is not None)
+    assert all(r.kept == (r.doc_id == r.component_id) for r in got)
+
+
+def test_minhash_tells_texts_of_one_id_apart(spark):
+    a, b, c = (" ".join(f"{w}{i}" for i in range(40)) for w in ("alpha", "beta", "gamma"))
+    rows = [(1, a), (1, b), (2, a + " x"), (3, b + " y"), (4, c), (None, c), (None, c + " z"), (None, "only here"), (5, a), (5, a)]
+    for n in (1, 6):
+        got = minhash.near_documents(spark.createDataFrame(rows, DOC).repartition(n)).collect()
+        comp, k = jaccard_classes(rows, 5, 80)
+        assert Counter((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in got) == Counter((i, x, m, i == m) for (i, _), x, m in zip(rows, k, comp))
+
+
+def test_signatures_keep_the_low_bits():
+    m = np.arange(256, dtype=np.uint32) * np.uint32(2654435761)
+    words = minhash.Signer.packed(m).view(np.uint64)
+    assert [int(words[i // 32] >> np.uint64(2 * (i % 32)) & np.uint64(3)) for i in range(256)] == [int(x) & 3 for x in m]
 
 
 def test_minhash_of_nothing(spark):
@@ -186,31 +201,35 @@ def test_mixing_meets_its_limits(spark):
     assert len(out) == docs.count() and out.mix_copies.min() >= 1 and out.mix_copies.max() <= 3
     t = out.assign(m=out.mix_tokens * out.mix_copies).groupby("source").agg(t=("mix_tokens", "sum"), m=("m", "sum"))
     assert ((t.m / t.t) <= 2 + 1e-9).all()
-    assert mixing.realised(mixing.mix(docs, max_passes=2.0, block_docs=3)).count() == out.mix_copies.sum()
+    assert mixing.realise(docs, max_passes=2.0, block_docs=3).count() == out.mix_copies.sum()
     lim = mixing.mix(docs, budget=5000.0, target_entropy=2.0).toPandas()
     assert (lim.mix_tokens * lim.mix_copies).sum() <= 5000
+    with pytest.raises(ValueError):
+        mixing.mix(docs, max_passes=2.0, max_sources=1)
 
 
-def test_mixing_realises_the_permutation(spark):
+@pytest.mark.parametrize("size", [1, 3])
+def test_mixing_realises_the_permutation(spark, size):
     """Each source's partial pass is the longest run of its permutation within the budget, by a plain version."""
     docs = table(spark, "documents").select("doc_id", "text", "source")
-    seed, size = 1, 3
-    out = mixing.mix(docs, max_passes=1.5, block_docs=size, seed=seed)
-    rows = out.withColumn("bo", F.xxhash64(F.lit(seed + 1), F.concat(F.lit("s"), F.col("source")), "mix_block")).withColumn("do", F.xxhash64(F.lit(seed + 2), "doc_id")).toPandas()
+    rows = mixing.mix(docs, max_passes=1.5, block_docs=size).toPandas()
     tokens = rows.groupby("source").mix_tokens.sum()
     names = list(tokens.index)
     x = mixing.plan_weights([float(t) for t in tokens], None, 1.5)
     times = dict(zip(names, mixing.passes([float(t) for t in tokens], x, None)))
+    partial = 0
     for s, g in rows.groupby("source"):
-        g = g.sort_values(["bo", "mix_block", "do", "doc_id"])
+        g = g.sort_values(["mix_order", "mix_block", "mix_place", "doc_id"])
         whole = int(times[s] + 1e-9)
         left = int((times[s] - whole) * tokens[s] + 1e-6)
         before, expect = 0, {}
-        for (bo, b), t in g.groupby(["bo", "mix_block"], sort=True).mix_tokens.sum().items():
-            some = g[(g.bo == bo) & (g.mix_block == b)]
+        for (bo, b), t in g.groupby(["mix_order", "mix_block"], sort=True).mix_tokens.sum().items():
+            some = g[(g.mix_order == bo) & (g.mix_block == b)]
             expect |= dict(zip(some.doc_id, (some.mix_tokens.cumsum() + before <= left).astype(int))) if left and before <= left else dict.fromkeys(some.doc_id, 0)
             before += t
         assert dict(zip(g.doc_id, g.mix_copies - whole)) == expect
+        partial += sum(expect.values())
+    assert partial
 
 
 def test_mixing_edges(spark):
@@ -219,8 +238,16 @@ def test_mixing_edges(spark):
     assert out.count() == len(EDGE) and set(docs.columns) < set(out.columns)
     assert mixing.mix(docs.where("false"), max_passes=2.0).count() == 0
     assert mixing.mix(docs.where("doc_id in (1, 2, 3)"), max_passes=2.0).select(F.sum("mix_copies")).first()[0] == 3
-    with pytest.raises(ValueError):
-        mixing.mix(docs.withColumn("mix_tokens", F.lit(1)), max_passes=2.0)
+    clash = docs.withColumns({"mix_tokens": F.lit(1), "mix_note": F.lit("own"), "key": F.lit(2), "row": F.lit(3), "mix_copies": F.lit(9)})
+    names = mixing.names_for(clash.columns)
+    assert names["tokens"] == "mix_tokens_" and names["place"] == "mix_place"
+    got = mixing.mix(clash, max_passes=2.0).collect()
+    assert len(got) == len(EDGE) and {(r.mix_tokens, r.mix_note, r.key, r.row, r.mix_copies) for r in got} == {(1, "own", 2, 3, 9)} and {r.mix_copies_ for r in got} <= {1, 2}
+    back = mixing.realise(clash, max_passes=2.0)
+    assert back.columns == clash.columns and back.count() == sum(r.mix_copies_ for r in got)
+    # rows without ids are spread over blocks by their texts
+    many = spark.range(200).select(F.lit(None).cast("long").alias("doc_id"), F.concat(F.lit("t "), "id").alias("text"), F.lit("a").alias("source"))
+    assert mixing.mix(many, max_passes=2.0, block_docs=10).select("mix_block").distinct().count() > 10
     with pytest.raises(ValueError):
         mixing.plan_weights([1.0, 2.0])
 
@@ -368,6 +395,37 @@ def test_long_texts_go_in_pieces(spark, monkeypatch):
     assert got == repeats(rows, 200)
 
 
+def test_multikey_quicksort_sorts_bytes():
+    rng = random.Random(9)
+    strings = [bytes(rng.choice(b"ab") for _ in range(rng.randrange(60))) for _ in range(1500)] + [b"q" * 50] * 200 + [b""] * 3
+    order = suffix_dedup.multikey(suffix_dedup.symbols(strings, 60))
+    assert [strings[i] for i in order] == sorted(strings) and sorted(order) == list(range(len(strings)))
+    first, then = suffix_dedup.symbols([s[:8] for s in strings], 8), suffix_dedup.symbols(strings[::-1], 60)
+    order = suffix_dedup.multikey(first, then)
+    assert [(strings[i][:8], strings[-1 - i]) for i in order] == sorted((s[:8], t) for s, t in zip(strings, strings[::-1]))
+
+
+def test_boundaries_of_many_small_buckets(spark, monkeypatch):
+    """Buckets of two or three rows: most neighbours are in different buckets, and ends go through several levels."""
+    monkeypatch.setattr(suffix_dedup, "BUCKET", 3)
+    rows = passages(8)[:25]
+    got = Counter(tuple(r) for r in suffix_dedup.remove_repeats(spark.createDataFrame(rows, DOC)).collect())
+    assert got == repeats(rows, 200)
+
+
+def test_repeats_match_brute_force_on_documents(spark):
+    rows = [tuple(r) for r in table(spark, "documents").select("doc_id", "text").collect()]
+    got = Counter(tuple(r) for r in suffix_dedup.op6_suffix_dedup(spark, SF).collect())
+    assert got == repeats(rows, 200)
+
+
+def test_repeated_rows_are_repeats(spark):
+    text = "".join(random.Random(3).choice("abcdefgh") for _ in range(500))
+    rows = [(1, text)] * 5 + [(None, text[100:])] * 2 + [(2, text[:150] + "-" + text[300:])]
+    got = Counter(tuple(r) for r in suffix_dedup.remove_repeats(spark.createDataFrame(rows, DOC)).collect())
+    assert got == repeats(rows, 200)
+
+
 def test_repeats_rewrite_texts(spark):
     rows = [(1, "q" + "é" * 150 + "tail"), (2, "zz" + "é" * 150), (3, None), (None, "short")]
     docs = spark.createDataFrame([(*r, i, i) for i, r in enumerate(rows)], f"{DOC}, tag int, `raw.x` int")
@@ -401,7 +459,10 @@ def test_media_ranges_and_damage(spark, tmp_path):
     parts = reader.partitions()
     keys = [k for p in parts for b in reader.read(p) for k in b.column("key").to_pylist()]
     assert len(parts) > 3 and sorted(keys) == sorted(r.doc_id for r in table(spark, "documents").collect())
-    name = f"{tmp_path}/m/{parts[0].name}"
+    reader.most = 2
+    few = reader.partitions()
+    assert len(few) < len(parts) and sorted(k for p in few for b in reader.read(p) for k in b.column("key").to_pylist()) == sorted(keys)
+    name = f"{tmp_path}/m/{parts[0].ranges[0][0]}"
     raw = bytearray(open(name, "rb").read())
     raw[60] ^= 1
     open(name, "wb").write(raw)
@@ -414,19 +475,100 @@ def test_media_ranges_and_damage(spark, tmp_path):
     assert media.load(spark, empty).count() == 0
 
 
+def test_media_appends_and_overwrites(spark):
+    path = common.table_path(spark, "media")
+    one, two, three = (spark.createDataFrame([(i, f"text {i}")], DOC) for i in (1, 2, 3))
+    media.store(one, path)
+    media.store(two, path)
+    assert sorted(r.key for r in media.load(spark, path).collect()) == [1, 2]
+    rows = three.mapInArrow(media._payloads, "key long, payload binary")
+    rows.write.format("media_archive").mode("overwrite").save(path)
+    assert [r.key for r in media.load(spark, path).collect()] == [3]
+
+
+def test_media_fetches_a_member_again(spark, tmp_path, monkeypatch):
+    """The first reads of a run fail, come short or are damaged; members are then fetched one by one by their offsets."""
+    from pyarrow import fs as pafs
+
+    media.store(table(spark, "documents").limit(12).coalesce(1), f"file://{tmp_path}/m")
+    local, calls = pafs.LocalFileSystem(), Counter()
+
+    class Flaky:
+        def open_input_stream(self, p):
+            return local.open_input_stream(p)
+
+        def get_file_info(self, s):
+            return local.get_file_info(s)
+
+        def open_input_file(self, p):
+            f = local.open_input_file(p)
+
+            class File:
+                def __enter__(self):
+                    return self
+
+                def __exit__(self, *a):
+                    f.close()
+
+                def read_at(self, n, offset):
+                    calls[(n, offset)] += 1
+                    raw = f.read_at(n, offset)
+                    if offset and raw[-24:-16] == media.MAGIC:
+                        return raw
+                    if calls[(n, offset)] == 1:  # every first read goes wrong
+                        if len(calls) % 3 == 0:
+                            raise OSError("lost")
+                        return raw[: n // 2] if len(calls) % 3 == 1 else b"\0" * n
+                    return raw
+
+            return File()
+
+    monkeypatch.setattr(media, "_fs", lambda path: (Flaky(), f"{tmp_path}/m"))
+    reader = media.MediaReader(f"file://{tmp_path}/m", 1, 1, 4)
+    got = [(k, media.from_png(m)) for p in reader.partitions() for b in reader.read(p) for k, m in zip(*(c.to_pylist() for c in b.columns))]
+    monkeypatch.undo()
+    assert len(got) == 12 and max(calls.values()) > 1
+    assert sorted(got) == sorted((r.key, media.from_png(bytes(r.media))) for r in media.load(spark, f"file://{tmp_path}/m").collect())
+
+
+def test_media_features_by_a_plain_version(spark):
+    """Every column from the text alone, with zlib and plain loops."""
+    import struct
+
+    rows = [r for r in EDGE if r[0] != 12]
+    path = common.table_path(spark, "media")
+    media.store(spark.createDataFrame(rows, DOC), path)
+    want = Counter()
+    for i, t in rows:
+        raw = (t or "").encode()
+        p = raw + b"\xff" * (-len(raw) % 576 if raw else 576)
+        lines = [p[k : k + 576] for k in range(0, len(p), 576)]
+        chunk = lambda kind, body: struct.pack(">I", len(body)) + kind + body + struct.pack(">I", zlib.crc32(kind + body))
+        png = b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", 576, len(lines), 8, 0, 0, 0, 0)) + chunk(b"IDAT", zlib.compress(b"".join(b"\0" + x for x in lines), 1)) + chunk(b"IEND", b"")
+        hist = [sum(x >> 5 == k for x in p) for k in range(8)]
+        edges = sum(abs(a - b) for x in lines for a, b in zip(x, x[1:]))
+        feature = f"576x{len(lines)};sum={sum(p)};edges={edges};hist={','.join(map(str, hist))}"
+        want[(i, len(raw), len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-32:]), len(png), hashlib.sha256(png).hexdigest(), feature)] += 1
+    assert Counter(tuple(r) for r in media.features(media.load(spark, path)).collect()) == want
+
+
 # embeddings
 
 
-def test_vectors_match_brute_force(spark):
+def vector_rows():
     rng = np.random.default_rng(8)
     rows = []
     for i in range(260):
         v = rng.standard_normal(8) if i % 2 else rng.standard_normal(8) * 0.15 + np.arange(8)
         rows.append((i, [float(x) for x in v.astype(np.float32)], i % 3))
     rows += [(300 + i, rows[0][1], 0) for i in range(30)] + [(400, None, 0), (401, [], 0), (402, [0.0] * 8, 0), (403, [float("nan")] * 8, 0), (404, [1.0, None], 0), (405, rows[0][1], None), (406, [1.0, 2.0], 0), (406, [1.0, 2.0], 0)]
-    vectors = spark.createDataFrame([(*r, "x") for r in rows], "vec_id long, embedding array<float>, label int, rep string")
-    got = sorted((r.vec_id, r.n_links, r.component_id, r.kept) for r in embed_dedup.near_vectors(vectors, block=16).collect())
-    n, comp, links = [0] * len(rows), [r[0] for r in rows], []
+    # ids that are null or held by different vectors
+    return rows + [(None, rows[0][1], 0), (None, rows[1][1], 1), (None, [5.0, -3.0], 2), (None, [5.0, -3.0], 2), (1, rows[4][1], 1), (1, [1.0, 0.0, 7.0], 0), (1, [-9.0, 0.5, 0.25], 0), (1, None, 0), (None, None, None)]
+
+
+def vector_classes(rows):
+    """(n_links, component_id) of each row by brute force."""
+    n, root, links = [0] * len(rows), list(range(len(rows))), []
     for i, (_, a, la) in enumerate(rows):
         for j in range(i):
             _, b, lb = rows[j]
@@ -441,11 +583,50 @@ def test_vectors_match_brute_force(spark):
                 links.append((i, j))
     for _ in rows:
         for i, j in links:
-            comp[i] = comp[j] = min(comp[i], comp[j])
-    assert got == sorted((r[0], k, c, r[0] == c) for r, k, c in zip(rows, n, comp))
+            root[i] = root[j] = min(root[i], root[j])
+    least = {}
+    for r, (i, *_) in zip(root, rows):
+        if i is not None:
+            least[r] = min(i, least.get(r, i))
+    return [(k, least.get(r)) for k, r in zip(n, root)]
+
+
+@pytest.mark.parametrize("kind,block", [("float", 16), ("double", 512)])
+def test_vectors_match_brute_force(spark, kind, block):
+    rows = vector_rows()
+    vectors = spark.createDataFrame([(*r, "x") for r in rows], f"vec_id long, embedding array<{kind}>, label int, rep string").repartition(3)
+    got = Counter((r.vec_id, r.n_links, r.component_id, r.kept) for r in embed_dedup.near_vectors(vectors, block=block).collect())
+    assert got == Counter((i, n, c, i == c) for (i, *_), (n, c) in zip(rows, vector_classes(rows)))
     assert embed_dedup.near_vectors(vectors.where("false")).count() == 0
 
 
+def test_vectors_of_many_tables_and_text_labels(spark):
+    """Enough vectors of one label for several bits and tables; every link is found."""
+    rng = np.random.default_rng(4)
+    rows = [(i, [float(x) for x in rng.standard_normal(12).astype(np.float32)], "a/b") for i in range(900)]
+    for i in range(900, 1100):
+        rows.append((i, [float(x) for x in (np.array(rows[i % 60][1]) + rng.standard_normal(12) * 0.12).astype(np.float32)], "a/b"))
+    assert embed_dedup.plan_tables(len(rows), 0.93, 1e-5)[0] >= 5
+    got = Counter((r.vec_id, r.n_links, r.component_id) for r in embed_dedup.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<float>, label string"), block=64).collect())
+    x = np.array([r[1] for r in rows])
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    close = x @ x.T >= 0.93
+    np.fill_diagonal(close, False)
+    root = np.arange(len(rows))
+    while True:
+        new = np.minimum(root, np.where(close, root[None, :], len(rows)).min(axis=1))
+        if (new == root).all():
+            break
+        root = new
+    assert close.sum() > 300 and got == Counter(zip(range(len(rows)), close.sum(axis=1).tolist(), root.tolist()))
+
+
+def test_table_plan_grows_slowly():
+    plans = [embed_dedup.plan_tables(n, 0.93, 1e-5) for n in (2, 10**3, 10**6, 10**9, 10**12)]
+    assert [b for b, *_ in plans] == [1, 5, 15, 25, 35]  # no bound: buckets stay at the same size
+    assert all(t < 1200 for _, t, _ in plans) and {m for *_, m in plans} == {plans[0][2]}
+
+
 # URLs
 
 
@@ -463,6 +644,9 @@ def test_url_rules_and_list(spark):
         assert got == {i: u[1:] for i, u in enumerate(urls)}
     assert url_filter.filter_urls(pages, listed.where("false")).where("listed or maybe_listed").count() == 0
     assert url_filter.filter_urls(pages.where("false"), listed).count() == 0
+    by_join = url_filter.filter_urls(pages, listed, broadcast_blocks=0)
+    assert {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in by_join.collect()} == {i: u[1:] for i, u in enumerate(urls)}
+    assert [url_filter.blocks_for(n) for n in (0, 1000, 10**7)] == [64, 256, 1 << 22]
 
 
 def test_bloom_filter_has_no_false_negatives(spark):

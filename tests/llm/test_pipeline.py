@@ -6,13 +6,13 @@ from collections import Counter
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
-from test_llm_operators import EDGE, check_packing, jaccard_classes, repeats
+from test_llm_operators import EDGE, check_packing, jaccard_classes
 
 import corpus_pipeline
 from tallyframe.llm import common, quality
 
 SF = "/root/testdata/sf0.001"
-CLASH = {"score": 1.5, "tag": 7, "raw": b"x", "ranges": "r", "removed": 1, "others": "o", "row": 2, "mix_tokens": 3, "rep": 4, "kept": True, "a.b": 5}
+CLASH = {"score": 1.5, "tag": 7, "raw": b"x", "ranges": "r", "removed": 1, "others": "o", "row": 2, "mix_tokens": 3, "mix_note": 8, "key": 9, "did": 10, "rep": 4, "kept": True, "a.b": 5}
 
 
 @pytest.fixture(scope="module")
@@ -43,19 +43,16 @@ def test_stages_match_plain_versions(spark, docs):
     assert Counter(rows_of(after)) == Counter(r for r in rows_of(before) if plain_score(r[1], w) >= 0.5)
 
     before, after = out["MinHash near-dedup"]
-    unique = sorted({r for r in rows_of(before) if r[0] is not None})
-    comp, _ = jaccard_classes(unique, 5, 80)
-    want = Counter(r for r, c in zip(unique, comp) if r[0] == c) + Counter(r for r in rows_of(before) if r[0] is None)
-    assert Counter(rows_of(after)) == want
+    worded = [r for r in set(rows_of(before)) if (r[1] or "").encode().split()]
+    comp, _ = jaccard_classes(worded, 5, 80)
+    want = Counter(r for r, c in zip(worded, comp) if r[0] == c and r[0] is not None) + Counter(r for r in rows_of(before) if not (r[1] or "").encode().split())
+    alone = [r for r, c in zip(worded, comp) if c is None]
+    assert len(alone) == len({t for _, t in alone})  # no two rows without ids are copies here
+    assert Counter(rows_of(after)) == want + Counter(alone)
 
     before, after = out["suffix-array dedup"]
-    sizes = Counter((i, n - gone) for i, n, gone, _, _ in repeats(rows_of(before), 200).elements() if n == gone == 0 or n > gone)
-    assert sum(sizes.values()) >= after.count() > 0
-    assert not [r for r in repeats(rows_of(after), 400) if r[2] and r[1] > 2_000_000]
-    same = {i: t for i, t in rows_of(before)}
-    untouched = {r[0] for r in repeats(rows_of(before), 200) if not r[2]}
-    assert all(t == same[i] for i, t in rows_of(after) if i in untouched and i is not None)
-    assert untouched - {None} <= {i for i, _ in rows_of(after)}
+    assert Counter(rows_of(after)) == Counter((i, t) for i, t, removed in without_repeats(rows_of(before), 200) if not removed or t.strip(" \t\n\r\x0b\f"))
+    assert any(removed for *_, removed in without_repeats(rows_of(before), 200))
 
     before, after = out["mixing sources to target weights"]
     times = Counter(rows_of(after))
@@ -71,6 +68,20 @@ def test_stages_match_plain_versions(spark, docs):
     assert padding <= 0.02 * total
 
 
+def without_repeats(rows, length):
+    """(id, text left, bytes removed) by brute force over all strings of `length` bytes."""
+    data = [(t or "").encode() for _, t in rows]
+    seen = Counter(b[j : j + length] for b in data for j in range(len(b) - length + 1))
+    out = []
+    for (i, t), b in zip(rows, data):
+        gone = np.zeros(len(b), bool)
+        for j in range(len(b) - length + 1):
+            if seen[b[j : j + length]] > 1:
+                gone[j : j + length] = True
+        out.append((i, None if t is None else bytes(np.frombuffer(b, np.uint8)[~gone]).decode("utf-8", "ignore"), int(gone.sum())))
+    return out
+
+
 def plain_score(text, w):
     bits = (len(w) - 1).bit_length() - 1
     words = quality.WordHashes()
