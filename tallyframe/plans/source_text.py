@@ -7,10 +7,20 @@ from dataclasses import dataclass
 
 DIVISION = re.compile(r"\b(IDENTIFICATION|ID|ENVIRONMENT|DATA|PROCEDURE)\s+DIVISION\b", re.I)
 DIRECTIVE = re.compile(r"^\s*(?:>>\s*SOURCE|\$SET\s+SOURCEFORMAT)\b.*?\b(FREE|FIXED)\b", re.I)
-COPY = re.compile(r"(?<![\w-])(?:COPY|\+\+INCLUDE|-INC)\s+(?:'([^']+)'|\"([^\"]+)\"|([\w$#@-]+))(?:\s+(?:OF|IN)\s+[\w$#@-]+)?", re.I)
-SQL_INCLUDE = re.compile(r"EXEC\s+SQL\s+INCLUDE\s+([\w$#@-]+)\s+END-EXEC\s*\.?", re.I)
+#: Compiler options, only before the first division; they may start in column 1.
+OPTIONS = re.compile(r"\s*(?:CBL|PROCESS)(?![\w-])", re.I)
+#: Layout of the listing: only as a whole line.
+LISTING = re.compile(r"\s*(?:(?:EJECT|SKIP[123])|TITLE\s+(?:'[^']*'|\"[^\"]*\"))\s*\.?\s*$", re.I)
+#: Where a statement starts that brings in a member.
+HEAD = re.compile(r"(?<![\w-])(?:(?P<copy>COPY)(?![\w-])|(?:\+\+INCLUDE|-INC)(?=\s)|(?P<sql>EXEC\s+SQL)(?![\w-]))", re.I)
+NAME = r"(?:'([^']+)'|\"([^\"]+)\"|([\w$#@-]+))"
+COPY = re.compile(rf"(?:COPY|\+\+INCLUDE|-INC)\s+{NAME}(?:\s+(?:OF|IN)\s+[\w$#@-]+)?", re.I)
+SQL_INCLUDE = re.compile(rf"EXEC\s+SQL\s+INCLUDE\s+{NAME}\s*END-EXEC\s*\.?", re.I)
 QUOTED = re.compile(r"'(?:[^']|'')*'|\"(?:[^\"]|\"\")*\"")
 
+#: What column 7 may hold in fixed format.
+FIXED_MARKS = " */-Dd$"
+
 
 @dataclass
 class Line:
@@ -19,9 +29,12 @@ class Line:
     member: str | None = None
 
 
-def masked(text: str) -> str:
-    """text with the insides of quoted literals blanked, of the same length."""
-    return QUOTED.sub(lambda m: m[0][0] + " " * (len(m[0]) - 2) + m[0][-1], text)
+PSEUDO = re.compile(rf"==.*?==|{QUOTED.pattern}", re.S)
+
+
+def masked(text: str, pseudo: bool = False) -> str:
+    """text with the insides of quoted literals, and of ==pseudo text== if asked for, blanked, of the same length."""
+    return (PSEUDO if pseudo else QUOTED).sub(lambda m: m[0][0] + " " * (len(m[0]) - 2) + m[0][-1], text)
 
 
 def detect_format(text: str) -> tuple[str, float, str]:
@@ -30,30 +43,32 @@ def detect_format(text: str) -> tuple[str, float, str]:
     for ln in lines[:50]:
         if m := DIRECTIVE.match(ln):
             return m[1].lower(), 1.0, "directive"
-    coded = [ln for ln in lines if not ln.lstrip().startswith("*>")]
-    if not coded:
-        return "fixed", 0.5, "empty"
-    indicators = [ln[6] for ln in coded if len(ln) > 6]
-    bad = sum(c not in " *-/DdXx$" for c in indicators)
-    area = [ln[:6] for ln in coded]
-    labels = sum(1 for a in area if a.strip() and not re.fullmatch(r"[0-9A-Za-z]{0,6}\s*", a))
-    where = [m.start() for ln in coded if (m := DIVISION.search(ln))]
-    if indicators and not bad and not labels and (not where or min(where) >= 7):
-        return "fixed", 0.97, "column 7 is clean"
-    if where:
-        return ("fixed", 0.95, "divisions start in area A") if min(where) >= 7 else ("free", 0.95, "a division starts before column 8")
-    if any(len(ln.rstrip()) > 80 for ln in coded):
-        return "free", 0.85, "lines over 80 columns"
-    ratio = bad / max(1, len(indicators))
-    return ("free", 0.7, "column 7 holds text") if ratio >= 0.15 else ("fixed", 0.6, "few violations")
+    marks = [ln[6:7] or " " for ln in lines]  # columns 1 to 6 hold numbers or change marks and say nothing
+    bad = sum(c not in FIXED_MARKS for c in marks)
+    if marks and not bad:
+        return "fixed", 0.97, f"column 7 holds a mark or a space on all {len(marks)} lines"
+    for ln in lines:
+        m = DIVISION.search(ln)
+        if m and (m.start() == 7 or m.start() < 4):
+            return ("fixed" if m.start() == 7 else "free"), 0.95, "column of a division header"
+    if any(len(ln.rstrip()) > 80 for ln in lines):
+        return "free", 0.85, "a line is longer than 80 columns"
+    part = bad / max(1, len(marks))
+    if part >= 0.15:
+        return "free", min(0.9, 0.6 + part), f"column 7 holds text on {bad} of {len(marks)} lines"
+    return "fixed", 0.6 if bad else 0.7, "no sign of free format"
 
 
 def logical_lines(text: str, form: str | None = None, member: str | None = None) -> list[Line]:
     """Code lines without comments; continued literals and words joined to the line they continue."""
     form = form or detect_format(text)[0]
     out: list[Line] = []
+    inside = False  # a division has started
     for n, raw in enumerate(text.splitlines(), 1):
         raw = raw.expandtabs(8).rstrip("\r\n")
+        if DIRECTIVE.match(raw) or (not inside and member is None and OPTIONS.match(raw)):
+            continue
+        inside = inside or bool(DIVISION.search(raw))
         if form == "fixed":
             mark, body = raw[6:7], raw[7:72]
             if mark in ("*", "/") or mark in ("D", "d"):
@@ -71,96 +86,141 @@ def logical_lines(text: str, form: str | None = None, member: str | None = None)
                 continue
         cut = masked(body).find("*>")
         body = body if cut < 0 else body[:cut]
-        if not body.strip() or re.match(r"\s*(CBL|PROCESS)\b", body, re.I) or DIRECTIVE.match(body) or re.match(r"\s*(EJECT|SKIP[123]|TITLE)\b", body, re.I):
+        if not body.strip() or LISTING.match(body) or (not inside and member is None and OPTIONS.match(body)):
             continue
         out.append(Line(body, n, member))
     return out
 
 
+@dataclass
+class Inclusion:
+    """A COPY or INCLUDE: its member, the phrase after it, the text on its lines before and after it, and its last line."""
+
+    member: str
+    phrase: str
+    before: str
+    after: str
+    last: int
+
+
+def inclusion(lines: list[Line], i: int) -> Inclusion | None:
+    """The first statement on line i that brings in a member, read up to its end, however many lines that takes."""
+    for head in HEAD.finditer(masked(lines[i].text)):
+        start, text, last = head.start(), lines[i].text, i
+        if head["sql"]:
+            while len(text[head.end() :].split()) < 2 and last + 1 < len(lines):
+                last += 1
+                text += " " + lines[last].text
+            if not re.match(r"\s+INCLUDE\s", text[head.end() :], re.I):
+                continue
+            while not (found := SQL_INCLUDE.match(text, start)) and last + 1 < len(lines) and not re.search(r"END-EXEC", text[start:], re.I):
+                last += 1
+                text += " " + lines[last].text
+            if found:
+                return Inclusion(_named(found), "", text[:start], text[found.end() :], last)
+            continue
+        if head["copy"]:
+            while (stop := masked(text, pseudo=True).find(".", head.end())) < 0 and last + 1 < len(lines):
+                last += 1
+                text += " " + lines[last].text
+        else:  # these end with their line
+            stop = len(text)
+        found = COPY.match(text, start)
+        if found:
+            stop = stop if stop >= found.end() else len(text)
+            return Inclusion(_named(found), text[found.end() : stop], text[:start], text[stop + 1 :], last)
+    return None
+
+
+def _named(found: re.Match) -> str:
+    return next(g for g in found.groups() if g).upper()
+
+
 def copy_members(text: str, form: str | None = None) -> list[str]:
     """Members that the text copies or includes, in order, each once."""
-    out = []
-    for ln in logical_lines(text, form):
-        m = masked(ln.text)
-        for found in COPY.finditer(m):
-            name = next(g for g in COPY.match(ln.text, found.start()).groups() if g) if COPY.match(ln.text, found.start()) else ""
-            if name and name.upper() not in out:
-                out.append(name.upper())
-        for found in SQL_INCLUDE.finditer(m):
-            if found[1].upper() not in out:
-                out.append(found[1].upper())
+    lines, out, i = logical_lines(text, form), [], 0
+    while i < len(lines):
+        found = inclusion(lines, i)
+        if found is None:
+            i += 1
+            continue
+        if found.member not in out:
+            out.append(found.member)
+        i = found.last
+        lines[i] = Line(found.after, lines[i].line, lines[i].member)
     return out
 
 
-def _pseudo(text: str) -> list[tuple[str, str]]:
-    """Pairs of a REPLACING or REPLACE phrase: ==a== BY ==b==, or words and literals."""
+def _pseudo(text: str) -> list[tuple[str, str, str]]:
+    """(operand, replacement, LEADING | TRAILING | "") of a REPLACING or REPLACE phrase: ==a== BY ==b==, or words and literals."""
     part = r"(==.*?==|'[^']*'|\"[^\"]*\"|[^\s=]+)"
-    pairs = re.findall(rf"(?:LEADING\s+|TRAILING\s+)?{part}\s+BY\s+{part}", text, re.I | re.S)
+    found = re.findall(rf"(?:\b(LEADING|TRAILING)\s+)?{part}\s+BY\s+{part}", text, re.I | re.S)
     clean = lambda s: s[2:-2].strip() if s.startswith("==") else s.strip()
-    return [(clean(a), clean(b)) for a, b in pairs]
+    return [(clean(a), clean(b), kind.upper()) for kind, a, b in found]
 
 
-def replaced(text: str, pairs: list[tuple[str, str]]) -> str:
-    """text with whole words replaced outside literals; :TAG: parts are replaced inside words."""
-    for old, new in pairs:
+def replaced(text: str, pairs: list[tuple]) -> str:
+    """text with operands replaced in one pass from left to right: words outside literals, whole literals, and :TAG: parts inside words.
+
+    A pair is (operand, replacement), and LEADING or TRAILING if only that part of a word is meant.
+    """
+    by, forms = {}, []
+    for old, new, *kind in pairs:
         if not old:
             continue
-        tag = old.startswith(":") and old.endswith(":") or old.startswith("(")
-        pattern = re.compile((r"%s" if tag else r"(?<![\w-])%s(?![\w-])") % r"\s+".join(map(re.escape, old.split())), re.I)
+        words = r"\s+".join(map(re.escape, old.split()))
         if old[0] in "'\"":
-            text = text.replace(old, new)
-            continue
-        out, at = [], 0
-        for q in [*QUOTED.finditer(text), None]:
-            end = q.start() if q else len(text)
-            out.append(pattern.sub(lambda _: new, text[at:end]))
-            if q:
-                out.append(q[0])
-                at = q.end()
-        text = "".join(out)
-    return text
+            form = f"(?-i:{words})(?!{old[0]})"
+        elif (old.startswith(":") and old.endswith(":")) or old.startswith("("):
+            form = words
+        else:
+            form = ("" if kind == ["TRAILING"] else r"(?<![\w-])") + words + ("" if kind == ["LEADING"] else r"(?![\w-])")
+        by[f"p{len(forms)}"] = new
+        forms.append(f"(?P<p{len(forms)}>{form})")
+    if not forms:
+        return text
+    any_form = re.compile("|".join([*forms, QUOTED.pattern]), re.I)
+    return any_form.sub(lambda m: by[m.lastgroup] if m.lastgroup else m[0], text)
 
 
 def preprocess(text: str, members: dict[str, str], form: str | None = None) -> tuple[list[Line], list[dict]]:
-    """Logical lines with copied members in place, and one row for each COPY: member, status, via, replacing, line."""
+    """Logical lines with copied members in place, and one row for each COPY: member, status, via, replacing, line.
+
+    A member is read in the program's format unless it has a directive of its own: it is mostly too short to tell.
+    """
+    form = form or detect_format(text)[0]
     copies: list[dict] = []
-    lines = _expand(logical_lines(text, form), members, (), copies, None)
+    lines = _expand(logical_lines(text, form), members, (), copies, None, form)
     return _replace_statements(lines), copies
 
 
-def _expand(lines: list[Line], members: dict, active: tuple, copies: list, via: str | None) -> list[Line]:
-    out, i = [], 0
+def member_format(text: str, form: str) -> str:
+    """The format that a member is read in where the program's is `form`."""
+    return next((m[1].lower() for ln in text.splitlines()[:50] if (m := DIRECTIVE.match(ln))), form)
+
+
+def _expand(lines: list[Line], members: dict, active: tuple, copies: list, via: str | None, form: str) -> list[Line]:
+    out, i, lines = [], 0, list(lines)
     while i < len(lines):
-        ln = lines[i]
-        m = masked(ln.text)
-        inc, found = SQL_INCLUDE.search(m), COPY.search(m)
-        if inc:
-            before, after, name, pairs, last = ln.text[: inc.start()], ln.text[inc.end() :], inc[1].upper(), [], i
-        elif found and not re.search(r"EXEC\s+SQL\s*$", m[: found.start()], re.I):
-            text, last = ln.text, i
-            while "." not in masked(text)[found.end() :] and last + 1 < len(lines):
-                last += 1
-                text += " " + lines[last].text
-            real = COPY.match(text, found.start())
-            stop = masked(text).find(".", found.end())
-            phrase = text[real.end() : stop if stop >= 0 else len(text)]
-            name = next(g for g in real.groups() if g).upper()
-            pairs = _pseudo(phrase) if re.search(r"REPLACING", phrase, re.I) else []
-            before, after = text[: found.start()], text[stop + 1 :] if stop >= 0 else ""
-        else:
+        ln, found = lines[i], inclusion(lines, i)
+        if found is None:
             out.append(ln)
             i += 1
             continue
+        name = found.member
+        pairs = _pseudo(found.phrase) if re.search(r"\bREPLACING\b", found.phrase, re.I) else []
         status = "cycle" if name in active else "found" if name in members else "missing"
         copies.append({"member": name, "status": status, "via": via, "replacing": bool(pairs), "line": ln.line})
-        if before.strip():
-            out.append(Line(before, ln.line, ln.member))
+        if found.before.strip():
+            out.append(Line(found.before, ln.line, ln.member))
         if status == "found":
-            body = [Line(replaced(x.text, pairs), x.line, name) for x in logical_lines(members[name], None, name)]
-            out += _expand(body, members, (*active, name), copies, name)
-        if after.strip():
-            out.append(Line(after, ln.line, ln.member))
-        i = last + 1
+            own = member_format(members[name], form)
+            body = _expand(logical_lines(members[name], own, name), members, (*active, name), copies, name, own)
+            out += [Line(replaced(x.text, pairs), x.line, x.member) for x in body]
+        i = found.last
+        lines[i] = Line(found.after, lines[i].line, lines[i].member)  # what follows may hold another one
+        if not found.after.strip():
+            i += 1
     return out
 
 
@@ -169,12 +229,12 @@ def _replace_statements(lines: list[Line]) -> list[Line]:
     out, pairs, i = [], [], 0
     while i < len(lines):
         ln = lines[i]
-        if re.match(r"\s*REPLACE\s+", masked(ln.text), re.I):
+        if re.match(r"\s*REPLACE(?![\w-])", ln.text, re.I):
             text = ln.text
-            while "." not in re.sub(r"==.*?==", "", text, flags=re.S) and i + 1 < len(lines):
+            while "." not in masked(text, pseudo=True) and i + 1 < len(lines):
                 i += 1
                 text += " " + lines[i].text
-            pairs = [] if re.match(r"\s*REPLACE\s+OFF", text, re.I) else _pseudo(text)
+            pairs = [] if re.match(r"\s*REPLACE\s+(?:LAST\s+)?OFF\b", text, re.I) else _pseudo(text)
         else:
             out.append(Line(replaced(ln.text, pairs), ln.line, ln.member) if pairs else ln)
         i += 1

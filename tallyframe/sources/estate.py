@@ -4,13 +4,14 @@ from __future__ import annotations
 
 import json
 from collections.abc import Callable
+from itertools import count
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from ..operators.settle import settled
 from ..plans.facts import SCHEMAS, program_facts
 from ..plans.parse import parse_programs
-from ..plans.source_text import copy_members
+from ..plans.source_text import copy_members, detect_format, member_format
 
 JCL = r"(?m)^//[A-Z$#@][A-Z0-9$#@]{0,7}\s+(JOB|PROC)\b"
 #: File suffix -> type of member.
@@ -42,36 +43,68 @@ def read_members(spark: SparkSession, path: str) -> DataFrame:
     return rows.select(F.upper(F.regexp_replace(file, r"\.[^.]*$", "")).alias("name"), F.when(F.col("text").rlike(JCL), "jcl").otherwise(kind).alias("type"), "text")
 
 
-def copy_refs(texts: DataFrame) -> DataFrame:
-    """texts (name, text): one row (name, member, ordinal) for each member that a text copies."""
+def copy_refs(texts: DataFrame, as_members: bool = False) -> DataFrame:
+    """texts (name, text): one row (name, form, member, ordinal) for each member that a text copies.
+
+    A program is read in its own format. A member is read in the format of the program that copies it, which is not known here, so it is read in both.
+    """
     def refs(batches):
         import pyarrow as pa
 
         for b in batches:
-            rows = [(n, m, i) for n, t in zip(b.column("name").to_pylist(), b.column("text").to_pylist()) for i, m in enumerate(copy_members(t or ""))]
-            yield pa.RecordBatch.from_pydict({"name": pa.array([r[0] for r in rows], pa.string()), "member": pa.array([r[1] for r in rows], pa.string()), "ordinal": pa.array([r[2] for r in rows], pa.int32())})
+            rows = []
+            for n, t in zip(b.column("name").to_pylist(), b.column("text").to_pylist()):
+                t = t or ""
+                for form, own in [(f, member_format(t, f)) for f in ("fixed", "free")] if as_members else [(detect_format(t)[0],) * 2]:
+                    rows += [(n, form, own, m, i) for i, m in enumerate(copy_members(t, own))]
+            kinds = {"ordinal": pa.int32()}
+            names = ("name", "form", "own_form", "member", "ordinal")
+            yield pa.RecordBatch.from_pydict({k: pa.array([r[i] for r in rows], kinds.get(k, pa.string())) for i, k in enumerate(names)})
 
-    return texts.select("name", "text").mapInArrow(refs, "name string, member string, ordinal int")
+    return texts.select("name", "text").mapInArrow(refs, "name string, form string, own_form string, member string, ordinal int")
 
 
-def copy_closure(programs: DataFrame, members: DataFrame, most: int = 50) -> DataFrame:
+def copy_closure(programs: DataFrame, members: DataFrame) -> DataFrame:
     """(source, member, level, via, status): every member that each program copies, directly or through members, level by level.
 
-    Each member is scanned for its own references once; a level is one equi-join. A chain deeper than `most` raises.
+    Each member is scanned for its own references once; a level is one equi-join, and levels go on until nothing new is found.
     """
-    inner = settled(copy_refs(members).select(F.col("name").alias("via"), "member").distinct())
-    seen = settled(copy_refs(programs).select(F.col("name").alias("source"), "member", F.lit(0).alias("level"), F.lit(None).cast("string").alias("via")).dropDuplicates(["source", "member"]))
-    wave = seen
-    for level in range(1, most):
-        more = wave.select("source", F.col("member").alias("via")).join(inner, "via").select("source", "member", F.lit(level).alias("level"), "via").dropDuplicates(["source", "member"])
+    inner = settled(copy_refs(members, as_members=True).select(F.col("name").alias("via"), "form", F.col("own_form").alias("inner_form"), "member").distinct())
+    start = copy_refs(programs).groupBy(F.col("name").alias("source"), "member").agg(F.first("form").alias("form"))
+    wave = settled(start.select("source", "member", "form", F.lit(0).alias("level"), F.lit(None).cast("string").alias("via")))
+    seen = wave
+    for level in count(1):  # ends: a source has each member once
+        more = wave.select("source", F.col("member").alias("via"), "form").join(inner, ["via", "form"])
+        more = more.groupBy("source", "member").agg(F.min(F.struct("via", "inner_form")).alias("r"))
+        more = more.select("source", "member", F.col("r.inner_form").alias("form"), F.lit(level).alias("level"), F.col("r.via").alias("via"))
         wave = settled(more.join(seen.select("source", "member"), ["source", "member"], "left_anti"))
         if wave.isEmpty():
             break
         seen = seen.unionByName(wave)
-    else:
-        raise RuntimeError(f"copy chains are deeper than {most}")
+        if level % 16 == 0:
+            seen = settled(seen)
     have = members.select(F.col("name").alias("member"), F.lit("found").alias("status")).dropDuplicates(["member"])
-    return seen.join(have, "member", "left").withColumn("status", F.coalesce("status", F.lit("missing")))
+    return seen.join(have, "member", "left").select("source", "member", "level", "via", F.coalesce("status", F.lit("missing")).alias("status"))
+
+
+def resolve_members(members: DataFrame, paths: list[str] | None = None, suffixes: tuple = ("cpy", "cbl", "cob", "")) -> DataFrame:
+    """One text for each name among members (name, text, and where known: origin `store`, `cache`, `path` or `client`; path; suffix).
+
+    The store wins over the cache, then come the search paths in their order and in each the suffixes in theirs, and last an estate client's answer. `alternatives` counts
+    the texts that were passed over.
+    """
+    for c in ("origin", "path", "suffix"):
+        if c not in members.columns:
+            members = members.withColumn(c, F.lit(None).cast("string"))
+    place = lambda column, known: F.coalesce(*(F.when(F.col(column) == v, F.lit(i)) for i, v in enumerate(known)), F.lit(len(known)))
+    rank = F.struct(
+        place("origin", ("store", "cache", "path", "client")).alias("a"), (place("path", paths) if paths else F.lit(0)).alias("b"),
+        place("suffix", suffixes).alias("c"), F.coalesce("path", F.lit("")).alias("d"), F.xxhash64("text").alias("e"),
+    )
+    if paths:  # a path that is not searched has nothing to offer
+        members = members.where(F.coalesce(F.col("origin") != "path", F.lit(True)) | F.col("path").isin(*paths))
+    best = F.min_by(F.struct("text", "origin", "path"), rank).alias("m")
+    return members.groupBy(F.upper("name").alias("name")).agg(best, (F.count(F.lit(1)) - 1).alias("alternatives")).select("name", "m.*", "alternatives")
 
 
 def parse_estate(programs: DataFrame, members: DataFrame | None = None) -> DataFrame:
@@ -80,10 +113,9 @@ def parse_estate(programs: DataFrame, members: DataFrame | None = None) -> DataF
     Each program meets the members of its own closure, and is parsed in one Python pass; programs that cannot be read give a flag row.
     """
     spark = programs.sparkSession
-    if members is None:
-        members = spark.createDataFrame([], "name string, text string")
+    members = spark.createDataFrame([], "name string, text string") if members is None else members.withColumn("name", F.upper("name"))
     closure = copy_closure(programs, members).where("status = 'found'")
-    texts = closure.join(members.select(F.col("name").alias("member"), "text").dropDuplicates(["member"]), "member").groupBy(F.col("source").alias("name")).agg(F.map_from_entries(F.collect_list(F.struct("member", "text"))).alias("members"))
+    texts = closure.join(resolve_members(members).select(F.col("name").alias("member"), "text"), "member").groupBy(F.col("source").alias("name")).agg(F.map_from_entries(F.collect_list(F.struct("member", "text"))).alias("members"))
     rows = programs.select("name", "text").join(texts, "name", "left")
 
     def parse(batches):
@@ -177,8 +209,17 @@ def write_bundle(answers: DataFrame, path: str) -> None:
     answers.withColumn("asked_at", F.current_timestamp()).write.mode("append").parquet(path)
 
 
-def replay(spark: SparkSession, path: str, plan: DataFrame) -> DataFrame:
-    """The bundle's latest answer for each name of the plan; names that were never asked come back as `not-recorded`, not as absent."""
-    w = Window.partitionBy("name").orderBy(F.col("asked_at").desc())
+def replay(spark: SparkSession, path: str, plan: DataFrame, strict: bool = False) -> DataFrame:
+    """The bundle's latest answer for each (name, type) of the plan; what was never asked comes back as `not-recorded`, not as absent.
+
+    plan has name and type, or name alone for whatever types were asked. With strict, a question that is not recorded raises.
+    """
+    key = ["name", "type"] if "type" in plan.columns else ["name"]
+    w = Window.partitionBy("name", "type").orderBy(F.col("asked_at").desc(), "outcome")
     said = spark.read.parquet(path).withColumn("n", F.row_number().over(w)).where("n = 1").drop("n", "asked_at")
-    return plan.select("name").distinct().join(said, "name", "left").withColumn("outcome", F.coalesce("outcome", F.lit("not-recorded")))
+    out = plan.select(*key).distinct().join(said, key, "left").withColumn("outcome", F.coalesce("outcome", F.lit("not-recorded")))
+    if strict:
+        lost = out.where("outcome = 'not-recorded'").select(*key).first()
+        if lost is not None:
+            raise KeyError(f"the bundle has no answer for {' '.join(map(str, lost))}")
+    return out

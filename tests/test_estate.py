@@ -219,3 +219,54 @@ def test_read_members(spark, tmp_path):
 
 def test_every_query_has_a_name_of_its_own():
     assert not set(data_queries.QUERIES) & set(estate_queries.QUERIES)
+
+
+# what is easily taken for something else
+
+
+def test_names_that_look_like_directives():
+    code = "PROCESS-RECORD.\n    MOVE 1 TO A.\nTITLE-PARA.\n    MOVE 2 TO A.\nSKIP1-X.\n    MOVE 3 TO A.\nEJECT-ALL.\n    MOVE 4 TO A.\nCBL-END.\n    STOP RUN."
+    text = "CBL LIB,APOST\n       PROCESS NOSEQ\n" + program("01 A PIC 9.", code).replace("       PROGRAM-ID", "       TITLE 'ONE. TWO'.\n       EJECT\n       SKIP2.\n       PROGRAM-ID", 1)
+    (p,) = parse_programs(text)
+    assert [q.name for q in p.paragraphs] == ["PROCESS-RECORD", "TITLE-PARA", "SKIP1-X", "EJECT-ALL", "CBL-END"] and p.name == "CASE1"
+    (p,) = parse_programs(program("01 A PIC 9.", "PROCESS.\n    STOP RUN."))
+    assert [q.name for q in p.paragraphs] == ["PROCESS"]
+
+
+def test_copy_over_several_lines():
+    text = "       COPY\n           A\n           REPLACING ==X. Y== BY ==P. Q==\n               OLD BY NEW.\n       EXEC SQL\n           INCLUDE B\n       END-EXEC.\n       ADD 1 TO CTR-COPY.\n       MOVE 'X' TO A. COPY C. COPY D.\n"
+    members = {"A": "       05 OLD PIC X.\n       COPY E.\n", "E": "       05 OLD-E PIC X. 05 OLD PIC 9.\n"}
+    lines, copies = preprocess(text, members, "fixed")
+    assert [(c["member"], c["status"], c["replacing"]) for c in copies] == [("A", "found", True), ("E", "found", False), ("B", "missing", False), ("C", "missing", False), ("D", "missing", False)]
+    assert [(ln.text.strip(), ln.member) for ln in lines] == [("05 NEW PIC X.", "A"), ("05 OLD-E PIC X. 05 NEW PIC 9.", "E"), ("ADD 1 TO CTR-COPY.", None), ("MOVE 'X' TO A.", None)]
+    assert copy_members(text, "fixed") == ["A", "B", "C", "D"]
+    assert replaced("MOVE 'OLD' TO PRE-A A-PRE 'OLD''S'", [("'OLD'", "'NEW'"), ("PRE", "X", "LEADING")]) == "MOVE 'NEW' TO X-A A-PRE 'OLD''S'"
+
+
+def test_members_have_the_format_of_their_program():
+    member = "05 WS-LONG-NAME-A PIC X(3).\n05 WS-B PIC 9(2).\n"  # in fixed format the first six columns would be cut off
+    free = "IDENTIFICATION DIVISION.\nPROGRAM-ID. FREE1.\nDATA DIVISION.\nWORKING-STORAGE SECTION.\n01 REC.\nCOPY M1.\nPROCEDURE DIVISION.\nMAIN-PARA.\n    STOP RUN.\n"
+    (p,) = parse_programs(free, {"M1": member})
+    assert [i.name for i in p.items] == ["REC", "WS-LONG-NAME-A", "WS-B"]
+    (p,) = parse_programs(free, {"M1": "      >>SOURCE FORMAT IS FIXED\n000100 05 WS-A PIC X.\n000200*05 WS-C PIC X.\n"})
+    assert [i.name for i in p.items] == ["REC", "WS-A"]
+
+
+def test_formats_by_each_signal():
+    assert detect_format("123456*  note\nAB0001 MOVE A TO B.\n")[:2] == ("fixed", 0.97)
+    assert detect_format("       DATA DIVISION.\n      Q    x\n")[:2] == ("fixed", 0.95)
+    assert detect_format("MOVE A TO B.\n" + "X" * 90)[:2] == ("free", 0.85)
+    assert detect_format("MOVE A TO B.\n")[0] == "free"
+    assert detect_format("       A\n" * 20 + "      Q\n")[:2] == ("fixed", 0.6)
+
+
+def test_member_priority_and_bundle_keys(spark, tmp_path):
+    rows = [("A", "client", "client", None, None), ("A", "late", "path", "/b", "cpy"), ("A", "cbl", "path", "/a", "cbl"), ("A", "cpy", "path", "/a", "cpy"), ("A", "out", "path", "/z", "cpy"), ("B", "old", "cache", None, None), ("b", "kept", "store", None, None)]
+    got = estate.resolve_members(spark.createDataFrame(rows, "name string, text string, origin string, path string, suffix string"), ["/a", "/b"])
+    assert {(r.name, r.text, r.alternatives) for r in got.collect()} == {("A", "cpy", 3), ("B", "kept", 1)}
+    answers = spark.createDataFrame([("P", "cobol", "absent", None, None, [], None), ("P", "asm", "found", "asm", "x", [], None)], estate.ANSWER)
+    estate.write_bundle(answers, str(tmp_path / "b"))
+    plan = spark.createDataFrame([("P", "cobol"), ("P", "asm"), ("Q", "cobol")], "name string, type string")
+    assert {(r.name, r.type, r.outcome) for r in estate.replay(spark, str(tmp_path / "b"), plan).collect()} == {("P", "cobol", "absent"), ("P", "asm", "found"), ("Q", "cobol", "not-recorded")}
+    with pytest.raises(KeyError, match="Q cobol"):
+        estate.replay(spark, str(tmp_path / "b"), plan, strict=True)
