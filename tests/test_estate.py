@@ -256,7 +256,7 @@ def test_formats_by_each_signal():
     assert detect_format("123456*  note\nAB0001 MOVE A TO B.\n")[:2] == ("fixed", 0.97)
     assert detect_format("       DATA DIVISION.\n      Q    x\n")[:2] == ("fixed", 0.95)
     assert detect_format("MOVE A TO B.\n" + "X" * 90)[:2] == ("free", 0.85)
-    assert detect_format("MOVE A TO B.\n")[0] == "free"
+    assert detect_format("DISPLAY A.\n")[:2] == ("free", 0.9)
     assert detect_format("       A\n" * 20 + "      Q\n")[:2] == ("fixed", 0.6)
 
 
