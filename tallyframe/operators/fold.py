@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import values as V
 from ..functions.picture import Picture, parse_picture, store_value
+from .streamed import arrow_schema, batches_of, groups_of
 
 
 @dataclass
@@ -85,16 +86,24 @@ def safe_total(df: DataFrame, keys: list[str], order: list[str], value: str, nam
     fast = sums.where(ok).select(*keys, V.store(F.col("total"), p).alias(name))
     slow = df.join(sums.where(~ok).select(*keys), keys, "left_semi")
     schema = ", ".join(f"`{k}` {t}" for k, t in df.dtypes if k in keys) + f", `{name}` {p.spark_type}"
+    rows = slow.repartition(*keys).sortWithinPartitions(*keys, *order).select(*keys, value)
+    return fast.unionByName(rows.mapInArrow(_fold(len(keys), p, arrow_schema(schema)), schema).select(*fast.columns))
 
-    def one(group):
-        acc = Decimal(0)
-        for x in group.sort_values(order)[value]:
-            acc = store_value(acc + x, p)
-        out = group[keys].head(1).copy()
-        out[name] = [acc]
-        return out
 
-    return fast.unionByName(slow.groupBy(*keys).applyInPandas(one, schema))
+def _fold(keys: int, p: Picture, kinds):
+    """Rows sorted by key and order, one accumulator at a time: a group may be of any size."""
+    def run(batches):
+        def totals():
+            for key, rows in groups_of(batches, keys):
+                acc = Decimal(0)
+                for (x,) in rows:
+                    if x is not None:
+                        acc = store_value(acc + x, p)
+                yield (*key, acc.quantize(Decimal(1).scaleb(-max(p.scale, 0))))
+
+        yield from batches_of(totals(), kinds)
+
+    return run
 
 
 def trace(df: DataFrame, keys: list[str], order: list[str], value: str, name: str, picture: str) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import values as V
 from ..functions.picture import Picture, parse_picture
+from .settle import settled
 
 NEGATIVE = "pqrstuvwxy"  # the last digit of a negative zoned number
 
@@ -67,6 +68,82 @@ def merge(files: list[DataFrame], within: list[str], keys: list[tuple[str, str]]
     return out.withColumn(seq, F.row_number().over(Window.partitionBy(*within).orderBy(*(F.col(c).desc() if d == "D" else F.col(c).asc() for c, d in keys))).cast("bigint"))
 
 
+def numbered(df: DataFrame, order: list, name: str = "position") -> DataFrame:
+    """df with each row's place (from 1) in the order of all rows, which must be total.
+
+    A range-partitioned sort is written once; a row's place is what the partitions before its own hold, summed over one row a partition, and its place in there.
+    """
+    at = F.struct(F.spark_partition_id().alias("p"), F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1).alias("i"))
+    held = settled(df.orderBy(*order).withColumn("__at", at))
+    sizes = held.groupBy(F.col("__at.p").alias("__p")).agg(F.count(F.lit(1)).alias("__n"))
+    before = F.sum("__n").over(Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1))
+    starts = sizes.select("__p", F.coalesce(before, F.lit(0)).alias("__start"))
+    out = held.join(starts, F.col("__at.p") == F.col("__p"))
+    return out.select(*(F.col(f"`{c}`") for c in df.columns), (F.col("__start") + F.col("__at.i") + 1).alias(name))
+
+
+def sort_keys(record: str, fields: list[tuple]) -> list[Column]:
+    """SORT FIELDS=(start,length,format,A|D, ...) as sort columns over the bytes of a record."""
+    return [(_field(record, start, length, kind).desc() if way == "D" else _field(record, start, length, kind).asc()) for start, length, kind, way in fields]
+
+
+def sort_fields(df: DataFrame, record: str, fields: list[tuple]) -> DataFrame:
+    """SORT FIELDS on byte ranges: a range-partitioned global sort."""
+    return df.orderBy(*sort_keys(record, fields))
+
+
+def repro(df: DataFrame, record: str, key: tuple[int, int] | None = None, from_key: str | None = None, to_key: str | None = None) -> DataFrame:
+    """REPRO: the records as they are, or those whose key bytes lie from from_key to to_key (compared as far as the given key goes)."""
+    if key is not None:
+        k = F.substring(record, *key)
+        if from_key is not None:
+            df = df.where(F.substring(k, 1, len(from_key)) >= from_key)
+        if to_key is not None:
+            df = df.where(F.substring(k, 1, len(to_key)) <= to_key)
+    return df
+
+
+def generate(df: DataFrame, record: str, parts: list[tuple], size: int) -> DataFrame:
+    """IEBGENER with reformat cards: parts (length, start in the input or a literal, start in the output); other bytes are spaces. Later parts win.
+
+    Each output byte range is cut from the input once; the parts may come in any order.
+    """
+    owner = [None] * size
+    for n, (length, _, to) in enumerate(parts):
+        owner[to - 1 : to - 1 + length] = [n] * length
+    pieces, at = [], 0
+    while at < size:
+        end = at
+        while end < size and owner[end] == owner[at]:
+            end += 1
+        if owner[at] is None:
+            pieces.append(F.lit(" " * (end - at)))
+        else:
+            length, what, to = parts[owner[at]]
+            skip = at - (to - 1)
+            whole = F.lit(what.ljust(length)[skip : skip + end - at]) if isinstance(what, str) else F.substring(record, what + skip, end - at)
+            pieces.append(F.rpad(whole, end - at, " "))
+        at = end
+    return df.select(F.concat(*pieces).alias(record))
+
+
+def start_read(df: DataFrame, file: DataFrame, keys: list[str], wanted: str, key: str, next_key: str, previous: bool = False) -> DataFrame:
+    """START file KEY >= wanted, then READ NEXT (or KEY <= wanted and READ PREVIOUS): df with the key that is read, null if there is none.
+
+    Requests and records of the columns `keys` meet in one ordered window, so the file is read once and nothing is multiplied.
+    """
+    asks = df.withColumns({"__at": F.col(wanted), "__ask": F.lit(True), "__key": F.lit(None).cast(file.schema[key].dataType)})
+    have = file.select(*keys, F.col(key).alias("__at"), F.lit(False).alias("__ask"), F.col(key).alias("__key"))
+    w = Window.partitionBy(*keys)
+    # on equal keys the record comes after a request that reads on, and before one that reads back
+    if previous:
+        found = F.last("__key", ignorenulls=True).over(w.orderBy("__at", F.col("__ask").asc()).rowsBetween(Window.unboundedPreceding, 0))
+    else:
+        found = F.first("__key", ignorenulls=True).over(w.orderBy("__at", F.col("__ask").desc()).rowsBetween(0, Window.unboundedFollowing))
+    both = asks.unionByName(have, allowMissingColumns=True).withColumn(next_key, found)
+    return both.where("__ask").select(*df.columns, next_key)
+
+
 def _field(record: str, start: int, length: int, kind: str) -> Column:
     c = F.substring(record, start, length)
     return F.trim(c).cast("decimal(38,0)") if kind in ("ZD", "FS", "NUM") else c

@@ -359,17 +359,48 @@ def sum_fields(spark, sf_dir):
     return records.sum_fields(order_records(spark, sf_dir)[1], "rec", [("status", 11, 1)], [("total", 12, 11)])
 
 
-@query("SELECT o_orderkey, c_name, o_custkey FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_totalprice > 300000")
+@query("SELECT o_orderkey, c_name, o_custkey FROM orders JOIN customer ON o_custkey = c_custkey")
 def join_keys(spark, sf_dir):
-    a = table(spark, sf_dir, "orders").where("o_totalprice > 300000").select("o_orderkey", "o_custkey")
+    a = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
     return records.join_keys(a, table(spark, sf_dir, "customer").select("c_custkey", "c_name"), [("o_custkey", "c_custkey")]).select("o_orderkey", "c_name", "o_custkey")
 
 
-@query("SELECT o_orderkey, c_name, o_custkey FROM orders JOIN customer ON o_custkey = c_custkey")
-def join_keys_all(spark, sf_dir):
-    """join_keys on all orders."""
-    a = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
-    return records.join_keys(a, table(spark, sf_dir, "customer").select("c_custkey", "c_name"), [("o_custkey", "c_custkey")]).select("o_orderkey", "c_name", "o_custkey")
+@query(f"SELECT rec, row_number() OVER (ORDER BY substr(rec, 11, 1), CAST(substr(rec, 12, 11) AS BIGINT) DESC, rec) AS position FROM (SELECT {REC} AS rec FROM orders)")
+def sort_by_bytes(spark, sf_dir):
+    """SORT FIELDS on byte ranges of records, with each record's place in the sorted file."""
+    df = order_records(spark, sf_dir)[1]
+    return records.numbered(df, records.sort_keys("rec", [(11, 1, "CH", "A"), (12, 11, "ZD", "D"), (1, 37, "CH", "A")]))
+
+
+@query("SELECT o_orderkey, row_number() OVER (ORDER BY o_orderpriority, CAST(o_totalprice AS DECIMAL(15,2)) DESC, o_orderkey) AS position FROM orders")
+def sort_file(spark, sf_dir):
+    """SORT ... ON ASCENDING / DESCENDING KEY of all orders: the place of each."""
+    df = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderpriority", F.col("o_totalprice").cast("decimal(15,2)").alias("p"))
+    return records.numbered(df, [F.col("o_orderpriority").asc(), F.col("p").desc(), F.col("o_orderkey").asc()]).select("o_orderkey", "position")
+
+
+@query(f"SELECT rec FROM (SELECT {REC} AS rec FROM orders) WHERE substr(rec, 23, 1) >= '2' AND substr(rec, 23, 1) <= '4'")
+def repro_by_key(spark, sf_dir):
+    """REPRO of the records whose key bytes lie in a range."""
+    return records.repro(order_records(spark, sf_dir)[1], "rec", (23, 15), "2", "4")
+
+
+@query(f"SELECT substr(rec, 23, 4) || '  ORD' || substr(rec, 1, 10) || '*' || substr(rec, 11, 1) || '*' AS rec FROM (SELECT {REC} AS rec FROM orders)")
+def generate_records(spark, sf_dir):
+    """IEBGENER with reformat cards: byte ranges and literals moved to new places."""
+    return records.generate(order_records(spark, sf_dir)[1], "rec", [(10, 1, 10), (3, "ORD", 7), (4, 23, 1), (3, "***", 20), (1, 11, 21)], 22)
+
+
+@query(
+    "SELECT c_custkey, (SELECT min(o_orderkey) FROM orders WHERE o_custkey = c_custkey AND o_orderkey >= c_custkey * 7) AS next_order, "
+    "(SELECT max(o_orderkey) FROM orders WHERE o_custkey = c_custkey AND o_orderkey <= c_custkey * 7) AS previous_order FROM customer"
+)
+def start_and_read(spark, sf_dir):
+    """Extension: START at a key, then READ NEXT and READ PREVIOUS, for each customer's orders."""
+    asks = table(spark, sf_dir, "customer").select("c_custkey", F.col("c_custkey").alias("o_custkey"), (F.col("c_custkey") * 7).alias("from_key"))
+    orders = table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey")
+    found = records.start_read(asks, orders, ["o_custkey"], "from_key", "o_orderkey", "next_order")
+    return records.start_read(found, orders, ["o_custkey"], "from_key", "o_orderkey", "previous_order", previous=True).select("c_custkey", "next_order", "previous_order")
 
 
 @query("SELECT o_orderkey, COALESCE(c_name, '') AS c_name, c_custkey IS NULL AS invalid_key FROM orders LEFT JOIN customer ON o_custkey = c_custkey AND c_acctbal > 0")

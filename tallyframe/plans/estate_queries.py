@@ -73,7 +73,7 @@ def estate_calls(facts):
 
 @query(values("program, operand, outcome, named_by, through, steps", ("RULES", "WS-NEXT", "artifact", "GET.CONSOLE.SYSIN", "WS-ID", 1)))
 def estate_dynamic_calls(facts):
-    return views.dynamic_calls(facts).drop("candidates")
+    return views.dynamic_calls(facts).select("program", "operand", "outcome", "named_by", "through", "steps")
 
 
 @query(values("program, kind, name, io, identity", ("RATES", "db2-table", "ACCOUNT", "input-output", "global"), ("RATES", "db2-table", "LEDGER", "input", "global"), ("RATES", "file", "OUT-FILE", "output", "program-local"), ("RATES", "caller", "CALLER", "input-output", "program-local"), ("RATES", "copybook", "ACCTREC", "input", "global"), ("RULES", "file", "REP-FILE", "output", "program-local"), ("RULES", "program", "RATES", "output", "global"), ("RULES", "program", "DSNTIAR", "output", "global"), ("RULES", "program", "WS-NEXT", "output", "program-local"), ("RULES", "caller", "CALLER", "input", "program-local"), ("RULES", "spool", "SYSIN", "input", "global"), ("TOTALS", "file", "PAY-FILE", "input", "program-local"), ("TOTALS", "spool", "SYSOUT", "output", "global")))

@@ -38,16 +38,36 @@ def dataset_roles(dd: DataFrame) -> DataFrame:
     return used.join(flows, ["job", "dataset"], "left").select("job", "dataset", F.when(F.col("f"), "intermediate").when(F.col("o") == 1, "result").otherwise("source").alias("role"))
 
 
+OPERATORS = {"EQ": lambda a, b: a == b, "NE": lambda a, b: a != b, "GT": lambda a, b: a > b, "LT": lambda a, b: a < b, "GE": lambda a, b: a >= b, "LE": lambda a, b: a <= b}
+
+
 def runs(conditions: DataFrame, codes: DataFrame) -> DataFrame:
-    """conditions (job, step, test step, operator, value, kind if | cond), codes (job, step, code): whether each step runs.
+    """conditions (job, step, tested, operator, value, kind, and if wanted negated), codes (job, step, code, and if wanted abended): whether each step runs.
 
-    An `if` must hold; a `cond` is the inverted sense: the step is passed over if value operator code is true.
+    Kinds: `if` must hold, or must not where negated (the ELSE of it); all IFs around a step conjoin. `cond` is the inverted sense: the step is passed over if value operator
+    code is true. Without a tested step, an `if` asks for the highest code of the steps before, and a `cond` for any of them. `even` lets a step run after an abend, `only` lets it run
+    then alone; other steps do not run after one.
     """
-    ops = {"EQ": lambda a, b: a == b, "NE": lambda a, b: a != b, "GT": lambda a, b: a > b, "LT": lambda a, b: a < b, "GE": lambda a, b: a >= b, "LE": lambda a, b: a <= b}
-    rows = conditions.join(codes.select("job", F.col("step").alias("tested"), "code"), ["job", "tested"], "left")
-    holds, passed = F.lit(None).cast("boolean"), F.lit(None).cast("boolean")
-    for name, op in ops.items():
+    if "negated" not in conditions.columns:
+        conditions = conditions.withColumn("negated", F.lit(False))
+    if "abended" not in codes.columns:
+        codes = codes.withColumn("abended", F.lit(False))
+    own = conditions.withColumn("n", F.monotonically_increasing_id())
+    before = codes.select("job", F.col("step").alias("earlier"), "code", "abended")
+    # a job's steps meet its own earlier steps: an equi-join on the job
+    rows = own.join(before, "job", "left").where(F.col("earlier").isNull() | (F.coalesce(F.col("tested") == F.col("earlier"), F.col("earlier") < F.col("step"))))
+    rows = own.select("n").join(rows, "n", "left").drop("job", "step", "kind", "operator", "value", "negated", "tested").join(own, "n")
+    hit = F.lit(None).cast("boolean")
+    for name, op in OPERATORS.items():
+        hit = F.when(F.col("operator") == name, op(F.col("value"), F.col("code"))).otherwise(hit)
+    per = rows.groupBy("n", "job", "step", "kind", "operator", "value", "negated").agg(F.max("code").alias("code"), F.max(F.coalesce(hit, F.lit(False)).cast("int")).alias("any"))
+    holds = F.lit(None).cast("boolean")
+    for name, op in OPERATORS.items():
         holds = F.when(F.col("operator") == name, op(F.col("code"), F.col("value"))).otherwise(holds)
-        passed = F.when(F.col("operator") == name, op(F.col("value"), F.col("code"))).otherwise(passed)
-    ok = F.when(F.col("kind") == "if", F.coalesce(holds, F.lit(False))).otherwise(~F.coalesce(passed, F.lit(False)))
-    return rows.groupBy("job", "step").agg(F.min(ok.cast("int")).alias("r")).select("job", "step", (F.col("r") == 1).alias("runs"))
+    holds = F.coalesce(holds, F.lit(False)) != F.coalesce("negated", F.lit(False))
+    ok = F.when(F.col("kind") == "if", holds).when(F.col("kind") == "cond", F.col("any") == 0).otherwise(F.lit(True))
+    per_step = per.groupBy("job", "step").agg(F.min(ok.cast("int")).alias("r"), F.max((F.col("kind") == "even").cast("int")).alias("even"), F.max((F.col("kind") == "only").cast("int")).alias("only"))
+    after = per_step.select("job", "step").join(before, "job").where("earlier < step").groupBy("job", "step").agg(F.max(F.coalesce("abended", F.lit(False)).cast("int")).alias("ab"))
+    out = per_step.join(after, ["job", "step"], "left").withColumn("ab", F.coalesce("ab", F.lit(0)))
+    fits = F.when(F.col("only") == 1, F.col("ab") == 1).when(F.col("even") == 1, F.lit(True)).otherwise(F.col("ab") == 0)
+    return out.select("job", "step", ((F.col("r") == 1) & fits).alias("runs"))

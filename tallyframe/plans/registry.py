@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import data_queries, estate_queries, program_queries
+from . import corpus_queries, data_queries, estate_queries, program_queries
 
-QUERIES: dict = data_queries.QUERIES | estate_queries.QUERIES | program_queries.QUERIES
-ORACLES: dict = data_queries.ORACLES | estate_queries.ORACLES | program_queries.ORACLES
+QUERIES: dict = data_queries.QUERIES | estate_queries.QUERIES | corpus_queries.QUERIES | program_queries.QUERIES
+ORACLES: dict = data_queries.ORACLES | estate_queries.ORACLES | corpus_queries.ORACLES | program_queries.ORACLES

@@ -152,39 +152,112 @@ def lineage(facts: DataFrame) -> DataFrame:
     return fact_table(facts, "lineage").drop("ordinal")
 
 
-def dynamic_calls(facts: DataFrame) -> DataFrame:
-    """How each dynamic call's target gets its value: the shortest way back over assignments from the operand to a fill from outside.
+def _operands(facts: DataFrame) -> DataFrame:
+    return calls(facts).where("callee is null").select("program", "operand", "resolution", "candidates").distinct()
 
-    outcome: artifact (an endpoint fills it), caller, called-program (may be filled by one), candidates, declared-candidates, chain-broken (not
-    declared), dead-end (declared, never filled). One equi-join for each step back over all programs at once.
+
+def _routes(facts: DataFrame, operands: DataFrame) -> DataFrame:
+    """(program, operand, item, steps, route): every item whose value can come to an operand, by the shortest way over assignments (source, target, line), in source order.
+
+    One equi-join for each step back over all programs at once; ties go to the least route. An item is seen once for each operand, so the rounds end.
     """
-    operands = calls(facts).where("callee is null").select("program", "operand", "resolution", "candidates").distinct()
-    back = fact_table(facts, "assignment").where("literal is null").select("program", F.col("target").alias("item"), F.explode("reads").alias("source")).distinct()
-    fills = fact_table(facts, "event").where("direction = 'input' and endpoint_type <> 'response'").select("program", F.explode("fields").alias("item"), "event", "endpoint_type").distinct()
-    maybe = fact_table(facts, "call").select("program", F.explode("using").alias("item"), F.concat(F.lit("GET.PROGRAM."), "target").alias("event")).distinct()
-    reach = settled(operands.select("program", "operand", F.col("operand").alias("item"), F.lit(0).alias("steps")))
-    seen = wave = reach
-    for k in count(1):  # ends: an item is seen once for each operand
-        wave = wave.join(back, ["program", "item"]).select("program", "operand", F.col("source").alias("item"), F.lit(k).alias("steps")).distinct().join(seen.select("program", "operand", "item"), ["program", "operand", "item"], "left_anti")
-        wave = settled(wave)
+    back = fact_table(facts, "assignment").where("literal is null").select("program", F.col("target").alias("item"), F.explode("reads").alias("source"), "line")
+    back = settled(back.groupBy("program", "item", "source").agg(F.min("line").alias("line")))
+    none = F.array().cast("array<struct<source:string,target:string,line:int>>")
+    seen = wave = settled(operands.select("program", "operand", F.col("operand").alias("item"), F.lit(0).alias("steps"), none.alias("route")).distinct())
+    for k in count(1):
+        step = F.array(F.struct("source", F.col("item").alias("target"), "line"))
+        more = wave.join(back, ["program", "item"]).groupBy("program", "operand", F.col("source").alias("at")).agg(F.min(F.concat(step, "route")).alias("route"))
+        more = more.select("program", "operand", F.col("at").alias("item"), F.lit(k).alias("steps"), "route")
+        wave = settled(more.join(seen.select("program", "operand", "item"), ["program", "operand", "item"], "left_anti"))
         if wave.isEmpty():
-            break
+            return seen
         seen = seen.unionByName(wave)
         if k % 16 == 0:
             seen = settled(seen)
-    hit = seen.join(fills, ["program", "item"]).groupBy("program", "operand").agg(F.min(F.struct("steps", "event", "endpoint_type", "item")).alias("f"))
-    soft = seen.join(maybe, ["program", "item"]).groupBy("program", "operand").agg(F.min(F.struct("steps", "event", "item")).alias("m"))
-    out = operands.join(hit, ["program", "operand"], "left").join(soft, ["program", "operand"], "left")
+
+
+def _fills(facts: DataFrame) -> DataFrame:
+    return fact_table(facts, "event").where("direction = 'input' and endpoint_type <> 'response'").select("program", F.explode("fields").alias("item"), "event", "endpoint_type", "endpoint", "verb", "line", "stmt_id")
+
+
+def _handed_on(facts: DataFrame) -> DataFrame:
+    """Items passed by reference to a call, which may write them."""
+    return fact_table(facts, "call").select("program", F.explode("using").alias("item"), F.concat(F.lit("GET.PROGRAM."), "target").alias("event"), F.col("target").alias("endpoint"), "verb", "line", "stmt_id")
+
+
+def dynamic_calls(facts: DataFrame) -> DataFrame:
+    """How each dynamic call's target gets its value: the shortest way back over assignments from the operand to a fill from outside.
+
+    outcome: artifact (an endpoint fills it), caller, called-program (may be filled by one), candidates, declared-candidates, chain-broken (not
+    declared), dead-end (declared, never filled). `provisional` marks what rests on an item that is not declared, with the copybooks that are missing; `dead_ends` names the
+    items where the ways back end; `variable` says that literals are not the whole set.
+    """
+    operands = _operands(facts)
+    seen = settled(_routes(facts, operands))
+    key = ["program", "operand"]
+    hit = seen.join(_fills(facts), ["program", "item"]).groupBy(*key).agg(F.min(F.struct("steps", "event", "endpoint_type", "item")).alias("f"))
+    soft = seen.join(_handed_on(facts), ["program", "item"]).groupBy(*key).agg(F.min(F.struct("steps", "event", "item")).alias("m"))
+    moved = fact_table(facts, "assignment").select("program", F.col("target").alias("item"), F.lit(True).alias("moved")).distinct()
+    filled = _fills(facts).select("program", "item", F.lit(True).alias("filled")).distinct()
+    ends = seen.join(moved, ["program", "item"], "left").join(filled, ["program", "item"], "left").where("moved is null and filled is null and steps > 0")
+    ends = ends.groupBy(*key).agg(F.sort_array(F.collect_set("item")).alias("ends"))
+    lost = fact_table(facts, "copybook").where("status = 'missing'").groupBy("program").agg(F.sort_array(F.collect_set("member")).alias("lost"))
+    var = fact_table(facts, "assignment").where("literal is null").select("program", F.col("target").alias("operand"), F.lit(True).alias("var")).distinct()
+    out = operands.join(hit, key, "left").join(soft, key, "left").join(ends, key, "left").join(var, key, "left").join(lost, "program", "left")
     outcome = (
         F.when(F.col("resolution") == "not-declared", "chain-broken").when(F.col("f.endpoint_type") == "caller", "caller").when(F.col("f").isNotNull(), "artifact")
         .when(F.col("resolution") == "candidates", "candidates").when(F.col("resolution") == "declared-candidates", "declared-candidates").when(F.col("m").isNotNull(), "called-program").otherwise("dead-end")
     )
-    return out.select("program", "operand", outcome.alias("outcome"), F.coalesce("f.event", "m.event").alias("named_by"), F.coalesce("f.item", "m.item").alias("through"), F.coalesce("f.steps", "m.steps").alias("steps"), "candidates")
+    none = F.array().cast("array<string>")
+    out = out.withColumn("outcome", outcome).withColumn("provisional", F.col("resolution") == "not-declared")
+    return out.select(
+        *key, "outcome", F.coalesce("f.event", "m.event").alias("named_by"), F.coalesce("f.item", "m.item").alias("through"), F.coalesce("f.steps", "m.steps").alias("steps"), "candidates",
+        F.when(F.col("outcome") == "dead-end", F.coalesce("ends", none)).otherwise(none).alias("dead_ends"), "provisional",
+        F.when(F.col("provisional"), F.coalesce("lost", none)).otherwise(none).alias("missing_members"), F.coalesce("var", F.lit(False)).alias("variable"),
+    )
+
+
+def call_sources(facts: DataFrame) -> DataFrame:
+    """One row for each source of each dynamic call's target: where the name comes from, by which route, and how to list all targets.
+
+    kind is the artifact's, caller, or called-program (`maybe`: that program can write the item, not that it does). For a table, `run` is the statement that lists the
+    column's values; for a file, the field's record, start and length, or why they are withheld.
+    """
+    seen = settled(_routes(facts, _operands(facts)))
+    sure = _fills(facts).withColumn("maybe", F.lit(False))
+    soft = _handed_on(facts).withColumns({"maybe": F.lit(True), "endpoint_type": F.lit("called-program")})
+    hits = seen.join(sure.unionByName(soft, allowMissingColumns=True), ["program", "item"])
+    first = F.min(F.struct("steps", "line", "item", "stmt_id", "verb", "endpoint_type", "endpoint", "route")).alias("r")
+    hits = hits.groupBy("program", "operand", "event", "maybe").agg(first).select("program", "operand", "event", "maybe", "r.*")
+    columns = fact_table(facts, "sql_column").where("status = 'mapped'").groupBy("program", "stmt_id", F.col("host_var").alias("item")).agg(F.min(F.struct("table", "column")).alias("c"))
+    layout = record_layout(facts).groupBy("program", F.col("name").alias("item")).agg(F.min(F.struct("record_name", "start", "length", "record_size", "reason")).alias("l"))
+    spec = F.create_map(*(x for k, v in ARTIFACTS.items() for x in (F.lit(k), F.lit(v[0]))))
+    out = hits.join(columns, ["program", "stmt_id", "item"], "left").join(layout, ["program", "item"], "left")
+    is_file = (F.col("endpoint_type") == "file") & F.col("c").isNull()
+    return out.select(
+        "program", "operand", F.coalesce(F.try_element_at(spec, F.col("endpoint_type")), "endpoint_type").alias("kind"), F.col("endpoint").alias("artifact"), "event", "maybe", "verb", "line", F.col("item").alias("field"), "steps",
+        F.transform("route", lambda x: F.concat(x.source, F.lit(" -> "), x.target, F.lit(" @"), x.line)).alias("route"),
+        F.concat(F.lit("SELECT DISTINCT "), "c.column", F.lit(" FROM "), "c.table").alias("run"),
+        F.when(is_file, F.col("l.record_name")).alias("record"), F.when(is_file, F.col("l.start")).alias("start"), F.when(is_file & F.col("l.start").isNotNull(), F.col("l.length")).alias("length"),
+        F.when(is_file, F.coalesce("l.reason", F.when(F.col("l").isNull(), F.lit("withheld: not in a record")))).alias("withheld"),
+    )
+
 
+def candidate_requests(facts: DataFrame) -> DataFrame:
+    """Programs that a dynamic call may name, by its literals or by declared values: (program, kind, name)."""
+    c = dynamic_calls(facts).select("program", F.explode("candidates").alias("name"))
+    return c.select("program", F.lit("program").alias("kind"), F.upper(F.trim("name")).alias("name")).where("name <> ''").distinct()
 
-def fetch_plan(facts: DataFrame, have: DataFrame | None = None) -> DataFrame:
-    """What to ask an estate for: name, kind, types in order, status (planned, in-hand, dynamic, supplied, excluded) for every artifact."""
+
+def fetch_plan(facts: DataFrame, have: DataFrame | None = None, with_candidates: bool = False) -> DataFrame:
+    """What to ask an estate for: name, kind, types in order, status (planned, in-hand, dynamic, supplied, excluded) for every artifact.
+
+    with_candidates also asks for the programs that dynamic calls may name.
+    """
     a = artifacts(facts)
+    if with_candidates:
+        a = a.unionByName(candidate_requests(facts).withColumn("dynamic", F.lit(False)), allowMissingColumns=True).withColumn("resolved_by", F.coalesce("resolved_by", F.lit("")))
     types = F.create_map(*(x for k, v in MEMBER_TYPES.items() for x in (F.lit(k), F.array(*map(F.lit, v)))))
     a = a.withColumn("types", F.try_element_at(types, F.col("kind")))
     name = F.when((F.col("kind") == "file") & F.col("assign").isNotNull(), F.col("assign")).otherwise(F.col("name"))
@@ -264,3 +337,88 @@ def graph_components(facts: DataFrame, most: int = 50) -> DataFrame:
 
 def status_counts(plan: DataFrame) -> DataFrame:
     return plan.groupBy("status").count()
+
+
+def member_counts(facts: DataFrame) -> DataFrame:
+    """What each copied member gives a program: its data items and its paragraphs."""
+    items = fact_table(facts, "data_item").where("member is not null").groupBy("program", "member").agg(F.count(F.lit(1)).alias("items"))
+    code = fact_table(facts, "statement").where("member is not null").groupBy("program", "member").agg(F.countDistinct("paragraph").alias("paragraphs"), F.count(F.lit(1)).alias("statements"))
+    used = fact_table(facts, "copybook").groupBy("program", "member").agg(F.max("status").alias("status"), F.max("replacing").alias("replacing"), F.count(F.lit(1)).alias("copies"))
+    out = used.join(items, ["program", "member"], "left").join(code, ["program", "member"], "left")
+    return out.select("program", "member", "status", "replacing", "copies", *(F.coalesce(c, F.lit(0)).alias(c) for c in ("items", "paragraphs", "statements")))
+
+
+def hierarchy(facts: DataFrame) -> DataFrame:
+    """The state graph as a tree: section, paragraph, its first state, and its states in order; `compound` if a paragraph has several."""
+    section = fact_table(facts, "paragraph").select("program", F.col("name").alias("paragraph"), "section", F.col("line").alias("starts_at"))
+    states = fact_table(facts, "state").where("paragraph is not null").groupBy("program", "paragraph").agg(
+        F.min("state").alias("initial"), F.sort_array(F.collect_list(F.struct("state", "kind", "line"))).alias("states"), (F.count(F.lit(1)) > 1).alias("compound")
+    )
+    return section.join(states, ["program", "paragraph"]).select("program", "section", "paragraph", "starts_at", "initial", "compound", "states")
+
+
+#: Relations as words in names, longest first.
+RELATION_WORDS = ((">=", "ge"), ("<=", "le"), ("<>", "ne"), ("=", "eq"), (">", "gt"), ("<", "lt"))
+LITERALS = r"('[^']*'|\"[^\"]*\"|[^'\"]+|['\"])"
+
+
+def slug(text: Column, most: int = 60) -> Column:
+    """A name made of a statement or condition: relations as words, literals without quotes, anything else but letters, digits, _ and - as one _."""
+    for sign, word in RELATION_WORDS:
+        text = F.replace(text, F.lit(sign), F.lit(f" {word} "))
+    text = F.regexp_replace(text, "['\"]", "")
+    text = F.regexp_replace(F.regexp_replace(text, "[^0-9A-Za-z_-]+", "_"), "_+", "_")
+    text = F.regexp_replace(text, "^_|_$", "")
+    text = F.when(F.length(text) > most, F.regexp_replace(F.substring(text, 1, most), "_+$", "")).otherwise(text)
+    return F.when(text == "", "x").otherwise(text)
+
+
+def signature(text: Column) -> Column:
+    """What makes two texts the same: case does not matter outside literals."""
+    parts = F.regexp_extract_all(F.trim(text), F.lit(LITERALS), F.lit(1))
+    return F.array_join(F.transform(parts, lambda x: F.when(x.rlike(r"^(?s)['\"].*['\"]$"), x).otherwise(F.upper(x))), "")
+
+
+def names(facts: DataFrame) -> DataFrame:
+    """A name for each distinct statement and condition of a program, unique in it: the slug, and _2, _3 ... by first use where slugs are equal."""
+    acts = fact_table(facts, "statement").select("program", F.lit("action").alias("kind"), "text", "line", F.col("stmt_id").alias("at"))
+    guards = fact_table(facts, "condition").select("program", F.lit("guard").alias("kind"), "text", "line", F.col("stmt_id").alias("at"))
+    rows = acts.unionByName(guards).groupBy("program", "kind", signature(F.col("text")).alias("signature")).agg(F.min(F.struct("at", "line", "text")).alias("f"))
+    rows = rows.select("program", "kind", "signature", "f.*").withColumn("base", slug(F.col("text")))
+    rows = settled(rows.withColumn("name", F.col("base")))
+    again = Window.partitionBy("program", "name").orderBy("at", "kind", "signature")
+    while not rows.groupBy("program", "name").count().where("count > 1").isEmpty():  # a suffix may make another name
+        n = F.row_number().over(again)
+        rows = settled(rows.withColumn("name", F.when(n == 1, F.col("name")).otherwise(F.concat("name", F.lit("_"), n))))
+    return rows.select("program", "kind", "name", "text", "line")
+
+
+def corpus_graph(facts: DataFrame, dd: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(nodes (node, kind), edges (a, b, edge)) of a whole estate; names hold across programs only where that can be proven, else they carry the program.
+
+    Kinds: program, field, copybook, endpoint, column, event, dataset (of dd, where given).
+    """
+    of = lambda kind, *parts: F.concat(F.lit(f"{kind}:"), *parts)
+    program, slash = of("program", F.col("program")), F.lit("/")
+    edges = graph_edges(facts).select("a", "b", F.coalesce("edge", F.lit("uses")).alias("edge"))
+    items = fact_table(facts, "data_item").where("name <> 'FILLER'")
+    one = of("field", "program", slash, "name")
+    edges = edges.unionByName(items.select(program.alias("a"), one.alias("b"), F.lit("declares").alias("edge")))
+    edges = edges.unionByName(items.where("member is not null").select(of("copybook", "member").alias("a"), one.alias("b"), F.lit("declares").alias("edge")))
+    sql = fact_table(facts, "sql_column").where("column is not null")
+    column = of("column", "table", F.lit("."), "column")
+    edges = edges.unionByName(sql.select(of("db2-table", "table").alias("a"), column.alias("b"), F.lit("has").alias("edge")))
+    edges = edges.unionByName(sql.where("host_var is not null").select(column.alias("a"), of("field", "program", slash, "host_var").alias("b"), F.lit("meets").alias("edge")))
+    ev = fact_table(facts, "event")
+    event, end = of("event", "program", slash, "event"), of("endpoint", "program", slash, "endpoint_type", F.lit(":"), "endpoint")
+    edges = edges.unionByName(ev.select(program.alias("a"), event.alias("b"), F.lit("raises").alias("edge")))
+    edges = edges.unionByName(ev.select(event.alias("a"), end.alias("b"), F.lit("at").alias("edge")))
+    edges = edges.unionByName(ev.select("program", event.alias("a"), F.explode("fields").alias("f")).select("a", of("field", "program", slash, "f").alias("b"), F.lit("carries").alias("edge")))
+    if dd is not None:
+        base = F.regexp_replace("dataset", r"\([+-]?\d+\)$", "")
+        edges = edges.unionByName(dd.select(of("dd", F.col("ddname")).alias("a"), of("dataset", base).alias("b"), F.col("direction").alias("edge")))
+    edges = settled(edges.distinct())
+    prefix = F.substring_index("node", ":", 1)
+    kind = F.when(prefix.isin("program", "field", "copybook", "column", "event", "dataset"), prefix).otherwise("endpoint")
+    nodes = edges.select(F.explode(F.array("a", "b")).alias("node")).distinct().withColumn("kind", kind)
+    return nodes, edges

@@ -9,11 +9,11 @@ from __future__ import annotations
 
 import json
 from decimal import Decimal
-from itertools import chain, groupby, islice
 
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from ..operators.streamed import arrow_schema, batches_of, groups_of
 from ..plans.machine import Code, Endless, Machine, Refused, drive
 from ..plans.parse import Program, parse_programs
 
@@ -173,44 +173,20 @@ def run_stream(events: DataFrame, source: str, members: dict[str, str] | None =
     return events.groupBy("key").transformWithStateInPandas(statefulProcessor=Reactor(), outputStructType=OUTPUT_TYPE, outputMode="append", timeMode="none")
 
 
-def _groups(batches, keys: int):
-    """(key values, rows without them) of batches sorted by their first columns; a group need not fit in memory."""
-    rows = (r for b in batches for r in zip(*(c.to_pylist() for c in b.columns)))
-    same = lambda r: tuple("NaN" if x != x else x for x in r[:keys])  # noqa: E731  NaN is one key
-    for _, group in groupby(rows, same):
-        first = next(group)
-        yield first[:keys], (r[keys:] for r in chain([first], group))
-
-
-def _batches(rows, schema):
-    """Record batches of at most 1,000 of the rows."""
-    import pyarrow as pa
-
-    rows = iter(rows)
-    while part := list(islice(rows, 1000)):
-        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*part), schema)], schema=schema)
-
-
-def _arrow(schema: str):
-    from pyspark.sql.pandas.types import to_arrow_schema
-
-    return to_arrow_schema(T._parse_datatype_string(schema))
-
-
 def run_batch(events: DataFrame, source: str, members: dict[str, str] | None = None, external: dict | None = None) -> DataFrame:
     """The same over a static table of events."""
     program = compile_reactive(source, members)
-    kinds = _arrow(OUTPUT)
+    kinds = arrow_schema(OUTPUT)
 
     def run(batches):
         code = Code(program)
 
         def out():
-            for (key,), rows in _groups(batches, 1):
+            for (key,), rows in groups_of(batches, 1):
                 for r in step(code, None, [(int(seq), event, dict(fields or {})) for seq, event, fields in rows], external)[1]:
                     yield (key, *r)
 
-        yield from _batches(out(), kinds)
+        yield from batches_of(out(), kinds)
 
     return events.select("key", "seq", "event", "fields").repartition("key").sortWithinPartitions("key", "seq").mapInArrow(run, OUTPUT)
 
@@ -227,11 +203,11 @@ def run_files(records: DataFrame, keys: list[str], order: list[str], file: str,
     names = {n: n.lower().replace("-", "_") for n in out}
     schema = ", ".join([*(f"`{k}` {key_types[k]}" for k in keys), *(f"`{names[n]}` {t}" for n, t in out.items()), "halted string", "steps long"])
 
-    kinds, inputs = _arrow(schema), [c.upper().replace("_", "-") for c in fields]
+    kinds, inputs = arrow_schema(schema), [c.upper().replace("_", "-") for c in fields]
 
     def run(batches):
         def out_rows():
-            for key, rows in _groups(batches, len(keys)):
+            for key, rows in groups_of(batches, len(keys)):
                 got = drive(program, {file: (dict(zip(inputs, r)) for r in rows)}, external, trace=False)
                 if got["halted"] == "steps":
                     raise Endless(f"{program.name} reads no record for too many steps, in group {key}")
@@ -239,6 +215,6 @@ def run_files(records: DataFrame, keys: list[str], order: list[str], file: str,
                 quant = [v.quantize(Decimal(1).scaleb(-int(t.split(",")[1].rstrip(")")))) if isinstance(v, Decimal) and t.startswith("decimal") else v for v, t in zip(values, out.values())]
                 yield (*key, *quant, got["halted"], got["steps"])
 
-        yield from _batches(out_rows(), kinds)
+        yield from batches_of(out_rows(), kinds)
 
     return records.repartition(*keys).sortWithinPartitions(*keys, *order).select(*keys, *fields).mapInArrow(run, schema)

@@ -19,9 +19,9 @@ def test_programs_run_on_every_customer(spark):
     orders = spark.read.parquet(f"{SF}/orders.parquet").groupBy("o_custkey").agg(F.sum(F.col("o_totalprice").cast("decimal(15,2)")).alias("t")).collect()
     want = {r.o_custkey: D(r.t) for r in orders}
     assert max(want) > 40
-    got = program_queries.QUERIES["program_on_files_all"](spark, SF).collect()
+    got = program_queries.QUERIES["program_on_files"](spark, SF).collect()
     assert {r.o_custkey: r.ws_sum for r in got} == want and {r.halted for r in got} == {"done"} and len(got) == len(want)
-    got = program_queries.QUERIES["stream_batch_equal_all"](spark, SF).collect()
+    got = program_queries.QUERIES["stream_batch_equal"](spark, SF).collect()
     assert {int(r.key): D(r.value) for r in got} == want and len(got) == len(want)
 
 
@@ -72,5 +72,5 @@ def test_estate_chains_of_any_depth(spark):
 
 
 def test_all_orders_are_joined(spark):
-    got = data_queries.QUERIES["join_keys_all"](spark, SF).select("o_orderkey").collect()
+    got = data_queries.QUERIES["join_keys"](spark, SF).select("o_orderkey").collect()
     assert sorted(r.o_orderkey for r in got) == sorted(r.o_orderkey for r in spark.read.parquet(f"{SF}/orders.parquet").select("o_orderkey").collect())
