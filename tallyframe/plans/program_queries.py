@@ -35,15 +35,28 @@ def program_on_files(spark, sf_dir):
     return reactive.run_files(pays(spark, sf_dir), ["o_custkey"], ["o_orderkey"], "PAY-FILE", samples.TOTALS, out).drop("steps")
 
 
-def events(pays):
+def events(rows, file="PAY-FILE"):
+    """Each row of (o_custkey, o_orderkey, fields...) as an inbound record of its customer, and the end of the customer's file."""
     w = Window.partitionBy("o_custkey")
-    rows = pays.withColumn("seq", F.row_number().over(w.orderBy("o_orderkey")).cast("long"))
-    some = rows.select(F.col("o_custkey").cast("string").alias("key"), "seq", F.lit("GET.FILE.PAY-FILE").alias("event"), F.create_map(F.lit("PAY-AMT"), F.col("pay_amt").cast("string")).alias("fields"))
+    rows = rows.withColumn("seq", F.row_number().over(w.orderBy("o_orderkey")).cast("long"))
+    fields = F.create_map(*(x for c in rows.columns if c not in ("o_custkey", "o_orderkey", "seq") for x in (F.lit(c.upper().replace("_", "-")), F.col(c).cast("string"))))
+    some = rows.select(F.col("o_custkey").cast("string").alias("key"), "seq", F.lit(f"GET.FILE.{file}").alias("event"), fields.alias("fields"))
     ends = rows.groupBy("o_custkey").agg(F.max("seq").alias("n"))
-    ends = ends.select(F.col("o_custkey").cast("string").alias("key"), (F.col("n") + 1).alias("seq"), F.lit("END.FILE.PAY-FILE").alias("event"), F.create_map().cast("map<string,string>").alias("fields"))
+    ends = ends.select(F.col("o_custkey").cast("string").alias("key"), (F.col("n") + 1).alias("seq"), F.lit(f"END.FILE.{file}").alias("event"), F.create_map().cast("map<string,string>").alias("fields"))
     return some.unionByName(ends)
 
 
+@query(
+    "SELECT CAST(o_custkey AS VARCHAR) AS key, CAST(o_orderkey AS VARCHAR) AS out_id, CAST(CAST(o_totalprice AS DECIMAL(15,2)) AS VARCHAR) AS out_amt, "
+    "CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS VARCHAR) AS out_no FROM orders WHERE o_orderstatus = 'O' AND CAST(o_totalprice AS DECIMAL(15,2)) > 200000"
+)
+def events_published(spark, sf_dir):
+    """Records that an event-driven program writes, as events that go out."""
+    o = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_custkey", "o_orderkey", F.col("o_orderkey").alias("ord_id"), F.col("o_orderstatus").alias("ord_status"), F.col("o_totalprice").cast("decimal(15,2)").alias("ord_amt"))
+    out = reactive.run_batch(events(o, "ORD-FILE"), samples.PICKS).where("kind = 'publish' and name = 'CREATE.FILE.OUT-FILE'")
+    return out.select("key", *(F.get_json_object("value", f"$.{n}").alias(n.lower().replace("-", "_")) for n in ("OUT-ID", "OUT-AMT", "OUT-NO")))
+
+
 @query(f"SELECT CAST(o_custkey AS VARCHAR) AS key, CAST(CAST(SUM(amt) AS DECIMAL(13,2)) AS VARCHAR) AS value FROM ({PAYS}) GROUP BY 1")
 def stream_batch_equal(spark, sf_dir):
     """The same program driven by events, as many as there are orders and ends of files, gives the totals that it displays."""

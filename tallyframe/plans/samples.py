@@ -229,5 +229,46 @@ ORDERS = """
                AT END MOVE 'Y' TO WS-END
            END-READ.
 """
+#: Writes the large open orders of a customer, and counts them.
+PICKS = """
+       IDENTIFICATION DIVISION.
+       PROGRAM-ID. PICKS.
+       ENVIRONMENT DIVISION.
+       INPUT-OUTPUT SECTION.
+       FILE-CONTROL.
+           SELECT ORD-FILE ASSIGN TO ORDIN.
+           SELECT OUT-FILE ASSIGN TO ORDOUT.
+       DATA DIVISION.
+       FILE SECTION.
+       FD  ORD-FILE.
+       01  ORD-REC.
+           05  ORD-ID        PIC 9(9).
+           05  ORD-STATUS    PIC X.
+           05  ORD-AMT       PIC 9(7)V99.
+       FD  OUT-FILE.
+       01  OUT-REC.
+           05  OUT-ID        PIC 9(9).
+           05  OUT-AMT       PIC 9(7)V99.
+           05  OUT-NO        PIC 9(5).
+       WORKING-STORAGE SECTION.
+       01  WS-END            PIC X VALUE 'N'.
+       PROCEDURE DIVISION.
+       PROCESS-MAIN.
+           READ ORD-FILE
+               AT END MOVE 'Y' TO WS-END
+           END-READ
+           PERFORM PROCESS-ORDER UNTIL WS-END = 'Y'
+           STOP RUN.
+       PROCESS-ORDER.
+           IF ORD-STATUS = 'O' AND ORD-AMT > 200000
+               ADD 1 TO OUT-NO
+               MOVE ORD-ID TO OUT-ID
+               MOVE ORD-AMT TO OUT-AMT
+               WRITE OUT-REC
+           END-IF
+           READ ORD-FILE
+               AT END MOVE 'Y' TO WS-END
+           END-READ.
+"""
 PROGRAMS = {"TOTALS": TOTALS, "RULES": RULES, "RATES": RATES, "LOOPS": LOOPS}
 MEMBERS = {"ACCTREC": ACCTREC}

@@ -1,6 +1,7 @@
 """Programs driven by events: inbound records and ends of files per key, with the program's whole state kept between them.
 
-A compiled program waits at its READs. transformWithStateInPandas keeps one machine state for each stream key (pc, returns, context,
+A compiled program waits where data comes in: at a READ for a record or the end of the file, at ACCEPT, SELECT, FETCH, RECEIVE and their like for GET.<TYPE>.<ENDPOINT>, and, where
+the program tests a subsystem's reply, for GET.RESPONSE.<SUBSYSTEM> after a statement to it. What goes out (WRITE, UPDATE, SEND, CALL ...) is published as it is met, and nothing waits for it. transformWithStateInPandas keeps one machine state for each stream key (pc, returns, context,
 buffered records) in a ValueState; events of a key are applied in `seq` order, events that come early wait in the state, and gaps are reported. The
 batch form runs the same machine over rows sorted by key, one after the other.
 """
@@ -14,10 +15,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from ..operators.streamed import arrow_schema, batches_of, groups_of
+from ..functions.picture import to_number
+from ..plans.facts import RESPONSES
 from ..plans.machine import Code, Endless, Machine, Refused, drive
 from ..plans.parse import Program, parse_programs
 
-#: Inbound events: key, seq (from 1, without gaps), event (GET.FILE.f or END.FILE.f), fields.
+#: Inbound events: key, seq (from 1, without gaps), event (GET.FILE.f, END.FILE.f, GET.DB2.t, GET.RESPONSE.DB2 ...), fields.
 EVENT = "key string, seq long, event string, fields map<string,string>"
 OUTPUT = "key string, seq long, kind string, name string, value string"
 OUTPUT_TYPE = T.StructType([T.StructField(n, T.LongType() if k == "long" else T.StringType()) for n, k in (c.split() for c in OUTPUT.split(", "))])
@@ -67,6 +70,81 @@ def manifest(p: Program) -> list[dict]:
     return [dict(t) for t in dict.fromkeys(tuple((k, tuple(v) if isinstance(v, list) else v) for k, v in r.items()) for r in out)]
 
 
+class Crossings:
+    """What each statement of a program takes in and gives out, in the order in which it is done: (kind, event, fields), kind in, out or reply."""
+
+    def __init__(self, code: Code):
+        from ..plans.facts import Facts
+
+        facts = Facts(code.p, code.p.name)
+        tested = {row["endpoint"] for fact, row in facts.rows if fact == "event" and row["endpoint_type"] == "response"}
+        by_id = {sid: at for at, sid in facts.ids.items()}
+        self.replies = {n for n, where in RESPONSES.items() if where in tested}
+        self.at: dict[int, list[tuple[str, str, list]]] = {}
+        for sid, rows in facts.events_at.items():
+            steps = [("out", r["event"], r["fields"]) for r in rows if r["direction"] == "output" and r["endpoint_type"] != "console"]
+            steps += [("in", r["event"], r["fields"]) for r in rows if r["direction"] == "input" and r["endpoint_type"] not in ("response", "caller", "system") and r["verb"] not in ("READ", "RETURN", "TEST")]
+            used = {"db2": "DB2", "cics": "CICS"}
+            asked = {"CICS" if r["verb"].startswith("CICS") else used.get(r["endpoint_type"]) for r in rows} & tested
+            steps += [("reply", f"GET.RESPONSE.{where}", sorted(n for n, w in RESPONSES.items() if w == where)) for where in sorted(asked)]
+            if steps:
+                self.at[by_id[sid]] = steps
+
+
+def _crossings(code: Code) -> Crossings:
+    found = getattr(code, "_crossings", None)
+    if found is None:
+        found = code._crossings = Crossings(code)
+    return found
+
+
+def _take(m: Machine, fields: dict) -> None:
+    """Stores arrived fields as a MOVE does; a field that did not come keeps what it held."""
+    for name, v in fields.items():
+        name = name.upper()
+        if v is None:
+            continue
+        p = m.c.pictures.get(name)
+        if p is not None and name not in m.c.occurs:
+            m.let(("ref", name, (), None), to_number(v) if p.numeric else v)
+        else:
+            m.state["context"][name] = to_number(v) if name in RESPONSES else v
+
+
+def _text(x):
+    return format(x, "f") if isinstance(x, Decimal) else x
+
+
+def _gate(m: Machine, crossings: Crossings, arrived: dict):
+    """What Machine.run asks before a statement: publishes what it gives out, and waits for what it takes in."""
+    st = m.state
+
+    def gate(s):
+        steps = crossings.at.get(id(s))
+        if not steps or all(kind == "in" and fields and all(f in m.external for f in fields) for kind, _, fields in steps):
+            return None
+        n = st.get("crossed", 0)
+        while n < len(steps):
+            kind, event, fields = steps[n]
+            if kind == "out":
+                body = {f: [_text(x) for x in v] if isinstance(v, list) else _text(v) for f in fields if (v := st["context"].get(f)) is not None}
+                st.setdefault("published", []).append([event, json.dumps(body)])
+            elif kind == "reply" and st.get("replied"):
+                pass
+            elif event in arrived:
+                got = arrived.pop(event)
+                _take(m, got)
+                st["replied"] = kind == "in" and bool({k.upper() for k in got} & crossings.replies)
+            else:
+                st["crossed"] = n
+                return event
+            n += 1
+        st["crossed"], st["replied"] = 0, False
+        return True
+
+    return gate
+
+
 def _dump(x):
     return {"#": format(x, "f")} if isinstance(x, Decimal) else x
 
@@ -88,7 +166,8 @@ def unpack_state(text: str) -> tuple[dict, dict, int]:
 def step(code: Code, saved: str | None, events: list[tuple[int, str, dict]], external: dict | None = None) -> tuple[str, list[tuple[int, str, str | None, str | None]]]:
     """Applies a batch of (seq, event, fields) to a saved state: the new state and output rows (seq, kind, name, value).
 
-    Kinds: display, done, gap (events wait for an earlier seq), ignored (no READ awaits the event or the program has ended), repeated.
+    Kinds: display, publish (an event that goes out, with its fields as JSON), done, gap (events wait for an earlier seq), ignored (nothing awaits the event or the program has
+    ended), repeated. An END of anything but a file is the reply that there is no row: SQLCODE 100.
     """
     if saved is None:
         state, buffered, nxt = None, {}, 1
@@ -102,6 +181,10 @@ def step(code: Code, saved: str | None, events: list[tuple[int, str, dict]], ext
         else:
             buffered[seq] = [event, dict(fields or {})]
     queue: dict[str, list] = {}
+    arrived: dict[str, dict] = {}
+    gate = _gate(m, _crossings(code), arrived)
+    for name in _crossings(code).replies:
+        m.state["context"].setdefault(name, Decimal(0))
 
     def tell(seq: int) -> None:
         if m.state["halted"] == "steps":
@@ -109,28 +192,40 @@ def step(code: Code, saved: str | None, events: list[tuple[int, str, dict]], ext
         for text in m.state["display"]:
             out.append((seq, "display", None, text))
         m.state["display"] = []
+        for event, body in m.state.get("published", ()):
+            out.append((seq, "publish", event, body))
+        m.state["published"] = []
+
+    def finish(seq: int) -> None:
+        if m.state["halted"]:
+            for name, v in sorted(m.state["context"].items()):
+                out.append((seq, "done", name, json.dumps([_text(x) for x in v]) if isinstance(v, list) else _text(v)))
 
     def next_record(file: str):
         q = queue.get(file)
         return q.pop(0) if q else None
 
     if saved is None:
-        m.run(next_record)
+        m.run(next_record, gate=gate)
         tell(0)
     while nxt in buffered:
         event, fields = buffered.pop(nxt)
         kind, _, rest = event.partition(".")
         file = rest.partition(".")[2].upper()
-        if m.state["halted"] or m.state["waiting"] != file:
+        wanted = f"GET.{rest}".upper()
+        if not m.state["halted"] and m.state["waiting"] == wanted:
+            arrived[wanted] = {"SQLCODE": "100"} if kind == "END" else dict(fields)
+            m.run(next_record, gate=gate)
+            tell(nxt)
+            finish(nxt)
+        elif m.state["halted"] or m.state["waiting"] != file:
             out.append((nxt, "ignored", event, f"waiting for {m.state['waiting']}" if not m.state["halted"] else "the program has ended"))
         else:
             # a field that did not come keeps what it held
             queue[file] = ["END" if kind == "END" else {k: v for k, v in fields.items() if v is not None}]
-            m.run(next_record)
+            m.run(next_record, gate=gate)
             tell(nxt)
-            if m.state["halted"]:
-                for name, v in sorted(m.state["context"].items()):
-                    out.append((nxt, "done", name, json.dumps([format(x, "f") if isinstance(x, Decimal) else x for x in v]) if isinstance(v, list) else format(v, "f") if isinstance(v, Decimal) else v))
+            finish(nxt)
         nxt += 1
     if buffered:
         out.append((nxt, "gap", None, f"{len(buffered)} later events wait"))

@@ -156,3 +156,44 @@ def test_stream_equals_batch(spark, tmp_path):
     got = {(r.key, r.value) for r in spark.table("reacted").where("kind = 'display'").collect()}
     want = {(r.key, r.value) for r in reactive.run_batch(df, samples.TOTALS).where("kind = 'display'").collect()}
     assert got == want == {("a", "6.00"), ("b", "0")}
+
+
+CREDIT = program(
+    "01 WS-ID PIC X(4).\n01 WS-BAL PIC 9(5)V99.\n01 WS-OK PIC X.",
+    """M1.
+    ACCEPT WS-ID
+    EXEC SQL
+        SELECT BAL INTO :WS-BAL FROM ACCOUNT WHERE ID = :WS-ID
+    END-EXEC
+    IF SQLCODE = 100
+        MOVE 'N' TO WS-OK
+    ELSE
+        ADD 1 TO WS-BAL
+        EXEC SQL
+            UPDATE ACCOUNT SET BAL = :WS-BAL WHERE ID = :WS-ID
+        END-EXEC
+        IF SQLCODE = 0
+            MOVE 'Y' TO WS-OK
+        ELSE
+            MOVE 'E' TO WS-OK
+        END-IF
+    END-IF
+    CALL 'AUDIT' USING WS-OK
+    STOP RUN.""",
+)
+
+
+@pytest.mark.parametrize("answer,update,ok,balance", [({"WS-BAL": "12.345", "SQLCODE": "0"}, "0", "Y", "13.34"), ({"WS-BAL": "1"}, "-911", "E", "2.00"), (None, None, "N", "0")])
+def test_programs_wait_for_what_comes_in_and_publish_what_goes_out(answer, update, ok, balance):
+    ev = [("GET.CONSOLE.SYSIN", {"WS-ID": "A1"}), ("GET.DB2.ACCOUNT", answer) if answer else ("END.DB2.ACCOUNT", {})]
+    if answer and "SQLCODE" not in answer:  # the reply comes as an event of its own
+        ev.append(("GET.RESPONSE.DB2", {"SQLCODE": "0"}))
+    if update:
+        ev.append(("GET.RESPONSE.DB2", {"SQLCODE": update}))
+    for cuts in ((), tuple(range(1, len(ev)))):
+        out = feed(ev, CREDIT, cuts)
+        done = {r[2]: r[3] for r in out if r[1] == "done"}
+        assert (done["WS-OK"].strip(), D(done["WS-BAL"])) == (ok, D(balance)) and not [r for r in out if r[1] == "ignored"]
+        sent = [(r[2], r[3]) for r in out if r[1] == "publish"]
+        assert sent[-1] == ("CREATE.PROGRAM.AUDIT", f'{{"WS-OK": "{ok}"}}') and [n for n, _ in sent] == (["CREATE.DB2.ACCOUNT"] if update else []) + ["CREATE.PROGRAM.AUDIT"]
+    assert [r[1:] for r in feed([("GET.DB2.ACCOUNT", {})], CREDIT)] == [("ignored", "GET.DB2.ACCOUNT", "waiting for GET.CONSOLE.SYSIN")]
