@@ -8,9 +8,11 @@ from pyspark.sql import DataFrame
 
 
 def settled(df: DataFrame) -> DataFrame:
-    """df computed once into spark.checkpoint.dir (a folder of our own where that is unset), so rounds do not pile up plans."""
+    """df computed once into spark.checkpoint.dir (in local mode a folder of our own where that is unset), so rounds do not pile up plans."""
     spark = df.sparkSession
     if spark.conf.get("spark.checkpoint.dir", None) is None and not getattr(spark, "_tallyframe_checkpoints", False):
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="tallyframe-"))
         spark._tallyframe_checkpoints = True
     return df.checkpoint()

@@ -98,11 +98,16 @@ def corpus_paragraphs(f):
 
 
 @query(
-    f"SELECT program, unnest(['IN-KEY', 'IN-AMT', 'IN-NEXT']) AS name, unnest([1, 1 + a, 3 + a + b]) AS start, unnest([a, b + 2, 8]) AS length, CAST(10 + a + b AS INTEGER) AS record_size FROM {BASE}"
+    "SELECT program, 'IN-REC' AS record_name, unnest(['IN-KEY', 'IN-AMT', 'IN-NEXT']) AS name, unnest([1, 1 + a, 3 + a + b]) AS start, unnest([a, b + 2, 8]) AS length, "
+    f"CAST(10 + a + b AS INTEGER) AS record_size FROM {BASE} UNION ALL "
+    f"SELECT program, w, w, 1, n, n FROM (SELECT program FROM {BASE}), (VALUES ('WS-PGM', 8), ('WS-HOP', 8), ('WS-NEXT', 8), ('WS-LOST', 8), ('WS-COPY', 8), ('WS-END', 1), ('WS-TOTAL', 11)) AS v(w, n) UNION ALL "
+    "SELECT program, 'SHARED-REC', 'SH-' || j, CAST(1 + j * (j + 1) // 2 AS INTEGER), CAST(j + 1 AS INTEGER), CAST((c + 1) * (c + 2) // 2 AS INTEGER) "
+    f"FROM {BASE}, range(3) AS r(j) WHERE c < 3 AND j <= c"
 )
 def corpus_layouts(f):
-    """Bytes of the input record of every program."""
-    return views.record_layout(f).where("record_name = 'IN-REC'").select("program", "name", *(F.col(c).cast("int").alias(c) for c in ("start", "length", "record_size")))
+    """Bytes of all records of every program."""
+    numbers = [F.col(c).cast("int").alias(c) for c in ("start", "length", "record_size")]
+    return views.record_layout(f).select("program", "record_name", "name", *numbers)
 
 
 @query(

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import values as V
 from ..functions.picture import parse_picture
 from ..operators import fold, records
 from ..operators.rowprogram import RowProgram, as_field
+from ..operators.settle import settled
+from ..sources import estate
+from . import views
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -434,10 +437,19 @@ def inspect_statement(spark, sf_dir):
     "SELECT * FROM (VALUES ('CTL-KEY', 1, 4), ('CTL-PGM-NAME', 5, 8), ('CTL-AMT', 13, 5), ('CTL-CNT', 18, 2), ('FILLER', 20, 59)) AS t(name, start, length)"
 )
 def record_layout(spark, sf_dir):
-    items = [("CTL-KEY", "X(4)", "DISPLAY", 1), ("CTL-PGM-NAME", "X(8)", "DISPLAY", 1), ("CTL-AMT", "S9(7)V99", "COMP-3", 1), ("CTL-CNT", "S9(4)", "COMP", 1), ("FILLER", "X(59)", "DISPLAY", 1)]
-    rows = [("CTL-REC", i, n, parse_picture(p, u).bytes() * k) for i, (n, p, u, k) in enumerate(items)]
-    df = spark.createDataFrame(rows, "record string, ordinal int, name string, length int")
-    w = Window.partitionBy("record").orderBy("ordinal").rowsBetween(Window.unboundedPreceding, 0)
-    return df.select("name", (F.sum("length").over(w) - F.col("length") + 1).cast("int").alias("start"), "length")
-
-
+    """The layout view on one record."""
+    pictures = (("CTL-KEY", "X(4)"), ("CTL-PGM-NAME", "X(8)"), ("CTL-AMT", "S9(7)V99 COMP-3"), ("CTL-CNT", "S9(4) COMP"), ("FILLER", "X(59)"))
+    fields = "\n".join(f"           05  {name} PIC {picture}." for name, picture in pictures)
+    text = f"""
+       IDENTIFICATION DIVISION.
+       PROGRAM-ID. CTL.
+       DATA DIVISION.
+       WORKING-STORAGE SECTION.
+       01  CTL-REC.
+{fields}
+       PROCEDURE DIVISION.
+       A-MAIN.
+           STOP RUN.
+"""
+    facts = settled(estate.parse_estate(spark.createDataFrame([("CTL", text)], "name string, text string")))
+    return views.record_layout(facts).select("name", F.col("start").cast("int").alias("start"), F.col("length").cast("int").alias("length"))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..operators.settle import settled
 from ..sources import estate
-from . import jobs, samples, views
+from . import estate_rows, jobs, samples, views
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -39,21 +39,21 @@ def joined(c: str) -> F.Column:
     return F.array_join(F.sort_array(c), ",")
 
 
-@query(values("program, name, category, digits, scale, signed, usage, member", ("RATES", "ACC-BAL", "numeric", 9, 2, True, "COMP-3", "ACCTREC"), ("RATES", "ACC-ID", "numeric", 6, 0, False, "DISPLAY", "ACCTREC"), ("RATES", "ACC-NAME", "alphanumeric", 0, 0, False, "DISPLAY", "ACCTREC"), ("RATES", "ACC-STATE", "alphanumeric", 0, 0, False, "DISPLAY", "ACCTREC"), ("TOTALS", "PAY-AMT", "numeric", 9, 2, False, "COMP-3", None), ("TOTALS", "WS-END", "alphanumeric", 0, 0, False, "DISPLAY", None), ("TOTALS", "WS-SUM", "numeric", 13, 2, False, "DISPLAY", None)))
+@query(estate_rows.values(estate_rows.DATA_DICTIONARY))
 def estate_data_dictionary(facts):
-    d = views.data_dictionary(facts).where("not is_group and (program = 'TOTALS' or member is not null)")
-    return d.select("program", "name", "category", "digits", "scale", "signed", "usage", "member")
+    return views.data_dictionary(facts).select("program", "name", "category", "digits", "scale", "signed", "usage", "member")
 
 
-@query(values("record_name, name, start, length, record_size, reason", ("REC-A", "KEY-A", 1, 4, 23, None), ("REC-A", "QTY-A", 5, 12, 23, None), ("REC-A", "TAG-A", 17, 6, 23, None), ("REC-A", "END-A", 23, 1, 23, None), ("REC-B", "N-B", None, 2, None, "withheld: OCCURS DEPENDING ON"), ("REC-B", "VAR-B", None, 5, None, "withheld: OCCURS DEPENDING ON")))
+@query(estate_rows.values(estate_rows.RECORD_LAYOUT))
 def estate_record_layout(facts):
-    d = views.record_layout(facts).where("program = 'LOOPS' and record_name like 'REC%'")
-    return d.select("record_name", "name", F.col("start").cast("int"), F.col("length").cast("int"), F.col("record_size").cast("int"), "reason")
+    numbers = [F.col(c).cast("int").alias(c) for c in ("start", "length", "record_size")]
+    return views.record_layout(facts).select("program", "record_name", "name", *numbers, "reason")
 
 
-@query(values("program, endpoint, endpoint_type, directions, verbs, assign", ("TOTALS", "PAY-FILE", "file", "input", "READ", "PAYIN"), ("TOTALS", "SYSOUT", "console", "output", "DISPLAY", None), ("RATES", "ACCOUNT", "db2", "input,output", "SELECT,UPDATE", None), ("RATES", "LEDGER", "db2", "input", "FETCH", None), ("RATES", "OUT-FILE", "file", "output", "WRITE", "RATEOUT"), ("RATES", "CALLER", "caller", "input,output", "RETURN,USING", None)))
+@query(estate_rows.values(estate_rows.ENDPOINTS))
 def estate_endpoints(facts):
-    return views.endpoints(facts).where("program in ('TOTALS', 'RATES')").select("program", "endpoint", "endpoint_type", joined("directions").alias("directions"), joined("verbs").alias("verbs"), "assign")
+    d = views.endpoints(facts)
+    return d.select("program", "endpoint", "endpoint_type", joined("directions").alias("directions"), joined("verbs").alias("verbs"), "assign")
 
 
 @query(values("table_name, column_name, host_var, status", ("ACCOUNT", "NAME", "ACC-NAME", "mapped"), ("ACCOUNT", "BAL", "ACC-BAL", "mapped"), ("ACCOUNT", None, None, "refused: an indicator variable"), ("ACCOUNT", "BAL", "ACC-BAL", "mapped"), ("LEDGER", "ID", "ACC-ID", "mapped"), ("LEDGER", None, "ACC-BAL", "derived")))
@@ -61,9 +61,9 @@ def estate_sql_columns(facts):
     return estate.fact_table(facts, "sql_column").select(F.col("table").alias("table_name"), F.col("column").alias("column_name"), "host_var", "status")
 
 
-@query(values("program, item, status, literals", ("RULES", "WS-PGM", "proven", "RATES"), ("RULES", "WS-NEXT", "runtime", ""), ("RULES", "REP-TAG", "runtime", "AAA,BBB,CCC,DDD,EEE,FFF"), ("TOTALS", "WS-END", "candidates", "N,Y")))
+@query(estate_rows.values(estate_rows.CONSTANTS))
 def estate_constants(facts):
-    return views.constants(facts).where("item in ('WS-PGM', 'WS-NEXT', 'REP-TAG', 'WS-END')").select("program", "item", "status", joined("literals").alias("literals"))
+    return views.constants(facts).select("program", "item", "status", joined("literals").alias("literals"))
 
 
 @query(values("program, operand, callee, resolution, category", ("RULES", "WS-PGM", "RATES", "proven", "cobol-program"), ("RULES", "DSNTIAR", "DSNTIAR", "literal", "ibm-db2"), ("RULES", "WS-NEXT", None, "runtime", "unresolved")))
@@ -92,26 +92,29 @@ def estate_fetch_plan(facts):
     return views.fetch_plan(facts, have).select("program", "name", "kind", "status")
 
 
-@query(values("field, line, changed_by, origins, conditions, partial", ("REP-ID", 46, "44", "GET.CONSOLE.SYSIN", "LIVE", False), ("REP-TAG", 46, "45", "", "LIVE", False), ("REP-ID", 54, "44", "GET.CONSOLE.SYSIN", "", False), ("REP-TAG", 54, "50,52", "GET.CALLER.CALLER", "", False), ("REP-ID", 60, "44", "GET.CONSOLE.SYSIN", "NOT WS-A = 'P',NOT WS-A = 'Q'", False), ("REP-TAG", 60, "59", "", "NOT WS-A = 'P',NOT WS-A = 'Q'", False), ("REP-ID", 71, "44", "GET.CONSOLE.SYSIN", "", True), ("REP-TAG", 71, "70", "", "", True)))
+@query(estate_rows.values(estate_rows.LINEAGE))
 def estate_lineage(facts):
-    rows = views.lineage(facts).where("event = 'CREATE.FILE.REP-FILE'")
     text = F.transform("conditions", lambda c: F.when(c.negated, F.concat(F.lit("NOT "), c.guard)).otherwise(c.guard))
-    return rows.select("field", "line", F.array_join(F.col("changed_by").cast("array<string>"), ",").alias("changed_by"), F.array_join(F.transform("origins", lambda o: o.event), ",").alias("origins"), F.array_join(F.sort_array(text), ",").alias("conditions"), F.col("conditions_partial").alias("partial"))
+    return views.lineage(facts).select(
+        "program", "event", "field", "line", F.array_join(F.transform("changed_by", lambda n: F.concat(F.lit("L"), n)), ",").alias("changed_by"),
+        F.array_join(F.transform("origins", lambda o: o.event), ",").alias("origins"), F.array_join(F.sort_array(text), ",").alias("conditions"),
+        F.col("conditions_partial").alias("partial"),
+    )
 
 
-@query(values("line, rule, fields", (46, "LIVE", "REP-ID,REP-TAG"), (54, "", "REP-ID,REP-TAG"), (60, "NOT (WS-A = 'P') AND NOT (WS-A = 'Q')", "REP-ID,REP-TAG"), (71, "", "REP-ID,REP-TAG")))
+@query(estate_rows.values(estate_rows.BUSINESS_RULES))
 def estate_business_rules(facts):
-    return views.business_rules(facts).where("event = 'CREATE.FILE.REP-FILE'").select("line", F.array_join("rule", " AND ").alias("rule"), joined("fields").alias("fields"))
+    return views.business_rules(facts).select("program", "event", "line", F.array_join("rule", " AND ").alias("rule"), joined("fields").alias("fields"))
 
 
-@query(values("program, source, target, rule", ("TOTALS", 0, 22, ""), ("TOTALS", 0, 26, ""), ("TOTALS", 26, 26, ""), ("TOTALS", 26, 22, ""), ("TOTALS", 22, None, "")))
+@query(estate_rows.values(estate_rows.BUSINESS_STEPS))
 def estate_business_steps(facts):
-    return views.business_steps(facts).where("program = 'TOTALS'").select("program", "source", "target", F.array_join("rule", ",").alias("rule"))
+    return views.business_steps(facts).select("program", "source", "target", F.array_join("rule", ",").alias("rule"))
 
 
-@query(values("program, paragraph, role", ("TOTALS", "A-MAIN", "output"), ("TOTALS", "B-NEXT", "input"), ("LOOPS", "A-MAIN", "technical"), ("LOOPS", "B-ADD", "technical"), ("LOOPS", "C-SELF", "decision")))
+@query(estate_rows.values(estate_rows.BUSINESS_STATES))
 def estate_business_states(facts):
-    return views.business_states(facts).where("program in ('TOTALS', 'LOOPS')")
+    return views.business_states(facts)
 
 
 @query(values("program, paragraph", ("LOOPS", "C-SELF")))
@@ -134,9 +137,9 @@ def estate_state_graph(facts):
     return estate.fact_table(facts, "edge")
 
 
-@query()
+@query(estate_rows.values(estate_rows.STATEMENTS))
 def estate_statements(facts):
-    return estate.fact_table(facts, "statement")
+    return estate.fact_table(facts, "statement").select("program", "stmt_id", "parent_id", "branch", "paragraph", "kind", "line", "member")
 
 
 @query(values("program, line, message", ("LOOPS", 8, "OCCURS on the group LINE-A is not modelled as an array"), ("LOOPS", 14, "OCCURS DEPENDING ON: VAR-B is modelled at its greatest size")))

@@ -6,7 +6,7 @@ import re
 
 from ..functions.language import Assign, is_literal, literal_text, parse_verb, references, show, split_at
 from . import flow
-from .machine import Code
+from .machine import Code, untils, varied
 from .parse import Program, Stmt
 
 #: Spark schemas of the fact tables; `program` and `ordinal` come before.
@@ -130,20 +130,22 @@ class Facts:
     def _one(self, s: Stmt, sid: int, para: str) -> None:
         w = [x if is_literal(x) else x.upper() for x in s.words]
         k = s.kind
-        if k in ("IF", "SEARCH") or (k == "PERFORM" and "UNTIL" in w):
-            words = s.words if k == "IF" else (s.words[w.index("UNTIL") + 1 :] if k == "PERFORM" else [])
-            if words:
-                tree = self.code.condition(words)
-                self.add("condition", stmt_id=sid, paragraph=para, text=" ".join(words), tree=show(tree), modelled=tree[0] != "raw", line=s.line)
-                for name in references(tree):
-                    if name in RESPONSES:
-                        self.event(s, sid, para, "GET", "response", RESPONSES[name], "TEST", [name])
-                    elif name in CICS_INPUTS:
-                        self.event(s, sid, para, "GET", "system", "CICS", "TEST", [name])
-                    else:
-                        for f in self.p.files:
-                            if f["status_field"] == name:
-                                self.event(s, sid, para, "GET", "response", f["file"], "FILE STATUS", [name])
+        for words in [s.words] if k == "IF" else untils(s.words) if k == "PERFORM" else []:
+            tree = self.code.condition(words)
+            self.add("condition", stmt_id=sid, paragraph=para, text=" ".join(words), tree=show(tree), modelled=tree[0] != "raw", line=s.line)
+            for name in references(tree):
+                if name in RESPONSES:
+                    self.event(s, sid, para, "GET", "response", RESPONSES[name], "TEST", [name])
+                elif name in CICS_INPUTS:
+                    self.event(s, sid, para, "GET", "system", "CICS", "TEST", [name])
+                else:
+                    for f in self.p.files:
+                        if f["status_field"] == name:
+                            self.event(s, sid, para, "GET", "response", f["file"], "FILE STATUS", [name])
+        for name, begin, step, _ in varied(s.words) if k == "PERFORM" else []:
+            for tree in (begin, ("op", "+", ("ref", name, (), None), step)):
+                literal = format(tree[1], "f") if tree[0] == "num" else None
+                self.add("assignment", stmt_id=sid, paragraph=para, verb=k, target=name, reads=references(tree), literal=literal, expr=show(tree), rounded=False, note=None, line=s.line)
         for a in parse_verb([k, *s.words], self.code.firsts, self.code.pictures | self.code.groups) if k in ("MOVE", "COMPUTE", "ADD", "SUBTRACT", "MULTIPLY", "DIVIDE", "SET", "INITIALIZE") else []:
             if isinstance(a, Assign):
                 literal = a.expr[1] if a.expr[0] == "str" else format(a.expr[1], "f") if a.expr[0] == "num" else None

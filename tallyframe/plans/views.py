@@ -39,30 +39,44 @@ def data_dictionary(facts: DataFrame) -> DataFrame:
     return items.join(conds, ["program", "name"], "left")
 
 
+def _over_ancestors(rows: DataFrame, value: str, both) -> DataFrame:
+    """rows (program, ord, up, value): value combined by both() with those of all items above. Each round looks twice as many levels up."""
+    chain = settled(rows.select("program", "ord", "up", value))
+    while not chain.where("up is not null").isEmpty():
+        above = chain.select("program", F.col("ord").alias("up"), F.col("up").alias("next"), F.col(value).alias("more"))
+        chain = settled(chain.join(above, ["program", "up"], "left").select("program", "ord", F.col("next").alias("up"), both(F.col(value), F.col("more")).alias(value)))
+    return chain.drop("up")
+
+
 def record_layout(facts: DataFrame) -> DataFrame:
     """Bytes of each record: start and length of every elementary field, or why they are withheld.
 
-    A record is withheld if it holds OCCURS DEPENDING, SYNCHRONIZED or REDEFINES; a table is its element times its size. Group sizes come from a running sum over
-    leaves, multiplied by the occurrences of the groups above.
+    A record is withheld if it holds OCCURS DEPENDING, SYNCHRONIZED or REDEFINES. A table's length is its element times its size (`occurs`). Fields inside a repeating
+    group are those of its first occurrence; what follows the group starts after its last.
     """
     items = fact_table(facts, "data_item").withColumn("ord", F.row_number().over(Window.partitionBy("program").orderBy("ordinal")) - 1)
     items = items.withColumn("record", F.max(F.when(F.col("level").isin(1, 77), F.col("ord"))).over(Window.partitionBy("program").orderBy("ord").rowsBetween(Window.unboundedPreceding, 0)))
-    times = items.select("program", "ord", F.col("above").alias("up"), F.greatest(F.col("occurs"), F.lit(1)).alias("times"))
-    chain = settled(times)
-    while not chain.where("up is not null").isEmpty():  # each round looks twice as many levels up
-        up = chain.select("program", F.col("ord").alias("up"), F.col("up").alias("next"), F.col("times").alias("more"))
-        chain = settled(chain.join(up, ["program", "up"], "left").select("program", "ord", F.col("next").alias("up"), (F.col("times") * F.coalesce("more", F.lit(1))).alias("times")))
-    leaves = items.where("not is_group").join(chain.select("program", "ord", "times"), ["program", "ord"])
+    items = items.withColumns({"up": F.col("above"), "own": F.greatest(F.col("occurs"), F.lit(1))})
+    times = _over_ancestors(items.select("program", "ord", "up", F.col("own").cast("long").alias("times")), "times", lambda a, b: a * F.coalesce(b, F.lit(1)))
+    sized = items.join(times, ["program", "ord"]).withColumn("full", F.when(F.col("is_group"), 0).otherwise(F.col("bytes") * F.col("times")))
+    before = Window.partitionBy("program", "record").orderBy("ord").rowsBetween(Window.unboundedPreceding, -1)
+    sized = settled(sized.withColumn("passed", F.coalesce(F.sum("full").over(before), F.lit(0))))
+    # how far an item lies behind the start of its parent: what lies between them, in one occurrence of the parent
+    parent = sized.select("program", F.col("ord").alias("up"), F.col("passed").alias("parent_passed"), F.col("times").alias("parent_times"))
+    behind = (F.col("passed") - F.coalesce("parent_passed", F.lit(0))) / F.coalesce("parent_times", F.lit(1))
+    behind = sized.join(parent, ["program", "up"], "left").select("program", "ord", "up", F.when(F.col("up").isNull(), 0).otherwise(behind).cast("long").alias("offset"))
+    offsets = _over_ancestors(behind, "offset", lambda a, b: a + F.coalesce(b, F.lit(0)))
     blockers = items.groupBy("program", "record").agg(
         F.first(F.when(F.col("level").isin(1, 77), F.col("name")), ignorenulls=True).alias("record_name"),
         F.concat_ws(", ", F.sort_array(F.collect_set(F.when(F.col("depending").isNotNull(), "OCCURS DEPENDING ON").when(F.col("sync"), "SYNCHRONIZED").when(F.col("redefines").isNotNull(), "REDEFINES")))).alias("why"),
-        F.max(F.when((F.col("occurs") > 0) & F.col("is_group"), 1).otherwise(0)).alias("group_table"),
-    )
-    w = Window.partitionBy("program", "record").orderBy("ord").rowsBetween(Window.unboundedPreceding, 0)
-    size = F.col("bytes") * F.col("times")
-    out = leaves.withColumns({"length": size, "end": F.sum(size).over(w), "record_size": F.sum(size).over(Window.partitionBy("program", "record"))}).join(blockers, ["program", "record"])
-    start = F.when(F.col("why") == "", F.col("end") - F.col("length") + 1)
-    return out.select("program", "record_name", "ord", "name", start.alias("start"), "length", F.when(F.col("why") == "", F.col("record_size")).alias("record_size"), F.when(F.col("why") != "", F.concat(F.lit("withheld: "), "why")).alias("reason"))
+    )
+    out = sized.withColumn("record_size", F.sum("full").over(Window.partitionBy("program", "record"))).where("not is_group")
+    out = out.join(offsets, ["program", "ord"]).join(blockers, ["program", "record"])
+    known = F.col("why") == ""
+    return out.select(
+        "program", "record_name", "ord", "name", F.when(known, F.col("offset") + 1).alias("start"), (F.col("bytes") * F.col("own")).alias("length"), F.col("own").alias("occurs"),
+        F.when(known, F.col("record_size")).alias("record_size"), F.when(~known, F.concat(F.lit("withheld: "), "why")).alias("reason"),
+    )
 
 
 def endpoints(facts: DataFrame) -> DataFrame:

@@ -96,3 +96,32 @@ def test_ordered_fold_holds_one_record_at_a_time(spark):
     df = spark.range(n).select(F.lit("hot").alias("k"), F.col("id").alias("i"), x.alias("x"))
     (r,) = fold.safe_total(df, ["k"], ["i"], "x", "total", "S9(3)V9").collect()
     assert (r.k, r.total) == ("hot", D("0.0"))
+
+
+def test_tables_of_groups_lie_by_their_first_occurrence(spark):
+    working = """01 REC.
+    02 HEAD PIC X.
+    02 OUTER OCCURS 3.
+       03 A1 PIC XX.
+       03 INNER OCCURS 2.
+          04 B1 PIC X(4) OCCURS 5.
+          04 B2 PIC X.
+       03 A2 PIC X(3).
+    02 LAST1 PIC X."""
+    facts = parsed(spark, ("CASE1", program(working, "M1.\n    STOP RUN.")))
+    got = {r.name: (r.start, r.length, r.occurs, r.record_size) for r in views.record_layout(facts).collect()}
+    assert got == {"HEAD": (1, 1, 1, 143), "A1": (2, 2, 1, 143), "B1": (4, 20, 5, 143), "B2": (24, 1, 1, 143), "A2": (46, 3, 1, 143), "LAST1": (143, 1, 1, 143)}
+
+
+def test_every_index_of_a_loop_is_assigned_and_tested(spark):
+    working = "01 I PIC 99.\n01 J PIC 99.\n01 K PIC 99.\n01 N PIC 99."
+    code = "M1.\n    DISPLAY N\n    PERFORM P2 VARYING I FROM 1 BY 1 UNTIL I > 3\n        AFTER J FROM K BY 2 UNTIL J > 9\n    STOP RUN.\nP2.\n    ADD 1 TO N."
+    facts = parsed(spark, ("CASE1", program(working, code)))
+    conditions = estate.fact_table(facts, "condition").collect()
+    assert [(r.text, r.modelled) for r in conditions] == [("I > 3", True), ("J > 9", True)]
+    got = {(r.target, r.literal, r.expr) for r in estate.fact_table(facts, "assignment").where("verb = 'PERFORM'").collect()}
+    assert {(t, lit) for t, lit, _ in got} == {("I", "1"), ("I", None), ("J", None)} and len(got) == 4
+    assert {r.item: r.status for r in views.constants(facts).collect()} == {"I": "runtime", "J": "runtime", "K": "never-assigned", "N": "runtime"}
+    steps = {(r.source, r.target) for r in views.business_steps(facts).collect()}
+    first = next(r.line for r in estate.fact_table(facts, "event").collect() if r.verb == "DISPLAY")
+    assert steps == {(0, first), (first, None)}  # a program that begins by crossing has a first step

@@ -66,7 +66,7 @@ def test_estate_chains_of_any_depth(spark):
     got = {r.operand: (r.outcome, r.steps) for r in views.dynamic_calls(facts.where("program = 'CALLS'")).collect()}
     assert got == {"F0": ("caller", 25)}
     got = {r.name: (r.start, r.length, r.record_size) for r in views.record_layout(facts.where("program = 'DEEP'")).collect()}
-    assert got == {"LEAF": (1, 6, 7), "LAST1": (7, 1, 7)}
+    assert got == {"LEAF": (1, 3, 7), "LAST1": (7, 1, 7)}
     got = {r.paragraph for r in views.perform_cycles(facts.where("program = 'RING'")).collect()}
     assert got == {f"P{i}" for i in range(n)}
 
