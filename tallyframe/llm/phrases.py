@@ -1,6 +1,6 @@
 """Phrase collocations: contiguous phrases counted with compressed position bitmaps, depth first, and scored by their weakest cut.
 
-A shard is a run of a task's words of one language. Every word has a compressed bitmap of its positions there: the non-zero 32-bit
+A shard is a run of a task's words of one language. Every word has a compressed bitmap of its positions there: the non-zero 16-bit
 blocks only. A position without a word lies at each end of a piece, so that no phrase crosses it. A phrase's bitmap marks
 where it ends; shifted by one place and ANDed with the bitmaps of the words in the blocks it touches, it gives all phrases that are one
 word longer, and popcounts give their numbers in the shard, which Spark sums over shards. Phrases extend depth first in batches of
@@ -22,36 +22,40 @@ from .common import cut, documents, mix64, small_batches
 
 #: Bytes that end a piece, bytes that part words, and the upper case that is folded: fixed values.
 ENDS, BLANKS, UPPER = b".,;:!?\x0a\x0b\x0c\x0d", b"\x20\x09", b"ABCDEFGHIJKLMNOPQRSTUVWXYZ"
-GAP = b"."
-TABLE = bytes(GAP[0] if c in ENDS else 32 if c in BLANKS else c + 32 if c in UPPER else c for c in range(256))
-#: Bits of a block's number inside a position: blocks of 32 positions.
-BLOCK = 5
-CHUNK = 1 << 20
+END, BLANK = b".", b" "
+TABLE = bytes(END[0] if c in ENDS else BLANK[0] if c in BLANKS else c + 32 if c in UPPER else c for c in range(256))
+#: A block of a bitmap is 2**BLOCK positions; bits of a row's number in a batch.
+BLOCK, INDEX = 4, 21
 
 
-def slices(raw: bytes):
-    """Lists of tokens of a text: words, and GAP at each end of a piece. A long text comes in several lists, cut between words."""
-    text, at = raw.translate(TABLE), 0
+def slices(text: bytes, size: int):
+    """Parts of a folded text of about `size` bytes, cut between words."""
+    at = 0
     while at < len(text):
-        end = at + CHUNK
+        end = at + size
         if end < len(text):
-            end = max(text.rfind(b" ", at, end), text.rfind(GAP, at, end)) + 1
-            if end <= at:  # a word longer than CHUNK
-                found = [i for i in (text.find(b" ", at), text.find(GAP, at)) if i >= 0]
+            end = max(text.rfind(BLANK, at, end), text.rfind(END, at, end)) + 1
+            if end <= at:  # a word longer than that
+                found = [i for i in (text.find(BLANK, at), text.find(END, at)) if i >= 0]
                 end = min(found) + 1 if found else len(text)
-        yield text[at:end].replace(GAP, b" . ").split()
+        yield text[at:end]
         at = end
 
 
-class Vocabulary(dict):
-    """Word -> its number in a shard; number 0 is the gap."""
-
-    def __init__(self):
-        super().__init__({GAP: 0})
-
-    def __missing__(self, word: bytes) -> int:
-        n = self[word] = len(self)
-        return n
+def positions(text: bytes) -> tuple[np.ndarray, pa.Array]:
+    """(number of the word at each position, 0 at the end of a piece; the words by number, the first being empty) of a folded text."""
+    raw = np.frombuffer(text + END, np.uint8).copy()
+    ends = np.flatnonzero((raw == BLANK[0]) | (raw == END[0]))
+    gap = raw[ends] == END[0]
+    raw[ends] = BLANK[0]
+    offsets = np.r_[0, ends + 1].astype(np.int32)
+    parts = pa.BinaryArray.from_buffers(pa.binary(), len(ends), [None, pa.py_buffer(offsets), pa.py_buffer(raw)]).dictionary_encode()
+    word = np.diff(offsets) > 1
+    places = word.astype(np.int64) + gap
+    first = np.cumsum(places) - places
+    ids = np.zeros(int(places.sum()), np.int32)
+    ids[first[word]] = parts.indices.to_numpy()[word] + 1
+    return ids, pa.concat_arrays([pa.array([b""], pa.binary()), pc.binary_slice(parts.dictionary, 0, -1)])
 
 
 class Filter:
@@ -60,9 +64,6 @@ class Filter:
     def __init__(self, words: np.ndarray, bits: int):
         self.words, self.bits = words, bits
 
-    def __contains__(self, hashes):
-        raise TypeError("use passes()")
-
     def passes(self, hashes: np.ndarray) -> np.ndarray:
         at = place(hashes, self.bits)
         return (self.words[at >> np.uint64(6)] >> (at & np.uint64(63))) & np.uint64(1) == 1
@@ -84,37 +85,41 @@ def joined(first: np.ndarray, word: np.ndarray) -> np.ndarray:
     return mix64(first) + word
 
 
+def _bits_of(n: int) -> int:
+    return max(1, int(n - 1).bit_length())
+
+
+def _grouped(keys: np.ndarray) -> np.ndarray:
+    """Order that brings equal keys (below 2**(63 - INDEX)) together, in their order; at most 2**INDEX of them."""
+    return np.sort(keys << INDEX | np.arange(len(keys))) & ((1 << INDEX) - 1)
+
+
 class Shard:
-    """Position bitmaps of one shard. ids: word numbers by position, 0 for a gap; use: numbers that may be in a phrase; hashes by number."""
+    """Position bitmaps of one shard. ids: word numbers by position; use: by number, whether the word may be in a phrase; hashes by number."""
 
-    def __init__(self, ids: np.ndarray, use: np.ndarray, hashes: np.ndarray | None, most: int = 1 << 21):
+    def __init__(self, ids: np.ndarray, use: np.ndarray, hashes: np.ndarray | None, most: int = 1 << (INDEX - 1)):
         at = np.flatnonzero(use[ids])
-        word = ids[at].astype(np.int64)
-        order = np.argsort(word, kind="stable")
-        word, at = word[order], at[order]
-        self.blocks = (len(ids) >> BLOCK) + 2
-        key = word * self.blocks + (at >> BLOCK)
-        first = np.flatnonzero(np.diff(key, prepend=-1))
-        bit = np.left_shift(np.uint32(1), (at & 31).astype(np.uint32))
-        self.word, self.block = word[first], (at >> BLOCK)[first]
+        self.bits, self.hashes, self.most = _bits_of(len(use)), hashes, most
+        # (block, word, place in the block) in one number
+        key = np.sort((at >> BLOCK << self.bits | ids[at]) << BLOCK | at & (1 << BLOCK) - 1)
+        first = np.flatnonzero(np.diff(key >> BLOCK, prepend=-1))
+        bit = np.left_shift(np.uint16(1), (key & (1 << BLOCK) - 1).astype(np.uint16))
         self.mask = np.bitwise_or.reduceat(bit, first) if len(first) else bit
-        across = np.argsort(self.block, kind="stable")
-        self.by_block_word, self.by_block_mask = self.word[across], self.mask[across]
-        self.from_block = np.searchsorted(self.block[across], np.arange(self.blocks + 1))
-        self.size, self.hashes, self.most = len(use), hashes, most
+        key = key[first] >> BLOCK
+        self.word, self.block = key & (1 << self.bits) - 1, (key >> self.bits).astype(np.int32)
+        self.from_block = np.searchsorted(self.block, np.arange((len(ids) >> BLOCK) + 3)).astype(np.int32)
 
-    def words(self):
+    def words(self) -> tuple[np.ndarray, np.ndarray]:
         """(word numbers, popcounts) of all bitmaps."""
-        if not len(self.word):
-            return self.word, self.word
-        first = np.flatnonzero(np.diff(self.word, prepend=-1))
-        return self.word[first], np.add.reduceat(np.bitwise_count(self.mask).astype(np.int64), first)
+        count = np.bincount(self.word, np.bitwise_count(self.mask)).astype(np.int64)
+        return np.flatnonzero(count), count[count > 0]
 
     def phrases(self, length: int, filters: list):
         """Yields (columns of word numbers, counts) of the phrases of `length` words; a phrase may come in several parts."""
         if len(self.word):
-            first = np.diff(self.word, prepend=-1) != 0
-            yield from self._extend([self.word[first]], np.cumsum(first) - 1, self.block, self.mask, length, filters)
+            order = np.argsort(self.word, kind="stable")
+            path = [np.arange(1 << self.bits)]
+            yield from self._extend(path, self.word[order], self.block[order], self.mask[order], length, filters)
 
     def _hash(self, path: list) -> np.ndarray:
         h = self.hashes[path[0]]
@@ -123,113 +128,104 @@ class Shard:
         return h
 
     def _extend(self, path, phrase, block, mask, length, filters):
-        """path: words of each phrase, by place; phrase, block, mask: its bitmap's blocks."""
-        over = mask >> np.uint32(31)
-        spill, here = np.flatnonzero(over), np.flatnonzero(mask << np.uint32(1))
-        phrase = np.concatenate([phrase[here], phrase[spill]])
-        block = np.concatenate([block[here], block[spill] + 1])
-        mask = np.concatenate([mask[here] << np.uint32(1), over[spill]])
-        order = np.argsort(phrase, kind="stable")
-        phrase, block, mask = phrase[order], block[order], mask[order]
+        """path: words of each phrase, by place; phrase (ascending), block, mask: the blocks of its bitmap."""
+        over, under = mask >> ((1 << BLOCK) - 1), mask << 1
+        spill, here = np.flatnonzero(over), np.flatnonzero(under)
+        number = np.concatenate([here, spill])
+        order = np.argsort(number, kind="stable")
+        number = number[order]
+        phrase, mask = phrase[number], np.concatenate([under[here], over[spill]])[order]
+        block = np.concatenate([block[here], block[spill] + 1])[order]
         width = self.from_block[block + 1] - self.from_block[block]
-        upto = np.cumsum(width)
+        upto = np.cumsum(width, dtype=np.int64)
         lo = 0
         while lo < len(phrase):
             base = upto[lo - 1] if lo else 0
             hi = max(lo + 1, int(np.searchsorted(upto, base + self.most, "right")))
-            part = slice(lo, hi)
-            row = np.repeat(np.arange(lo, hi), width[part])
-            entry = np.arange(upto[hi - 1] - base) + np.repeat(self.from_block[block[part]] - (upto[part] - width[part] - base), width[part])
-            both = self.by_block_mask[entry] & mask[row]
+            part, lo_row, lo = slice(lo, hi), lo, hi
+            row = np.repeat(np.arange(lo_row, hi, dtype=np.int32), width[part])
+            skip = (self.from_block[block[part]] - (upto[part] - width[part] - base)).astype(np.int32)
+            entry = np.arange(upto[hi - 1] - base, dtype=np.int32) + np.repeat(skip, width[part])
+            both = self.mask[entry] & np.repeat(mask[part], width[part])
             hit = np.flatnonzero(both)
-            row, entry, both = row[hit], entry[hit], both[hit]
-            lo = hi
             if not len(hit):
                 continue
-            key = phrase[row] * self.size + self.by_block_word[entry]
-            order = np.argsort(key, kind="stable")
-            key, both, where = key[order], both[order], block[row[order]]
+            row, entry, both = row[hit], entry[hit], both[hit]
+            key = phrase[row] << self.bits | self.word[entry]
+            order = _grouped(key)
+            key, both = key[order], both[order]
             first = np.flatnonzero(np.diff(key, prepend=-1))
             count = np.add.reduceat(np.bitwise_count(both).astype(np.int64), first)
-            before, word = np.divmod(key[first], self.size)
+            before, word = key[first] >> self.bits, key[first] & (1 << self.bits) - 1
             new = [p[before] for p in path] + [word]
             n = len(new)
             keep = np.ones(len(first), bool)
-            if n > 2:  # the last n - 1 words; for pairs the words were chosen before
+            if n > 2:  # the last n - 1 words; those of pairs passed before
                 keep &= filters[n - 2].passes(self._hash(new[1:]))
             if n < length:
                 keep &= filters[n - 1].passes(self._hash(new))
+            new = [p[keep] for p in new]
             if n == length:
-                yield [p[keep] for p in new], count[keep]
+                yield new, count[keep]
                 continue
-            number = np.cumsum(keep) - 1
             each = np.repeat(np.arange(len(first)), np.diff(np.r_[first, len(key)]))
             on = keep[each]
-            yield from self._extend([p[keep] for p in new], number[each[on]], where[on], both[on], length, filters)
-
+            yield from self._extend(new, (np.cumsum(keep) - 1)[each[on]], block[row[order[on]]], both[on], length, filters)
 
-class _Pending:
-    def __init__(self, tail=()):
-        self.vocabulary, self.parts, self.n = Vocabulary(), [], 0
-        if tail:
-            self.add(list(tail))
 
-    def add(self, tokens: list) -> None:
-        self.parts.append(np.fromiter(map(self.vocabulary.__getitem__, tokens), np.int32, len(tokens)))
-        self.n += len(tokens)
-
-
-def _count(length: int, filters, shard_words: int):
+def _count(length: int, filters: list, shard_bytes: int):
     """Counts of the phrases of `length` words of each shard: rows (lang, phrase, a)."""
 
     def run(batches):
-        pending: dict[str, _Pending] = {}
+        pending: dict[str, list] = {}
+        held: dict[str, int] = {}
         ready = [f.value for f in filters]
 
-        def shard(lang, tail):
-            """The shard's counts; with tail, its last words open the next shard, as a phrase may lie across the cut."""
-            one = pending.pop(lang)
-            words = list(one.vocabulary)
-            ids = np.concatenate(one.parts)
-            if tail and length > 1:
-                pending[lang] = _Pending([words[i] for i in ids[1 - length :]])
-            use = np.ones(len(words), bool)
-            hashes = None
+        def shard(lang, on):
+            """The shard's counts. With on, its last words open the next shard, as a phrase may lie across the cut."""
+            ids, words = positions(b"".join(pending.pop(lang)))
+            del held[lang]
+            if on and length > 1:  # the last place is the gap that positions() adds
+                put(lang, b"".join(words[i].as_py() + BLANK if i else END for i in ids[-length:-1].tolist()))
+            use, hashes = np.ones(len(words), bool), None
             if ready:
-                hashes = word_hashes(lang, words)
+                hashes = word_hashes(lang, words.to_pylist())
                 use = ready[0].passes(hashes)
             use[0] = False
             bitmaps = Shard(ids, use, hashes)
-            found = pa.array(words, pa.binary())
             for path, count in [([w], c) for w, c in [bitmaps.words()]] if length == 1 else bitmaps.phrases(length, ready):
                 for at in range(0, len(count), 100_000):
-                    part = [found.take(pa.array(w[at : at + 100_000])) for w in path]
-                    text = (part[0] if length == 1 else pc.binary_join_element_wise(*part, b" ")).cast(pa.string())
+                    part = [words.take(pa.array(w[at : at + 100_000])) for w in path]
+                    text = (part[0] if length == 1 else pc.binary_join_element_wise(*part, BLANK)).cast(pa.string())
                     yield pa.RecordBatch.from_pydict({"lang": pa.array([lang] * len(text), pa.string()), "phrase": text, "a": pa.array(count[at : at + 100_000])})
 
+        def put(lang, text):
+            pending.setdefault(lang, []).append(text)
+            held[lang] = held.get(lang, 0) + len(text)
+
         for batch in batches:
             for lang, raw in zip(batch.column("lang").to_pylist(), batch.column("text").cast(pa.binary()).to_pylist()):
-                for tokens in slices(raw or b""):
-                    pending.setdefault(lang, _Pending()).add(tokens)
-                    if pending[lang].n >= shard_words:
+                for text in slices((raw or b"").translate(TABLE), shard_bytes):
+                    put(lang, text)
+                    if held[lang] >= shard_bytes:
                         yield from shard(lang, True)
-                if lang in pending:
-                    pending[lang].add([GAP])
-                if len(pending) > 64 or sum(p.n for p in pending.values()) >= 2 * shard_words:
-                    for one in list(pending):
+                if lang in held:
+                    put(lang, END)
+                if len(held) > 64 or sum(held.values()) >= 2 * shard_bytes:
+                    for one in list(held):
                         yield from shard(one, False)
-        for one in list(pending):
+        for one in list(held):
             yield from shard(one, False)
 
     return run
 
 
-def counts(docs: DataFrame, length: int, filters: list = (), shard_words: int = 1_000_000) -> DataFrame:
+def counts(docs: DataFrame, length: int, filters: list = (), shard_bytes: int = 6_000_000) -> DataFrame:
     """Occurrences `a` of the phrases of `length` words by lang, overlaps included. With filters (broadcast, of lengths 1 to length - 1) the
     phrases that these rule out are left out."""
     small_batches(docs.sparkSession)
     rows = docs.select(F.coalesce("lang", F.lit("und")).alias("lang"), "text")
-    found = rows.mapInArrow(_count(length, list(filters), shard_words), "lang string, phrase string, a long")
+    found = rows.mapInArrow(_count(length, list(filters), shard_bytes), "lang string, phrase string, a long")
     return found.groupBy("lang", "phrase").agg(F.sum("a").alias("a"))
 
 
@@ -267,7 +263,7 @@ def _run(first, size) -> str:
 
 
 def collocations(
-    docs: DataFrame, min_count: int = 10, min_words: int = 2, max_words: int = 3, covered: int = 50, filter_bits: int = 26, shard_words: int = 1_000_000
+    docs: DataFrame, min_count: int = 10, min_words: int = 2, max_words: int = 3, covered: int = 50, filter_bits: int = 26, shard_bytes: int = 6_000_000
 ) -> DataFrame:
     """All collocations of docs (lang, text): (lang, phrase, a, l, r, n, score).
 
@@ -279,7 +275,7 @@ def collocations(
     """
     filters, known = [], []
     for length in range(1, max_words + 1):
-        found = counts(docs, length, filters, shard_words)
+        found = counts(docs, length, filters, shard_bytes)
         if length == 1:
             words = found = cut(found, "words")
             totals = words.groupBy("lang").agg(F.sum("a").alias("n"))
