@@ -337,9 +337,11 @@ WITH pieces AS (
 ), totals AS (
   SELECT lang, sum(len(w))::BIGINT AS n FROM worded GROUP BY lang
 ), runs AS (
-  SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM worded, (VALUES (1), (2), (3)) AS s(k) WHERE len(w) >= k
+  SELECT lang, 1 AS k, unnest(w) AS phrase FROM worded
+  UNION ALL SELECT lang, 2, unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) FROM worded
+  UNION ALL SELECT lang, 3, unnest(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) FROM worded
 ), f AS (
-  SELECT lang, array_to_string(w[i:i + k - 1], ' ') AS phrase, k, count(*)::HUGEINT AS a FROM runs GROUP BY ALL HAVING count(*) >= 10
+  SELECT lang, phrase, k, count(*)::HUGEINT AS a FROM runs GROUP BY ALL HAVING count(*) >= 10
 ), candidates AS (
   SELECT *, string_split(phrase, ' ') AS w FROM f WHERE k >= 2
 ), cuts AS (
