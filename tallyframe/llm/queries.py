@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import embed_dedup, html_extract, langid, media, minhash, mixing, packing, phrases, quality, suffix_dedup, url_filter
+from . import embed_dedup, html_extract, huffman, langid, media, minhash, mixing, packing, phrases, prefix_trie, quality, suffix_dedup, url_filter
 
 QUERIES = {
     "op1_quality": quality.op1_quality,
@@ -15,6 +15,8 @@ QUERIES = {
     "op8_embed_dedup": embed_dedup.op8_embed_dedup,
     "op9_langid": langid.op9_langid,
     "op10_url_filter": url_filter.op10_url_filter,
+    "op11_token_ids": huffman.op11_token_ids,
+    "op12_prefix_trie": prefix_trie.op12_prefix_trie,
     "op13_phrases": phrases.op13_phrases,
 }
-ORACLES = {"op10_url_filter": url_filter.ORACLE, "op13_phrases": phrases.ORACLE}
+ORACLES = {"op10_url_filter": url_filter.ORACLE, "op12_prefix_trie": prefix_trie.ORACLE, "op13_phrases": phrases.ORACLE}
