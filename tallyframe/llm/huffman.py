@@ -81,9 +81,9 @@ class Code:
 
     def encode(self, ids: np.ndarray) -> tuple[bytes, np.ndarray]:
         """(bits, bit offset of every STEP-th id)."""
-        bits = self.bits[ids]
-        if len(ids) and not bits.all():
+        if len(ids) and (ids.max() >= len(self.bits) or not self.bits[ids].all()):
             raise ValueError("an id is not in the book")
+        bits = self.bits[ids]
         code, end = self.code[ids], np.cumsum(bits)
         start = end - bits
         word, free = start >> 6, 64 - (start & 63)

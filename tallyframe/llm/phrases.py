@@ -258,6 +258,10 @@ def hash_filter(phrases: DataFrame, bits: int):
     return phrases.sparkSession.sparkContext.broadcast(Filter(words, bits))
 
 
+#: floor(1000000 a a / (l r)) in 38 digits; more are an error.
+SCORE = "cast(a as decimal(15, 0)) * cast(a as decimal(15, 0)) * 1000000BD div (cast(l as decimal(19, 0)) * cast(r as decimal(19, 0)))"
+
+
 def _run(first, size) -> str:
     return f"array_join(slice(words, {first}, {size}), ' ')"
 
@@ -297,8 +301,7 @@ def collocations(
     )
     left = frequent.select("lang", F.col("phrase").alias("first"), F.col("a").alias("l"))
     right = frequent.select("lang", F.col("phrase").alias("rest"), F.col("a").alias("r"))
-    exact = "cast(a as decimal(15, 0)) * cast(a as decimal(15, 0)) * 1000000BD div (cast(l as decimal(19, 0)) * cast(r as decimal(19, 0)))"
-    scored = cuts.join(left, ["lang", "first"]).join(right, ["lang", "rest"]).withColumn("score", F.expr(exact))
+    scored = cuts.join(left, ["lang", "first"]).join(right, ["lang", "rest"]).withColumn("score", F.expr(SCORE))
     weakest = scored.groupBy("lang", "phrase", "a").agg(F.min(F.struct("score", "k", "l", "r")).alias("cut"))
     inner = (
         candidates.where(F.col("size") > min_words)
@@ -312,14 +315,13 @@ def collocations(
 
 
 def best(scored: DataFrame, limit: int = 2_000) -> DataFrame:
-    """Each lang's first `limit` collocations by score and a descending, then phrase in byte order, with their rank from 1. Phrases are dealt by hash first and
-    each deal keeps its own first ones, so that no task sees all phrases of a lang."""
-    deals = max(8, int(scored.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    """Each lang's first `limit` collocations by score and a descending, then phrase in byte order, with their rank from 1. Phrases are dealt by hash to
+    many, then to eight parts of a lang, and each part keeps its own first ones, so that no task sees all phrases of a lang."""
     order = [F.desc("score"), F.desc("a"), F.asc("phrase")]
-    some = scored.withColumn("deal", F.pmod(F.xxhash64("phrase"), F.lit(deals)))
-    some = some.withColumn("rank", F.row_number().over(Window.partitionBy("lang", "deal").orderBy(*order))).where(F.col("rank") <= limit)
-    ranked = some.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*order)).cast("long")).where(F.col("rank") <= limit)
-    return ranked.select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
+    for deals in (max(8, int(scored.sparkSession.conf.get("spark.sql.shuffle.partitions"))), 8, 1):
+        part = Window.partitionBy("lang", F.pmod(F.xxhash64("phrase"), F.lit(deals))).orderBy(*order)
+        scored = scored.withColumn("rank", F.row_number().over(part).cast("long")).where(F.col("rank") <= limit)
+    return scored.select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
 
 
 def op13_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
