@@ -2,19 +2,17 @@
 
 Storing truncates and wraps, so adding is associative only under conditions: one sign throughout (and none negative for an unsigned
 receiver), or no overflow on the way and no finer scale than the receiver's. safe_total() takes these conditions in the same aggregation and folds
-only the groups that fail them.
+only the groups that fail them, over all tasks (scan.py).
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
-from decimal import Decimal
-
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import values as V
-from ..functions.picture import Picture, parse_picture, store_value
-from .streamed import arrow_schema, batches_of, groups_of
+from ..functions.picture import Picture, parse_picture
+from . import scan
 
 
 @dataclass
@@ -85,25 +83,14 @@ def safe_total(df: DataFrame, keys: list[str], order: list[str], value: str, nam
     ok = _conditions(F.col(value), p, scale > p.scale)
     fast = sums.where(ok).select(*keys, V.store(F.col("total"), p).alias(name))
     slow = df.join(sums.where(~ok).select(*keys), keys, "left_semi")
-    schema = ", ".join(f"`{k}` {t}" for k, t in df.dtypes if k in keys) + f", `{name}` {p.spark_type}"
-    rows = slow.repartition(*keys).sortWithinPartitions(*keys, *order).select(*keys, value)
-    return fast.unionByName(rows.mapInArrow(_fold(len(keys), p, arrow_schema(schema)), schema).select(*fast.columns))
-
+    return fast.unionByName(scan.totals(slow, keys, order, scan.step(F.col(value), p, scale), name, p))
 
-def _fold(keys: int, p: Picture, kinds):
-    """Rows sorted by key and order, one accumulator at a time: a group may be of any size."""
-    def run(batches):
-        def totals():
-            for key, rows in groups_of(batches, keys):
-                acc = Decimal(0)
-                for (x,) in rows:
-                    if x is not None:
-                        acc = store_value(acc + x, p)
-                yield (*key, acc.quantize(Decimal(1).scaleb(-max(p.scale, 0))))
 
-        yield from batches_of(totals(), kinds)
-
-    return run
+def safe_trace(df: DataFrame, keys: list[str], order: list[str], value: str, name: str, picture: str) -> DataFrame:
+    """df with the total as each READ sees it, for values of any sign and a group of any size: one group runs in all tasks. The order must be total."""
+    p = parse_picture(picture)
+    scale = int(dict(df.dtypes)[value].split(",")[1].rstrip(")"))
+    return scan.trace(df, keys, order, scan.step(F.col(value), p, scale), name, p)
 
 
 def trace(df: DataFrame, keys: list[str], order: list[str], value: str, name: str, picture: str) -> DataFrame:

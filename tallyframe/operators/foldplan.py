@@ -2,20 +2,24 @@
 
 plan() looks for the two usual loops (READ inside the loop with AT END / NOT AT END, or a first READ before it and one at its end), checks that the loop
 ends exactly at the end of the file, and that its body only adds to accumulators or keeps the last value, under conditions of the current record alone. apply()
-says the loop as one aggregation; the conditions under which adding is associative are taken in the same aggregation, and groups that fail them run record by record.
+says the loop as one aggregation; the conditions under which adding is associative are taken in the same aggregation, and totals of groups that fail them
+are composed in order, by all tasks (scan.py).
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import values as V
 from ..functions.language import Assign, NotModelled, parse_condition, parse_verb, references
-from ..functions.picture import Picture
+from ..functions.picture import Picture, to_number
 from ..plans.machine import Code, Machine
 from ..plans.parse import Program, Stmt, parse_programs
+from . import scan
 from .rowprogram import Compiler, Fields, column_name
 
 
@@ -156,7 +160,7 @@ def apply(fp: FoldPlan, records: DataFrame, keys: list[str], order: list[str]) -
     rows = records.select(*known, *(V.store(F.col(column_name(n)), p).alias(column_name(n)) for n, p in pictures.items() if column_name(n) in records.columns and column_name(n) not in known))
     start = code.initial()
     at = F.struct(*order)
-    aggs, finish, checks = [], {}, []
+    aggs, finish, checks = [], {}, {}
     for target in dict.fromkeys(s.target for s in fp.steps):
         p, name = code.pictures[target], column_name(target)
         mine = [s for s in fp.steps if s.target == target]
@@ -169,13 +173,15 @@ def apply(fp: FoldPlan, records: DataFrame, keys: list[str], order: list[str]) -
             first = F.lit(start[target]).cast(p.spark_type) if p.numeric else F.rpad(F.lit(start[target]), p.length, " ")
             finish[name] = F.coalesce(F.col(f"{name}__v"), first)
             continue
-        totals, lows, highs, sizes, finer = [], [], [], [], False
+        totals, lows, highs, sizes, exact, finer = [], [], [], [], [], False
         for s in mine:
-            x = compiler.number(s.value)
+            raw = compiler.number(s.value)
             shape = compiler.shape(s.value)
             finer |= shape.scale > p.scale
-            x = V.store(-x if s.negative else x, Picture("numeric", 34, p.scale, True), s.rounded)
-            x = F.coalesce(F.when(_guard(compiler, s), x), V.decimal_lit(0)).cast(f"decimal(34,{max(p.scale, 0)})")
+            raw = F.when(_guard(compiler, s), -raw if s.negative else raw)
+            exact.append(scan.step(raw, p, max(shape.scale, 0), s.rounded))
+            x = V.store(raw, Picture("numeric", 34, p.scale, True), s.rounded)
+            x = F.coalesce(x, V.decimal_lit(0)).cast(f"decimal(34,{max(p.scale, 0)})")
             for out, agg in ((totals, F.sum(x)), (lows, F.min(x)), (highs, F.max(x)), (sizes, F.sum(F.abs(x)))):
                 aggs.append(agg.alias(f"{name}__{len(aggs)}"))
                 out.append(F.col(f"{name}__{len(aggs) - 1}"))
@@ -185,17 +191,20 @@ def apply(fp: FoldPlan, records: DataFrame, keys: list[str], order: list[str]) -
         size = _sum(sizes) + F.abs(first)
         finish[name] = V.store(total, p)
         one = low >= 0 if not p.signed else (low >= 0) | (high <= 0)
-        checks.append(one if finer else one | (F.lit(p.signed) & (size < V.power_of_ten(p.digits - p.scale))))
+        checks[name] = one if finer else one | (F.lit(p.signed) & (size < V.power_of_ten(p.digits - p.scale))), p, F.array(*exact), start[target]
     sums = rows.groupBy(*keys).agg(*aggs)
-    ok = F.lit(True)
-    for c in checks:
-        ok = ok & c
-    fast = sums.where(ok).select(*keys, *(c.alias(n) for n, c in finish.items()))
-    from ..streaming.reactive import run_files
-
-    slow = records.join(sums.where(~ok).select(*keys), keys, "left_semi")
-    out = {s.target: code.pictures[s.target].spark_type for s in fp.steps}
-    return fast.unionByName(run_files(slow, keys, order, fp.file, None, out, program=fp.program).select(*keys, *finish))
+    for name, (ok, p, exact, value) in checks.items():
+        slow = rows.join(sums.where(~ok).select(*keys), _same(rows, sums, keys), "left_semi")
+        first = int(to_number(value).scaleb(p.scale))
+        ordered = scan.totals(slow, keys, order, exact, f"{name}__o", p, first).withColumnsRenamed({k: f"{k}__k" for k in keys})
+        on = [F.col(k).eqNullSafe(F.col(f"{k}__k")) for k in keys]
+        sums = sums.join(ordered, reduce(and_, on), "left").drop(*(f"{k}__k" for k in keys))
+        finish[name] = F.when(ok, finish[name]).otherwise(F.col(f"{name}__o"))
+    return sums.select(*keys, *(c.alias(n) for n, c in finish.items()))
+
+
+def _same(a: DataFrame, b: DataFrame, keys: list[str]) -> Column:
+    return reduce(and_, (a[k].eqNullSafe(b[k]) for k in keys))
 
 
 def _sum(cols: list[Column]) -> Column:

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from . import corpus_queries, data_queries, estate_queries, program_queries
+from . import corpus_queries, data_queries, estate_queries, program_queries, total_queries
 
-QUERIES: dict = data_queries.QUERIES | estate_queries.QUERIES | corpus_queries.QUERIES | program_queries.QUERIES
-ORACLES: dict = data_queries.ORACLES | estate_queries.ORACLES | corpus_queries.ORACLES | program_queries.ORACLES
+MODULES = (data_queries, estate_queries, corpus_queries, program_queries, total_queries)
+QUERIES: dict = {name: f for m in MODULES for name, f in m.QUERIES.items()}
+ORACLES: dict = {name: sql for m in MODULES for name, sql in m.ORACLES.items()}
