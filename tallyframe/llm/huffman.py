@@ -332,15 +332,12 @@ def _tokenize(path: str, end: int, width: int):
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip((doc_id, ids, one, n), kinds)], names=["doc_id", "ids", "id", "seen"])
 
         for batch in batches:
-            out = []
-            for text in batch.column("text").to_pylist():
-                ids = tokens.of(text or "", end)
-                found = np.bincount(ids)
-                if len(found) > len(seen):
-                    seen = np.r_[seen, np.zeros(len(found), np.int64)]
-                seen[: len(found)] += found
-                out.append(ids.astype(f"<u{width}").tobytes())
-            none = [None] * len(out)
+            found = [tokens.of(text or "", end) for text in batch.column("text").to_pylist()]
+            more = np.bincount(np.concatenate(found)) if found else seen[:0]
+            if len(more) > len(seen):
+                seen = np.r_[seen, np.zeros(len(more) - len(seen), np.int64)]
+            seen[: len(more)] += more
+            out, none = [ids.astype(f"<u{width}").tobytes() for ids in found], [None] * len(found)
             yield rows(batch.column("doc_id").to_pylist(), out, none, none)
         at = np.flatnonzero(seen)
         none = [None] * len(at)

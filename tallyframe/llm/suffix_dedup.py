@@ -327,7 +327,8 @@ def _in_order(context: DataFrame, length: int, backwards: bool, parts: int) -> D
     told = found.where("end < 0").select(*SPAN, "place", "on", "back")
     ends, tasks = found.where("end >= 0"), parts
     while True:  # two ends for each task of the level below; the last level is one task of at most BUCKET rows
-        tasks = -(-2 * tasks // BUCKET)
+        fewer = -(-2 * tasks // BUCKET)
+        tasks = fewer if 2 < fewer < tasks else 1
         level = ends.repartition(1) if tasks == 1 else ends.repartitionByRange(tasks, "end")
         level = cut(level.mapInArrow(_boundaries(length), ORDERED), "ends")
         told = told.unionByName(level.where("on > 0").select(*SPAN, "place", "on", "back"))

@@ -18,7 +18,7 @@ def test_texts_that_share_an_id_are_documents(spark):
 def test_rows_keep_their_other_columns(spark):
     """Of equal rows one stays whole, whatever the partitions; a text of line ends only goes once its repeats are cut."""
     a = " ".join(f"alpha{i}" for i in range(60))
-    rows = [(1, a, "x", 1), (1, a, "y", 2), (2, a + "\n\n", "z", 3), (3, "\n \t", "w", 4), (4, a + a, "v", 5)]
+    rows = [(1, a, "x", 1), (1, a, "y", 2), (2, a + "\n\n", "z", 3), (3, "\n \t", "w", 4), (4, " ".join(f"beta{i}" for i in range(60)), "v", 5)]
     seen = set()
     for n in (1, 5):
         docs = spark.createDataFrame(rows, f"{DOC}, note string, mix_note int").repartition(n)
