@@ -24,6 +24,10 @@ SCHEMAS = {
     "sql_column": "table string, column string, host_var string, status string, stmt_id int, line int",
     "call": "target string, literal boolean, verb string, using array<string>, stmt_id int, paragraph string, line int",
     "edge": "source int, target int, kind string, guard string, negated boolean",
+    "flow": "source int, target int, kind string, guard int, negated boolean, callee string",
+    "flow_node": "node int, state int, stmt_id int, kind string, ends string, paragraph string, line int",
+    "guard": "guard int, text string, flip boolean, kind string",
+    "effect": "node int, place int, kind string, field string, reads array<string>, line int, weak boolean, event string",
     "state": "state int, kind string, paragraph string, line int",
     "lineage": "event string, direction string, field string, paragraph string, line int, changed_by_program boolean, changed_by array<int>, origins array<struct<event:string,maybe:boolean,resolved_by:string>>, conditions array<struct<guard:string,negated:boolean,kind:string>>, conditions_partial boolean",
     "business_step": "source int, target int, rule array<string>, partial boolean",
