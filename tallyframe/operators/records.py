@@ -61,11 +61,20 @@ def sort(df: DataFrame, keys: list[tuple[str, str]]) -> DataFrame:
 
 
 def merge(files: list[DataFrame], within: list[str], keys: list[tuple[str, str]], seq: str) -> DataFrame:
-    """MERGE: the union of files of one layout, numbered in key order within each group. The keys must be a total order."""
+    """MERGE: the union of files of one layout, numbered in key order within each group. The keys must be a total order.
+
+    The files share the splitters of one range-partitioned sort over group and keys; a row's number is its place in the whole file less that of its group's first.
+    """
     out = files[0]
     for f in files[1:]:
         out = out.unionByName(f)
-    return out.withColumn(seq, F.row_number().over(Window.partitionBy(*within).orderBy(*(F.col(c).desc() if d == "D" else F.col(c).asc() for c, d in keys))).cast("bigint"))
+    order = [*(F.col(c).asc() for c in within), *(F.col(c).desc() if d == "D" else F.col(c).asc() for c, d in keys)]
+    rows = settled(numbered(out, order, "__position"))
+    first = rows.groupBy(*(F.col(c).alias(f"{c}__g") for c in within)).agg(F.min("__position").alias("__first"))
+    on = F.lit(True)
+    for c in within:
+        on = on & rows[c].eqNullSafe(first[f"{c}__g"])
+    return rows.join(first, on).select(*out.columns, (F.col("__position") - F.col("__first") + 1).alias(seq))
 
 
 def numbered(df: DataFrame, order: list, name: str = "position") -> DataFrame:
@@ -134,12 +143,10 @@ def start_read(df: DataFrame, file: DataFrame, keys: list[str], wanted: str, key
     """
     asks = df.withColumns({"__at": F.col(wanted), "__ask": F.lit(True), "__key": F.lit(None).cast(file.schema[key].dataType)})
     have = file.select(*keys, F.col(key).alias("__at"), F.lit(False).alias("__ask"), F.col(key).alias("__key"))
-    w = Window.partitionBy(*keys)
-    # on equal keys the record comes after a request that reads on, and before one that reads back
-    if previous:
-        found = F.last("__key", ignorenulls=True).over(w.orderBy("__at", F.col("__ask").asc()).rowsBetween(Window.unboundedPreceding, 0))
-    else:
-        found = F.first("__key", ignorenulls=True).over(w.orderBy("__at", F.col("__ask").desc()).rowsBetween(0, Window.unboundedFollowing))
+    # the way that is read, turned round: the record read is the last one before the request, and one of an equal key counts
+    way = F.col("__at").asc() if previous else F.col("__at").desc()
+    w = Window.partitionBy(*keys).orderBy(way, F.col("__ask").asc()).rowsBetween(Window.unboundedPreceding, 0)
+    found = F.last("__key", ignorenulls=True).over(w)
     both = asks.unionByName(have, allowMissingColumns=True).withColumn(next_key, found)
     return both.where("__ask").select(*df.columns, next_key)
 

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..operators.settle import settled
 from ..sources import estate
-from . import estate_flow
+from . import estate_flow, views
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -199,10 +199,10 @@ def corpus_lineage(f):
     return estate_flow.origins(f).where("event = 'CREATE.FILE.OUT-FILE'").select("program", "field", "origin_program", "origin", "maybe").distinct()
 
 
-@query("SELECT 'P' || s_suppkey AS program, unnest(['B-DOWN', 'C-UP']) AS node, 'B-DOWN' AS component FROM supplier WHERE s_suppkey % 5 = 4")
+@query("SELECT 'P' || s_suppkey AS program, unnest(['B-DOWN', 'C-UP']) AS paragraph FROM supplier WHERE s_suppkey % 5 = 4")
 def corpus_cycles(f):
     """Paragraphs that perform themselves through others."""
-    return estate_flow.perform_cycles(f)
+    return views.perform_cycles(f)
 
 
 @query("""

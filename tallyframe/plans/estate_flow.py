@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from ..operators import graph
 from ..operators.settle import settled
 from ..sources.estate import fact_table
+from .views import calls
 
 AFTER = ("WRITE", "REWRITE", "RELEASE")  # what these put out is what the record holds after their own FROM
 
@@ -146,9 +147,9 @@ def origins(facts: DataFrame) -> DataFrame:
     at = F.when(F.col("verb").isin(*AFTER), after_all).otherwise(F.struct("hop", F.lit(-1 << 20).alias("place")))
     puts = outs.select("program", "head", at.alias("at"), name.alias("use"), "field")
     # arguments at calls and parameters at ends
-    calls = fact_table(facts, "call").where("literal").select("program", F.col("target").alias("callee"), "stmt_id", "using")
+    own = fact_table(facts, "call").where("literal").select("program", F.col("target").alias("callee"), "stmt_id", "using")
     takes = fact_table(facts, "program").select(F.col("program").alias("callee"), F.col("using").alias("takes"))
-    pairs = calls.join(takes, "callee").where(F.size("using") == F.size("takes"))
+    pairs = own.join(takes, "callee").where(F.size("using") == F.size("takes"))
     pairs = pairs.select("program", "callee", "stmt_id", F.explode(F.arrays_zip("using", "takes")).alias("z")).select("program", "callee", "stmt_id", F.col("z.using").alias("field"), F.col("z.takes").alias("takes"))
     pairs = settled(pairs.join(_places(facts), ["program", "stmt_id"]).join(runs, ["program", "node"]))
     given = pairs.select("program", "head", F.struct("hop", F.lit(-1 << 20).alias("place")).alias("at"), F.concat_ws("|", F.lit("arg"), "callee", "takes").alias("use"), "field").distinct()
@@ -177,18 +178,7 @@ def origins(facts: DataFrame) -> DataFrame:
     return found.select("program", part[1].alias("event"), part[2].cast("int").alias("line"), part[3].alias("field"), "origin_program", "origin", "maybe")
 
 
-def perform_cycles(facts: DataFrame) -> DataFrame:
-    """Paragraphs that can perform themselves, directly or through others, with the first name of their cycle."""
-    n = fact_table(facts, "state").select("program", "state", "paragraph")
-    e = fact_table(facts, "edge").where("kind = 'call'")
-    e = e.join(n.select("program", F.col("state").alias("source"), F.col("paragraph").alias("a")), ["program", "source"])
-    e = e.join(n.select("program", F.col("state").alias("target"), F.col("paragraph").alias("b")), ["program", "target"])
-    return graph.cycles(e.select("program", "a", "b"), ["program"])
-
-
 def call_cycles(facts: DataFrame) -> DataFrame:
     """Programs that can call themselves, directly or through others, by calls of proven names: (node, component)."""
-    from .views import calls
-
     e = calls(facts).where("callee is not null").select(F.col("program").alias("a"), F.col("callee").alias("b"), F.lit(0).alias("estate"))
     return graph.cycles(e, ["estate"]).select("node", "component")

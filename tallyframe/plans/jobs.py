@@ -7,12 +7,37 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ..operators.ordered import sum_before
+
 
 def base_name(dataset: Column) -> Column:
     """A generation dataset's base: X(+1), X(-1) and X(0) are X."""
     return F.regexp_replace(dataset, r"\([+-]?\d+\)$", "")
 
 
+def relative(dataset: Column) -> Column:
+    """The relative number of a generation, X(-1) -> -1; null for other names."""
+    return F.regexp_extract(dataset, r"\(([+-]?\d+)\)$", 1).try_cast("long")
+
+
+def generations(runs: DataFrame, dd: DataFrame, limit: int | None = None) -> DataFrame:
+    """dd (run, dataset, direction, ...) with base, generation and status, for runs (run, then) in order of `then` and run.
+
+    A run finds the generations that the runs before it left: (0) is the newest of them, (-1) the one before, and (+1) the first that it makes itself, all
+    day as it stood when the run began. status: `made` by an output, `found`, `missing` if there is or was no such generation, `rolled-off` if `limit` newer ones
+    have pushed it out; null for names that are no generations. Runs of one base may be any number: they are summed over range partitions.
+    """
+    rows = dd.withColumns({"base": base_name(F.col("dataset")), "relative__": relative(F.col("dataset"))})
+    new = rows.where("relative__ is not null").groupBy("run", "base").agg(F.coalesce(F.max(F.when((F.col("direction") == "output") & (F.col("relative__") > 0), F.col("relative__"))), F.lit(0)).alias("new__"))
+    told = sum_before(new.join(runs.select("run", "then"), "run"), ["base"], ["then", "run"], "new__", "had__").select("run", "base", "new__", "had__")
+    out = rows.join(told, ["run", "base"], "left")
+    number = F.col("had__") + F.col("relative__")
+    made = (F.col("relative__") > 0) & (F.col("relative__") <= F.col("new__"))
+    off = number <= F.col("had__") - limit if limit is not None else F.lit(False)
+    status = F.when(F.col("relative__").isNull(), F.lit(None)).when(made & (F.col("direction") == "output"), "made").when((number < 1) | ((F.col("relative__") > 0) & ~made), "missing").when(off, "rolled-off").otherwise("found")
+    return out.select(*dd.columns, "base", F.when(number > 0, number).alias("generation"), status.alias("status"))
+
+
 def bind(artifacts: DataFrame, dd: DataFrame) -> DataFrame:
     """File artifacts with the datasets that steps give their ddnames: bound (one), candidates (several), unbound (none)."""
     files = artifacts.where("kind = 'file' and assign is not null").select("program", "name", F.col("assign").alias("ddname"), "io")

@@ -9,6 +9,7 @@ from itertools import count
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from ..operators import graph
 from ..operators.settle import settled
 from ..sources.estate import fact_table
 
@@ -308,16 +309,11 @@ def business_steps(facts: DataFrame) -> DataFrame:
 
 
 def perform_cycles(facts: DataFrame) -> DataFrame:
-    """Paragraphs that can perform themselves, directly or through others: reachability by repeated equi-joins."""
-    st = fact_table(facts, "state").select("program", F.col("state").alias("target"), F.col("paragraph").alias("callee"))
-    e = fact_table(facts, "edge").where("kind = 'call'").join(fact_table(facts, "state").select("program", F.col("state").alias("source"), "paragraph"), ["program", "source"]).join(st, ["program", "target"])
-    step = settled(e.select("program", F.col("paragraph").alias("a"), F.col("callee").alias("b")).distinct())
-    reach, size, n = step, -1, step.count()
-    while n != size:  # each round doubles the length of the paths
-        more = reach.join(reach.select("program", F.col("a").alias("b"), F.col("b").alias("c")), ["program", "b"]).select("program", "a", F.col("c").alias("b"))
-        reach = settled(reach.unionByName(more).distinct())
-        size, n = n, reach.count()
-    return reach.where("a = b").select("program", F.col("a").alias("paragraph"))
+    """Paragraphs that can perform themselves, directly or through others: those in a cycle of the PERFORMs."""
+    st = fact_table(facts, "state").select("program", "state", "paragraph")
+    e = fact_table(facts, "edge").where("kind = 'call'").join(st.select("program", F.col("state").alias("source"), F.col("paragraph").alias("a")), ["program", "source"])
+    e = e.join(st.select("program", F.col("state").alias("target"), F.col("paragraph").alias("b")), ["program", "target"])
+    return graph.cycles(e.select("program", "a", "b"), ["program"]).select("program", F.col("node").alias("paragraph"))
 
 
 def callers(facts: DataFrame) -> DataFrame:
@@ -335,18 +331,9 @@ def graph_edges(facts: DataFrame) -> DataFrame:
     return a.where("kind in ('db2-table', 'program', 'copybook', 'cics-transaction') or (kind = 'file' and assign is not null)").select(F.concat(F.lit("program:"), "program").alias("a"), name.alias("b"), F.col("io").alias("edge")).distinct()
 
 
-def graph_components(facts: DataFrame, most: int = 50) -> DataFrame:
-    """(node, component): least name reachable over the estate graph, by min-label rounds."""
-    e = graph_edges(facts).select("a", "b")
-    both = settled(e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b"))))
-    label = both.select(F.col("a").alias("node")).distinct().withColumn("component", F.col("node"))
-    for _ in range(most):
-        near = both.join(label.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("component").alias("m"))
-        new = settled(label.join(near, "node").select("node", F.least("component", "m").alias("component")))
-        if new.join(label.withColumnRenamed("component", "old"), "node").where("component <> old").isEmpty():
-            return new
-        label = new
-    raise RuntimeError("graph components did not settle")
+def graph_components(facts: DataFrame) -> DataFrame:
+    """(node, component): least name reachable over the estate graph."""
+    return graph.components(graph_edges(facts).select("a", "b"))
 
 
 def status_counts(plan: DataFrame) -> DataFrame:
