@@ -266,17 +266,10 @@ def _run(first, size) -> str:
     return f"array_join(slice(words, {first}, {size}), ' ')"
 
 
-def collocations(
+def _scored(
     docs: DataFrame, min_count: int = 10, min_words: int = 2, max_words: int = 3, covered: int = 50, filter_bits: int = 26, shard_bytes: int = 6_000_000
-) -> DataFrame:
-    """All collocations of docs (lang, text): (lang, phrase, a, l, r, n, score).
-
-    Candidates are phrases of min_words to max_words words inside a piece with a = f(phrase) >= min_count. A cut after k words has l = f(first
-    part), r = f(rest) and the score floor(1000000 a a / (l r)), in exact arithmetic (a below 10**15, else an error); the lowest cut counts,
-    the smallest k of equal ones. A candidate goes if 100 f(longer) >= covered * a for a longer candidate that holds its words in a row. n: all words of the lang.
-    Null texts are empty, a null lang is `und`; texts without words add nothing; repeated rows count again; very long texts are read in slices; an empty
-    table gives no rows. Other columns are not read.
-    """
+) -> tuple[DataFrame, DataFrame]:
+    """((lang, phrase, a, l, r, score) of all collocations, (lang, n)): see collocations()."""
     filters, known = [], []
     for length in range(1, max_words + 1):
         found = counts(docs, length, filters, shard_bytes)
@@ -311,22 +304,36 @@ def collocations(
         .agg(F.max("a").alias("longer"))
     )
     kept = weakest.join(inner, ["lang", "phrase"], "left").where(F.expr(f"longer is null or 100 * longer < {covered} * a"))
-    return kept.join(totals, "lang").select("lang", "phrase", "a", "cut.l", "cut.r", "n", "cut.score")
+    return kept.select("lang", "phrase", "a", "cut.l", "cut.r", "cut.score"), totals
+
+
+def collocations(docs: DataFrame, **options) -> DataFrame:
+    """All collocations of docs (lang, text): (lang, phrase, a, l, r, n, score). Options: min_count, min_words, max_words, covered, filter_bits, shard_bytes.
+
+    Candidates are phrases of min_words to max_words words inside a piece with a = f(phrase) >= min_count. A cut after k words has l = f(first
+    part), r = f(rest) and the score floor(1000000 a a / (l r)), in exact arithmetic (a below 10**15, else an error); the lowest cut counts,
+    the smallest k of equal ones. A candidate goes if 100 f(longer) >= covered * a for a longer candidate that holds its words in a row. n: all words of the lang.
+    Null texts are empty, a null lang is `und`; texts without words add nothing; repeated rows count again; very long texts are read in slices; an empty
+    table gives no rows. Other columns are not read.
+    """
+    scored, totals = _scored(docs, **options)
+    return scored.join(totals, "lang").select("lang", "phrase", "a", "l", "r", "n", "score")
 
 
-def best(scored: DataFrame, limit: int = 2_000) -> DataFrame:
+def best(docs: DataFrame, limit: int = 2_000, **options) -> DataFrame:
     """Each lang's first `limit` collocations by score and a descending, then phrase in byte order, with their rank from 1. Phrases are dealt by hash to
     many, then to eight parts of a lang, and each part keeps its own first ones, so that no task sees all phrases of a lang."""
+    scored, totals = _scored(docs, **options)
     order = [F.desc("score"), F.desc("a"), F.asc("phrase")]
-    for deals in (max(8, int(scored.sparkSession.conf.get("spark.sql.shuffle.partitions"))), 8, 1):
+    for deals in (max(8, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))), 8, 1):
         part = Window.partitionBy("lang", F.pmod(F.xxhash64("phrase"), F.lit(deals))).orderBy(*order)
         scored = scored.withColumn("rank", F.row_number().over(part).cast("long")).where(F.col("rank") <= limit)
-    return scored.select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
+    return scored.join(totals, "lang").select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
 
 
 def op13_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first 2000 collocations of two or three words of each lang of all documents."""
-    return best(collocations(documents(spark, sf_dir)))
+    return best(documents(spark, sf_dir))
 
 
 ORACLE = r"""

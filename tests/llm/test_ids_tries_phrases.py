@@ -221,7 +221,7 @@ def test_phrases_of_documents(spark):
     for options in ({}, {"shard_bytes": 700, "filter_bits": 6}):
         got = phrases.collocations(common.documents(spark, SF), **options)
         assert sorted(map(tuple, got.collect())) == want
-    first = phrases.best(got, 50).collect()
+    first = phrases.best(common.documents(spark, SF), 50).collect()
     for lang in {w[0] for w in want}:
         some = sorted((w for w in want if w[0] == lang), key=lambda w: (-w[6], -w[2], w[1].encode()))[:50]
         assert [(r.lang, r.phrase, r.a, r.l, r.r, r.n, r.score) for r in sorted(first, key=lambda r: r["rank"]) if r.lang == lang] == some
@@ -244,7 +244,7 @@ def test_phrases_edges(spark):
     docs = spark.createDataFrame([(*r, 1, "n", 2) for r in rows], "lang string, text string, a long, phrase string, n long").repartition(4)
     got = phrases.collocations(docs, shard_bytes=100_000)
     assert sorted(map(tuple, got.collect())) == plain_phrases(rows)
-    assert phrases.best(phrases.collocations(docs.where("false"))).collect() == []
+    assert phrases.best(docs.where("false")).collect() == []
 
 
 def test_scores_are_exact_beyond_64_bits(spark):
