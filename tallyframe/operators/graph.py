@@ -92,21 +92,23 @@ def _coloured(edges: DataFrame, by: list[str]) -> DataFrame:
         colour = settled(colour.unionByName(front).groupBy(*by, "node").agg(F.max("colour").alias("colour")))
 
 
-def _hung(edges: DataFrame, by: list[str], start, moved: list[str], joined) -> tuple[DataFrame, DataFrame]:
-    """Nodes with one way in hang on the node they come from: (node -> root and what lies between, edges between roots).
+def _hung(edges: DataFrame, by: list[str], starts: DataFrame, moved: list[str], joined) -> tuple[DataFrame, DataFrame]:
+    """Nodes with one way in, but for starts (*by, node), hang on the node they come from: (node -> root and what lies between, edges between roots).
 
-    moved: columns that say what an edge does; joined(first, second): those of two edges in a row, by column. Each round makes ways twice as long.
+    moved: columns that say what an edge does; joined(first, second): those of two edges in a row, by column. Each round makes ways twice as long. Nodes that still
+    hang after as many rounds as a way can double are on rings that nothing enters, and have no root.
     """
-    ways = edges.groupBy(*by, F.col("b").alias("node")).agg(F.count(F.lit(1)).alias("ways")).where((F.col("ways") == 1) & (F.col("node") != start)).select(*by, "node")
+    ways = edges.groupBy(*by, F.col("b").alias("node")).agg(F.count(F.lit(1)).alias("ways")).where("ways = 1").select(*by, "node").join(starts, [*by, "node"], "left_anti")
     up = settled(edges.withColumnRenamed("b", "node").join(ways, [*by, "node"], "left_semi").select(*by, "node", F.col("a").alias("up"), *moved))
-    while True:
+    for left in range(int(up.count()).bit_length() + 1, 0, -1):
         above = up.select(*by, F.col("node").alias("up"), F.col("up").alias("next"), *(F.col(c).alias(f"{c}_") for c in moved))
         both = joined(lambda c: F.col(f"{c}_"), F.col)
         step = up.join(above, [*by, "up"], "left")
         longer = settled(step.select(*by, "node", F.coalesce("next", "up").alias("up"), *(F.when(F.col("next").isNull(), F.col(c)).otherwise(both[c]).alias(c) for c in moved), F.col("next").isNotNull().alias("on")))
-        up = longer.drop("on")
         if longer.where("on").isEmpty():
+            up = longer.drop("on")
             break
+        up = (longer.where("not on") if left == 1 else longer).drop("on")
     joins = edges.join(up.select(*by, F.col("node").alias("b")), [*by, "b"], "left_anti")
     above = up.select(*by, F.col("node").alias("a"), F.col("up").alias("next"), *(F.col(c).alias(f"{c}_") for c in moved))
     both = joined(lambda c: F.col(f"{c}_"), F.col)
@@ -116,10 +118,11 @@ def _hung(edges: DataFrame, by: list[str], start, moved: list[str], joined) -> t
     return up, settled(joins)
 
 
-def must_and_may(edges: DataFrame, by: list[str], start=0) -> DataFrame:
-    """Which guards hold on every way (must) and on some way (may) from node `start` to each node that is reached.
+def must_and_may(edges: DataFrame, by: list[str], starts: DataFrame | None = None) -> DataFrame:
+    """Which guards hold on every way (must) and on some way (may) from a start to each node that is reached from it.
 
-    edges (*by, a, b, guard int from 0 or null, negated). Returns (*by, word, node, must, may): in word w, bit 2 (g - 31 w) stands for guard g and the next one for its
+    edges (*by, a, b, guard int from 0 or null, negated); starts (*by, node), by default node 0 of each graph; starts are met apart. Returns (*by, word, origin, node, must, may), origin
+    being the start: in word w, bit 2 (g - 31 w) stands for guard g and the next one for its
     negation. Passing a guard adds its bit and takes the opposite one from must. Nodes with one way in are composed with the one before; the others
     are met by rounds over what changed.
     """
@@ -131,29 +134,31 @@ def must_and_may(edges: DataFrame, by: list[str], start=0) -> DataFrame:
     one, zero = F.lit(1).cast("long"), F.lit(0).cast("long")
     bit = lambda at: F.when(here, F.call_function("shiftleft", one, at)).otherwise(zero)
     edges = settled(edges.select(*by, "word", "a", "b", bit(other).alias("drop"), bit(place).alias("add"), bit(place).alias("any")))
+    graphs = edges.select(*by, "word").distinct()
+    starts = settled(graphs.withColumn("node", F.lit(0)) if starts is None else graphs.join(starts.distinct(), by).select(*by, "word", "node"))
     by = [*by, "word"]
 
     def joined(first, second) -> dict:
         kept = first("add").bitwiseAND(F.bitwise_not(second("drop")))
         return {"drop": first("drop").bitwiseOR(second("drop")), "add": kept.bitwiseOR(second("add")), "any": first("any").bitwiseOR(second("any"))}
 
-    up, joins = _hung(edges, by, start, ["drop", "add", "any"], joined)
+    up, joins = _hung(edges, by, starts, ["drop", "add", "any"], joined)
     after = lambda m: m.bitwiseAND(F.bitwise_not("drop")).bitwiseOR(F.col("add"))
-    state = settled(edges.select(*by).distinct().select(*by, F.lit(start).alias("node"), zero.alias("must"), zero.alias("may")))
-    front = state
+    state = settled(starts.select(*by, F.col("node").alias("origin"), "node", zero.alias("must"), zero.alias("may")))
+    front, key = state, [*by, "origin", "node"]
     while True:
         come = joins.join(front.withColumnRenamed("node", "a"), [*by, "a"])
-        come = come.groupBy(*by, F.col("b").alias("node")).agg(F.bit_and(after(F.col("must"))).alias("new_must"), F.bit_or(F.col("may").bitwiseOR(F.col("any"))).alias("new_may"))
-        met = come.join(state, [*by, "node"], "left")
+        come = come.groupBy(*by, "origin", F.col("b").alias("node")).agg(F.bit_and(after(F.col("must"))).alias("new_must"), F.bit_or(F.col("may").bitwiseOR(F.col("any"))).alias("new_may"))
+        met = come.join(state, key, "left")
         must = F.coalesce(F.col("must").bitwiseAND(F.col("new_must")), F.col("new_must"))
         may = F.coalesce(F.col("may").bitwiseOR(F.col("new_may")), F.col("new_may"))
         changed = F.col("must").isNull() | (must != F.col("must")) | (may != F.col("may"))
-        front = settled(met.where(changed).select(*by, "node", must.alias("must"), may.alias("may")))
+        front = settled(met.where(changed).select(*key, must.alias("must"), may.alias("may")))
         if front.isEmpty():
             break
-        state = settled(state.join(front.select(*by, "node"), [*by, "node"], "left_anti").unionByName(front))
+        state = settled(state.join(front.select(*key), key, "left_anti").unionByName(front))
     hung = up.join(state.withColumnRenamed("node", "up"), [*by, "up"])
-    return state.unionByName(hung.select(*by, "node", after(F.col("must")).alias("must"), F.col("may").bitwiseOR(F.col("any")).alias("may")))
+    return state.unionByName(hung.select(*key, after(F.col("must")).alias("must"), F.col("may").bitwiseOR(F.col("any")).alias("may")))
 
 
 def is_set(word: Column, bit: Column) -> Column:

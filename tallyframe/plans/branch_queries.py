@@ -217,3 +217,80 @@ SELECT 'P' || x.a AS node, 'P' || min(y.b) AS component FROM way AS x JOIN way A
 def corpus_call_cycles(f):
     """Programs that call themselves, directly or through others."""
     return estate_flow.call_cycles(f)
+
+
+# many branches that meet again
+
+DIAMONDS = """
+       IDENTIFICATION DIVISION.
+       PROGRAM-ID. D{k}.
+       ENVIRONMENT DIVISION.
+       INPUT-OUTPUT SECTION.
+       FILE-CONTROL.
+           SELECT IN-FILE ASSIGN TO DDIN.
+           SELECT OUT-FILE ASSIGN TO DDOUT.
+       DATA DIVISION.
+       FILE SECTION.
+       FD  IN-FILE.
+       01  IN-REC.
+           05  IN-AMT   PIC 9(5).
+           05  IN-CODE  PIC X.
+       FD  OUT-FILE.
+       01  OUT-REC      PIC 9(5).
+       WORKING-STORAGE SECTION.
+       01  WS-X         PIC 9(5).
+       01  WS-IN        PIC 9(5).
+       PROCEDURE DIVISION.
+       A-MAIN.
+           READ IN-FILE
+               AT END MOVE 0 TO WS-X
+           END-READ
+{diamonds}
+           IF IN-CODE = 'W'
+               WRITE OUT-REC
+           END-IF
+           PERFORM B-LOG
+           ACCEPT WS-IN
+           STOP RUN.
+       B-LOG.
+           IF IN-CODE = 'L'
+               DISPLAY WS-X
+           END-IF.
+"""
+
+
+def diamonds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A program for each supplier k with 16 IFs one after another, each with an ELSE; for odd k a last one without a way round it guards the WRITE."""
+    k = F.col("s_suppkey").cast("string")
+    one = "           IF IN-AMT > {i}\n               ADD {i} TO WS-X\n           ELSE\n               SUBTRACT 1 FROM WS-X\n           END-IF\n"
+    body = F.array_join(F.transform(F.sequence(F.lit(1), F.lit(16)), lambda i: F.replace(F.lit(one), F.lit("{i}"), (i * 10 + F.col("s_suppkey") % 10).cast("string"))), "")
+    body = F.concat(body, F.when(F.col("s_suppkey") % 2 == 1, F.lit("           IF WS-X > 9\n               STOP RUN\n           END-IF\n")).otherwise(F.lit("")))
+    text = F.replace(F.replace(F.lit(DIAMONDS), F.lit("{k}"), k), F.lit("{diamonds}"), body)
+    return spark.read.parquet(f"{sf_dir}/supplier.parquet").select(F.concat(F.lit("D"), k).alias("name"), text.alias("text"))
+
+
+@query("""
+WITH p AS (SELECT 'D' || s_suppkey AS program, s_suppkey % 2 = 1 AS odd FROM supplier), s AS (
+  SELECT program, odd, unnest([
+    {'a': 'START', 'z': 'READ', 'own': '', 'gate': false},
+    {'a': 'READ', 'z': 'WRITE', 'own': 'IN-CODE = ''W''', 'gate': true},
+    {'a': 'READ', 'z': 'DISPLAY', 'own': 'IN-CODE = ''L'' & NOT (IN-CODE = ''W'')', 'gate': true},
+    {'a': 'READ', 'z': 'ACCEPT', 'own': 'NOT (IN-CODE = ''W'')', 'gate': true},
+    {'a': 'WRITE', 'z': 'DISPLAY', 'own': 'IN-CODE = ''L''', 'gate': false},
+    {'a': 'WRITE', 'z': 'ACCEPT', 'own': '', 'gate': false},
+    {'a': 'DISPLAY', 'z': 'ACCEPT', 'own': '', 'gate': false},
+    {'a': 'ACCEPT', 'z': 'END', 'own': '', 'gate': false}]) AS t FROM p
+)
+SELECT program, t.a AS source, t.z AS target, concat_ws(' & ', nullif(t.own, ''), CASE WHEN odd AND t.gate THEN 'NOT (WS-X > 9)' END) AS rule, false AS partial FROM s
+UNION ALL SELECT program, 'READ', 'END', 'WS-X > 9', false FROM p WHERE odd
+""")
+def corpus_business_steps(f):
+    """Steps between the boundary crossings of programs with sixteen branches that meet again, as many as there are ways to cross, not as there are paths."""
+    steps = estate_flow.business_steps(f)
+    kinds = estate.fact_table(f, "statement").where("kind in ('READ', 'WRITE', 'DISPLAY', 'ACCEPT')").select("program", "line", "kind")
+    named = steps.join(kinds.select("program", F.col("line").alias("source"), F.col("kind").alias("a")), ["program", "source"], "left")
+    named = named.join(kinds.select("program", F.col("line").alias("target"), F.col("kind").alias("z")), ["program", "target"], "left")
+    return named.select("program", F.coalesce("a", F.lit("START")).alias("source"), F.coalesce("z", F.lit("END")).alias("target"), F.array_join("rule", " & ").alias("rule"), "partial")
+
+
+QUERIES["corpus_business_steps"] = lambda spark, sf_dir: corpus_business_steps(settled(estate.parse_estate(diamonds(spark, sf_dir))))

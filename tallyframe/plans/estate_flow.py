@@ -52,6 +52,76 @@ def event_conditions(facts: DataFrame) -> DataFrame:
     return out.select("program", "event", "direction", "stmt_id", "line", F.coalesce("conditions", F.array().cast("array<string>")).alias("conditions"), F.coalesce("partial", F.lit(False)).alias("partial"))
 
 
+def _passable(flow: DataFrame, crossings: DataFrame, ends: DataFrame) -> DataFrame:
+    """(program, callee): what can be performed from its start to its end without a crossing. What is performed inside it has to be known first: rounds by nesting."""
+    entries = settled(flow.where("kind = 'call'").select("program", "callee", F.col("b").alias("node")).distinct())
+    inside = flow.where("kind <> 'call'").join(crossings.select("program", F.col("node").alias("a")), ["program", "a"], "left_anti")
+    inside = settled(inside.withColumns({"guard": F.lit(None).cast("int"), "negated": F.lit(False)}))
+    found, n = entries.select("program", "callee").where("false"), -1
+    while True:
+        known = settled(found)
+        if known.count() == n:
+            return known
+        n = known.count()
+        edges = inside.where("kind <> 'after'").unionByName(inside.where("kind = 'after'").join(known, ["program", "callee"], "left_semi"))
+        reached = graph.must_and_may(edges.select("program", "a", "b", "guard", "negated"), ["program"], entries.select("program", "node"))
+        reached = reached.select("program", "origin", "node").unionByName(entries.select("program", F.col("node").alias("origin"), "node"))
+        at_end = reached.join(ends, ["program", "node"]).select("program", "origin", "callee")
+        found = at_end.join(entries.withColumnRenamed("node", "origin"), ["program", "origin", "callee"], "left_semi").select("program", "callee").distinct()
+
+
+def business_steps(facts: DataFrame) -> DataFrame:
+    """From which boundary crossing a program goes to which, under which business conditions: (program, source, target, rule, partial).
+
+    source and target are lines: 0 for the start, null for the end. The ways between two crossings are contracted: a step's rule is what holds on all of them, so branches that
+    meet again cancel, and nothing is listed path by path. A way that begins inside what is performed goes on behind every PERFORM of it; conditions met
+    inside what is performed do not outlast it.
+    """
+    flow = settled(_flow(facts))
+    nodes = settled(fact_table(facts, "flow_node").select("program", "node", "state", "stmt_id", "kind", F.col("ends").alias("callee"), "line"))
+    outside = fact_table(facts, "event").where("endpoint_type not in ('response', 'system') and stmt_id >= 0").select("program", "stmt_id").distinct()
+    crossings = settled(nodes.where("kind in ('do', 'read')").join(outside, ["program", "stmt_id"], "left_semi").select("program", "node"))
+    ends = nodes.where("callee is not null").select("program", "node", "callee")
+    business = fact_table(facts, "guard").where("kind = 'business'").select("program", "guard", F.lit(True).alias("counts"))
+    flow = settled(flow.join(business, ["program", "guard"], "left").withColumn("guard", F.when(F.col("counts"), F.col("guard"))).drop("counts"))
+    passed = _passable(flow, crossings, ends)
+    stops_at = crossings.select("program", F.col("node").alias("a"), F.lit(True).alias("crosses"))
+    marked = settled(flow.join(stops_at, ["program", "a"], "left").withColumn("crosses", F.coalesce("crosses", F.lit(False))))
+    # two copies of each node: 2 n, and 2 n + 1 once the way has entered something by a PERFORM; -(n + 1) is a crossing as a start
+    both = marked.where("not crosses").withColumn("deep", F.explode(F.array(F.lit(0), F.lit(1))))
+    inner = both.where("kind not in ('call', 'after')").unionByName(both.where("kind = 'after'").join(passed, ["program", "callee"], "left_semi").select(both.columns))
+    walk = inner.select("program", (2 * F.col("a") + F.col("deep")).alias("a"), (2 * F.col("b") + F.col("deep")).alias("b"), "guard", "negated")
+    enter = both.where("kind = 'call'").select("program", (2 * F.col("a") + F.col("deep")).alias("a"), (2 * F.col("b") + 1).alias("b"), "guard", "negated")
+    leave = ends.join(marked.where("kind = 'after'").select("program", "callee", "b").distinct(), ["program", "callee"])
+    leave = leave.select("program", (2 * F.col("node")).alias("a"), (2 * F.col("b")).alias("b"), F.lit(None).cast("int").alias("guard"), F.lit(False).alias("negated"))
+    begin = marked.where("crosses").select("program", (-F.col("a") - 1).alias("a"), (2 * F.col("b")).alias("b"), "guard", "negated")
+    walk = settled(walk.unionByName(enter).unionByName(leave).unionByName(begin).distinct())
+    zero = nodes.where("node = 0").select("program", "node").join(crossings, ["program", "node"], "left_anti")
+    starts = zero.unionByName(crossings.select("program", (-F.col("node") - 1).alias("node")))
+    state = graph.must_and_may(walk, ["program"], starts).where("node >= 0").withColumn("node", F.shiftright("node", 1))
+    targets = crossings.unionByName(nodes.where("kind = 'stop'").select("program", "node"))
+    state = state.join(targets, ["program", "node"], "left_semi").withColumn("from", F.when(F.col("origin") < 0, -F.col("origin") - 1))
+    source = nodes.select("program", F.col("node").alias("from"), F.col("state").alias("source_state"), F.col("line").alias("source"))
+    target = nodes.select("program", "node", F.col("state").alias("target_state"), F.col("line").alias("target"))
+    key = ["program", "source_state", "target_state"]
+    told = state.join(source, ["program", "from"], "left").join(target, ["program", "node"])
+    told = told.groupBy(*key, "word").agg(F.bit_and("must").alias("must"), F.bit_or("may").alias("may"), F.min(F.coalesce("source", F.lit(0))).alias("source"), F.min("target").alias("target"))
+    told = settled(told)
+    g = fact_table(facts, "guard").where("kind = 'business'").withColumn("word", F.expr(f"div(guard, {graph.GUARDS})"))
+    bit = (F.col("guard") % graph.GUARDS) * 2
+    sense = {"yes": graph.is_set(F.col("must"), bit), "no": graph.is_set(F.col("must"), bit + 1), "some": graph.is_set(F.col("may"), bit) != graph.is_set(F.col("may"), bit + 1)}
+    text = F.when(F.col("no") != F.col("flip"), F.concat(F.lit("NOT ("), "text", F.lit(")"))).otherwise(F.col("text"))
+    rules = told.join(g, ["program", "word"]).withColumns(sense).groupBy(*(F.col(k).alias(f"{k}__r") for k in key)).agg(
+        F.sort_array(F.collect_list(F.when(F.col("yes") | F.col("no"), text))).alias("rule"), F.max(F.col("some") & ~F.col("yes") & ~F.col("no")).alias("partial")
+    )
+    steps = told.where("word = 0").select(*key, "source", "target")
+    first = nodes.where("node = 0").join(crossings, ["program", "node"], "left_semi").select("program", F.lit(0).alias("source"), F.col("line").alias("target"))
+    on = (F.col("program") == F.col("program__r")) & F.col("source_state").eqNullSafe(F.col("source_state__r")) & (F.col("target_state") == F.col("target_state__r"))
+    none = F.array().cast("array<string>")
+    out = steps.join(rules, on, "left").select("program", "source", "target", F.coalesce("rule", none).alias("rule"), F.coalesce("partial", F.lit(False)).alias("partial"))
+    return out.unionByName(first.select("program", "source", "target", none.alias("rule"), F.lit(False).alias("partial")))
+
+
 def _runs(facts: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Straight runs of nodes: (program, node, head, hop), and the edges between runs (program, a head, b head, kind, callee)."""
     f = settled(_flow(facts).select("program", "a", "b", "kind", "callee").distinct())
