@@ -1,10 +1,17 @@
-"""Driver queries of keyed files, generation datasets, and byte lineage over job steps."""
+"""Driver queries of keyed files, generation datasets, byte lineage over job steps, record files, ordered streams, and retrieval."""
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+import uuid
 
-from ..operators import byte_lineage, keyed
+from pyspark.sql import Window, functions as F
+
+from ..functions.bytes import ByteLayout
+from ..functions.picture import parse_picture
+from ..operators import byte_lineage, keyed, scan
+from ..operators.settle import shared_folder
+from ..sources import estate, record_file
+from ..streaming import totals
 from . import jobs
 
 QUERIES: dict = {}
@@ -134,3 +141,80 @@ def byte_chains(spark, sf_dir):
         cards = rows if cards is None else cards.unionByName(rows)
     ranges = byte_lineage.traced(byte_lineage.parts_of(cards, ["chain", "step"]))
     return ranges.withColumn("i", F.explode(F.expr("sequence(0L, length - 1)"))).select("chain", (F.col("out_start") + F.col("i")).alias("put"), (F.col("in_start") + F.col("i")).alias("got"))
+
+
+# record files in bytes
+
+ORDERS = [("ID", "9(9)", "COMP"), ("STATUS", "X", "DISPLAY"), ("AMT", "S9(9)V99", "COMP-3"), ("DAY", "S9(4)", "BINARY"), ("PRIO", "X(15)", "DISPLAY")]
+
+
+@query(
+    "SELECT form, o_orderkey AS id, o_orderstatus AS status, CAST(CASE WHEN o_orderstatus = 'F' THEN -1 ELSE 1 END * CAST(o_totalprice AS DECIMAL(15,2)) AS DECIMAL(11,2)) AS amt, "
+    "CAST(dayofmonth(o_orderdate) - 16 AS DECIMAL(4,0)) AS day, o_orderpriority AS prio FROM orders, (VALUES ('F'), ('V')) AS v(form)"
+)
+def record_files(spark, sf_dir):
+    """Orders with packed and binary numbers, written to files of fixed and of variable records, and read back in several splits a file."""
+    o = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    price = F.col("o_totalprice").cast("decimal(15,2)")
+    df = o.select(
+        F.col("o_orderkey").cast("decimal(9,0)").alias("id"), F.col("o_orderstatus").alias("status"), F.when(F.col("o_orderstatus") == "F", -price).otherwise(price).alias("amt"),
+        (F.dayofmonth("o_orderdate") - 16).cast("decimal(4,0)").alias("day"), F.col("o_orderpriority").alias("prio"),
+    )
+    layout = ByteLayout(ORDERS)
+    whole = layout.record()
+    ragged = F.substring(whole, F.lit(1), F.lit(layout.size - 15) + F.length(F.rtrim("prio")))  # without the spaces at its end
+    out = None
+    for form, record in (("F", whole), ("V", ragged)):
+        path = f"{shared_folder(spark)}/records-{uuid.uuid4().hex}"
+        record_file.write(df.select(record.alias("record")), "record", path, form=form, size=layout.size, step_kb=16)
+        got = layout.read(record_file.read(spark, path, form=form, size=layout.size, split_kb=64), "record")
+        got = got.select(F.lit(form).alias("form"), F.col("id").cast("long").alias("id"), "status", "amt", "day", F.rtrim("prio").alias("prio"))
+        out = got if out is None else out.unionByName(got)
+    return out
+
+
+# a stream
+
+@query(
+    "SELECT CAST(user_id AS VARCHAR) AS key, count(*) + 1 AS seq, CAST(CAST(list_reduce(list_prepend(0, list(CASE WHEN event_type = 'purchase' THEN -1 ELSE 1 END * CAST(CAST(value AS DECIMAL(15,2)) * 100 AS BIGINT) "
+    "ORDER BY ts, event_id)), lambda a, x: (a + x) % 100000) AS DECIMAL(9,0)) * CAST(0.01 AS DECIMAL(3,2)) AS DECIMAL(5,2)) AS total FROM events GROUP BY user_id"
+)
+def streamed_totals(spark, sf_dir):
+    """Signed totals of events that arrive in any order, in several batches, each told when its user's end has come."""
+    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    e = spark.read.parquet(f"{sf_dir}/events.parquet")
+    value = F.col("value").cast("decimal(15,2)")
+    rows = e.select(F.col("user_id").cast("string").alias("key"), F.row_number().over(w).cast("long").alias("seq"), F.when(F.col("event_type") == "purchase", -value).otherwise(value).alias("x"))
+    ends = rows.groupBy("key").agg((F.max("seq") + 1).alias("seq")).select("key", "seq", F.lit(None).cast("decimal(15,2)").alias("x"), F.lit(True).alias("last"))
+    path = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+    shuffled = rows.withColumn("last", F.lit(False)).unionByName(ends).repartition(6, F.xxhash64("key", "seq"))
+    shuffled.write.parquet(f"{path}/in")
+    p = parse_picture("S9(3)V99")
+    stream = spark.readStream.schema(shuffled.schema).option("maxFilesPerTrigger", 2).parquet(f"{path}/in")
+    told = totals.drain(totals.ordered_totals(stream, scan.step(F.col("x"), p, 2), p), path)
+    return told.where("kind = 'total'").select("key", "seq", totals.number(F.col("units"), p).alias("total"))
+
+
+# an estate that answers slowly and sometimes fails
+
+
+def _estate(name: str, kind: str):
+    """A stand-in for an outside service: what it has follows from the number in a name."""
+    n = int(name.rsplit("#", 1)[1])
+    if n % 7 == 3:
+        raise OSError("not reachable")
+    if n % 3 == 0:
+        return None
+    return f"MEMBER {n}" if kind == ("cobol" if n % 2 else "asm") else {"text": None, "alternatives": [f"ALT{n}"]} if n % 5 == 0 else None
+
+
+@query(
+    "SELECT s_name AS name, CASE WHEN n % 7 = 3 THEN 'error' WHEN n % 3 = 0 THEN 'absent' WHEN n % 2 = 0 AND n % 5 = 0 THEN 'alternatives' ELSE 'found' END AS outcome, "
+    "CASE WHEN n % 7 = 3 OR n % 3 = 0 OR n % 2 = 0 AND n % 5 = 0 THEN NULL WHEN n % 2 = 1 THEN 'cobol' ELSE 'asm' END AS found_type, "
+    "CASE WHEN n % 7 = 3 OR n % 3 = 0 OR n % 2 = 0 AND n % 5 = 0 THEN NULL ELSE 'MEMBER ' || n END AS text "
+    "FROM (SELECT s_name, CAST(split_part(s_name, '#', 2) AS BIGINT) AS n FROM supplier)"
+)
+def retrieved_members(spark, sf_dir):
+    """One member for each supplier's name, asked as a program and then as an assembler source, several at a time and again after failures."""
+    plan = spark.read.parquet(f"{sf_dir}/supplier.parquet").select(F.col("s_name").alias("name"), F.array(F.lit("cobol"), F.lit("asm")).alias("types"), F.col("s_suppkey").alias("place"))
+    return estate.retrieve(plan, _estate, jobs=4, tries=2, wait=0.001).select("name", "outcome", "found_type", "text")

@@ -177,29 +177,53 @@ def ask(client: Callable, name: str, kind: str) -> dict:
 ANSWER = "name string, type string, outcome string, found_type string, text string, alternatives array<string>, reason string"
 
 
-def retrieve(plan: DataFrame, client: Callable) -> DataFrame:
-    """plan (name, types array in order of likelihood): answers, each name asked once, type by type until one is found.
+def ask_again(client: Callable, name: str, kind: str, tries: int, wait: float) -> dict:
+    """ask(), up to `tries` times while the client raises, each time after a wait twice as long."""
+    import time
 
-    Requests run in the plan's partitions; the client is shipped to the executors.
+    for i in range(tries):
+        row = ask(client, name, kind)
+        if row["outcome"] != "error" or i + 1 == tries:
+            return row
+        time.sleep(wait * 2**i)
+
+
+def retrieve(plan: DataFrame, client: Callable, jobs: int = 8, tries: int = 1, wait: float = 0.1) -> DataFrame:
+    """plan (name, types array in order of likelihood, and if wanted place): answers, each name asked once, type by type until one is found.
+
+    Requests run in the plan's partitions, `jobs` at a time in each task; the client is shipped to the executors. Answers come in the order of place (by name where places are
+    equal or there are none), whichever request is done first, and no more than `jobs` requests are ahead of the one whose answer is due. A client that raises is asked
+    again up to `tries` times; its last failure is an `error` row.
     """
-    wanted = plan.groupBy("name").agg(F.first("types").alias("types"))
+    place = F.col("place") if "place" in plan.columns else F.lit(0)
+    wanted = plan.groupBy("name").agg(F.min_by("types", F.struct(place, "types")).alias("types"), F.min(place).alias("place")).orderBy("place", "name").select("name", "types")
+
+    def one(name, types):
+        last = None
+        for t in types or ():
+            last = ask_again(client, name, t, tries, wait)
+            if last["outcome"] in ("found", "found-as-other-type", "alternatives"):
+                break
+        return last
 
     def run(batches):
+        from collections import deque
+        from concurrent.futures import ThreadPoolExecutor
+
         import pyarrow as pa
 
         names = [c.split()[0] for c in ANSWER.split(", ")]
-        for b in batches:
-            rows = []
-            for name, types in zip(b.column("name").to_pylist(), b.column("types").to_pylist()):
-                last = None
-                for t in types:
-                    last = ask(client, name, t)
-                    if last["outcome"] in ("found", "found-as-other-type", "alternatives"):
-                        break
-                if last is not None:
-                    rows.append(last)
-            kinds = {"alternatives": pa.list_(pa.string())}
-            yield pa.RecordBatch.from_pydict({k: pa.array([r[k] for r in rows], kinds.get(k, pa.string())) for k in names})
+        kinds = {"alternatives": pa.list_(pa.string())}
+        with ThreadPoolExecutor(jobs) as pool:
+            for b in batches:
+                rows, ahead = [], deque()
+                for name, types in zip(b.column("name").to_pylist(), b.column("types").to_pylist()):
+                    if len(ahead) == jobs:
+                        rows.append(ahead.popleft().result())
+                    ahead.append(pool.submit(one, name, types))
+                rows += [f.result() for f in ahead]
+                rows = [r for r in rows if r is not None]
+                yield pa.RecordBatch.from_pydict({k: pa.array([r[k] for r in rows], kinds.get(k, pa.string())) for k in names})
 
     return wanted.mapInArrow(run, ANSWER)
 
