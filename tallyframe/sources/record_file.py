@@ -101,11 +101,12 @@ class RecordReader(DataSourceReader):
             if self.form == "F":
                 if size % self.size:
                     raise ValueError(f"{name}: {size} bytes are no whole number of {self.size}-byte records")
-                marks = range(0, size, max(1, self.split // self.size) * self.size)
-            cuts = [0]
-            for m in marks:
-                if m - cuts[-1] >= self.split:
-                    cuts.append(m)
+                cuts = list(range(0, size, max(1, self.split // self.size) * self.size)) or [0]
+            else:
+                cuts = [0]
+                for m in marks:
+                    if m - cuts[-1] >= self.split:
+                        cuts.append(m)
             out += [_Split(name, lo, hi) for lo, hi in zip(cuts, [*cuts[1:], size])]
         return out or [_Split("", 0, 0)]
 
@@ -166,7 +167,7 @@ class RecordFile(DataSource):
 def write(df: DataFrame, record: str, path: str, **options) -> None:
     """Adds the records of df to the files under path. A null record, and one that does not fit the form, raises; an empty table leaves an empty directory."""
     df.sparkSession.dataSource.register(RecordFile)
-    df.selectExpr(f"cast(null as string) as file", f"cast(null as long) as at", f"`{record}` as record").write.format("record_file").options(**options).mode("append").save(path)
+    df.selectExpr("cast(null as string) as file", "cast(null as long) as at", f"`{record}` as record").write.format("record_file").options(**options).mode("append").save(path)
 
 
 def read(spark: SparkSession, path: str, **options) -> DataFrame:

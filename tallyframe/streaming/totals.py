@@ -26,7 +26,7 @@ class OrderedTotals(StatefulProcessor):
         self.total = handle.getValueState("total", "next long, units long, ended boolean")
         self.early = handle.getMapState("early", "seq long", "c long, up long, down long, last boolean")
 
-    def handleInputRows(self, key, rows, timers):
+    def handleInputRows(self, key, rows, timerValues):
         import pandas as pd
 
         nxt, units, ended = self.total.get() if self.total.exists() else (1, self.initial, False)
@@ -57,14 +57,14 @@ class OrderedTotals(StatefulProcessor):
             self.early.updateValue((seq,), step)
         self.total.update((nxt, units, ended))
         if here and self.patience is not None:
-            self.handle.registerTimer(timers.getCurrentProcessingTimeInMs() + self.patience)
+            self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.patience)
         yield pd.DataFrame(out, columns=["key", "seq", "kind", "units"]).astype({"units": "Int64"})
 
-    def handleExpiredTimer(self, key, timers, expired):
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
         import pandas as pd
 
         nxt = self.total.get()[0]
-        waits = self.early.exists() and next(iter(self.early.keys()), None) is not None
+        waits = next(iter(self.early.keys()), None) is not None
         yield pd.DataFrame([(key[0], int(nxt), "gap", None)] if waits else [], columns=["key", "seq", "kind", "units"]).astype({"units": "Int64"})
 
     def close(self):
@@ -87,7 +87,7 @@ def number(units: Column, p: Picture) -> Column:
 
 
 def drain(stream: DataFrame, path: str) -> DataFrame:
-    """Runs a stream over what there is now, into Parquet under path, and reads that."""
+    """Runs a stream without timers over what there is now, into Parquet under path, and reads that. A stream with timers has no last batch: start it yourself."""
     spark = stream.sparkSession
     name, store = "spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
     before = spark.conf.get(name, None)
