@@ -364,14 +364,12 @@ LITERALS = r"('[^']*'|\"[^\"]*\"|[^'\"]+|['\"])"
 
 
 def slug(text: Column, most: int = 60) -> Column:
-    """A name made of a statement or condition: relations as words, literals without quotes, anything else but letters, digits, _ and - as one _."""
-    for sign, word in RELATION_WORDS:
-        text = F.replace(text, F.lit(sign), F.lit(f" {word} "))
-    text = F.regexp_replace(text, "['\"]", "")
-    text = F.regexp_replace(F.regexp_replace(text, "[^0-9A-Za-z_-]+", "_"), "_+", "_")
-    text = F.regexp_replace(text, "^_|_$", "")
-    text = F.when(F.length(text) > most, F.regexp_replace(F.substring(text, 1, most), "_+$", "")).otherwise(text)
-    return F.when(text == "", "x").otherwise(text)
+    """A name made of a statement or condition: its relations, as words, and its words, quotes left out, joined by _."""
+    named = F.create_map(*(F.lit(x) for pair in RELATION_WORDS for x in pair))
+    parts = F.regexp_extract_all(text, F.lit("(" + "|".join(sign for sign, _ in RELATION_WORDS) + "|[0-9A-Za-z'\"-]+)"), F.lit(1))
+    words = F.transform(parts, lambda x: F.coalesce(named[x], F.translate(x, "'\"", "")))
+    name = F.substring(F.array_join(F.filter(words, lambda x: x != ""), "_"), 1, most)
+    return F.when(name == "", "x").otherwise(F.rtrim(name, F.lit("_")))
 
 
 def signature(text: Column) -> Column:
