@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..operators.settle import settled
 from ..sources import estate
-from . import estate_flow, views
+from . import estate_flow, source_lines, views
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -294,3 +294,35 @@ def corpus_business_steps(f):
 
 
 QUERIES["corpus_business_steps"] = lambda spark, sf_dir: corpus_business_steps(settled(estate.parse_estate(diamonds(spark, sf_dir))))
+
+
+# lines
+
+LINES = """       IDENTIFICATION DIVISION.
+      * NOTE {k}
+       PROCEDURE DIVISION.
+000040 A{k}.
+           DISPLAY 'it''s *> {k}'  *> note
+           EJECT
+           MOVE 'LONG {k}
+      -    'TAIL' TO WS-X.
+      D    DISPLAY 'DEBUG'.
+
+           STOP RUN.                                                    CHANGED
+"""
+
+
+def corpus_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Code lines of a program for each supplier, with comments, a debugging line, a continued literal and listing words."""
+    k = F.col("s_suppkey").cast("string")
+    texts = spark.read.parquet(f"{sf_dir}/supplier.parquet").select(F.concat(F.lit("L"), k).alias("name"), F.replace(F.lit(LINES), F.lit("{k}"), k).alias("text"))
+    return source_lines.logical(texts).select("name", "line", F.rtrim("text").alias("text"))
+
+
+QUERIES["corpus_lines"] = corpus_lines
+ORACLES["corpus_lines"] = """
+SELECT 'L' || s_suppkey AS name, unnest([1, 3, 4, 5, 7, 11]) AS line,
+       unnest(['IDENTIFICATION DIVISION.', 'PROCEDURE DIVISION.', 'A' || s_suppkey || '.', '    DISPLAY ''it''''s *> ' || s_suppkey || '''',
+               rpad('    MOVE ''LONG ' || s_suppkey, 65, ' ') || 'TAIL'' TO WS-X.', '    STOP RUN.']) AS text
+FROM supplier
+"""
