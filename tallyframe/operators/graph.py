@@ -34,13 +34,14 @@ def components(edges: DataFrame) -> DataFrame:
 def cycles(edges: DataFrame, by: list[str]) -> DataFrame:
     """edges (*by, a, b) -> (*by, node, component): nodes that can reach themselves, with the least node of their strong component.
 
-    Nodes without a way in or a way out are trimmed; each node then takes the greatest node that reaches it as its colour; what reaches a colour's node inside its
-    colour is a strong component, and the next round goes on with the other nodes.
+    Nodes with one way in and one way out are taken out first, so that long chains and rings cost rounds only in the logarithm of their length. Of the rest, nodes without a way
+    in or out are trimmed; each node then takes the greatest node that reaches it as its colour; what reaches a colour's node inside its colour is a strong
+    component, and the next round goes on with the other nodes.
     """
     edges = settled(edges.select(*by, "a", "b").distinct())
-    loops = edges.where("a = b").select(*by, F.col("a").alias("node"))
-    found = loops.withColumn("root", F.col("node"))
-    rest = edges.where("a <> b")
+    short, inner, found = _taken_out(edges.where("a <> b"), by)
+    loops = edges.where("a = b").unionByName(short.where("a = b")).select(*by, F.col("a").alias("node")).distinct()
+    rest = short.where("a <> b")
     while True:
         rest = _trimmed(rest, by)
         if rest.isEmpty():
@@ -62,13 +63,49 @@ def cycles(edges: DataFrame, by: list[str]) -> DataFrame:
         found = found.unionByName(inside.join(several, [*by, "root"]).select(*by, "node", "root"))
         gone = inside.select(*by, "node")
         rest = rest.join(gone.withColumnRenamed("node", "a"), [*by, "a"], "left_anti").join(gone.withColumnRenamed("node", "b"), [*by, "b"], "left_anti")
-    found = found.groupBy(*by, "node").agg(F.max("root").alias("root"), F.count(F.lit(1)).alias("n"))
-    # a node with an edge to itself may be in a larger component, too: that one is the other root, if any
-    root = settled(found.select(*by, "node", "root"))
+    found = settled(found)
+    alone = loops.join(found.select(*by, "node"), [*by, "node"], "left_anti")
+    found = settled(found.unionByName(alone.withColumn("root", F.col("node"))))
+    # what lies on a way between two nodes of one component belongs to it
+    heads = found.select(*by, F.col("node").alias("up"), "root")
+    tails = found.select(*by, F.col("node").alias("down"), F.col("root").alias("other"))
+    between = inner.join(heads, [*by, "up"]).join(tails, [*by, "down"]).where("root = other").select(*by, "node", "root")
+    between = between.join(found.select(*by, "node"), [*by, "node"], "left_anti").unionByName(found)
+    # a taken-out node with an edge to itself is alone only if its way is in no component
+    inner_roots = inner.join(heads, [*by, "up"]).join(tails, [*by, "down"]).where("root = other").select(*by, "node", F.col("root").alias("way"))
+    root = settled(between.join(inner_roots, [*by, "node"], "left").select(*by, "node", F.coalesce("way", "root").alias("root")))
     named = root.groupBy(*by, "root").agg(F.min("node").alias("component"))
     return root.join(named, [*by, "root"]).select(*by, "node", "component")
 
 
+def _taken_out(edges: DataFrame, by: list[str]) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(edges between the other nodes, (node, up, down) of the nodes with one way in and one out, (node, root) of rings of such nodes alone)."""
+    edges = settled(edges)
+    into = edges.groupBy(*by, F.col("b").alias("node")).agg(F.count(F.lit(1)).alias("n")).where("n = 1").select(*by, "node")
+    out = edges.groupBy(*by, F.col("a").alias("node")).agg(F.count(F.lit(1)).alias("n")).where("n = 1").select(*by, "node")
+    plain = settled(into.join(out, [*by, "node"]))
+    rounds = int(plain.count()).bit_length() + 1
+
+    def followed(node: str, to: str) -> DataFrame:
+        """(node, to, least): the first node on the way that is not plain, or any on a ring; and the least node passed."""
+        now = settled(edges.select(*by, F.col(node).alias("node"), F.col(to).alias("to")).join(plain, [*by, "node"], "left_semi").withColumn("least", F.col("node")))
+        for _ in range(rounds):
+            ahead = now.select(*by, F.col("node").alias("to"), F.col("to").alias("next"), F.col("least").alias("more"))
+            step = now.join(ahead, [*by, "to"], "left")
+            step = settled(step.select(*by, "node", F.coalesce("next", "to").alias("to"), F.least("least", F.coalesce("more", "least")).alias("least"), F.col("next").isNotNull().alias("on")))
+            now = step.drop("on")
+            if step.where("on").isEmpty():
+                break
+        return now
+
+    back, on = followed("b", "a"), followed("a", "b")
+    rings = back.join(plain.withColumnRenamed("node", "to"), [*by, "to"], "left_semi").select(*by, "node", F.col("least").alias("root"))
+    inner = back.select(*by, "node", F.col("to").alias("up")).join(on.select(*by, "node", F.col("to").alias("down")), [*by, "node"])
+    inner = settled(inner.join(rings.select(*by, "node"), [*by, "node"], "left_anti"))
+    ends = edges.join(plain.withColumnRenamed("node", "b"), [*by, "b"], "left_anti").join(inner.select(*by, F.col("node").alias("a"), "up"), [*by, "a"], "left")
+    return settled(ends.select(*by, F.coalesce("up", "a").alias("a"), "b").distinct()), inner, rings
+
+
 def _trimmed(edges: DataFrame, by: list[str]) -> DataFrame:
     edges, n = settled(edges), -1
     while True:

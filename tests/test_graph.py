@@ -37,6 +37,7 @@ def test_components_of_a_long_chain_and_of_nothing(spark):
 def test_cycles_are_strong_components(spark):
     rng = random.Random(6)
     rows = [(g, rng.randrange(14), rng.randrange(14)) for g in ("p", "q", "r") for _ in range(17)] + [("s", i, i + 1) for i in range(9)] + [("t", 1, 1), ("t", 1, 2), ("t", 2, 1)]
+    rows += [("u", i, (i + 1) % 40) for i in range(40)] + [("v", i, (i + 1) % 30) for i in range(30)] + [("v", 7, 50), ("v", 50, 50), ("v", 50, 51), ("v", 12, 12), ("w", 3, 3)]
     want = set()
     for g in {r[0] for r in rows}:
         to = reach([r[1:] for r in rows if r[0] == g])
