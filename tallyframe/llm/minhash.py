@@ -7,9 +7,11 @@
 3. Packed signatures estimate similarity by bit counts, corrected for chance agreement; pairs far below the threshold go.
 4. The rest is confirmed exactly on the full sets of both texts, and components are formed.
 5. Buckets that still span several components get their remaining cross-component pairs checked, so no link is lost to the
-   star. Buckets are dealt in pairs of blocks; a unit finds its candidate pairs from sizes, components and signatures, and counts
-   intersections of full sets for one document against many at once. Pairs are never rows: a first pass names the documents
-   that need their texts, the second returns a spanning forest of the links. A pair that shares several buckets is checked in the first.
+   star. Pairs are never rows, and sizes, signatures and texts are joined to one row a document before it is dealt. A first pass deals
+   buckets in pairs of blocks, those of the commonest component never with one another, and finds candidates from sizes, components and signatures.
+   It says between which homes a document has candidates: a home is a block of documents whose largest buckets have the same least class.
+   The second pass deals texts by pairs of homes, once for all buckets that two documents share, counts intersections of full sets for one document against many
+   at once, and returns a spanning forest of the links. Both passes compare pairs in blocks, so what they deal grows with a group by its size over the block.
 A pair at similarity 0.8 is proposed with probability 1 - (1 - 0.8**rows)**bands: all but 5 in a million at the defaults.
 """
 
@@ -134,8 +136,8 @@ def _confirm(size: int, percent: int):
 
 
 def _pairs(rows: dict, percent: int):
-    """Candidate pairs (i, j) of one unit: other components, possible sizes and signatures, first shared bucket."""
-    n, label, side, packed, bands = rows["n"], rows["label"], rows["side"], rows["packed"], rows["bands"]
+    """Candidate pairs (i, j) of one unit: other components, possible sizes and signatures; in units of a bucket, first shared bucket."""
+    n, label, side, packed, bands = rows["n"], rows["label"], rows["side"], rows["packed"], rows.get("bands")
     _, least = _least(percent)
     same_block = bool(rows["lo"][0] == rows["hi"][0])
     left = np.arange(len(n)) if same_block else np.flatnonzero(side == 0)
@@ -152,29 +154,25 @@ def _pairs(rows: dict, percent: int):
         differ = np.bitwise_count((x | (x >> np.uint64(1))) & np.uint64(LOW)).sum(axis=1)
         keep = (1 - differ / HASHES - 0.25) / 0.75 >= least
         i, j = i[keep], j[keep]
-        if len(i):
+        if len(i) and bands is not None:
             keep = (bands[i] == bands[j]).argmax(axis=1) == (bands[i[0]] == rows["band"][0]).argmax()
             i, j = i[keep], j[keep]
         if len(i):
             yield i, j
 
 
-UNIT = "band long, lo int, hi int, side int, d long, label long, n long, packed array<long>, bands array<long>"
-
-
-def _units(batches, also=()):
-    """Rows sorted by (band, lo, hi): each unit's columns, whole."""
-    names = ("band", "lo", "hi", "side", "d", "label", "n", *also)
+def _units(batches, unit: tuple, plain: tuple, arrays: dict, also: tuple = ()):
+    """Rows sorted by the columns of `unit`: each unit's columns, whole. arrays: widths of array columns."""
     held = None
     for batch in batches:
         if not batch.num_rows:
             continue
-        rows = {k: np.array(batch.column(k).to_pylist(), object) if k in also else batch.column(k).to_numpy(zero_copy_only=False) for k in names}
-        for k, width in (("packed", WORDS), ("bands", BANDS)):
+        rows = {k: np.array(batch.column(k).to_pylist(), object) if k in also else batch.column(k).to_numpy(zero_copy_only=False) for k in (*unit, *plain, *also)}
+        for k, width in arrays.items():
             rows[k] = batch.column(k).flatten().to_numpy().reshape(-1, width).astype(np.int64).view(np.uint64 if k == "packed" else np.int64)
         if held is not None:
             rows = {k: np.concatenate([held[k], v]) for k, v in rows.items()}
-        new = (rows["band"][1:] != rows["band"][:-1]) | (rows["lo"][1:] != rows["lo"][:-1]) | (rows["hi"][1:] != rows["hi"][:-1])
+        new = np.any([rows[k][1:] != rows[k][:-1] for k in unit], axis=0)
         cuts = np.r_[0, np.flatnonzero(new) + 1]
         for lo, hi in zip(cuts[:-1], cuts[1:]):
             yield {k: v[lo:hi] for k, v in rows.items()}
@@ -184,28 +182,25 @@ def _units(batches, also=()):
 
 
 def _involved(percent: int):
-    """The rows of each unit that are in a candidate pair."""
+    """For each unit of a bucket: documents in a candidate pair (d), and the homes of the others of such pairs."""
 
     def run(batches):
-        for rows in _units(batches):
-            hit = np.zeros(len(rows["d"]), bool)
-            for i, j in _pairs(rows, percent):
-                hit[i] = hit[j] = True
-            at = np.flatnonzero(hit)
-            if len(at):
-                out = {k: pa.array(rows[k][at]) for k in ("band", "lo", "hi", "side", "d", "label", "n")}
-                out |= {k: pa.array([r.view(np.int64).tolist() for r in rows[k][at]], pa.list_(pa.int64())) for k in ("packed", "bands")}
-                yield pa.RecordBatch.from_pydict(out)
+        for rows in _units(batches, ("band", "lo", "hi"), ("side", "d", "label", "n", "home"), {"packed": WORDS, "bands": BANDS}):
+            homes, at = np.unique(rows["home"], return_inverse=True)
+            hit = [np.unique(np.r_[i * len(homes) + at[j], j * len(homes) + at[i]]) for i, j in _pairs(rows, percent)]
+            if hit:
+                hit = np.unique(np.concatenate(hit))
+                yield pa.RecordBatch.from_pydict({"d": pa.array(rows["d"][hit // len(homes)]), "other": pa.array(homes[hit % len(homes)])})
 
     return run
 
 
 def _linked(size: int, percent: int):
-    """Spanning forests of the links of each unit, counted on full sets."""
+    """Spanning forests of the links of each unit of two homes, counted on full sets."""
 
     def run(batches):
         hashes = WordHashes()
-        for rows in _units(batches, ("text",)):
+        for rows in _units(batches, ("lo", "hi"), ("side", "d", "label", "n"), {"packed": WORDS}, ("text",)):
             sets = [shingle_set(words_of(t), size, hashes) for t in rows["text"]]
             counts = np.array([len(s) for s in sets])
             _, ids = np.unique(np.concatenate(sets), return_inverse=True)
@@ -239,22 +234,43 @@ def with_texts(needs: DataFrame, column: str, classes: DataFrame, rows: DataFram
     return wanted.join(some.hint("merge"), ["did", "tag"]).select(*needs.columns, "text")
 
 
+def _commonest(rows: DataFrame, key: str) -> DataFrame:
+    """For each key of rows (key, label, n): its commonest label, and rows (c, odd_c) and shingles (n, odd_n) under that label and under the others."""
+    counts = rows.groupBy(key, "label").agg(F.count(F.lit(1)).alias("c"), F.sum("n").alias("n"))
+    most = counts.groupBy(key).agg(F.max(F.struct("c", "label", "n")).alias("m"), F.sum("c").alias("c"), F.sum("n").alias("n"))
+    return most.select(key, F.col("m.label").alias("common"), F.col("m.c").alias("c"), F.col("m.n").alias("n"), (F.col("c") - F.col("m.c")).alias("odd_c"), (F.col("n") - F.col("m.n")).alias("odd_n"))
+
+
 def across(rest: DataFrame, classes: DataFrame, rows: DataFrame, size: int, percent: int, block: int = 1_024) -> DataFrame | None:
-    """rest (band, c members, d, label, n, packed, bands): links (u, v) between components within buckets; None if there are no candidates."""
+    """rest (band, p, d, label, common, c, odd_c): links (u, v) between components within buckets; None if there are no candidates.
+
+    common is the commonest label of the bucket, with c members; odd_c others are under other labels.
+    """
+    sigs = classes.select(F.col("rep").alias("d"), "n", "packed", "bands")
+    at = F.collect_list(F.struct("band", "common", "c", "odd_c")).alias("at")  # at most BANDS
+    each = rest.groupBy("d").agg(F.first("label").alias("label"), F.min(F.struct(-(F.col("c") + F.col("odd_c")), "p")).alias("h"), at)
+    each = cut(each.select("d", "label", F.col("h.p").alias("p"), "at").join(sigs, "d"), "each")
+    homes = cut(_commonest(each, "p").withColumnsRenamed({"common": "most", "c": "most_c", "n": "most_n"}), "homes")
+    most = F.col("label") == F.col("most")
+    parts = F.ceil(F.greatest(F.when(most, F.col("most_c")).otherwise(F.col("odd_c")) / block, F.when(most, F.col("most_n")).otherwise(F.col("odd_n")) / (block * 1_024)))
+    placed = each.join(homes, "p").withColumn("home", F.xxhash64("p", most, F.pmod(F.xxhash64("d"), parts))).select("d", "label", "n", "packed", "bands", "home", "at")
+    odd, blocks = F.ceil(F.col("b.odd_c") / block), F.ceil(F.col("b.odd_c") / block) + F.ceil(F.col("b.c") / block)
+    stray = F.col("label") != F.col("b.common")
     dealt = (
-        rest.withColumn("s", F.ceil(F.col("c") / block).cast("int"))
-        .withColumn("own", F.pmod(F.xxhash64("d"), F.col("s")).cast("int"))
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("s") - 1)))
-        .withColumns({"lo": F.least("own", "other"), "hi": F.greatest("own", "other"), "side": (F.col("own") > F.col("other")).cast("int")})
+        placed.withColumn("b", F.explode("at"))
+        .withColumn("own", F.when(stray, F.pmod("home", odd)).otherwise(odd + F.pmod("home", blocks - odd)))
+        .withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.when(stray, blocks).otherwise(odd) - 1)))
+        .select("b.band", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), (F.col("own") > F.col("other")).cast("int").alias("side"), "d", "label", "n", "home", "packed", "bands")
     )
-    names = [c.split()[0] for c in UNIT.split(", ")]
     unit = ["band", "lo", "hi"]
-    spread = dealt.select(*names).repartition(*unit).sortWithinPartitions(*unit)
-    asked = cut(spread.mapInArrow(_involved(percent), UNIT), "involved")
+    found = dealt.repartition(*unit).sortWithinPartitions(*unit).mapInArrow(_involved(percent), "d long, other long")
+    asked = cut(found.groupBy("d").agg(F.collect_set("other").alias("others")), "asked")
     if asked.isEmpty():
         return None
-    spread = with_texts(asked, "d", classes, rows).repartition(*unit).sortWithinPartitions(*unit)
-    return spread.mapInArrow(_linked(size, percent), "u long, v long")
+    needs = asked.join(placed.select("d", "label", "n", "home", "packed"), "d")
+    dealt = with_texts(needs, "d", classes, rows).withColumn("other", F.explode("others"))
+    dealt = dealt.select(F.least("home", "other").alias("lo"), F.greatest("home", "other").alias("hi"), (F.col("home") > F.col("other")).cast("int").alias("side"), "d", "label", "n", "packed", "text")
+    return dealt.repartition("lo", "hi").sortWithinPartitions("lo", "hi").mapInArrow(_linked(size, percent), "u long, v long")
 
 
 def confirmed(pairs: DataFrame, classes: DataFrame, rows: DataFrame, size: int, percent: int, unit: int = 256) -> DataFrame:
@@ -292,8 +308,8 @@ def rooted(docs: DataFrame, size: int, percent: int) -> DataFrame:
     # buckets of three and more may hold links that miss their least member
     wide = members.where("c > 2").join(comps.select(F.col("id").alias("d"), "component_id"), "d", "left")
     wide = cut(wide.select("band", "c", "p", "d", F.coalesce("component_id", "d").alias("label")), "wide")
-    split = cut(wide.groupBy("band").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("band"), "split")
-    rest = wide.where("d <> p").join(split, "band").join(classes.select(F.col("rep").alias("d"), "n", "packed", "bands"), "d")
+    split = cut(_commonest(wide.withColumn("n", F.lit(0)), "band").where("odd_c > 0").select("band", "common", "c", "odd_c"), "split")
+    rest = wide.drop("c").where("d <> p").join(split, "band")
     more = across(rest, classes, rows, size, percent)
     if more is not None:
         more = cut(more, "links")

@@ -1,5 +1,6 @@
 """Training-data operators against brute force, round trips and edge cases, on small tables."""
 
+import functools
 import hashlib
 import random
 import zlib
@@ -163,6 +164,24 @@ def test_minhash_matches_brute_force(spark, size):
     assert all(r.kept == (r.doc_id == r.component_id) for r in got)
 
 
+def test_minhash_asks_for_each_text_once_across_buckets(spark, monkeypatch):
+    """Near copies meet in many buckets; rows that get a text must not grow with those, and blocks of a few documents lose no link."""
+    rows, wanted, cut = near_copies(150, seed=5), [], minhash.cut
+
+    def counted(df, name):
+        out = cut(df, name)
+        if name == "wanted":
+            wanted.append(out.count())
+        return out
+
+    monkeypatch.setattr(minhash, "cut", counted)
+    monkeypatch.setattr(minhash, "across", functools.partial(minhash.across, block=8))
+    got = minhash.near_documents(spark.createDataFrame(rows, DOC), size=5).collect()
+    comp, n = jaccard_classes(rows, 5, 80)
+    assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in got) == Counter((i, k, c) for (i, _), k, c in zip(rows, n, comp))
+    assert len(wanted) == 2 and wanted[1] <= len(rows)
+
+
 def test_minhash_tells_texts_of_one_id_apart(spark):
     a, b, c = (" ".join(f"{w}{i}" for i in range(40)) for w in ("alpha", "beta", "gamma"))
     rows = [(1, a), (1, b), (2, a + " x"), (3, b + " y"), (4, c), (None, c), (None, c + " z"), (None, "only here"), (5, a), (5, a)]
